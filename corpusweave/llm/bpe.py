@@ -17,13 +17,13 @@ rows and ties each give their own row; other columns are not looked at.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that one call of the leaf encoder gets at most.
 LEAF_CHARS = 8192
@@ -128,19 +128,13 @@ class ByteBPE:
         return hashlib.sha256(" ".join([names[t] for t in tokens]).encode()).hexdigest()
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> ByteBPE:
-    """One codec for each worker process."""
-    return ByteBPE(path, pattern, leaf_chars)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with the text replaced by token_ids array<int> and n_tokens bigint; columns of those names in docs are replaced."""
     kept = [c for c in docs.columns if c not in (text_col, "token_ids", "n_tokens")]
-    schema = docs.select(*kept).schema.add("token_ids", "array<int>").add("n_tokens", "bigint")
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        bpe = codec(path, pattern)
+        bpe = ByteBPE(path, pattern)
         for b in batches:
             ids = [bpe.encode(x or "") for x in b.column("__cw_text").to_pylist()]
             out = pa.array(ids, pa.list_(pa.int32()))
@@ -152,10 +146,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows of encode_documents with token_ids turned back: adds text string (bytes that are not UTF-8 become U+FFFD)."""
     kept = [c for c in tokens.columns if c not in ("token_ids", "text")]
-    schema = tokens.select(*kept).schema.add("text", "string")
+    schema = T.StructType([*tokens.select(*kept).schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches):
-        bpe = codec(path, pattern)
+        bpe = ByteBPE(path, pattern)
         for b in batches:
             texts = [bpe.decode(x or []).decode("utf-8", "replace") for x in b.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
@@ -167,7 +161,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Encodes each whole text, decodes the tokens, and returns doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches):
-        bpe = codec(path, pattern)
+        bpe = ByteBPE(path, pattern)
         for b in batches:
             n, ids, back = [], [], []
             for text in b.column("text"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mix, simhash
+from . import ann, bpe, langid, lcp, mix, pii, recompress, simhash
 from .common import documents
 
 
@@ -29,8 +29,38 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 20 = 0")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compare_edited(documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_mix_sources": op2_mix_sources, "op5_simhash": op5_simhash}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op2_mix_sources": op2_mix_sources,
+        "op5_simhash": op5_simhash,
+        "op6_language_id": op6_language_id,
+        "op7_pii": op7_pii,
+        "op8_nearest": op8_nearest,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

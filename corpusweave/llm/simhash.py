@@ -35,12 +35,16 @@ def simhash(text: bytes, width: int = WIDTH) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return int(_majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)))
+
+
+def _majority(h: np.ndarray) -> np.uint64:
+    """Bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 8192):
-        bits = np.unpackbits(h[k : k + 8192, None].view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    for k in range(0, len(h), 240):
+        bits = np.unpackbits(h[k : k + 240, None].view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)  # 240 bits fit
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -102,9 +106,112 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Near copies by similarity.
+
+#: Five-word shingles, the least similarity of two near copies, and words of 64 bits in the fingerprint that verifies it.
+SHINGLE, SIMILAR, WIDE = 5, 0.8, 4
+#: Segments of the fingerprint of words: 16 bits each, so up to 7 differing bits are sure to meet, more are likely to.
+SEGMENTS = 4
+
+
+def _far(similar: float, bits: int) -> int:
+    """Bits in which SimHashes of two sets of that Jaccard index differ on average (by the angle of two equally large sets), and half a standard deviation."""
+    p = np.arccos(2 * similar / (1 + similar)) / np.pi
+    return int(np.ceil(bits * p + 0.5 * np.sqrt(bits * p * (1 - p))))
+
+
+def near_fingerprint(text: bytes, width: int = SHINGLE, wide: int = WIDE) -> tuple[int, bytes]:
+    """A 64-bit SimHash of the distinct words, and one of 64 x wide bits of the distinct shingles of `width` words."""
+    import xxhash
+
+    words = text.lower().split()
+    one = np.fromiter(map(xxhash.xxh64_intdigest, set(words), repeat(42)), np.uint64)
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) >= width else {b" ".join(words)}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    out = []
+    for k in range(wide):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        out.append(_majority(h ^ (h >> np.uint64(32))))
+    return int(_majority(one)), np.array(out, np.uint64).tobytes()
+
+
+def _linked(sig: np.ndarray, ids: np.ndarray, wide: np.ndarray, far: int, bucket: int):
+    """Links among rows of equal sig (ascending): all pairs of small buckets, a spanning forest of large ones."""
+    a, b = [], []
+    begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(begin, append=len(sig))
+    m = np.repeat(size, size)
+    for k in range(1, min(bucket, int(size.max(initial=1)))):
+        i = np.flatnonzero((sig[k:] == sig[:-k]) & (m[k:] <= bucket))
+        i = i[np.bitwise_count(wide[i] ^ wide[i + k]).sum(axis=1) <= far]
+        a.append(ids[i])
+        b.append(ids[i + k])
+    for s, n in zip(begin[size > bucket], size[size > bucket]):
+        rest, todo = np.arange(s, s + n), []
+        while len(rest):
+            at = todo.pop() if todo else None
+            if at is None:
+                at, rest = rest[0], rest[1:]
+            near = np.bitwise_count(wide[rest] ^ wide[at]).sum(axis=1) <= far
+            got = rest[near]
+            a.append(np.full(len(got), ids[at]))
+            b.append(ids[got])
+            todo += got.tolist()
+            rest = rest[~near]
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, component_id) of documents whose five-word shingles are alike to `similar` or more, chains included.
+
+    The index holds deletion variants of a 64-bit SimHash of the words, which a few changed words hardly move: SEGMENTS
+    segments, each with one of its bits left out. Rows of one signature are verified by a SimHash of the shingles of
+    64 x WIDE bits. Equal texts are one node. Rows of a signature stream through sorted; a signature with many members gives
+    links along a spanning forest, never all pairs. Texts without words, and null, are like none but their equals.
+    """
+
+    def run(batches):
+        for b in batches:
+            f = [near_fingerprint(x.as_py() or b"") for x in pc.cast(b.column("text"), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(np.array([x for x, _ in f], np.uint64).view(np.int64)), pa.array([x for _, x in f], pa.binary())], ["doc_id", "t1", "t2", "fp", "wide"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
+    rows = stored(keyed.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, fp bigint, wide binary"), "near")
+    nodes = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "nodes")
+    width = 64 // SEGMENTS
+    sig = nodes.where("fp <> 0 and id is not null").select("id", "wide", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
+    part = f"(shiftrightunsigned(fp, w - w % {width}) & {(1 << width) - 1}L)"
+    sig = sig.select(F.expr(f"shiftleft(CAST(w AS BIGINT), {width}) | ({part} & ~shiftleft(1L, w % {width}))").alias("sig"), "id", "wide")
+    far = _far(similar, 64 * WIDE)
+
+    def link(batches):
+        held: list[np.ndarray] = []
+        for b in batches:
+            now = [b.column("sig").to_numpy(), b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)]
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last signature may go on
+            x, y = _linked(*(h[:cut] for h in held), far, bucket)
+            held = [h[cut:] for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        if held:
+            x, y = _linked(*held, far, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sig.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(link, "a bigint, b bigint")
+    roots = connected_components(edges).select(F.col("node").alias("id"), "root")
+    named = nodes.select("t1", "t2", "id").join(roots, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("component_id"))
+    return rows.select("doc_id", "t1", "t2").join(stored(named, "named"), ["t1", "t2"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays (of equal ids, one row)."""
-    found = components(docs, id_col, text_col, **how)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__cw_id")).distinct()
-    rows = docs.join(stored(kept, "kept"), F.col(id_col).cast("bigint") == F.col("__cw_id"), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """docs without near copies: of each component the document with the smallest id stays; of rows with that id, the texts that are it.
+
+    Rows with a null id stay unless their text is another row's.
+    """
+    found = near_copies(docs, id_col, text_col, **how)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__cw_id")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__cw_id"), "left_anti").dropDuplicates([id_col, text_col])
