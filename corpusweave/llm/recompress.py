@@ -10,12 +10,13 @@ A window is filed under its interior symbol of the least name hash (its least wo
 filed under one occurrence are one run. Then Spark goes from coarse to fine:
 
 1. Names are counted; only windows under a name that occurs twice can repeat.
-2. Runs under such names are counted by a 128-bit hash of all the words they span: equal runs repeat as a whole.
-3. Where one name has runs of different spans, their windows are counted one by one, by a 128-bit hash.
+2. The distinct spans (all words that the windows of a run cover, by a 128-bit hash) under such names meet by name. A span
+   that occurs twice repeats as a whole; else a window repeats if another span of the name holds it.
+3. Spans that hold repeats are joined back to their places, and words under a repeated window go.
 
-Counts are combined before they are shuffled and joined back to their places, so a passage that a third of all documents
-share is a few counters and a split join. Between steps executors pick by a bit map of 2^MAP_BITS name hashes (a fixed
-size); its false hits only make more rows, no result changes. Null text has no words.
+Counts and spans are combined before they are shuffled, so a passage that a third of all documents share is a few rows for
+each task, and the join back is one that Spark can split. Between steps executors pick by a bit map of 2^MAP_BITS name
+hashes (a fixed size); its false hits only make more rows, no result changes. Null text has no words.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 WINDOW, ROUNDS = 35, 3
 MAP_BITS = 26
@@ -190,11 +191,11 @@ def _hit(table: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, bits: int = MAP_BITS) -> DataFrame:
-    """(doc_id, th, start, count): windows (by first word) whose words stand elsewhere too; th: a hash of the row's text.
+    """(doc_id, th, start, mask): window start + i (by first word) stands elsewhere too if bit i is set; th: a hash of the row's text.
 
     docs: doc_id, text. A row's repeats are those of its text, so equal rows have equal repeats.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
 
     def names(batches):
         for b in batches:
@@ -203,53 +204,85 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, bits: i
                 yield pa.RecordBatch.from_arrays([_signed(u), pa.array(np.minimum(c, 2).astype(np.int64))], ["name", "n"])
 
     shared = docs.select("text").mapInArrow(names, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
-    first = sc.broadcast(_map(shared, bits))
+    sent = spark.sparkContext.broadcast(_map(shared, bits))
+    tidy(spark)
 
-    def of(batch: pa.RecordBatch, at: int, rows: np.ndarray) -> list[pa.Array]:
-        take = pa.array(at + rows)
-        return [batch.column("doc_id").take(take), batch.column("th").take(take)]
-
-    def runs(batches):
-        table = np.frombuffer(first.value, np.uint8)
+    def spans(batches):
+        table = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            for at, h, n in _chunks(b):
+            for _, h, n in _chunks(b):
                 w = Windows(h, n, window, rounds)
                 r = np.flatnonzero(_hit(table, w.name, bits))
                 c1, c2 = w.spans(r)
-                yield pa.RecordBatch.from_arrays([_signed(w.name[r]), _signed(c1), _signed(c2), *of(b, at, w.doc[r]), pa.array((w.start[r] - w.first[w.doc[r]]).astype(np.int64)), pa.array(w.count[r].astype(np.int32))], ["name", "c1", "c2", "doc_id", "th", "start", "count"])
+                _, one, copies = np.unique(np.stack([c1, c2], 1), axis=0, return_index=True, return_counts=True) if len(r) else ([], r, r)
+                r, c1, c2 = r[one], c1[one], c2[one]
+                count = w.count[r]
+                ends = np.cumsum(count)
+                s = np.repeat(w.start[r] - ends + count, count) + np.arange(count.sum())
+                words = w.hashes(s, s + window)[0]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), _signed(words))
+                yield pa.RecordBatch.from_arrays([_signed(w.name[r]), _signed(c1), _signed(c2), pa.array(copies.astype(np.int64)), lists], ["name", "c1", "c2", "n", "w"])
+
+    def compare(batches):
+        held: pa.Table | None = None
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            name, c1, c2, n = (t[c].to_numpy() for c in ("name", "c1", "c2", "n"))
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(n, at)
+            lists = t["w"].combine_chunks().take(pa.array(at))
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(at)), size)
+            key = _mix(lists.flatten().to_numpy().view(np.uint64) ^ name[at][row].view(np.uint64))
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            twice = (times[back] > 1) | (n[row] > 1)
+            bit = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            mask = np.bitwise_or.reduceat(np.where(twice, np.int64(1) << bit, 0), np.cumsum(size) - size)
+            some = mask != 0
+            return pa.RecordBatch.from_arrays([pa.array(c1[at][some]), pa.array(c2[at][some]), pa.array(mask[some])], ["c1", "c2", "mask"])
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = stored(keyed.mapInArrow(runs, "name bigint, c1 bigint, c2 bigint, doc_id bigint, th bigint, start bigint, count int"), "runs")
-    spans = stored(found.groupBy("name", "c1", "c2").agg(F.count("*").alias("n")), "spans")
-    equal = stored(spans.where("n > 1").select("c1", "c2"), "equal")
-    whole = found.select("c1", "c2", "doc_id", "th", "start", "count").join(equal, ["c1", "c2"]).select("doc_id", "th", "start", "count")
-    several = spans.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    second = sc.broadcast(_map(several, bits))
-
-    def single(batches):
-        table = np.frombuffer(second.value, np.uint8)
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
+                continue
+            name = t["name"].to_numpy()
+            cut = int(np.searchsorted(name, name[-1]))  # the last name may go on
+            held = t.slice(cut)
+            if cut:
+                yield found(t.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    under = docs.select("text").mapInArrow(spans, "name bigint, c1 bigint, c2 bigint, n bigint, w array<bigint>")
+    masks = stored(under.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(compare, "c1 bigint, c2 bigint, mask bigint"), "masks")
+    tidy(spark)
+
+    def places(batches):
+        table = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             for at, h, n in _chunks(b):
                 w = Windows(h, n, window, rounds)
                 r = np.flatnonzero(_hit(table, w.name, bits))
-                doc = np.repeat(w.doc[r], w.count[r])
-                s = np.repeat(w.start[r] - np.cumsum(w.count[r]) + w.count[r], w.count[r]) + np.arange(w.count[r].sum())
-                w1, w2 = w.hashes(s, s + window)
-                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), *of(b, at, doc), pa.array((s - w.first[doc]).astype(np.int64))], ["w1", "w2", "doc_id", "th", "start"])
+                c1, c2 = w.spans(r)
+                take = pa.array(at + w.doc[r])
+                yield pa.RecordBatch.from_arrays([_signed(c1), _signed(c2), b.column("doc_id").take(take), b.column("th").take(take), pa.array((w.start[r] - w.first[w.doc[r]]).astype(np.int64))], ["c1", "c2", "doc_id", "th", "start"])
 
-    ones = stored(keyed.mapInArrow(single, "w1 bigint, w2 bigint, doc_id bigint, th bigint, start bigint"), "windows")
-    twice = stored(ones.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
-    part = ones.join(twice, ["w1", "w2"]).select("doc_id", "th", "start", F.lit(1).alias("count"))
-    return whole.unionByName(part)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return keyed.mapInArrow(places, "c1 bigint, c2 bigint, doc_id bigint, th bigint, start bigint").join(masks, ["c1", "c2"]).select("doc_id", "th", "start", "mask")
 
 
 def _covered(n: int, ranges, window: int) -> np.ndarray:
-    """Which of n words the windows of (start, count) ranges cover."""
+    """Which of n words the windows given by (start, mask) pairs cover."""
     edge = np.zeros(n + 1, np.int64)
     if ranges:
         r = np.array(ranges, np.int64).reshape(-1, 2)
-        np.add.at(edge, r[:, 0], 1)
-        np.add.at(edge, r[:, 0] + r[:, 1] - 1 + window, -1)
+        s = (r[:, :1] + np.arange(window))[(r[:, 1:] >> np.arange(window)) & 1 == 1]
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + window, -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -260,9 +293,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = repeats(rows, window, rounds, bits)
-    # runs and single windows of one place may both be there; a text has fewer of them than words
-    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("start"), F.col("count").cast("bigint").alias("count"))).alias("r"))
-    found = stored(found.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.expr("flatten(transform(r, x -> array(x.start, x.count)))").alias("ranges")), "repeats")
+    # a text has fewer runs than words
+    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("r"))
+    found = stored(found.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.expr("flatten(transform(r, x -> array(x.start, x.mask)))").alias("ranges")), "repeats")
+    tidy(docs.sparkSession)
 
     def cut(batches):
         for b in batches:
