@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, lcp, mix, pii, recompress, simhash
+from . import ann, bpe, langid, lcp, licenses, mix, pii, recompress, simhash, unigram
 from .common import documents
 
 
@@ -25,6 +25,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(documents(spark, sf_dir), byte_bpe("piece_bpe_32k.model")[0])
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
@@ -54,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mix_sources": op2_mix_sources,
+        "op3_token_counts": op3_token_counts,
+        "op4_licenses": op4_licenses,
         "op5_simhash": op5_simhash,
         "op6_language_id": op6_language_id,
         "op7_pii": op7_pii,
