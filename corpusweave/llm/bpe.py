@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 LEAF_CHARS = 8192
 #: Tokens that one call of the leaf decoder gets at most.
 LEAF_TOKENS = 65536
+#: Tokens of one batch of results, about.
+OUT_TOKENS = 1 << 19
 
 # The first character can't share a match with the second: ASCII only, so that no Unicode version matters.
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])|(?<=[0-9])(?=[\x00-\x2f\x3a-\x7f])")
@@ -136,9 +139,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     def run(batches):
         bpe = ByteBPE(path, pattern)
         for b in batches:
-            ids = [bpe.encode(x or "") for x in b.column("__cw_text").to_pylist()]
-            out = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), out, pa.array(map(len, ids), pa.int64())], [*kept, "token_ids", "n_tokens"])
+            ids, at, n = [], 0, 0
+            for i, text in enumerate(b.column("__cw_text"), 1):
+                ids.append(np.array(bpe.encode(text.as_py() or ""), np.int32))
+                n += len(ids[-1])
+                if n >= OUT_TOKENS or i == b.num_rows:
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, i - at) for c in kept), lists, pa.array(np.diff(ends).astype(np.int64))], [*kept, "token_ids", "n_tokens"])
+                    ids, at, n = [], i, 0
 
     return docs.select(*kept, F.col(text_col).alias("__cw_text")).mapInArrow(run, schema)
 
