@@ -25,9 +25,11 @@ from .common import stored
 
 #: Vectors on which trees are fitted, at most; trees; leaves of a tree, about; share of all leaves that a query takes.
 #: Vectors without structure need a large share: in 64 dimensions these give a recall of about 0.95.
-SAMPLE, TREES, LEAVES, SHARE = 16384, 4, 64, 0.25
+SAMPLE, TREES, LEAVES, SHARE = 16384, 4, 64, 0.28
 #: Vectors of one leaf that meet the leaf's queries in one task, about; larger leaves are cut into blocks.
 BLOCK = 8192
+#: Vectors of a leaf, at least.
+LEAST_LEAF = 64
 SEED = 7
 
 
@@ -134,7 +136,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     fitted = classes.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(sample).select("vec").toArrow()["vec"].to_numpy() if n else []
     norm = norm or 1.0
     x = np.stack(fitted) if len(fitted) else np.zeros((1, 1))
-    forest = Forest(_lifted(x, norm), 1 / leaves, trees, seed)
+    forest = Forest(_lifted(x, norm), max(1 / leaves, LEAST_LEAF / max(n, 1)), trees, seed)
     probes, blocks = max(trees, math.ceil(share * forest.leaves)), max(1, math.ceil(n / leaves / block))
     sent = vectors.sparkSession.sparkContext.broadcast(forest)
 
