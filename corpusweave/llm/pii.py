@@ -232,12 +232,12 @@ def redact(text: str, extra: str | None) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with personal data and disclosing terms taken out of the text; same rows, same columns, null text stays null."""
-    extra = stored(_term_spans(docs, id_col, text_col, **how), "extra")
+    extra = stored(_term_spans(docs, id_col, text_col, **how), "extra").withColumnsRenamed({"x_id": "__cw_xid", "x_key": "__cw_xkey", "extra": "__cw_extra"})
     kept = docs.columns
     may = F.coalesce(F.col(text_col).rlike("[@0-9]"), F.lit(False))
     rest = docs.where(~may)
     held = docs.where(may).withColumns({"__cw_id": F.col(id_col).cast("bigint"), "__cw_key": F.sha2(F.col(text_col), 256)})
-    held = held.join(extra, held["__cw_id"].eqNullSafe(extra.x_id) & (held["__cw_key"] == extra.x_key), "left").select(*kept, F.col("extra").alias("__cw_extra"))
+    held = held.join(extra, F.col("__cw_id").eqNullSafe(F.col("__cw_xid")) & (F.col("__cw_key") == F.col("__cw_xkey")), "left").select(*kept, "__cw_extra")
 
     def run(batches):
         for b in batches:

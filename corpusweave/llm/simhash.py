@@ -210,7 +210,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays; of rows with that id, the texts that are it.
 
-    Rows with a null id stay unless their text is another row's.
+    Rows with a null id can't be told apart by it: one row of each of their texts stays, whatever other rows hold.
     """
     found = near_copies(docs, id_col, text_col, **how)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__cw_id")).distinct(), "gone")

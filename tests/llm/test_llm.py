@@ -279,6 +279,28 @@ def test_substring_dedup(spark, docs, edge):
     assert recompress.remove(edge).count() == 6 and recompress.remove(empty(spark)).count() == 0
 
 
+def test_substring_dedup_sql(spark):
+    import duckdb
+
+    d = duckdb.connect()
+    d.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    want = d.sql(queries.oracle_sql()["op10_substring_dedup"]).select(*cols).fetchall()
+    assert rows_of(queries.op10_substring_dedup(spark, SF).select(*cols)) == sorted(map(repr, want))
+
+
+def test_clashing_names(spark):
+    """Columns of docs may have the names that the stages use inside."""
+    names = ["extra", "x_id", "x_key", "term", "entity", "component_id", "fp", "target", "copies", "size", "lang_pred", "score"]
+    text = "write to Zebulon at zeb@mail.com today please"
+    d = spark.createDataFrame([(i, text + f" {i}", "en", "a", 1, *"abcdefghijkl") for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    clean = pii.sanitise(d)
+    assert clean.columns == d.columns and clean.where("contains(text, 'zeb@')").count() == 0 and clean.where("extra = 'a' and x_id = 'b'").count() == 4
+    for out in (langid.keep_known(d, langid.train(d)), simhash.keep_one(d), mix.mix_documents(d)):
+        assert out.columns == d.columns and out.count() >= 1
+    bpe.encode_documents(d, *queries.byte_bpe()).collect()
+
+
 # pipeline
 def test_pipeline(spark, docs):
     import corpus_pipeline
