@@ -69,10 +69,17 @@ def tag_tokens(c: Column, stop=tables.STOP_WORDS) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(words, F.lower), lambda x: (F.octet_length(x) >= 2) & ~x.isin(sorted(stop)))))
 
 
+def roles_of(tokens: Column) -> Column:
+    """Roles that tokens give. The tokens are bound once by a transform, so they aren't worked out again for each role."""
+    def found(t):
+        return F.array_compact(F.array(*(F.when(F.arrays_overlap(t, F.array(*map(F.lit, words))), F.lit(role)) for role, words in tables.ROLES.items())))
+
+    return F.array_sort(F.flatten(F.transform(F.array(tokens), found)))
+
+
 def role_tags(c: Column) -> Column:
     """Roles that the tokens of a path or name give."""
-    t = tag_tokens(c)
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.arrays_overlap(t, F.array(*map(F.lit, words))), F.lit(role)) for role, words in tables.ROLES.items()))))
+    return roles_of(tag_tokens(c))
 
 
 def _matched(low: Column, patterns: dict[str, tuple[str, ...]]) -> Column:

@@ -70,9 +70,9 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, least: int = L
                 for k, c in enumerate(merge_paragraphs((t or "").encode(), least, most, overlap)):
                     rows.append((i, p, at, k, c.decode("utf-8", "ignore"), hashlib.sha256(c).hexdigest()))
             cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "page_number", "at", "k", "content", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.column("id").type, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "page_number", "at", "k", "content", "hash"])
 
-    out = pages.select(F.col("id").cast("bigint").alias("id"), "page_number", "at", "page").mapInArrow(run, "id bigint, page_number bigint, at int, k int, content string, hash string")
+    out = pages.select("id", "page_number", "at", "page").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, page_number bigint, at int, k int, content string, hash string")
     return out.where(text.is_clean(F.col("content"))).withColumnRenamed("id", id_col)
 
 

@@ -76,3 +76,28 @@ def should_ignore(path: Column, is_dir: Column, exclude_dirs=(), exclude_exts=()
     file = F.regexp_extract(low, r"(\.[^./]*)$", 1).isin(*exts) if exts else F.lit(False)
     file = file | (hidden & ~allowed) | base.startswith("~") | base.endswith(".tmp") | base.contains(".tmp.")
     return out | F.when(is_dir, folder).otherwise(file)
+
+
+def fixed_rule(path: str, is_dir: bool, exclude_dirs=(), exclude_exts=(), allow_hidden=()) -> bool:
+    """should_ignore() of one path, for a walk that must not enter ignored folders."""
+    low, base = path.lower(), path.rsplit("/", 1)[-1]
+    if OWN_FOLDER in path or "/migrations/" in low or low.endswith(SUFFIXES):
+        return True
+    hidden = base.startswith(".") and len(base) > 1
+    if is_dir:
+        return base in ("Migrations", "migrations", *exclude_dirs) or hidden and base not in allow_hidden
+    dot = low.rsplit("/", 1)[-1].rfind(".")
+    ext = low.rsplit("/", 1)[-1][dot:] if dot >= 0 else ""
+    allowed = any(f"/{a}/" in f"/{path}" for a in allow_hidden)
+    excluded = ext in ["." + e.lower().lstrip(".") for e in exclude_exts]
+    return excluded or hidden and not allowed or base.startswith("~") or base.endswith(".tmp") or ".tmp." in base
+
+
+def rule_hits(rules: list[Rule], path: str, is_dir: bool) -> bool:
+    """Whether the last matching rule ignores the path; its ancestors aren't asked."""
+    out = path == ".git" or path.endswith("/.git")
+    for r in sorted(rules, key=lambda r: r.order):
+        below = path if not r.base else path[len(r.base) + 1 :] if path.startswith(r.base + "/") else None
+        if below is not None and (is_dir or not r.dir_only) and re.search(r.regex, below):
+            out = not r.negate
+    return out

@@ -33,9 +33,9 @@ def sessions(events: DataFrame, path: str, ts: str, gap_seconds: int) -> DataFra
     return numbered.groupBy(path, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_events"))
 
 
-def start(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
+def start(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", quiet: str = DEBOUNCE):
     """A running query that hands each batch of settled paths to sync(paths, batch_id)."""
-    return debounce(events).writeStream.outputMode("append").foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return debounce(events, quiet=quiet).writeStream.outputMode("append").foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def sync_status(events: DataFrame) -> DataFrame:
