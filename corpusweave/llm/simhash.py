@@ -108,101 +108,165 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # Near copies by similarity.
 
-#: Five-word shingles, the least similarity of two near copies, and words of 64 bits in the fingerprint that verifies it.
-SHINGLE, SIMILAR, WIDE = 5, 0.8, 4
-#: Segments of the fingerprint of words: 16 bits each, so up to 7 differing bits are sure to meet, more are likely to.
-SEGMENTS = 4
+#: Words of a shingle and the least Jaccard index of two near copies.
+SHINGLE, SIMILAR = 5, 0.8
+#: Min-hash signatures of a text and minima in each: two texts at 0.8 share none with a probability of (1 - 0.8^5)^40 = 1.2e-7.
+BANDS, ROWS = 40, 5
+#: Members of a large signature that each of its members is paired with at first, besides its first member.
+BESIDE = 8
 
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
 
-def _far(similar: float, bits: int) -> int:
-    """Bits in which SimHashes of two sets of that Jaccard index differ on average (by the angle of two equally large sets), and half a standard deviation."""
-    p = np.arccos(2 * similar / (1 + similar)) / np.pi
-    return int(np.ceil(bits * p + 0.5 * np.sqrt(bits * p * (1 - p))))
 
-
-def near_fingerprint(text: bytes, width: int = SHINGLE, wide: int = WIDE) -> tuple[int, bytes]:
-    """A 64-bit SimHash of the distinct words, and one of 64 x wide bits of the distinct shingles of `width` words."""
+def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of `width` words (of the whole text if it is shorter); none without words."""
     import xxhash
 
     words = text.lower().split()
-    one = np.fromiter(map(xxhash.xxh64_intdigest, set(words), repeat(42)), np.uint64)
-    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) >= width else {b" ".join(words)}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-    out = []
-    for k in range(wide):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-        out.append(_majority(h ^ (h >> np.uint64(32))))
-    return int(_majority(one)), np.array(out, np.uint64).tobytes()
-
-
-def _linked(sig: np.ndarray, ids: np.ndarray, wide: np.ndarray, far: int, bucket: int):
-    """Links among rows of equal sig (ascending): all pairs of small buckets, a spanning forest of large ones."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def min_signatures(h: np.ndarray) -> np.ndarray:
+    """BANDS signatures, each of ROWS minima over a set of hashes."""
+    low = np.empty(BANDS * ROWS, np.uint64)
+    step = max(1, (1 << 17) // len(h))
+    for k in range(0, len(low), step):
+        low[k : k + step] = ((h ^ _SEEDS[0, k : k + step]) * _SEEDS[1, k : k + step]).min(axis=1)
+    low = low.reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _alike(m: np.ndarray, n: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets of m and n members can have that Jaccard index."""
+    return np.minimum(m, n) >= similar * np.maximum(m, n) - 1e-9
+
+
+def _pairs(sig: np.ndarray, ids: np.ndarray, n: np.ndarray, similar: float, bucket: int):
+    """Pairs of rows of equal sig (ascending): all of small buckets, of large ones those with the first and the BESIDE next."""
     a, b = [], []
     begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(begin, append=len(sig))
-    m = np.repeat(size, size)
+    m, first = np.repeat(size, size), np.repeat(begin, size)
     for k in range(1, min(bucket, int(size.max(initial=1)))):
-        i = np.flatnonzero((sig[k:] == sig[:-k]) & (m[k:] <= bucket))
-        i = i[np.bitwise_count(wide[i] ^ wide[i + k]).sum(axis=1) <= far]
-        a.append(ids[i])
-        b.append(ids[i + k])
-    for s, n in zip(begin[size > bucket], size[size > bucket]):
-        rest, todo = np.arange(s, s + n), []
-        while len(rest):
-            at = todo.pop() if todo else None
-            if at is None:
-                at, rest = rest[0], rest[1:]
-            near = np.bitwise_count(wide[rest] ^ wide[at]).sum(axis=1) <= far
-            got = rest[near]
-            a.append(np.full(len(got), ids[at]))
-            b.append(ids[got])
-            todo += got.tolist()
-            rest = rest[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+        i = np.flatnonzero((sig[k:] == sig[:-k]) & ((m[k:] <= bucket) | (k <= BESIDE)))
+        a.append(i)
+        b.append(i + k)
+    i = np.flatnonzero(m > bucket)
+    a.append(first[i])
+    b.append(i)
+    x, y = np.concatenate(a), np.concatenate(b)
+    ok = _alike(n[x], n[y], similar) & (ids[x] != ids[y])
+    x, y = ids[x[ok]], ids[y[ok]]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+
+
+def _by_signature(rows: DataFrame, columns: list[str], use, schema: str) -> DataFrame:
+    """use(columns of whole signatures, sig ascending) yields arrays of schema; a signature is never cut."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for b in batches:
+            now = [b.column(c).to_numpy() for c in columns]
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last signature may go on
+            if cut:
+                for out in use(*(h[:cut] for h in held)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+                held = [h[cut:] for h in held]
+        if held and len(held[0]):
+            for out in use(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similar: float) -> DataFrame:
+    """Those pairs (a, b) of ids whose sets of shingles have a Jaccard index of `similar` or more, by the sets themselves."""
+
+    def read(batches):
+        for b in batches:
+            sets = [shingle_set(x.as_py()).tobytes() for x in pc.cast(b.column("text"), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "words"])
+
+    def judge(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    own = nodes.select("id", "t1", "t2").join(ids, "id").withColumnRenamed("id", "doc_id")
+    texts = keyed.join(own, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select(F.col("doc_id").alias("id"), "text")
+    sets = stored(texts.mapInArrow(read, "id bigint, words binary"), "sets")
+    x, y = (sets.select(F.col("id").alias(k), F.col("words").alias(w)) for k, w in (("a", "x"), ("b", "y")))
+    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint").distinct(), "links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of documents whose five-word shingles are alike to `similar` or more, chains included.
 
-    The index holds deletion variants of a 64-bit SimHash of the words, which a few changed words hardly move: SEGMENTS
-    segments, each with one of its bits left out. Rows of one signature are verified by a SimHash of the shingles of
-    64 x WIDE bits. Equal texts are one node. Rows of a signature stream through sorted; a signature with many members gives
-    links along a spanning forest, never all pairs. Texts without words, and null, are like none but their equals.
+    Candidates share one of BANDS min-hash signatures of their shingles; each is verified by the exact Jaccard index of the
+    two sets (of 64-bit hashes). Equal texts are one node. A signature of more than `bucket` members gives a few pairs for
+    each member first; then, once what they link is known, all pairs of its members that are still apart, and none is left
+    out. Texts without words, and null, are like none but their equals.
     """
 
     def run(batches):
         for b in batches:
-            f = [near_fingerprint(x.as_py() or b"") for x in pc.cast(b.column("text"), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(np.array([x for x, _ in f], np.uint64).view(np.int64)), pa.array([x for _, x in f], pa.binary())], ["doc_id", "t1", "t2", "fp", "wide"])
+            f = [shingle_set(x.as_py()) for x in pc.cast(b.column("text"), pa.binary())]
+            sigs = [min_signatures(h).view(np.int64) if len(h) else None for h in f]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array([len(h) for h in f], pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "sigs"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
-    rows = stored(keyed.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, fp bigint, wide binary"), "near")
-    nodes = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "nodes")
-    width = 64 // SEGMENTS
-    sig = nodes.where("fp <> 0 and id is not null").select("id", "wide", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
-    part = f"(shiftrightunsigned(fp, w - w % {width}) & {(1 << width) - 1}L)"
-    sig = sig.select(F.expr(f"shiftleft(CAST(w AS BIGINT), {width}) | ({part} & ~shiftleft(1L, w % {width}))").alias("sig"), "id", "wide")
-    far = _far(similar, 64 * WIDE)
-
-    def link(batches):
-        held: list[np.ndarray] = []
-        for b in batches:
-            now = [b.column("sig").to_numpy(), b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            if not len(held[0]):
+    rows = stored(keyed.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, n int, sigs array<bigint>"), "near")
+    nodes = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "nodes")
+    sig = nodes.where("n > 0 and id is not null").select(F.explode("sigs").alias("sig"), "id", "n")
+
+    def near(sig, ids, n):
+        size = np.unique(sig, return_counts=True)[1]
+        large = np.repeat(size, size) > bucket
+        a, b = _pairs(sig, ids, n, similar, bucket)
+        yield a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int32)
+        if large.any():  # members of large signatures, for a second look
+            yield ids[large], np.full(int(large.sum()), -1), sig[large], n[large]
+
+    def apart(sig, ids, n, root):
+        for lo, hi in zip(begin := np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))), [*begin[1:], len(sig)]):
+            if (root[lo:hi] == root[lo]).all():
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last signature may go on
-            x, y = _linked(*(h[:cut] for h in held), far, bucket)
-            held = [h[cut:] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-        if held:
-            x, y = _linked(*held, far, bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sig.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(link, "a bigint, b bigint")
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, hi)
+                j = j[(root[j] != root[i]) & _alike(n[j], n[i], similar)]
+                if len(j):
+                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    found = stored(_by_signature(sig, ["sig", "id", "n"], near, "a bigint, b bigint, sig bigint, n int"), "candidates")
+    is_pair = "n = 0"
+    edges = _verified(stored(found.where(is_pair).select("a", "b").distinct(), "pairs"), nodes, keyed, similar)
     roots = connected_components(edges).select(F.col("node").alias("id"), "root")
+    large = found.where(f"not ({is_pair})").select("sig", F.col("a").alias("id"), "n")
+    if not large.isEmpty():
+        large = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = stored(_by_signature(large, ["sig", "id", "n", "root"], apart, "a bigint, b bigint").distinct(), "apart")
+        if not more.isEmpty():
+            edges = edges.unionByName(_verified(more, nodes, keyed, similar))
+            roots = connected_components(edges).select(F.col("node").alias("id"), "root")
     named = nodes.select("t1", "t2", "id").join(roots, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "t1", "t2").join(stored(named, "named"), ["t1", "t2"]).select("doc_id", "component_id")
 

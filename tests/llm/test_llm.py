@@ -165,6 +165,50 @@ def test_near_copies(spark):
     assert sorted(x["doc_id"] for x in simhash.keep_one(d).collect()) == [0, 3, 4]
 
 
+def jaccard(a, b):
+    x, y = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_near_the_threshold(spark):
+    """Pairs just above 0.8 are all linked and pairs just below never: passages added, and words changed here and there."""
+    r, texts, want = random.Random(8), [], []
+    for k in range(120):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        if k % 2:
+            copy = words + [f"x{r.randint(0, 5000)}" for _ in range(r.randint(60, 90))]
+        else:
+            copy = words[:]
+            for i in r.sample(range(300), r.randint(4, 10)):
+                copy[i] = f"y{r.randint(0, 5000)}"
+        texts += [" ".join(words), " ".join(copy)]
+        want.append(jaccard(*texts[-2:]) >= 0.8)
+    assert 20 < sum(want) < 100
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(d).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(120)] == want and all(got[2 * k] == 2 * k for k in range(120))
+
+
+def test_near_copies_of_large_signatures(spark):
+    """Components equal those of all pairs where signatures have more members than are paired at once."""
+    r, texts = random.Random(9), []
+    for _ in range(3):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(200)]
+        for _ in range(30):
+            copy = words[:]
+            for i in r.sample(range(200), r.randint(0, 5)):
+                copy[i] = f"y{r.randint(0, 5000)}"
+            texts.append(" ".join(copy))
+    near = [[j for j in range(len(texts)) if i == j or jaccard(texts[i], texts[j]) >= 0.8] for i in range(len(texts))]
+    least, old = list(range(len(texts))), None
+    while least != old:
+        old, least = least, [min(least[j] for j in near[i]) for i in range(len(texts))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket in (48, 2):
+        got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(d, bucket=bucket).collect()}
+        assert [got[i] for i in range(len(texts))] == least
+
+
 # 6
 def test_language(spark, docs, edge):
     d = common.documents(spark, "/root/testdata/sf0.01")
