@@ -1,14 +1,18 @@
 """Personal data: base patterns and information-theoretic sanitisation of the terms that give them away.
 
 Base kinds are email, ip, card and phone. Beyond them, a term (a lower-cased word of three letters or more) is judged by
-how strongly it reveals a protected entity. From the whole corpus, joint counts n(term, entity) are taken over windows of
-WINDOW words to each side of each base match, and n(term) over all words of all texts. With N words in all,
-PMI(term; entity) = log(n(term, entity) N / (n(term) n(entity))) is compared with the entity's own information
-IC = log(N / n(entity)). A term with PMI >= GENERALISE x IC that was seen with the entity at least SUPPORT times is
-generalised where it stands beside that entity; at PMI >= REMOVE x IC (it never stands anywhere else) it is removed.
+how strongly it reveals a protected entity. The sample space is the N words of all texts: n(term) of them are the term,
+w(entity) stand in texts that hold the entity, and n(term, entity) are both, wherever in the text they stand. So
+PMI(term; entity) = log(n(term, entity) N / (n(term) w(entity))), and it is compared with the entity's own information
+IC = log(N / w(entity)). A term with PMI >= GENERALISE x IC that its texts hold at least SUPPORT times is generalised
+wherever it stands in a text that holds the entity; at PMI >= REMOVE x IC (no other text has it) it is removed.
 
-Only terms seen SUPPORT times beside one entity need counts over the corpus. Executors pick their words out with a bit map
-of 2^MAP_BITS hashes (a fixed size); an exact join follows, so the map's false hits change nothing.
+Entities that stand in equal texts only are one: so an entity that was seen once has the whole of its text as evidence. All
+entities of a kind are pooled as well, which judges terms that each of their texts holds once; that pool's counts are
+smoothed by PRIOR words of the term spread like all words, so few sightings don't decide.
+
+Executors pick the words of such pairs out with a bit map of 2^MAP_BITS hashes (a fixed size); an exact join follows, so
+the map's false hits change nothing.
 
 Null text counts as empty. Equal rows give equal rows. Positions are in code points, ends exclusive.
 """
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT = 8, 2
+SUPPORT, PRIOR = 2, 1.0
 GENERALISE, REMOVE = 0.95, 1.0
 MAP_BITS = 23
 
@@ -86,52 +90,63 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _beside(text: str, spans: list[tuple[str, int, int]], window: int):
-    """(entity, term, start, end) for the words around each base match that no base match covers."""
-    if not spans:
-        return
-    taken = sorted((s, e) for _, s, e in spans)
-    for kind, s, e in spans:
-        entity = f"{kind}:{re.sub(r'[^0-9A-Za-z@.]', '', text[s:e]).lower()}"
-        reach = 64 * window
-        left = [m for m in _TERM.finditer(text, max(0, s - reach), s)]
-        if left and left[0].start() == max(0, s - reach) > 0:
-            left = left[1:]  # perhaps cut
-        right = []
-        for m in _TERM.finditer(text, e, min(len(text), e + reach)):
-            if m.end() < min(len(text), e + reach) or m.end() == len(text):
-                right.append(m)
-            if len(right) == window:
-                break
-        for m in left[-window:] + right:
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                yield entity, m[0].lower(), m.start(), m.end()
+def _entity(text: str, kind: str, start: int, end: int) -> str:
+    return f"{kind}:{re.sub(r'[^0-9A-Za-z@.]', '', text[start:end]).lower()}"
+
+
+def _marks(text: str, actions: dict[str, str]) -> list[tuple[str, int, int]]:
+    """(action, start, end) of every occurrence of the terms that no base match covers."""
+    taken = sorted((s, e) for _, s, e in base_spans(text))
+    out, k, reach = [], 0, 0  # reach: the furthest end of the base matches that begin before a word's end
+    for m in _TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach, k = max(reach, taken[k][1]), k + 1
+        if m.start() >= reach and (action := actions.get(m[0].lower())):
+            out.append((action, *m.span()))
+    return out
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc_key, entity, term, start, end); a row with a null term for the entity itself."""
+def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_key, copies, words, entities, terms, counts) of each distinct text with a base match: all its entities and terms."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for t in b.column("text"):
                 text = t.as_py()
                 if spans := base_spans(text):
-                    key = hashlib.sha256(text.encode()).hexdigest()
-                    rows += ((i, key, f"{k}:{re.sub(r'[^0-9A-Za-z@.]', '', text[s:e]).lower()}", None, s, e) for k, s, e in spans)
-                    rows += ((i, key, *x) for x in _beside(text, spans, window))
+                    n = Counter(w.lower() for w in _TERM.findall(text))
+                    rows.append((hashlib.sha256(text.encode()).hexdigest(), sum(n.values()), sorted({_entity(text, *x) for x in spans}), list(n), list(n.values())))
             yield pa.RecordBatch.from_pylist([dict(zip(_CONTEXT.names, r)) for r in rows], _CONTEXT)
 
-    return _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).mapInArrow(
-        run, "doc_id bigint, doc_key string, entity string, term string, start bigint, `end` bigint"
+    found = _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).select("text").mapInArrow(
+        run, "doc_key string, words bigint, entities array<string>, terms array<string>, counts array<bigint>"
     )
+    return found.groupBy("doc_key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("words", "entities", "terms", "counts")))
+
+
+_CONTEXT = pa.schema([("doc_key", pa.string()), ("words", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-_CONTEXT = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+def _holders(ctx: DataFrame) -> DataFrame:
+    """(doc_key, entity, w): the entities of each text, with the words of all texts that hold them.
+
+    All entities of one text only are the entity "text:<key>", and all of a kind "kind:<kind>" beside.
+    """
+    size = F.col("words") * F.col("copies")
+    own = stored(ctx.select("doc_key", size.alias("w"), F.explode("entities").alias("entity")), "entities")
+    names = own.groupBy("entity").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    many = own.drop("w").join(names.where("n > 1").drop("n"), "entity").select("doc_key", "entity", "w")
+    one = own.join(names.where("n = 1").select("entity"), "entity").select("doc_key", F.concat(F.lit("text:"), "doc_key").alias("entity"), "w").distinct()
+    kinds = own.select("doc_key", F.concat(F.lit("kind:"), F.substring_index("entity", ":", 1)).alias("entity"), "w").distinct()
+    totals = {r["entity"]: r["w"] for r in kinds.groupBy("entity").agg(F.sum("w").alias("w")).collect()}  # a row a kind
+    if totals:
+        kinds = kinds.withColumn("w", F.create_map(*(F.lit(y) for x in totals.items() for y in x))[F.col("entity")])
+    return many.unionByName(one).unionByName(kinds)
 
 
 def _term_counts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, bits: int) -> DataFrame:
@@ -166,28 +181,39 @@ def _term_counts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
     return _columns(docs, id_col, text_col).select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def revealing(docs: DataFrame, ctx: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
-    """(entity, term, action) of the terms that disclose an entity; action: generalise or remove."""
-    pairs = stored(ctx.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pairs")
-    entities = ctx.where("term is null").groupBy("entity").agg(F.count("*").alias("n_e"))
+def revealing(docs: DataFrame, ctx: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
+    """(entity, term, action) of the terms that disclose an entity of `held` (see _holders); action: generalise or remove."""
+    each = F.explode(F.arrays_zip("terms", "counts")).alias("x")
+    terms = held.select("doc_key", "entity", "w").join(ctx.select("doc_key", "copies", "terms", "counts"), "doc_key").select("entity", "w", "copies", each)
+    pairs = terms.groupBy("entity", F.col("x.terms").alias("term")).agg(F.sum(F.col("x.counts") * F.col("copies")).alias("n_te"), F.first("w").alias("w"))
+    pairs = stored(pairs.where(F.col("n_te") >= support), "pairs")
     counts = stored(_term_counts(docs, id_col, text_col, pairs, bits), "terms")
-    n = counts.where("term is null").agg(F.sum("n")).first()[0] or 1
-    both = pairs.join(counts, "term").join(entities, "entity")
-    ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    # a term can stand in two windows of one entity, so the joint count is held to the term's own
-    pmi = F.log(F.least("n_te", "n") * F.lit(float(n)) / (F.col("n") * F.col("n_e")))
+    n = float(counts.where("term is null").agg(F.sum("n")).first()[0] or 1)
+    both = pairs.join(counts, "term")
+    part = F.col("w") / F.lit(n)
+    prior = F.when(F.col("entity").startswith("kind:"), PRIOR).otherwise(0.0)
+    ic = -F.log(part)
+    pmi = ic + F.log((F.col("n_te") + prior * part) / (F.col("n") + prior))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)
     return both.where(ratio >= generalise).select("entity", "term", F.when(ratio >= remove - 1e-12, "remove").otherwise("generalise").alias("action"))
 
 
 def _term_spans(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """(doc_id, doc_key, extra): the disclosing terms of each document that has any, as text joined like spans."""
+    """(x_key, extra): all occurrences of disclosing terms in each distinct text that has any, as text joined like spans."""
     ctx = stored(contexts(docs, id_col, text_col), "contexts")
-    bad = stored(revealing(docs, ctx, id_col, text_col, **how), "revealing")
-    hit = ctx.where("term is not null").join(bad, ["entity", "term"]).groupBy("doc_id", "doc_key", "start", "end").agg(F.max("action").alias("action"))
-    return hit.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("action", "start", "end"))).alias("x")).select(
-        F.col("doc_id").alias("x_id"), F.col("doc_key").alias("x_key"), F.expr("array_join(transform(x, y -> concat(y.action, ':', y.start, ':', y.`end`)), ',')").alias("extra")
-    )
+    held = stored(_holders(ctx), "holders")
+    bad = stored(revealing(docs, ctx, held, id_col, text_col, **how), "revealing")
+    own = ctx.select("doc_key", F.explode("terms").alias("term"))
+    hit = held.select("doc_key", "entity").join(bad, "entity").join(own, ["doc_key", "term"]).groupBy("doc_key", "term").agg(F.max("action").alias("action"))
+    hit = stored(hit.groupBy("doc_key").agg(F.collect_list("term").alias("terms"), F.collect_list("action").alias("actions")), "hits")
+    text = _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).withColumn("doc_key", F.sha2("text", 256))
+
+    def run(batches):
+        for b in batches:
+            extra = [joined(_marks(t.as_py(), dict(zip(w.as_py(), a.as_py())))) for t, w, a in zip(b.column("text"), b.column("terms"), b.column("actions"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(extra, pa.string())], ["x_key", "extra"])
+
+    return text.join(hit, "doc_key").select("doc_key", "text", "terms", "actions").mapInArrow(run, "x_key string, extra string").where("extra <> ''").dropDuplicates(["x_key"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -211,7 +237,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     rows = _columns(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, key string")
     rows = stored(rows, "base")
     free = rows.where("key is null").withColumn("extra", F.lit(None).cast("string"))
-    held = rows.where("key is not null").join(extra, rows.doc_id.eqNullSafe(extra.x_id) & (rows.key == extra.x_key), "left").drop("x_id", "x_key")
+    held = rows.where("key is not null").join(extra, rows.key == extra.x_key, "left").drop("x_key")
     return free.unionByName(held).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "extra").alias("spans"))
 
 
@@ -232,12 +258,12 @@ def redact(text: str, extra: str | None) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with personal data and disclosing terms taken out of the text; same rows, same columns, null text stays null."""
-    extra = stored(_term_spans(docs, id_col, text_col, **how), "extra").withColumnsRenamed({"x_id": "__cw_xid", "x_key": "__cw_xkey", "extra": "__cw_extra"})
+    extra = stored(_term_spans(docs, id_col, text_col, **how), "extra").withColumnsRenamed({"x_key": "__cw_xkey", "extra": "__cw_extra"})
     kept = docs.columns
     may = F.coalesce(F.col(text_col).rlike("[@0-9]"), F.lit(False))
     rest = docs.where(~may)
-    held = docs.where(may).withColumns({"__cw_id": F.col(id_col).cast("bigint"), "__cw_key": F.sha2(F.col(text_col), 256)})
-    held = held.join(extra, F.col("__cw_id").eqNullSafe(F.col("__cw_xid")) & (F.col("__cw_key") == F.col("__cw_xkey")), "left").select(*kept, "__cw_extra")
+    held = docs.where(may).withColumn("__cw_key", F.sha2(F.col(text_col), 256))
+    held = held.join(extra, F.col("__cw_key") == F.col("__cw_xkey"), "left").select(*kept, "__cw_extra")
 
     def run(batches):
         for b in batches:

@@ -258,6 +258,21 @@ def test_disclosing_terms_go(spark):
     assert not any("Zebulon" in t or "zeb@" in t for t in out) and out[2] == texts[2] and "<EMAIL>" in out[0]
 
 
+def test_terms_of_entities_seen_once(spark):
+    """A name goes wherever its one document has it, far from the address and before it; so do words that only go with a kind."""
+    common_ = "some plain words that every text here has in it and more of them follow"
+    far = " ".join([common_] * 20)
+    texts = [f"Quillon began. {far} write to q1@mail.com soon. {far} Then Quillon and QUILLON left."]
+    texts += [f"{common_} hotline n{k}x@site{k}.org {common_}" for k in range(12)] + [common_ + " again"] * 400
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in pii.sanitise(d).orderBy("doc_id").collect()]
+    assert "quillon" not in out[0].lower() and "<EMAIL>" in out[0] and out[0].count("plain words") == 40
+    assert not any("hotline" in t for t in out) and out[13:] == texts[13:]
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(d).collect()}
+    marked = [texts[0][int(s) : int(e)].lower() for k, s, e in (x.split(":") for x in spans[0].split(",")) if k in ("remove", "generalise")]
+    assert marked.count("quillon") == 3
+
+
 # 8
 def test_nearest(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
