@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets one of its own.
+
+    A cluster without it is an error: a local folder there would be another one on each machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corpusweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,7 +29,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, and has a known size for the planner."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for t in tables:
+        if path := t.__dict__.get("_stored_at"):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -45,9 +61,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     that node's own smallest neighbour. Each step shuffles edges by their ends and keeps one row per distinct edge; no
     adjacency list is ever collected. Ends when every edge points at a root.
     """
-    e = stored(
-        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges"
-    )
+    e = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
     for _ in range(rounds):
         parent = stored(e.groupBy("v").agg(F.min("u").alias("p")), "parents")
         hooked = (
@@ -59,7 +73,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jumped = hooked.join(up, hooked.u == up.at, "left").select("v", F.coalesce("p", "u").alias("u"), F.col("p").isNotNull().alias("moved"))
         jumped = stored(jumped.groupBy("v", "u").agg(F.max("moved").alias("moved")), "edges")
         n, nodes, moved = jumped.agg(F.count("*"), F.count_distinct("v"), F.sum(F.col("moved").cast("int"))).first()
-        e = jumped.select("v", "u")
+        released(e, parent, hooked, up)  # a round needs the edges of the last one only
+        e = jumped
         if n == nodes and not moved:
             break
     else:

@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, released, stored, tidy
 
 #: Fingerprints of a signature that are compared pair by pair.
 BUCKET = 48
 WIDTH = 3
+#: Fingerprints of a sample that tells which signatures are hot, and the share (1 / HOT) of it that makes one so.
+SAMPLE, HOT = 1 << 14, 64
 
 
 def simhash(text: bytes, width: int = WIDTH) -> int:
@@ -61,49 +63,130 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 _SEGMENT = "(CASE WHEN w >= 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END)"
 _OTHER = "(CASE WHEN w >= 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END)"
+_SIGNATURE = f"shiftleft(CAST(w AS BIGINT), 32) | ({_SEGMENT} & ~shiftleft(1L, w % 32))"
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that give distinct fingerprints fp the same components as all pairs within two bits."""
-    keyed = fps.select("fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("w"))
-    keyed = keyed.withColumn("sig", F.expr(f"shiftleft(w, 32) | ({_SEGMENT} & ~shiftleft(1L, CAST(w % 32 AS INT)))")).select("sig", "fp")
-    sizes = keyed.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sizes = stored(sizes, "signatures")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    two = sizes.where("n = 2").where(close).select("a", "b")
-    members = stored(keyed.join(sizes.where("n > 2").select("sig", "n"), "sig"), "members")
-    small = members.where(F.col("n") <= bucket).select("sig", "fp")
-    # a pair is taken where the left-out bit is the one that differs in the segment, or is the segment's first and none differs
-    x = small.select("sig", F.col("fp").alias("a")).join(small.select("sig", F.col("fp").alias("b")), "sig")
-    w = "shiftrightunsigned(sig, 32)"
-    differs = f"(CASE WHEN {w} >= 32 THEN shiftrightunsigned(a ^ b, 32) ELSE (a ^ b) & 4294967295L END)"
-    small = x.where("a < b").where(close).where(f"{differs} = shiftleft(1L, CAST({w} % 32 AS INT)) OR ({differs} = 0 AND {w} % 32 = 0)").select("a", "b")
-    large = members.where(F.col("n") > bucket).select("sig", "fp", F.expr(w).alias("w"))
+def _hot(keyed: DataFrame, n: int) -> list[int]:
+    """Signatures that at least 1 / HOT of a sample of about SAMPLE fingerprints have: at most 64 x HOT of them."""
+    part = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))
+    least = max(BUCKET + 1, min(n, SAMPLE) // HOT)
+    return [r["sig"] for r in part.groupBy(F.expr(_SIGNATURE).alias("sig")).agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()]
+
+
+def _pairs_of(sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within two bits of equal signatures (ascending, whole); each pair under one signature only."""
+    a, b = [], []
+    size = np.diff(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True]))))
+    for k in range(1, int(size.max(initial=1))):
+        i = np.flatnonzero(sig[k:] == sig[:-k])
+        x, y = fp[i], fp[i + k]
+        bit, low = sig[i] >> np.uint64(32), (x ^ y)
+        differs = np.where(bit >= 32, low >> np.uint64(32), low & np.uint64(0xFFFFFFFF))
+        bit = bit % np.uint64(32)
+        # taken where the left-out bit is the one that differs in the segment, or is the segment's first and none differs
+        own = (differs == np.uint64(1) << bit) | ((differs == 0) & (bit == 0))
+        own &= np.bitwise_count(low) <= 2
+        a.append(x[own])
+        b.append(y[own])
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def links(fps: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that give the n distinct fingerprints fp the same components as all pairs within two bits.
+
+    One exchange deals fingerprints out by signature; a task walks its sorted signatures and holds `bucket` members at most.
+    """
+    spark = fps.sparkSession
+    keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
+    hot = _hot(keyed, n)
+    hot_sigs = spark.createDataFrame([(x,) for x in hot], "hot bigint")
+    rest = keyed
+    if hot:  # known beforehand to be large: they need not meet at all
+        rest = keyed.join(F.broadcast(hot_sigs), F.expr(_SIGNATURE) == F.col("hot"), "left_anti")
+
+    def walk(batches):
+        held, large = (np.zeros(0, np.uint64), np.zeros(0, np.uint64)), None
+        for batch in batches:
+            w, fp = batch.column("w").to_numpy().astype(np.uint64), batch.column("fp").to_numpy().view(np.uint64)
+            part = np.where(w >= 32, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))
+            sig = (w << np.uint64(32)) | (part & ~(np.uint64(1) << (w % np.uint64(32))))
+            if large is not None:
+                more = int(np.argmax(np.append(sig != large, True)))
+                yield batch_of(more=(sig[:more], fp[:more]))
+                sig, fp = sig[more:], fp[more:]
+                large = large if not len(sig) else None
+            sig, fp = np.concatenate((held[0], sig)), np.concatenate((held[1], fp))
+            if not len(sig):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            cut = int(new[-1])  # the last signature may go on
+            yield from whole(sig[:cut], fp[:cut])
+            held = (sig[cut:], fp[cut:])
+            if len(held[0]) > bucket:
+                yield batch_of(more=held)
+                large, held = held[0][0], (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        yield from whole(*held)
+
+    def whole(sig: np.ndarray, fp: np.ndarray):
+        if not len(sig):
+            return
+        new = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(new, append=len(sig))
+        many = np.repeat(size > bucket, size)
+        few = np.repeat(size > 1, size) & ~many
+        yield batch_of(_pairs_of(sig[few], fp[few]), (sig[many], fp[many]))
+
+    def batch_of(pairs=None, more=None) -> pa.RecordBatch:
+        a, b = pairs or (np.zeros(0, np.uint64),) * 2
+        sig, fp = more or (np.zeros(0, np.uint64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [len(a), len(sig)])), _signed(np.concatenate((a, sig))), _signed(np.concatenate((b, fp)))], ["large", "a", "b"])
+
+    sig = F.expr(_SIGNATURE)
+    dealt = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), sig).sortWithinPartitions(sig)
+    found = stored(dealt.mapInArrow(walk, "large boolean, a bigint, b bigint"), "signatures")
+    del dealt
+    tidy(spark)
+    two = found.where("not large").select("a", "b")
+    large = found.where("large").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
+    if hot:
+        large = large.unionByName(keyed.join(F.broadcast(hot_sigs), F.expr(_SIGNATURE) == F.col("hot")).select(F.col("hot").alias("sig"), "fp"))
+    large = large.withColumn("w", F.expr("CAST(shiftrightunsigned(sig, 32) AS INT)"))
     one = large.select("fp", "sig", F.expr(_OTHER).alias("o"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
     one = one.select("fp", "sig", F.expr("shiftleft(CAST(i AS BIGINT), 32) | (o & ~shiftleft(1L, i))").alias("key"))
     pairs = F.array(*(F.lit((1 << i) | (1 << j)).cast("bigint") for i in range(32) for j in range(i)))
-    same = large.where("w % 32 = 0").select("fp", F.expr(f"shiftleft(w, 33) | {_SEGMENT}").alias("sig"), F.expr(_OTHER).alias("o"), F.explode(pairs).alias("m"))
+    same = large.where("w % 32 = 0").select("fp", F.expr(f"shiftleft(CAST(w AS BIGINT), 33) | {_SEGMENT}").alias("sig"), F.expr(_OTHER).alias("o"), F.explode(pairs).alias("m"))
     same = same.select("fp", F.expr("-1L - sig").alias("sig"), F.expr("shiftleft(m, 0) | 0L").alias("m"), F.expr("o & ~m").alias("o"))
 
     def star(df: DataFrame, *key: str) -> DataFrame:
         least = df.groupBy(*key).agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select(*key, "a")
         return df.join(least, list(key)).where("fp <> a").select("a", F.col("fp").alias("b"))
 
-    return two.unionByName(small).unionByName(star(one, "sig", "key")).unionByName(star(same, "sig", "m", "o"))
+    return two.unionByName(star(one, "sig", "key")).unionByName(star(same, "sig", "m", "o"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of two or fewer differing bits reach.
 
     No rows give no rows; rows of an equal doc_id each keep a row; a null doc_id is never a component's id unless all are null.
+    Null and empty texts have the fingerprint zero; a text of any length is one row and costs eight bytes a shingle of its own.
+    Columns of docs besides the two are not looked at, so their names may clash with anything.
     """
+    spark = docs.sparkSession
     fp = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
-    named = stored(stored(named.select("fp", "root"), "roots").join(ids, "root").select("fp", "component_id"), "named")
-    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    edges = stored(links(nodes.select("fp"), nodes.count(), bucket), "links")
+    tidy(spark)
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
+    named = stored(nodes.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    last = stored(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "named")
+    released(edges, nodes, named)
+    return fp.join(last, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near copies by similarity.

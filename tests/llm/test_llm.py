@@ -147,6 +147,37 @@ def test_simhash_components(spark, docs, edge):
     assert e[1, "0" * 16] == 1 == e[2, "0" * 16] == e[5, "0" * 16] and simhash.components(empty(spark)).count() == 0
 
 
+def brute_components(fp, near):
+    least, old = list(range(len(fp))), None
+    while least != old:
+        old, least = least, [min(least[j] for j in range(len(fp)) if near(fp[i], fp[j])) for i in range(len(fp))]
+    return least
+
+
+def test_links_of_hot_signatures(spark):
+    """Fingerprints around a few centres: their signatures are hot, large or small by the bucket, and components stay those of all pairs."""
+    r = random.Random(11)
+    fp = {r.getrandbits(64) for _ in range(60)}
+    for centre in (r.getrandbits(64), r.getrandbits(64)):
+        for _ in range(150):
+            x = centre
+            for _ in range(r.randint(0, 4)):
+                x ^= 1 << r.choice([1, 5, 30, 31, 32, 40, 63, r.randrange(64)])
+            fp.add(x)
+    fp = sorted(fp)
+    want = brute_components(fp, lambda x, y: (x ^ y).bit_count() <= 2)
+    d = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fp], "fp bigint")
+    for bucket in (48, 3):
+        edges = simhash.links(d, len(fp), bucket).collect()
+        root = list(range(len(fp)))
+        at = {x - (1 << 64) if x >> 63 else x: i for i, x in enumerate(fp)}
+        assert all((fp[at[e["a"]]] ^ fp[at[e["b"]]]).bit_count() <= 2 for e in edges)
+        for _ in range(len(fp)):
+            for e in edges:
+                root[at[e["a"]]] = root[at[e["b"]]] = min(root[at[e["a"]]], root[at[e["b"]]])
+        assert root == want
+
+
 def test_simhash_definition():
     import xxhash
 
