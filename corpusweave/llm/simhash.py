@@ -193,12 +193,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Words of a shingle and the least Jaccard index of two near copies.
 SHINGLE, SIMILAR = 5, 0.8
-#: Min-hash signatures of a text and minima in each: two texts at 0.8 share none with a probability of (1 - 0.8^5)^40 = 1.2e-7.
-BANDS, ROWS = 40, 5
-#: Members of a large signature that each of its members is paired with at first, besides its first member.
-BESIDE = 8
+#: Segments of a text's min-hash fingerprint and minima of each. Two texts at 0.8 agree in all but one minimum of a segment with a
+#: probability of 0.8^5 + 5 x 0.2 x 0.8^4 = 0.737, so in none of the segments with one of 4e-7.
+SEGMENTS, MINIMA = 11, 5
+#: Rows that are broadcast at most to pick texts out; beyond that they meet by an exchange.
+BROADCAST = 200_000
+#: Slots of the table of shingle counts.
+SLOTS = 1 << 20
 
-_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, SEGMENTS * MINIMA, 1), np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -212,146 +215,225 @@ def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
 
 
-def min_signatures(h: np.ndarray) -> np.ndarray:
-    """BANDS signatures, each of ROWS minima over a set of hashes."""
-    low = np.empty(BANDS * ROWS, np.uint64)
+def deletion_signatures(h: np.ndarray) -> np.ndarray:
+    """For each segment of the min-hash fingerprint of a set of hashes, its variants with one minimum left out."""
+    low = np.empty(SEGMENTS * MINIMA, np.uint64)
     step = max(1, (1 << 17) // len(h))
     for k in range(0, len(low), step):
         low[k : k + step] = ((h ^ _SEEDS[0, k : k + step]) * _SEEDS[1, k : k + step]).min(axis=1)
-    low = low.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = (out ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
+    low = low.reshape(SEGMENTS, MINIMA)
+    out = np.arange(1, SEGMENTS * MINIMA + 1, dtype=np.uint64).reshape(SEGMENTS, MINIMA)
+    for k in range(MINIMA):
+        left_out = np.arange(MINIMA) == k
+        more = (out ^ low[:, k : k + 1]) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.where(left_out, out, more ^ (more >> np.uint64(29)))
+    return out.ravel()
 
-def _alike(m: np.ndarray, n: np.ndarray, similar: float) -> np.ndarray:
-    """Whether sets of m and n members can have that Jaccard index."""
-    return np.minimum(m, n) >= similar * np.maximum(m, n) - 1e-9
 
+_ALIKE = "least(n, m) >= {s} * greatest(n, m) - 1e-9"
 
-def _pairs(sig: np.ndarray, ids: np.ndarray, n: np.ndarray, similar: float, bucket: int):
-    """Pairs of rows of equal sig (ascending): all of small buckets, of large ones those with the first and the BESIDE next."""
-    a, b = [], []
-    begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(begin, append=len(sig))
-    m, first = np.repeat(size, size), np.repeat(begin, size)
-    for k in range(1, min(bucket, int(size.max(initial=1)))):
-        i = np.flatnonzero((sig[k:] == sig[:-k]) & ((m[k:] <= bucket) | (k <= BESIDE)))
-        a.append(i)
-        b.append(i + k)
-    i = np.flatnonzero(m > bucket)
-    a.append(first[i])
-    b.append(i)
-    x, y = np.concatenate(a), np.concatenate(b)
-    ok = _alike(n[x], n[y], similar) & (ids[x] != ids[y])
-    x, y = ids[x[ok]], ids[y[ok]]
-    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-
-
-def _by_signature(rows: DataFrame, columns: list[str], use, schema: str) -> DataFrame:
-    """use(columns of whole signatures, sig ascending) yields arrays of schema; a signature is never cut."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        for b in batches:
-            now = [b.column(c).to_numpy() for c in columns]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            if not len(held[0]):
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last signature may go on
-            if cut:
-                for out in use(*(h[:cut] for h in held)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-                held = [h[cut:] for h in held]
-        if held and len(held[0]):
-            for out in use(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*columns).repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(run, schema)
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) of ids whose sets of shingles have a Jaccard index of `similar` or more, by the sets themselves."""
-
-    def read(batches):
-        for b in batches:
-            sets = [shingle_set(x.as_py()).tobytes() for x in pc.cast(b.column("text"), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "words"])
+def _meet(batches, similar: float, bucket: int):
+    """Of (sig, id, n) sorted by sig and id: each member with the first and the previous one of its signature, and members of those over 3.
 
-    def judge(batches):
+    Yields (member, x, y, n): pairs (False, a, b, 0) and members (True, sig, id, n). Holds `bucket` rows and a batch at most.
+    """
+    held, large = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)], None
+
+    def out(sig, ids, n, first, before, again):
+        ok, pairs = [], []
+        for i in (first, before):
+            near = np.minimum(n, n[i]) >= similar * np.maximum(n, n[i]) - 1e-9
+            near &= (ids != ids[i]) & ((i != first) | (i is first))
+            pairs.append(np.stack([np.minimum(ids, ids[i]), np.maximum(ids, ids[i])])[:, near])
+        x, y = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(ids) else np.zeros((2, 0), np.int64)
+        member = np.repeat([False, True], [len(x), int(again.sum())])
+        return pa.RecordBatch.from_arrays([pa.array(member), pa.array(np.concatenate((x, sig[again]))), pa.array(np.concatenate((y, ids[again]))), pa.array(np.concatenate((np.zeros(len(x), np.int32), n[again])))], ["member", "x", "y", "n"])
+
+    def whole(sig, ids, n):
+        begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(begin, append=len(sig))
+        some = np.repeat(size > 1, size)
+        first, at = np.repeat(begin, size)[some], np.flatnonzero(some)
+        sig, ids, n, more = sig[some], ids[some], n[some], np.repeat(size > 3, size)[some]
+        back = np.cumsum(some) - 1
+        first = back[first]
+        return out(sig, ids, n, first, np.maximum(first, np.arange(len(at)) - 1), more)
+
+    for b in batches:
+        now = [b.column(c).to_numpy() for c in ("sig", "id", "n")]
+        if large is not None:  # its first and its last row so far stand before what follows
+            k = int(np.argmax(np.append(now[0] != large[0][0], True)))
+            part = [np.concatenate((x, y[:k])) for x, y in zip(large, now)]
+            if k:
+                at = np.arange(len(part[0]))
+                again = at > 1
+                yield out(*part, np.zeros(len(at), np.int64), np.maximum(0, at - 1), again)
+                large = [np.concatenate((x[:1], x[-1:])) for x in part]
+            now = [x[k:] for x in now]
+            large = large if not len(now[0]) else None
+        held = [np.concatenate(x) for x in zip(held, now)]
+        if not len(held[0]):
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last signature may go on
+        if cut:
+            yield whole(*(x[:cut] for x in held))
+        held = [x[cut:] for x in held]
+        if len(held[0]) > bucket:
+            yield whole(*held)
+            large = [np.concatenate((x[:1], x[-1:])) for x in held]
+            held = [x[:0] for x in held]
+    if len(held[0]):
+        yield whole(*held)
+
+
+class _Texts:
+    """The shingle sets of single documents, read from the texts of docs when they are asked for."""
+
+    def __init__(self, keyed: DataFrame, nodes: DataFrame, similar: float):
+        self.keyed, self.nodes, self.similar = keyed, nodes, similar
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, words array<bigint>) of the ids given, each once."""
+
+        def read(batches):
+            for b in batches:
+                sets = [shingle_set(x.as_py()).view(np.int64) for x in pc.cast(b.column("text"), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
+
+        own = stored(self.nodes.select("id", "t1", "t2").join(ids, "id").withColumnRenamed("id", "doc_id"), "asked")
+        side = F.broadcast(own) if own.count() <= BROADCAST else own
+        texts = self.keyed.join(side, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select(F.col("doc_id").alias("id"), "text")
+        out = stored(texts.mapInArrow(read, "id bigint, words array<bigint>"), "sets")
+        released(own)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of ids whose sets have a Jaccard index of `similar` or more, by the sets themselves."""
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        x, y = (sets.select(F.col("id").alias(k), F.col("words").alias(w)) for k, w in (("a", "x"), ("b", "y")))
+        both = F.size(F.array_intersect("x", "y"))
+        close = both >= self.similar * (F.size("x") + F.size("y") - both) - 1e-9
+        out = stored(pairs.join(y, "b").join(x, "a").where(close).select("a", "b"), "links")
+        released(sets)
+        tidy(pairs.sparkSession)
+        return out
+
+
+def _by_rare_shingles(members: DataFrame, texts: _Texts) -> DataFrame:
+    """Pairs (a, b) of unlike roots among members (id, n, root) that may be alike: all of them, by the prefix filter.
+
+    Two sets with a Jaccard index of s or more share one of the first |x| - ceil(s |x|) + 1 elements of each in any one order;
+    the order is by count, rarest first, so texts that only have what many have in common do not meet.
+    """
+    spark, similar = members.sparkSession, texts.similar
+    members = stored(members.dropDuplicates(["id"]), "members")
+    sets = texts.sets(members.select("id"))
+    got = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(SLOTS)).alias("k")).agg(F.count("*").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got["k"].to_numpy()] = got["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
+
+    def prefix(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = nodes.select("id", "t1", "t2").join(ids, "id").withColumnRenamed("id", "doc_id")
-    texts = keyed.join(own, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select(F.col("doc_id").alias("id"), "text")
-    sets = stored(texts.mapInArrow(read, "id bigint, words binary"), "sets")
-    x, y = (sets.select(F.col("id").alias(k), F.col("words").alias(w)) for k, w in (("a", "x"), ("b", "y")))
-    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint").distinct(), "links")
+            for i, words in zip(b.column("id"), b.column("words")):
+                w = words.values.to_numpy()
+                k = len(w) - int(np.ceil(similar * len(w) - 1e-9)) + 1
+                w = w[np.lexsort((w, sent.value[w % SLOTS]))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i.as_py(), np.int64)), pa.array(w)], ["id", "w"])
+
+    rare = stored(sets.mapInArrow(prefix, "id bigint, w bigint").join(members, "id"), "prefixes")
+    mixed = rare.groupBy("w").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("w")
+    rare = stored(rare.join(mixed, "w").select("w", "id", "n", "root"), "mixed")
+    other = rare.select("w", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    out = stored(rare.join(other, "w").where("id < b and root <> other").where(_ALIKE.format(s=similar)).select(F.col("id").alias("a"), "b").distinct(), "rare")
+    released(members, sets)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of documents whose five-word shingles are alike to `similar` or more, chains included.
 
-    Candidates share one of BANDS min-hash signatures of their shingles; each is verified by the exact Jaccard index of the
-    two sets (of 64-bit hashes). Equal texts are one node. A signature of more than `bucket` members gives a few pairs for
-    each member first; then, once what they link is known, all pairs of its members that are still apart, and none is left
-    out. Texts without words, and null, are like none but their equals.
+    Deletion-variant signatures as above, but of a min-hash fingerprint: SimHash bits of two texts at 0.8 differ in about ten
+    places of 64, too many for two segments. A fingerprint is SEGMENTS segments of MINIMA minima; each is indexed under its
+    variants with one minimum left out, equal signatures meet, and every candidate is verified by the exact Jaccard index of
+    the two sets (of 64-bit hashes). Equal texts are one node. Members of a signature first meet its first member and their
+    neighbour only; then, once what these link is known, pairs that are still apart: all of them in signatures of up to
+    `bucket` members, and in larger ones a member of each signature's own choice, and at last all by their rare shingles.
+    So copies make no pairs, and unlike texts of one signature none but those that share something rare.
+
+    Texts without words, and null, are like none but their equals. Null ids take no part unless an equal text has an id.
     """
+    spark = docs.sparkSession
 
     def run(batches):
         for b in batches:
             f = [shingle_set(x.as_py()) for x in pc.cast(b.column("text"), pa.binary())]
-            sigs = [min_signatures(h).view(np.int64) if len(h) else None for h in f]
+            sigs = [deletion_signatures(h).view(np.int64) if len(h) else None for h in f]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array([len(h) for h in f], pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "sigs"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
     rows = stored(keyed.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, n int, sigs array<bigint>"), "near")
     nodes = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "nodes")
-    sig = nodes.where("n > 0 and id is not null").select(F.explode("sigs").alias("sig"), "id", "n")
-
-    def near(sig, ids, n):
-        size = np.unique(sig, return_counts=True)[1]
-        large = np.repeat(size, size) > bucket
-        a, b = _pairs(sig, ids, n, similar, bucket)
-        yield a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int32)
-        if large.any():  # members of large signatures, for a second look
-            yield ids[large], np.full(int(large.sum()), -1), sig[large], n[large]
-
-    def apart(sig, ids, n, root):
-        for lo, hi in zip(begin := np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))), [*begin[1:], len(sig)]):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[(root[j] != root[i]) & _alike(n[j], n[i], similar)]
-                if len(j):
-                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-
-    found = stored(_by_signature(sig, ["sig", "id", "n"], near, "a bigint, b bigint, sig bigint, n int"), "candidates")
-    is_pair = "n = 0"
-    edges = _verified(stored(found.where(is_pair).select("a", "b").distinct(), "pairs"), nodes, keyed, similar)
-    roots = connected_components(edges).select(F.col("node").alias("id"), "root")
-    large = found.where(f"not ({is_pair})").select("sig", F.col("a").alias("id"), "n")
-    if not large.isEmpty():
-        large = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        more = stored(_by_signature(large, ["sig", "id", "n", "root"], apart, "a bigint, b bigint").distinct(), "apart")
-        if not more.isEmpty():
-            edges = edges.unionByName(_verified(more, nodes, keyed, similar))
-            roots = connected_components(edges).select(F.col("node").alias("id"), "root")
-    named = nodes.select("t1", "t2", "id").join(roots, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("component_id"))
-    return rows.select("doc_id", "t1", "t2").join(stored(named, "named"), ["t1", "t2"]).select("doc_id", "component_id")
+    tidy(spark)
+    texts = _Texts(keyed, nodes, similar)
+    used = nodes.where("n > 0 and id is not null").select("id", "n", "sigs")
+    # signatures that a share of a sample has are known beforehand to be large: their members need not meet in one task
+    n = nodes.count()
+    part = used.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).select(F.explode("sigs").alias("sig"))
+    hot = [(r["sig"],) for r in part.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(bucket + 1, min(n, SAMPLE) // HOT)).collect()]  # at most 55 x HOT
+    sig = used.select(F.explode("sigs").alias("sig"), "id", "n")
+    rest = sig
+    if hot:
+        hot_sigs = F.broadcast(spark.createDataFrame(hot, "sig bigint"))
+        rest = sig.join(hot_sigs, "sig", "left_anti")
+    dealt = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig", "id")
+    found = stored(dealt.mapInArrow(lambda batches: _meet(batches, similar, bucket), "member boolean, x bigint, y bigint, n int"), "candidates")
+    del dealt
+    tidy(spark)
+    pairs = found.where("not member").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members = found.where("member").select(F.col("x").alias("sig"), F.col("y").alias("id"), "n")
+    if hot:
+        own = stored(sig.join(hot_sigs, "sig"), "hot")
+        first = own.groupBy("sig").agg(F.min_by(F.struct("id", "n"), "id").alias("f"))  # a row for each hot signature
+        star = own.join(F.broadcast(first), "sig").select(F.col("f.id").alias("a"), F.col("f.n").alias("m"), F.col("id").alias("b"), "n")
+        pairs = pairs.unionByName(star.where("a < b").where(_ALIKE.format(s=similar)).select("a", "b"))
+        members = members.unionByName(own)
+
+    edges = texts.verified(stored(pairs.distinct(), "pairs"))
+    roots = stored(_roots(edges), "roots")
+
+    def apart() -> DataFrame:
+        """(sig, id, n, root, size) of the members of signatures with more than one root."""
+        m = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = m.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("sig", "size")
+        return stored(m.join(mixed, "sig").select("sig", "id", "n", "root", "size"), "apart")
+
+    m = apart()
+    if not m.isEmpty():
+        small, big = m.where(F.col("size") <= bucket), m.where(F.col("size") > bucket)
+        other = small.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+        more = small.join(other, "sig").where("id < b and root <> other").where(_ALIKE.format(s=similar)).select(F.col("id").alias("a"), "b")
+        chosen = big.groupBy("sig").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("sig", "id")).alias("f"))
+        by = big.join(chosen, "sig").where("root <> f.root").select(F.least("id", "f.id").alias("a"), F.greatest("id", "f.id").alias("b"), "n", F.col("f.n").alias("m"))
+        more = stored(more.union(by.where(_ALIKE.format(s=similar)).select("a", "b")).distinct(), "pairs")
+        edges = edges.unionByName(texts.verified(more))
+        roots = stored(_roots(edges), "roots")
+        if not big.isEmpty():
+            big = apart().where(F.col("size") > bucket)
+            if not big.isEmpty():
+                more = _by_rare_shingles(big.select("id", "n", "root"), texts)
+                edges = edges.unionByName(texts.verified(more))
+                roots = stored(_roots(edges), "roots")
+    named = stored(nodes.select("t1", "t2", "id").join(roots, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("component_id")), "named")
+    ids = stored(rows.select("doc_id", "t1", "t2"), "ids")
+    released(rows, nodes, found)
+    return ids.join(named, ["t1", "t2"]).select("doc_id", "component_id")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return connected_components(edges).select(F.col("node").alias("id"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -240,6 +240,22 @@ def test_near_copies_of_large_signatures(spark):
         assert [got[i] for i in range(len(texts))] == least
 
 
+def test_unlike_texts_of_one_signature(spark, monkeypatch):
+    """Texts that share three fifths of a template: none are linked, and what is verified grows with their number, not its square."""
+    r, seen = random.Random(12), []
+    verified = simhash._Texts.verified
+    monkeypatch.setattr(simhash._Texts, "verified", lambda self, pairs: seen.append(pairs.count()) or verified(self, pairs))
+    template, work = [f"w{r.randint(0, 5000)}" for _ in range(150)], {}
+    for n in (100, 300):
+        texts = [" ".join(template + [f"x{k}y{r.randint(0, 99999)}" for _ in range(40)]) for k in range(n)]
+        assert 0.6 < jaccard(texts[0], texts[1]) < 0.8
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        seen.clear()
+        assert simhash.near_copies(d, bucket=8).where("doc_id <> component_id").isEmpty()
+        work[n] = sum(seen)
+    assert work[300] < 3 * 1.5 * work[100] < 300 * 299 / 2
+
+
 # 6
 def test_language(spark, docs, edge):
     d = common.documents(spark, "/root/testdata/sf0.01")
