@@ -1,26 +1,31 @@
 """Personal data: base patterns and information-theoretic sanitisation of the terms that give them away.
 
 Base kinds are email, ip, card and phone. Beyond them, a term (a lower-cased word of three letters or more) is judged by
-how strongly it reveals a protected entity. The sample space is the N words of all texts: n(term) of them are the term,
-w(entity) stand in texts that hold the entity, and n(term, entity) are both, wherever in the text they stand. So
-PMI(term; entity) = log(n(term, entity) N / (n(term) w(entity))), and it is compared with the entity's own information
-IC = log(N / w(entity)). A term with PMI >= GENERALISE x IC that its texts hold at least SUPPORT times is generalised
-wherever it stands in a text that holds the entity; at PMI >= REMOVE x IC (no other text has it) it is removed.
-
-Entities that stand in equal texts only are one: so an entity that was seen once has the whole of its text as evidence. All
-entities of a kind are pooled as well, which judges terms that each of their texts holds once; that pool's counts are
-smoothed by PRIOR words of the term spread like all words, so few sightings don't decide.
+how strongly it reveals a protected entity. The sample space is the N words of all distinct texts (copies count once):
+n(term) of them are the term, w(entity) stand in texts that hold the entity, and n(term, entity) are both, wherever in the
+text they stand. So PMI(term; entity) = log(n(term, entity) N / (n(term) w(entity))), and it is compared with the entity's
+own information IC = log(N / w(entity)). A term with PMI >= GENERALISE x IC is generalised wherever it stands in a text that
+holds the entity; at PMI >= REMOVE x IC (no other text has it) it is removed.
+
+One sighting is no evidence: the texts must hold the term after two different words and before two different words, so what
+near copies of one sentence repeat doesn't count. Entities that stand in the same texts are one class, so an entity that was
+seen once has the whole of its text as evidence. All entities of a kind are pooled as well, which judges terms that each of
+their texts may hold once, in the same phrase too, but beside two different entities; that pool's counts are smoothed by
+PRIOR words of the term spread like all words.
 
 Executors pick the words of such pairs out with a bit map of 2^MAP_BITS hashes (a fixed size); an exact join follows, so
 the map's false hits change nothing.
 
-Null text counts as empty. Equal rows give equal rows. Positions are in code points, ends exclusive.
+Null text counts as empty and an empty text has no spans; equal rows give equal rows, whatever their ids; no rows give no
+rows. A text of any length is one row; its work grows with its length and not with the square of its matches. Where marks
+overlap, the one that starts first (of these the longest) is replaced. Extra columns of docs may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from itertools import repeat
 
@@ -29,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, PRIOR = 2, 1.0
+PRIOR = 1.0
 GENERALISE, REMOVE = 0.95, 1.0
 MAP_BITS = 23
+#: Texts that occur more than once, by their keys, that are broadcast at most; beyond that they meet by an exchange.
+BROADCAST = 200_000
 
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -110,8 +117,44 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_key, copies, words, entities, terms, counts) of each distinct text with a base match: all its entities and terms."""
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text) of docs, each once. Only texts that occur more than once are shuffled, as long as their keys are few."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(t.alias("text"), F.xxhash64(t).alias("t1"), F.xxhash64(t, F.lit(1)).alias("t2"))
+    often = stored(keyed.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2"), "copied")
+    side = F.broadcast(often) if often.count() <= BROADCAST else often
+    once = keyed.join(side, ["t1", "t2"], "left_anti")
+    return once.unionByName(keyed.join(side, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])).select("text")
+
+
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode()) if word else -1
+
+
+def _words(text: str) -> dict[str, list[int]]:
+    """By term: how often it stands in the text, and the least and largest hash of the words before it and after it (-1: none)."""
+    found = [w.lower() for w in _TERM.findall(text)]
+    h = [_hash(w) for w in found]
+    out: dict[str, list[int]] = {}
+    for w, p, q in zip(found, [-1, *h], [*h[1:], -1]):
+        x = out.get(w)
+        if x is None:
+            out[w] = [1, p, p, q, q]
+        else:
+            x[0] += 1
+            x[1], x[2], x[3], x[4] = min(x[1], p), max(x[2], p), min(x[3], q), max(x[4], q)
+    return out
+
+
+_TERMS = "array<struct<term:string,n:bigint,p0:bigint,p1:bigint,q0:bigint,q1:bigint>>"
+_CONTEXT = pa.schema([
+    ("doc_key", pa.string()), ("words", pa.int64()), ("entities", pa.list_(pa.string())),
+    ("terms", pa.list_(pa.struct([("term", pa.string()), *((c, pa.int64()) for c in ("n", "p0", "p1", "q0", "q1"))]))),
+])
+
+
+def contexts(texts: DataFrame) -> DataFrame:
+    """(doc_key, words, entities, terms) of each of the distinct texts with a base match: all its entities, and its terms with what stands beside them."""
 
     def run(batches):
         for b in batches:
@@ -119,38 +162,35 @@ def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for t in b.column("text"):
                 text = t.as_py()
                 if spans := base_spans(text):
-                    n = Counter(w.lower() for w in _TERM.findall(text))
-                    rows.append((hashlib.sha256(text.encode()).hexdigest(), sum(n.values()), sorted({_entity(text, *x) for x in spans}), list(n), list(n.values())))
-            yield pa.RecordBatch.from_pylist([dict(zip(_CONTEXT.names, r)) for r in rows], _CONTEXT)
-
-    found = _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).select("text").mapInArrow(
-        run, "doc_key string, words bigint, entities array<string>, terms array<string>, counts array<bigint>"
-    )
-    return found.groupBy("doc_key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("words", "entities", "terms", "counts")))
-
+                    terms = _words(text)
+                    rows.append({
+                        "doc_key": hashlib.sha256(text.encode()).hexdigest(), "words": sum(x[0] for x in terms.values()), "entities": sorted({_entity(text, *x) for x in spans}),
+                        "terms": [dict(zip(("term", "n", "p0", "p1", "q0", "q1"), (w, *x))) for w, x in terms.items()],
+                    })
+            yield pa.RecordBatch.from_pylist(rows, _CONTEXT)
 
-_CONTEXT = pa.schema([("doc_key", pa.string()), ("words", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    return texts.where(F.col("text").rlike("[@0-9]")).mapInArrow(run, f"doc_key string, words bigint, entities array<string>, terms {_TERMS}")
 
 
 def _holders(ctx: DataFrame) -> DataFrame:
-    """(doc_key, entity, w): the entities of each text, with the words of all texts that hold them.
+    """(doc_key, entity, w, mark): the entities of each text, with the words of all texts that hold them.
 
-    All entities of one text only are the entity "text:<key>", and all of a kind "kind:<kind>" beside.
+    Entities of the same texts are one, named by their number and hashes; all of a kind are "kind:<kind>" beside, where mark
+    tells the text's own entities of the kind from others.
     """
-    size = F.col("words") * F.col("copies")
-    own = stored(ctx.select("doc_key", size.alias("w"), F.explode("entities").alias("entity")), "entities")
-    names = own.groupBy("entity").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    many = own.drop("w").join(names.where("n > 1").drop("n"), "entity").select("doc_key", "entity", "w")
-    one = own.join(names.where("n = 1").select("entity"), "entity").select("doc_key", F.concat(F.lit("text:"), "doc_key").alias("entity"), "w").distinct()
-    kinds = own.select("doc_key", F.concat(F.lit("kind:"), F.substring_index("entity", ":", 1)).alias("entity"), "w").distinct()
-    totals = {r["entity"]: r["w"] for r in kinds.groupBy("entity").agg(F.sum("w").alias("w")).collect()}  # a row a kind
+    own = stored(ctx.select("doc_key", F.col("words").alias("w"), F.explode("entities").alias("entity")), "entities")
+    names = own.groupBy("entity").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_key))").alias("x1"), F.expr("bit_xor(xxhash64(doc_key, 1))").alias("x2"))
+    named = names.select("entity", F.concat_ws(":", F.lit("set"), "n", F.hex("x1"), F.hex("x2")).alias("name"), "w")
+    sets = own.drop("w").join(named, "entity").select("doc_key", F.col("name").alias("entity"), "w", F.lit(0).cast("bigint").alias("mark")).distinct()
+    kinds = own.groupBy("doc_key", "w", F.concat(F.lit("kind:"), F.substring_index("entity", ":", 1)).alias("kind")).agg(F.expr("bit_xor(xxhash64(entity))").alias("mark"))
+    totals = {r["kind"]: r["w"] for r in kinds.groupBy("kind").agg(F.sum("w").alias("w")).collect()}  # a row a kind
     if totals:
-        kinds = kinds.withColumn("w", F.create_map(*(F.lit(y) for x in totals.items() for y in x))[F.col("entity")])
-    return many.unionByName(one).unionByName(kinds)
+        kinds = kinds.withColumn("w", F.create_map(*(F.lit(y) for x in totals.items() for y in x))[F.col("kind")])
+    return sets.unionByName(kinds.withColumnRenamed("kind", "entity"))
 
 
-def _term_counts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """(term, n) over all texts, for a superset of the wanted terms; n of the null term is the number of all words."""
+def _term_counts(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """(term, n) over the distinct texts, for a superset of the wanted terms; n of the null term is the number of all words."""
     at = F.pmod(F.xxhash64("term"), F.lit(1 << bits))
     maps = wanted.select("term").distinct().select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
     size = (1 << bits) // 8
@@ -158,7 +198,7 @@ def _term_counts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
     for r in maps.collect():  # 2^bits bits in all, whatever the input; hash 0 is a bucket of its own
         lo = (r["b"] - 1) * 4096 if r["b"] > 0 else size
         whole[lo : lo + len(r["m"])] = r["m"]
-    sent = docs.sparkSession.sparkContext.broadcast(bytes(whole))
+    sent = texts.sparkSession.sparkContext.broadcast(bytes(whole))
 
     def run(batches):
         import xxhash
@@ -178,20 +218,21 @@ def _term_counts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
             picked = [words[i] for i in np.nonzero(hit)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([*picked, None], pa.string()), pa.array([*(seen[w] for w in picked), sum(seen.values())], pa.int64())], ["term", "n"])
 
-    return _columns(docs, id_col, text_col).select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def revealing(docs: DataFrame, ctx: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
+def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
     """(entity, term, action) of the terms that disclose an entity of `held` (see _holders); action: generalise or remove."""
-    each = F.explode(F.arrays_zip("terms", "counts")).alias("x")
-    terms = held.select("doc_key", "entity", "w").join(ctx.select("doc_key", "copies", "terms", "counts"), "doc_key").select("entity", "w", "copies", each)
-    pairs = terms.groupBy("entity", F.col("x.terms").alias("term")).agg(F.sum(F.col("x.counts") * F.col("copies")).alias("n_te"), F.first("w").alias("w"))
-    pairs = stored(pairs.where(F.col("n_te") >= support), "pairs")
-    counts = stored(_term_counts(docs, id_col, text_col, pairs, bits), "terms")
+    terms = held.join(ctx.select("doc_key", F.explode("terms").alias("x")), "doc_key").select("entity", "w", "mark", "x.*")
+    ends = (f(c).alias(c) for f, c in ((F.min, "p0"), (F.max, "p1"), (F.min, "q0"), (F.max, "q1")))
+    pairs = terms.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("w").alias("w"), *ends, F.min("mark").alias("m0"), F.max("mark").alias("m1"))
+    pooled = F.col("entity").startswith("kind:")
+    pairs = stored(pairs.where(F.when(pooled, F.col("m0") < F.col("m1")).otherwise((F.col("p0") < F.col("p1")) & (F.col("q0") < F.col("q1")))).select("entity", "term", "n_te", "w"), "pairs")
+    counts = stored(_term_counts(texts, pairs, bits), "terms")
     n = float(counts.where("term is null").agg(F.sum("n")).first()[0] or 1)
     both = pairs.join(counts, "term")
     part = F.col("w") / F.lit(n)
-    prior = F.when(F.col("entity").startswith("kind:"), PRIOR).otherwise(0.0)
+    prior = F.when(pooled, PRIOR).otherwise(0.0)
     ic = -F.log(part)
     pmi = ic + F.log((F.col("n_te") + prior * part) / (F.col("n") + prior))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)
@@ -200,13 +241,17 @@ def revealing(docs: DataFrame, ctx: DataFrame, held: DataFrame, id_col: str = "d
 
 def _term_spans(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """(x_key, extra): all occurrences of disclosing terms in each distinct text that has any, as text joined like spans."""
-    ctx = stored(contexts(docs, id_col, text_col), "contexts")
+    texts = distinct_texts(docs, text_col)
+    ctx = stored(contexts(texts), "contexts")
     held = stored(_holders(ctx), "holders")
-    bad = stored(revealing(docs, ctx, held, id_col, text_col, **how), "revealing")
-    own = ctx.select("doc_key", F.explode("terms").alias("term"))
+    bad = stored(revealing(texts, ctx, held, **how), "revealing")
+    own = ctx.select("doc_key", F.explode("terms.term").alias("term"))
     hit = held.select("doc_key", "entity").join(bad, "entity").join(own, ["doc_key", "term"]).groupBy("doc_key", "term").agg(F.max("action").alias("action"))
     hit = stored(hit.groupBy("doc_key").agg(F.collect_list("term").alias("terms"), F.collect_list("action").alias("actions")), "hits")
+    released(ctx, held, bad)
     text = _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).withColumn("doc_key", F.sha2("text", 256))
+    if hit.count() <= BROADCAST:
+        text = text.join(F.broadcast(hit.select("doc_key")), "doc_key", "left_semi")
 
     def run(batches):
         for b in batches:

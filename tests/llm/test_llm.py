@@ -310,7 +310,7 @@ def test_terms_of_entities_seen_once(spark):
     common_ = "some plain words that every text here has in it and more of them follow"
     far = " ".join([common_] * 20)
     texts = [f"Quillon began. {far} write to q1@mail.com soon. {far} Then Quillon and QUILLON left."]
-    texts += [f"{common_} hotline n{k}x@site{k}.org {common_}" for k in range(12)] + [common_ + " again"] * 400
+    texts += [f"{common_} hotline n{k}x@site{k}.org {common_}" for k in range(12)] + [f"{common_} again no {k}" for k in range(400)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = [r["text"] for r in pii.sanitise(d).orderBy("doc_id").collect()]
     assert "quillon" not in out[0].lower() and "<EMAIL>" in out[0] and out[0].count("plain words") == 40
@@ -320,6 +320,88 @@ def test_terms_of_entities_seen_once(spark):
     assert marked.count("quillon") == 3
 
 
+def brute_marks(texts):
+    """(action, start, end) that PMI over all words of the distinct texts gives each text."""
+    words = {t: [m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)] for t in texts}
+    total = sum(map(len, words.values()))
+    held, pools = collections.defaultdict(set), collections.defaultdict(set)
+    for t in words:
+        for k, s, e in base(t):
+            name = (k, re.sub(r"[^0-9A-Za-z@.]", "", t[s:e]).lower())
+            held[name].add(t)
+            pools[k].add(t)
+    act = collections.defaultdict(dict)
+
+    def judge(own, prior, enough):
+        w = sum(len(words[t]) for t in own)
+        for term in {x for t in own for x in words[t]}:
+            if not enough(term):
+                continue
+            n_te, n = (sum(words[t].count(term) for t in ts) for ts in (own, words))
+            part = w / total
+            if part >= 1:
+                continue
+            ratio = (-np.log(part) + np.log((n_te + prior * part) / (n + prior))) / -np.log(part)
+            if ratio >= 0.95:
+                for t in own:
+                    if term in words[t]:
+                        act[t][term] = max(act[t].get(term, ""), "remove" if ratio >= 1 - 1e-12 else "generalise")
+
+    for own in set(map(frozenset, held.values())):
+        def apart(term, own=own):
+            at = [(([""] + words[t])[i], (words[t] + [""])[i + 1]) for t in own for i, x in enumerate(words[t]) if x == term]
+            return len({p for p, _ in at}) > 1 and len({q for _, q in at}) > 1
+        judge(own, 0.0, apart)
+    for k, own in pools.items():
+        judge(own, 1.0, lambda term: len({frozenset(n for n, ts in held.items() if n[0] == k and t in ts) for t in own if term in words[t]}) > 1)
+    return {t: [(act[t][m[0].lower()], *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in act[t] and not any(s < m.end() and m.start() < e for _, s, e in base(t))] for t in words}
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    r = random.Random(21)
+    names, common_ = [f"Name{x}" for x in ("al", "bo", "cy", "di")], [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    texts = []
+    for k in range(120):
+        t = [r.choice(common_) for _ in range(r.randint(5, 40))]
+        if r.random() < 0.5:
+            n = r.choice(names)
+            for _ in range(r.randint(1, 3)):
+                t.insert(r.randint(0, len(t)), n)
+            if r.random() < 0.8:
+                t.insert(r.randint(0, len(t)), f"{n}@mail.com")
+        elif r.random() < 0.3:
+            t += [f"special{r.choice('xyz')}", "after", f"special{r.choice('xyz')}", f"10.0.0.{k}"]
+        texts.append(" ".join(t))
+    want = brute_marks(texts)
+    assert sum(map(bool, want.values())) > 10
+    for rows in (texts, texts + texts[:40] * 2):  # copies change nothing
+        d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+        for r_ in pii.find(d).collect():
+            t = rows[r_["doc_id"]]
+            assert r_["spans"] == ",".join(x for x in (pii.joined(base(t)), pii.joined(want[t])) if x)
+
+
+def test_one_sighting_is_no_evidence(spark):
+    once = "ask bob@x.com about Marmalade bob@x.com now"
+    prose = " ".join(f"unseen{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))
+    near = [f"{prose} mail ann@site.org soon", f"{prose} mail ann@site.org later"]
+    texts = [once, *near, *["plain words of other texts that follow one another"] * 3, *[f"filler text {i} has words" for i in range(20)]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in pii.sanitise(d).collect()}
+    assert got[0] == "ask <EMAIL> about Marmalade <EMAIL> now" and got[1].startswith(prose) and got[2].startswith(prose)
+
+
+def test_many_addresses_in_one_text(spark):
+    import time
+
+    text = " ".join(f"person{i} p{i}@mail{i % 97}.example.org" for i in range(100_000))
+    began = time.time()
+    r_ = pii.find(spark.createDataFrame([(1, text), (2, "no data here")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert r_["n_email"] == 100_000 and time.time() - began < 60
+    began = time.time()
+    assert pii._marks(text, {"person": "remove"}) and time.time() - began < 10
+
+
 # 8
 def test_nearest(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
