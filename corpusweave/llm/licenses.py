@@ -1,129 +1,320 @@
 """License scans: a trained paragraph classifier, all in DataFrame operations.
 
-A paragraph (line) has as features the distinct word bigrams and trigrams that license notices have and that hold one of the
-ANCHORS; one without an anchor has none and is never a notice, so it is passed over exactly. Multinomial logistic
-regression over hashed features is trained on TEMPLATES (with one word left out in turn, and between other words) and, as
-the class of what is no notice, on up to NEGATIVES anchored paragraphs that share under a third of any template's features.
-A family is predicted where its probability reaches the least that CALIBRATE of held-out notices have; other anchored
-paragraphs that look like a notice to some degree are unknown. The best template of the family confirms a prediction if the
-paragraph has CONFIRM of its features.
-
-Null and empty texts have no paragraphs; equal rows give equal rows; ties between templates go to the higher share.
+A paragraph is a line. Its words (ASCII letters and digits, lower-cased) and word pairs are hashed to BUCKETS features, and
+multinomial logistic regression over them tells the families, notices of other licenses (UNKNOWN) and what is no notice
+(NONE). It is trained on notices that PATTERNS make of the names of each family, on EXCERPTS of their texts whole and in
+windows as wrapped lines have them, on notices of invented licenses and on ORDINARY sentences, and, as what is no notice, on
+up to NEGATIVES lines of the corpus itself (of the texts of the least hashes) that are unlike every notice.
+
+Scoring is a cascade that is exact: by feature, the most that any notice class gains over NONE bounds what a passage can
+score, so only paragraphs with a passage of a bound over 0 are passed on; of those the passage with the greatest bound
+(the first, if several have it) is what the model classifies, so a notice inside a long line is found as well as alone.
+
+Two more fits on half of the families each are shown the other half, whole families that they never saw: the probability
+that all but 1 - CALIBRATE of these stay under is the least that names a family. Template comparison confirms: some notice
+of the family must have CONFIRM of its features in the passage. Where either is missing the family is unknown.
+
+Null and empty texts have no paragraphs, no rows give no rows, equal rows give equal rows; of equally probable families the
+first by name is taken, and of templates the one with the higher share. A text of any length is split by the JVM; a line is
+held whole. Columns of docs besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
-# Short notices by family.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+# Families, their SPDX identifiers and the names that notices give them.
+FAMILIES = {
+    "agpl-3.0": ("AGPL-3.0-or-later", "GNU Affero General Public License, version 3", "GNU AGPLv3", "AGPL-3.0"),
+    "apache-2.0": ("Apache-2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0"),
+    "artistic-2.0": ("Artistic-2.0", "Artistic License 2.0", "Perl Artistic License 2.0"),
+    "bsd-2-clause": ("BSD-2-Clause", "BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"),
+    "bsd-3-clause": ("BSD-3-Clause", "BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "bsl-1.0": ("BSL-1.0", "Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "cc-by-4.0": ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "cc-by-nc-4.0": ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "cc-by-nc-nd-4.0": ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0"),
+    "cc-by-nc-sa-4.0": ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"),
+    "cc-by-nd-4.0": ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"),
+    "cc-by-sa-4.0": ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "cc0-1.0": ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication", "CC0 1.0 Universal", "CC0"),
+    "cddl-1.0": ("CDDL-1.0", "Common Development and Distribution License, Version 1.0", "CDDL 1.0"),
+    "epl-2.0": ("EPL-2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"),
+    "eupl-1.2": ("EUPL-1.2", "European Union Public Licence, Version 1.2", "EUPL v1.2"),
+    "gpl-2.0": ("GPL-2.0-or-later", "GNU General Public License, version 2", "GNU GPLv2", "GPL-2.0"),
+    "gpl-3.0": ("GPL-3.0-or-later", "GNU General Public License, version 3", "GNU GPLv3", "GPL-3.0"),
+    "isc": ("ISC", "ISC License", "Internet Systems Consortium License"),
+    "lgpl-2.1": ("LGPL-2.1-or-later", "GNU Lesser General Public License, version 2.1", "GNU LGPLv2.1", "LGPL-2.1"),
+    "lgpl-3.0": ("LGPL-3.0-or-later", "GNU Lesser General Public License, version 3", "GNU LGPLv3", "LGPL-3.0"),
+    "mit": ("MIT", "MIT License", "MIT license (Expat)"),
+    "mpl-2.0": ("MPL-2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "ms-pl": ("MS-PL", "Microsoft Public License", "Ms-PL"),
+    "odbl-1.0": ("ODbL-1.0", "Open Database License v1.0", "Open Data Commons Open Database License"),
+    "ofl-1.1": ("OFL-1.1", "SIL Open Font License, Version 1.1", "SIL Open Font License"),
+    "postgresql": ("PostgreSQL", "PostgreSQL License", "PostgreSQL Licence"),
+    "proprietary": ("LicenseRef-Proprietary", "proprietary license", "commercial end user license agreement"),
+    "psf-2.0": ("PSF-2.0", "Python Software Foundation License Version 2", "PSF License"),
+    "unlicense": ("Unlicense", "Unlicense", "The Unlicense"),
+    "wtfpl": ("WTFPL", "Do What The F*ck You Want To Public License", "WTFPL"),
+    "zlib": ("Zlib", "zlib License", "zlib/libpng License"),
+}
+# How notices name a license; {} is its name.
+PATTERNS = (
+    "{}", "Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}; see the LICENSE file for details.", "This work is licensed under a {}.",
+    "This software is distributed under the terms of the {}.", "The code is available under {}", "License: {}", "You may use this file under the terms of the {} only.", "Published under {} by the authors",
+)
+# What the texts of licenses say.
+EXCERPTS = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following two conditions are met under the BSD 2-Clause license"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-3-clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work and dedicated it to the public domain worldwide."),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. You just do what you want to."),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. The fonts and derivatives cannot be released under any other type of license."),
     ("proprietary", "All rights reserved."),
-    ("proprietary", "Copyright the authors. All rights reserved. Unauthorized copying is prohibited."),
+    ("proprietary", "Copyright (c) 2011 Example Corporation. All rights reserved."),
+    ("proprietary", "All rights reserved by the publisher. No part of this work may be reproduced without permission."),
+    ("proprietary", "Copyright the company. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    ("proprietary", "This software is the confidential and proprietary information of the company and may not be disclosed or reproduced without prior written consent."),
+    ("unknown", "The software is provided AS IS, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    ("unknown", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software."),
+    ("unknown", "This work has been dedicated to the public domain by its author."),
+    ("unknown", "Copyright (c) 2020 the contributors"),
+    ("unknown", "Copyright (C) 1999-2014 Example Incorporated and others"),
+    ("unknown", "Permission to reprint this article is granted for noncommercial use with attribution to the author."),
+    ("unknown", "Redistribution and use in source and binary forms are permitted with or without modification under the terms of this license."),
 )
-# Every feature holds one of these.
-ANCHORS = ("licen", "copyright", "rights", "permission", "redistribut", "gnu", "creative", "mozilla", "spdx", "bsd", "apache")
+# Sentences that use the words of notices and are none.
+ORDINARY = (
+    "He lost his driving license after the accident last year.", "The rights of men and the gnu on the plain were discussed.", "She asked for permission to leave the room early.", "Apache helicopters flew over the town.",
+    "The public library has a copy of the book.", "This work was hard, and the terms were not fair.", "The source of the river is in the mountains.", "He is free to go wherever he wants to.", "They distribute food under the bridge.",
+    "The mit students built a robot.", "A version of the story was published in 1984.", "You may use this room for the meeting.", "The software was slow and the files were large.", "We reserved a table for four at the restaurant.",
+    "The commons is a piece of land that all may use.", "All rights and wrongs aside, the plan worked.", "The general public was not amused.", "Creative people often work at night.", "No copyright law existed at that time.", "The eclipse was visible from the coast.",
+    "Python is a snake that lives in warm countries.", "The boost to the economy was small.", "The artist sold three paintings under a false name.", "Available under the table at the back of the shop.", "Mozilla and Apache are names that many know.",
+)
+#: Parts of the names of invented licenses.
+_INVENTED = (("Acme", "Nova", "Orion", "Harbor", "Zephyr", "Quartz", "Lumen", "Delta"), ("Public License", "Community License", "Source License", "Open License", "Shared Terms"), ("", " 1.0", " version 4", " v7"))
 NONE, UNKNOWN = "none", "unknown"
-NEGATIVES, BUCKETS, CALIBRATE, CONFIRM, LEAST = 500, 8192, 0.98, 0.5, 0.3
+BUCKETS, NEGATIVES, NEGATIVE_TEXTS = 8192, 1500, 300
+CALIBRATE, LEAST, CONFIRM = 0.9, 0.4, 0.85
+ITERATIONS, RIDGE, WEIGHT_NONE = 60, 5e-5, 30.0
+SEED = 11
 
 
-def _grams(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9])"), F.lit(1))
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
-    def of(k: int) -> Column:
-        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
 
-    return F.array_distinct(F.filter(F.concat(of(2), of(3), F.filter(words, lambda w: w.startswith("spdx"))), _anchored))
+def _next(w: Column) -> Column:
+    return F.concat(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), F.array(F.lit("")))
 
 
-def _anchored(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(ANCHORS))
+def features(w: Column) -> Column:
+    """Buckets of the words and of the word pairs, as words of the vocabulary 0 to BUCKETS - 1."""
+    one = F.transform(w, lambda x: F.pmod(F.hash(x), F.lit(BUCKETS)))
+    two = F.zip_with(w, _next(w), lambda x, y: F.pmod(F.hash(x, y), F.lit(BUCKETS)))
+    return F.array_distinct(F.concat(one, two)).cast("array<string>")
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph from 0, text, grams) of the paragraphs with an anchor."""
-    own = docs.where(_anchored(F.col(text_col)))
-    p = own.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "text"))
-    return p.where(_anchored(F.col("text"))).withColumn("grams", _grams(F.col("text")))
+def notices() -> list[tuple[str, str]]:
+    """(family or UNKNOWN or NONE, text): all that training starts from, by rule from the values above."""
+    r, out = random.Random(SEED), []
+    for family, (spdx, *names) in FAMILIES.items():
+        out += [(family, f"SPDX-License-Identifier: {x}") for x in {spdx, spdx.removesuffix("-or-later"), spdx.replace("-or-later", "-only")}]
+        out += [(family, p.format(n)) for n in names for p in PATTERNS]
+    for family, text in EXCERPTS:
+        w = text.split()
+        out.append((family, text))
+        out += [(family, " ".join(w[i : i + 14])) for i in range(0, max(0, len(w) - 10), 7) if len(w) > 20]
+    invented = [f"{a} {b}{c}" for a in _INVENTED[0] for b in _INVENTED[1] for c in _INVENTED[2]]
+    out += [(UNKNOWN, r.choice(PATTERNS).format(n)) for n in invented]
+    out += [(UNKNOWN, f"Copyright {c} {y} {n}") for c in ("(c)", "(C)", "") for y in (1998, 2012, "2015-2021", 2023) for n in ("Foo", "Jane Doe", "The Project Authors", "Example Ltd.")]
+    return out + [(NONE, x) for x in ORDINARY]
 
 
-def _templates(spark) -> DataFrame:
-    rows = ", ".join(f"('{f}', '{x}')" for f, x in TEMPLATES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(family, text)").withColumn("t_grams", _grams(F.col("text")))
+def _varied(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """rows, and each with a word left out, with a line of copyright before it and between other words."""
+    r, out = random.Random(SEED + 1), []
+    for family, text in rows:
+        out.append((family, text))
+        w = text.split()
+        if len(w) > 5:
+            k = r.randrange(len(w))
+            out.append((family, " ".join(w[:k] + w[k + 1 :])))
+        if family != NONE:
+            out.append((family, f"and the {text} it was"))
+            if r.random() < 0.3:
+                out.append((family, f"Copyright (c) {r.randint(1990, 2024)} Some Name. {text}"))
+    return out
 
 
-def _known(grams: Column, vocabulary: list[str]) -> Column:
-    return F.array_intersect(grams, F.array(*map(F.lit, vocabulary)))
+def _grams(text: str) -> set[tuple[str, ...]]:
+    w = [x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
+    return set(zip(w, w[1:])) or {(x,) for x in w}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
-    """(doc_id, paragraph, family, probability, share, confirmed) of each paragraph that is a notice of a known or unknown license."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
+def _sampled(docs: DataFrame, text_col: str, negatives: int) -> list[str]:
+    """Up to `negatives` lines of the NEGATIVE_TEXTS texts of the least hashes; lines that are like a notice are left out."""
+    t = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    lines = t.orderBy("h").limit(NEGATIVE_TEXTS).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 20 and 2000")
+    lines = [r["line"] for r in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    own = [g for f, x in notices() if f != NONE and len(g := _grams(x)) > 1]
+    seen = {g for x in own for g in x}
+    return [x for x in lines if not (g := _grams(x) & seen) or max(len(g & y) / len(y) for y in own) < 0.5]
+
+
+class Model:
+    """A fitted regression; classes: NONE, UNKNOWN, then families."""
+
+    def __init__(self, spark: SparkSession, rows: list[tuple[str, str]]):
+        from pyspark.ml.classification import LogisticRegression
+
+        self.classes = [NONE, UNKNOWN, *sorted({f for f, _ in rows} - {NONE, UNKNOWN})]
+        number = {f: float(i) for i, f in enumerate(self.classes)}
+        n = Counter(f for f, _ in rows)
+        weight = {f: (WEIGHT_NONE if f == NONE else 1.0) / n[f] for f in n}  # every class counts alike, what is no notice more
+        train = spark.createDataFrame([(number[f], 100 * weight[f], x) for f, x in rows], "label double, weight double, text string").select("label", "weight", features(words(F.col("text"))).alias("tokens"))
+        train = self.vectors(train).select("label", "weight", "features").coalesce(1).cache()
+        self.fitted = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=RIDGE, standardization=False, weightCol="weight").fit(train)
+        train.unpersist()
+
+    @staticmethod
+    def vectors(tokens: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import CountVectorizerModel
+
+        return CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="tokens", outputCol="features").setBinary(True).transform(tokens)
+
+    def scored(self, tokens: DataFrame) -> DataFrame:
+        """tokens with p_none, family (the most probable of the classes that are notices) and probability."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.fitted.transform(self.vectors(tokens)).withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
+        out = out.withColumns({"p_none": F.col("p")[0], "probability": F.array_max(F.slice("p", 2, len(self.classes)))})
+        at = F.array_position(F.slice("p", 2, len(self.classes)), F.col("probability")).cast("int")
+        return out.withColumn("family", F.element_at(F.array(*map(F.lit, self.classes[1:])), at)).drop("p")
+
+    def bounds(self) -> tuple[list[float], float]:
+        """By feature, the most that a notice class gains over NONE; and the same of the intercepts."""
+        c, b = self.fitted.coefficientMatrix.toArray(), np.array(self.fitted.interceptVector.toArray())
+        return (c[1:] - c[0]).max(axis=0).tolist(), float((b[1:] - b[0]).max())
+
+
+def _passage(w: Column, bounds: list[float]) -> tuple[Column, Column]:
+    """Of words w: the sum of what raises the bound, and the words of the run of greatest bound with what stands around it."""
+    # one literal: the optimizer folds it
+    table = F.split(F.lit(",".join(f"{x:.3f}" for x in bounds)), ",").cast("array<float>")
 
+    def gain(*x: Column) -> Column:
+        return F.element_at(table, F.pmod(F.hash(*x), F.lit(BUCKETS)) + 1).cast("double")
+
+    gains = F.zip_with(w, _next(w), lambda x, y: gain(x) + gain(x, y))
+    raised = F.aggregate(gains, F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0)))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), F.lit(0.0).alias("now"), zero.alias("since"), F.lit(0.0).alias("best"), zero.alias("lo"), zero.alias("hi"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = F.greatest(s["now"] + x, F.lit(0.0))
+        since, i = F.when(s["now"] > 0, s["since"]).otherwise(s["i"]), s["i"] + 1
+        better = now > s["best"]
+        return F.struct(i.alias("i"), now.alias("now"), since.alias("since"), F.when(better, now).otherwise(s["best"]).alias("best"), F.when(better, since).otherwise(s["lo"]).alias("lo"), F.when(better, i).otherwise(s["hi"]).alias("hi"))
+
+    run = F.aggregate(gains, start, step, lambda s: F.struct(F.greatest(s["lo"], zero).alias("lo"), s["hi"].alias("hi")))
+    return raised, run
+
+
+def training(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> list[tuple[str, str]]:
+    return _varied(notices()) + [(NONE, x) for x in _sampled(docs, text_col, negatives)]
+
+
+def asked_of(model: Model, texts: DataFrame, least: float) -> DataFrame:
+    """texts (text) as passages, judged; those that are no notice go."""
+    w = texts.withColumn("w", words(F.col("text")))
+    return named(model.scored(w.withColumn("tokens", features(F.col("w")))).where("p_none < 0.5"), least)
+
+
+def calibrated(spark: SparkSession, rows: list[tuple[str, str]]) -> float:
+    """The probability that CALIBRATE of the notices of families a model was never shown stay under; LEAST at least."""
+    names, wrong = sorted({f for f, _ in rows} - {NONE, UNKNOWN}), []
+    for k in range(2):
+        held = set(names[k::2])
+        model = Model(spark, [x for x in rows if x[0] not in held])
+        asked = [(x,) for f, x in notices() if f in held]
+        got = asked_of(model, spark.createDataFrame(asked, "text string"), 0.0).where(F.col("family") != UNKNOWN)
+        got = [r["probability"] for r in got.select("probability").collect()]
+        wrong += got + [0.0] * (len(asked) - len(got))
+    return max(LEAST, float(np.quantile(wrong, CALIBRATE))) if wrong else LEAST
+
+
+def named(scored: DataFrame, least: float) -> DataFrame:
+    """scored (with words w) with family, share and confirmed: what is not sure or not confirmed by a template is UNKNOWN."""
+    spark = scored.sparkSession
+    by: dict[str, list[str]] = {}
+    for f, x in notices():
+        if f not in (NONE, UNKNOWN):
+            by.setdefault(f, []).append(x)
+    templates = spark.createDataFrame(list(by.items()), "family string, texts array<string>")
+    templates = templates.select("family", F.transform("texts", lambda x: features(words(x))).alias("templates"))  # a row a family
+    own = features(F.col("w"))
+    both = scored.join(F.broadcast(templates), "family", "left")
+    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(own, t)) / F.size(t)))
+    both = both.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("confirmed", F.col("share") >= CONFIRM).drop("templates")
+    sure = (F.col("probability") >= least) & F.col("confirmed")
+    return both.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
+    """(doc_id, paragraph from 0, family, probability, share, confirmed) of each paragraph that is a notice of a known or unknown license."""
     spark = docs.sparkSession
-    t = _templates(spark)
-    rows = t.select("family", "t_grams").collect()  # the templates above
-    vocabulary = sorted({g for r in rows for g in r["t_grams"]})
-    families = sorted({r["family"] for r in rows})
-    # the texts are read once; what has an anchor is little
-    found = stored(paragraphs(docs, id_col, text_col).withColumn("grams", _known(F.col("grams"), vocabulary)), "paragraphs")
-
-    def share(grams: Column, family: str | None = None) -> Column:
-        """The largest part of a template's features that is there."""
-        own = [r["t_grams"] for r in rows if family in (None, r["family"])]
-        return F.greatest(*(F.size(F.array_intersect(grams, F.array(*map(F.lit, g)))) / F.lit(float(len(g))) for g in own), F.lit(0.0))
-
-    def stretched(n: int) -> DataFrame:
-        """Templates with their n-th word left out and other words around them."""
-        w = F.split("text", " ")
-        cut = F.when(F.size(w) > 4, F.filter(w, lambda x, i: i != (F.lit(n) * 7) % F.size(w))).otherwise(w)
-        return t.select("family", F.concat(F.lit("and then "), F.array_join(cut, " "), F.lit(" other words")).alias("text"))
-
-    labelled = t.select("family", "text")
-    for n in range(6):
-        labelled = labelled.unionByName(stretched(n))
-    none = found.where(share(F.col("grams")) < 1 / 3).select("grams", F.xxhash64("text").alias("h")).orderBy("h").limit(negatives)
-    labelled = labelled.select("family", _known(_grams(F.col("text")), vocabulary).alias("grams"), F.xxhash64("text", F.lit(5)).alias("h"))
-    empty = spark.range(20).select(F.lit(NONE).alias("family"), F.array().cast("array<string>").alias("grams"), F.col("id").alias("h"))
-    labelled = labelled.unionByName(none.select(F.lit(NONE).alias("family"), "grams", "h")).unionByName(empty)
-    number = F.create_map(*(F.lit(x) for i, f in enumerate([NONE, *families]) for x in (f, float(i))))
-    tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
-    labelled = tf.transform(labelled.withColumn("label", number[F.col("family")]).coalesce(1)).cache()
-    held = F.pmod("h", F.lit(5)) == 0
-    model = LogisticRegression(family="multinomial", maxIter=80, regParam=0.01).fit(labelled)
-    # calibration: a model that hasn't seen them scores the held-out notices
-    other = LogisticRegression(family="multinomial", maxIter=80, regParam=0.01).fit(labelled.where(~held))
-    p = vector_to_array("probability")
-    own = other.transform(labelled.where(held).where(F.col("family") != NONE)).select(F.element_at(p, F.col("label").cast("int") + 1).alias("p"))
-    least = own.agg(F.percentile_approx("p", 1 - CALIBRATE, 10000)).first()[0] or LEAST
-    labelled.unpersist()
-    scored = model.transform(tf.transform(found)).select("doc_id", "paragraph", "grams", p.alias("p"))
-    best = F.array_max(F.slice("p", 2, len(families)))
-    scored = scored.withColumns({"probability": best, "at": F.array_position(F.slice("p", 2, len(families)), best).cast("int")})
-    name = F.element_at(F.array(*map(F.lit, families)), F.col("at"))
-    own_share = F.lit(0.0)
-    for f in families:
-        own_share = F.when(name == f, share(F.col("grams"), f)).otherwise(own_share)
-    scored = scored.withColumns({"family": name, "share": own_share})
-    notice = (F.element_at("p", 1) < F.col("probability")) & (F.col("probability") >= F.lit(min(LEAST, float(least))))
-    scored = scored.where(notice)
-    known = (F.col("probability") >= F.lit(float(least))) & (F.col("share") >= CONFIRM)
-    return scored.select("doc_id", "paragraph", F.when(known, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("share", 6).alias("share"), (F.col("share") >= CONFIRM).alias("confirmed"))
+    rows = training(docs, text_col, negatives)
+    model = Model(spark, rows)
+    least = calibrated(spark, rows)
+    bounds, start = model.bounds()
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
+    lines = lines.where("line <> ''").select("doc_id", "paragraph", words(F.col("line")).alias("w"))
+    raised, run = _passage(F.col("w"), bounds)
+    # a paragraph is passed on only if some passage of it can be a notice
+    found = lines.where(raised + F.lit(max(0.0, start)) > 0).withColumn("run", run).where("run.hi > run.lo")
+    found = found.select("doc_id", "paragraph", F.expr("slice(w, greatest(run.lo, 1), run.hi - run.lo + 3)").alias("w"))
+    found = stored(found, "passages")
+    scored = model.scored(found.withColumn("tokens", features(F.col("w")))).where("p_none < 0.5")
+    out = named(scored, least)
+    return out.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("share", 6).alias("share"), "confirmed")
+
+
+def evaluate(spark: SparkSession, every: int = 5) -> dict[str, float]:
+    """Held-out figures: each `every`-th notice of a family is kept from training; and the half of the families that is, as unknown."""
+    base = notices()
+    held = [x for i, x in enumerate(base) if i % every == 2 and x[0] not in (NONE, UNKNOWN)]
+    kept = [x for x in base if x not in held]
+    rows = _varied(kept)
+    model, least = Model(spark, rows), calibrated(spark, rows)
+
+    got = asked_of(model, spark.createDataFrame(held, "want string, text string"), least).select("want", "family").collect()
+    sure = [r for r in got if r["family"] != UNKNOWN]
+    right = sum(r["want"] == r["family"] for r in sure)
+    other = {f for i, f in enumerate(sorted(FAMILIES)) if i % 2}
+    strange = [x for x in base if x[0] in other]
+    model = Model(spark, [x for x in rows if x[0] not in other])
+    wrong = asked_of(model, spark.createDataFrame(strange, "want string, text string"), least).where(F.col("family") != UNKNOWN).count()
+    return {"precision": right / max(1, len(sure)), "recall": right / len(held), "least": least, "unknown": 1 - wrong / len(strange)}
