@@ -8,18 +8,24 @@ wherever they stand. A document's phrases at the levels from FIRST on are its fe
 smallest of their 32-bit hashes, and the likeness of two fingerprints is the bottom-k estimate of the Jaccard index.
 
 Many texts are parsed in one go as one array in which no phrase crosses a text's border. Null counts as empty; an empty
-text has an empty fingerprint, which is like another empty one (1) and unlike any other (0).
+text has an empty fingerprint, which is like another empty one (1) and unlike any other (0). No rows give no rows, equal rows
+equal ones. A text of any length is parsed as a whole, at some ten bytes a code point. Columns besides id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, stored
+
 #: Names of a fingerprint; first and last level whose phrases are features (a level is about three times as coarse as the one before).
 SKETCH, FIRST, LEVELS = 48, 3, 5
 #: Code points that are parsed in one go, about.
@@ -140,89 +146,118 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 _LEAST = -(1 << 63)
+#: Bytes of text of a range, about; ranges at most; rows that tell where ranges end.
+RANGE_BYTES, RANGES, SAMPLE = 8 << 20, 1 << 17, 200_000
+
+
+def _bounds(keys: DataFrame, groups: int | None) -> list[tuple[int, int]]:
+    """Keys (k, tie) at which ranges of about equal numbers of bytes begin, by a sample of the rows; the same on every run."""
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    groups = groups or min(RANGES, max(1, size // RANGE_BYTES))
+    part = keys.where(F.pmod(F.xxhash64("k", "tie", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))
+    got = part.toArrow()
+    k, tie, weight = (got[c].to_numpy() for c in ("k", "tie", "bytes"))
+    order = np.lexsort((tie, k))
+    ends = np.cumsum(weight[order] + 64.0)
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, groups) / groups) if len(ends) else []
+    return sorted({(int(k[order[i]]), int(tie[order[i]])) for i in at})
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None) -> DataFrame:
     """Each document against its text with the last quarter replaced by the start of the next document's, and against the next.
 
-    Next is by ascending id (nulls first; rows of one id by a hash of their text), after the last comes the first. Ids are cut
-    into ranges of about equal numbers of rows; a range's first row is sent to the range before it as well. So each text is
-    shuffled once (compressed), and no range needs another.
+    Next is by ascending id (nulls first; rows of one id by a hash of their text), after the last comes the first. Ids and
+    hashes are cut into ranges of about RANGE_BYTES, so rows of one id are many ranges too; a range's first row is sent to the
+    range before it as well. So each text is shuffled once (compressed), equal rows of a batch as one, and no range needs
+    another. No rows give no rows. A text of any length is held whole with the one before it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("k"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = groups or min(65536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / groups for i in range(1, groups)] or [0.5]
-    found = rows.agg(F.percentile_approx("k", shares, 100 * groups).alias("b")).first()["b"] or []
-    bounds = np.array(sorted(set(found)), np.int64)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("k"), F.xxhash64(text).alias("tie"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    keys = stored(rows.select("k", "tie", F.octet_length("text").cast("bigint").alias("bytes")), "keys")
+    bounds = _bounds(keys, groups)
 
     def least(batches):
         for b in batches:
-            k = b.column("k").to_numpy()
-            g = np.searchsorted(bounds, k, side="right")
-            u, inv = np.unique(g, return_inverse=True)
-            m = np.full(len(u), np.iinfo(np.int64).max)
-            np.minimum.at(m, inv, k)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(m)], ["g", "k"])
-
-    # a row for each range: bounded by `groups`
-    heads = sorted((r["g"], r["k"]) for r in rows.select("k").mapInArrow(least, "g bigint, k bigint").groupBy("g").agg(F.min("k").alias("k")).collect())
-    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}  # the first id of a range: the range before it
+            first: dict[int, tuple[int, int]] = {}
+            for x in zip(b.column("k").to_pylist(), b.column("tie").to_pylist()):
+                g = bisect.bisect_right(bounds, x)
+                first[g] = min(first.get(g, x), x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([x[0] for x in first.values()], pa.int64()), pa.array([x[1] for x in first.values()], pa.int64())], ["g", "k", "tie"])
+
+    # a row for each range: RANGES at most
+    heads = keys.select("k", "tie").mapInArrow(least, "g bigint, k bigint, tie bigint").groupBy("g").agg(F.min(F.struct("k", "tie")).alias("f")).orderBy("g").collect()
+    heads = [(r["g"], (r["f"]["k"], r["f"]["tie"])) for r in heads]
+    released(keys)
+    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}  # the first key of a range: the range before it
 
     def parse(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            k = b.column("k").to_numpy()
-            g = np.searchsorted(bounds, k, side="right").astype(np.int64)
-            raw = [t.encode() for t in texts]
-            take = list(range(len(texts)))
-            extra = [i for i in take if int(k[i]) in before]
-            sketch = sketches(texts)
-            take += extra
+            keys, texts = list(zip(b.column("k").to_pylist(), b.column("tie").to_pylist())), b.column("text").to_pylist()
+            times = Counter(keys)
+            one = list({x: i for i, x in enumerate(keys)}.values())  # equal rows are one with a number
+            sketch = dict(zip(one, sketches([texts[i] for i in one])))
+            extra = [i for i in one if keys[i] in before]
+            take = one + extra
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*g.tolist(), *(before[int(k[i])] for i in extra)], pa.int64()), pa.array([False] * len(texts) + [True] * len(extra)),
-                    pa.array([int(k[i]) for i in take], pa.int64()), b.column("doc_id").take(pa.array(take, pa.int64())),
-                    pa.array([hashlib.sha256(raw[i]).digest()[:8] for i in take], pa.binary()), pa.array([sketch[i].tobytes() for i in take], pa.binary()), pa.array([pack.compress(raw[i]) for i in take], pa.binary()),
+                    pa.array([*(bisect.bisect_right(bounds, keys[i]) for i in one), *(before[keys[i]] for i in extra)], pa.int64()), pa.array([False] * len(one) + [True] * len(extra)),
+                    *(pa.array([keys[i][j] for i in take], pa.int64()) for j in (0, 1)), b.column("doc_id").take(pa.array(take, pa.int64())), pa.array([times[keys[i]] for i in take], pa.int64()),
+                    pa.array([sketch[i].tobytes() for i in take], pa.binary()), pa.array([pack.compress(texts[i].encode()) for i in take], pa.binary()),
                 ],
-                ["g", "ahead", "k", "doc_id", "tie", "sketch", "packed"],
+                ["g", "ahead", "k", "tie", "doc_id", "times", "sketch", "packed"],
             )
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def edit(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        held, done, size, skip = None, [], 0, None
+        held, done, size, skip = None, [], 0, None  # held: id, key, number of equal rows, text, sketch
 
         def flush():
             new = sketches([x[1] for x in done])
             out = [[x[0] for x in done], [x[2] for x in done], [hashlib.sha256(x[1].encode()).hexdigest() for x in done], [written(x[3]) for x in done], list(map(written, new)), [likeness(x[3], y) for x, y in zip(done, new)], [likeness(x[3], x[4]) for x in done]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+            times = np.array([x[5] for x in done])
+            if (times == 1).all():
+                yield b
+                return
+            for lo in range(0, int(times.sum()), 10_000):  # equal rows again, some at a time
+                yield b.take(pa.array(np.searchsorted(np.cumsum(times), np.arange(lo, min(lo + 10_000, int(times.sum()))), side="right")))
+
+        def add(sketch, text, times):
+            nonlocal size
+            q = len(held[3]) // 4
+            done.append((held[0], held[3][: len(held[3]) - q] + text[:q], len(held[3]), held[4], sketch, times))
+            size += len(held[3])
 
         for b in batches:
-            for g, ahead, doc_id, sketch, packed in zip(*(b.column(c).to_pylist() for c in ("g", "ahead", "doc_id", "sketch", "packed"))):
-                if g == skip:  # more rows with the id that the next range starts with
+            for g, ahead, k, tie, doc_id, times, sketch, packed in zip(*(b.column(c).to_pylist() for c in ("g", "ahead", "k", "tie", "doc_id", "times", "sketch", "packed"))):
+                if g == skip:  # the same row from another batch
+                    continue
+                if held and not ahead and held[1] == (k, tie):  # equal rows of another batch
+                    held = (*held[:2], held[2] + times, *held[3:])
                     continue
                 text, sketch = unpack.decompress(packed).decode() if packed else "", np.frombuffer(sketch, np.uint32)
                 if held:
-                    q = len(held[1]) // 4
-                    edited = held[1][: len(held[1]) - q] + text[:q]
-                    done.append((held[0], edited, len(held[1]), held[2], sketch))
-                    size += len(edited)
+                    if held[2] > 1:
+                        add(held[4], held[3], held[2] - 1)
+                    add(sketch, text, 1)
                     if size >= CHUNK:
-                        yield flush()
+                        yield from flush()
                         done, size = [], 0
-                held = None if ahead else (doc_id, text, sketch)
+                held = None if ahead else (doc_id, (k, tie), times, text, sketch)
                 skip = g if ahead else None
         if done:
-            yield flush()
+            yield from flush()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.mapInArrow(parse, "g bigint, ahead boolean, k bigint, doc_id bigint, tie binary, sketch binary, packed binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(heads))
+    sent = rows.mapInArrow(parse, "g bigint, ahead boolean, k bigint, tie bigint, doc_id bigint, times bigint, sketch binary, packed binary")
     ranged = sent.repartition(parts, "g").sortWithinPartitions("g", "ahead", "k", "tie")
     return ranged.mapInArrow(edit, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
