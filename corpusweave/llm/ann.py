@@ -1,52 +1,53 @@
 """Nearest neighbours by inner product over a forest of random-projection trees.
 
 Trees are fitted on SAMPLE vectors (chosen by a hash): a node splits its vectors at the median along the difference of two
-of them. Every vector is then sent to its leaf in each tree. A query walks all trees at once through one priority queue,
-ordered by the sum of its squared distances to the planes it is on the wrong side of, and takes leaves until it has its
-share of them; leaves and queries meet by an equality join on the leaf, where candidates are ranked by the exact inner product in
-double precision. Vectors get one more component, so that the largest inner product is the smallest angle.
+of them, down to leaves of about LEAF of n vectors. Every vector is then sent to its leaf in each tree. A query's leaves of
+all trees stand in one priority queue, by its inner product with the mean of the leaf, and it takes as many of them as gave
+RECALL of the true neighbours on the sample itself: few where vectors have structure, over half of all where they have none.
+Leaves and queries meet by an equality join on the leaf, where candidates are ranked by the exact inner product in double
+precision; a candidate that an earlier tree has shown the query isn't shown again. Vectors get one more component, so that the
+largest inner product is the smallest angle.
 
 Equal vectors are one class that carries its smallest ids, as many as a result can show, so no leaf grows with copies.
-Null, zero, non-finite or odd-sized vectors (other than the most common length) take no part.
+Null, zero, non-finite or odd-sized vectors (other than the most common length) take no part. Ties go to the smaller id;
+rows of one id are ranked each. Columns besides id and vector are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors on which trees are fitted, at most; trees; leaves of a tree, about; share of all leaves that a query takes.
-#: Vectors without structure need a large share: in 64 dimensions these give a recall of about 0.95.
-SAMPLE, TREES, LEAVES, SHARE = 16384, 4, 64, 0.28
+#: Vectors on which trees are fitted, at most; trees; sampled vectors of a leaf, about; of them that ask for the number of leaves.
+SAMPLE, TREES, LEAF, ASKED = 16384, 2, 20, 256
+#: The recall that the number of leaves is set for.
+RECALL = 0.95
 #: Vectors of one leaf that meet the leaf's queries in one task, about; larger leaves are cut into blocks.
 BLOCK = 8192
-#: Vectors of a leaf, at least.
-LEAST_LEAF = 64
 SEED = 7
 
 
 class Forest:
-    """Random-projection trees as arrays: node i splits on normals[i], offsets[i] into children[i]; a leaf is a negative child."""
+    """Random-projection trees as arrays: node i splits on normals[i], offsets[i] into children[i]; leaf k is the child -1 - k, with means[k]."""
 
-    def __init__(self, sample: np.ndarray, leaf_share: float, trees: int = TREES, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, leaf: int = LEAF, trees: int = TREES, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.roots, self.normals, self.offsets, self.children, self.leaves = [], [], [], [], 0
-        least = max(4, math.ceil(leaf_share * len(sample)))
+        self.roots, self.normals, self.offsets, self.children, self.means = [], [], [], [], []
         for _ in range(trees):
-            self.roots.append(self._grow(sample, np.arange(len(sample)), least, rng))
+            self.roots.append(self._grow(sample, np.arange(len(sample)), max(2, leaf), rng))
         self.normals = np.array(self.normals).reshape(len(self.normals), sample.shape[1])
-        self.offsets = np.array(self.offsets)
+        self.offsets, self.means = np.array(self.offsets), np.array(self.means)
+        self.leaves, self.probes = len(self.means), len(self.means)
 
     def _grow(self, x: np.ndarray, idx: np.ndarray, least: int, rng) -> int:
-        if len(idx) > least:
+        if len(idx) >= 2 * least:
             for _ in range(4):
                 a, b = rng.choice(len(idx), 2, replace=False)
                 v = x[idx[a]] - x[idx[b]]
@@ -64,8 +65,21 @@ class Forest:
                     low = self._grow(x, idx[~right], least, rng)
                     self.children[node] = (low, self._grow(x, idx[right], least, rng))
                     return node
-        self.leaves += 1
-        return -self.leaves
+        self.means.append(x[idx].mean(axis=0) if len(idx) else np.zeros(x.shape[1]))
+        return -len(self.means)
+
+    def settle(self, sample: np.ndarray, queries: np.ndarray, k: int, recall: float = RECALL) -> None:
+        """Sets the number of leaves that show `queries` (rows of the sample, as queries) that share of their k nearest in the sample."""
+        if len(sample) <= k + 1:
+            return
+        at, q = -1 - self.assign(sample), _asking(sample[queries])
+        near = q @ sample.T
+        near[np.arange(len(queries)), queries] = -np.inf
+        near = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        place = np.empty((len(q), self.leaves), np.int64)
+        np.put_along_axis(place, np.argsort(-(q @ self.means.T), axis=1), np.arange(self.leaves)[None, :], 1)
+        first = np.min([np.take_along_axis(place, leaf[near], 1) for leaf in at], axis=0)
+        self.probes = min(self.leaves, int(np.quantile(first, recall)) + 1)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """(trees, rows): the leaf of each row in each tree."""
@@ -81,22 +95,20 @@ class Forest:
                 todo += [(self.children[node][0], idx[~right]), (self.children[node][1], idx[right])]
         return out
 
-    def probe(self, q: np.ndarray, n: int) -> list[int]:
-        """The n leaves of all trees that one shared queue reaches first."""
-        d = self.normals @ q - self.offsets if len(self.offsets) else self.offsets
-        heap = [(0.0, r) for r in self.roots]
-        heapq.heapify(heap)
-        got: list[int] = []
-        while heap and len(got) < n:
-            far, node = heapq.heappop(heap)
-            if node < 0:
-                got.append(node)
-                continue
-            low, high = self.children[node]
-            near, other = (high, low) if d[node] > 0 else (low, high)
-            heapq.heappush(heap, (far, near))
-            heapq.heappush(heap, (far + d[node] ** 2, other))
-        return got
+    def probe(self, q: np.ndarray) -> np.ndarray:
+        """(queries, leaves): whether each query takes each leaf, the first `probes` of one queue for all trees."""
+        taken = np.zeros((len(q), self.leaves), bool)
+        for lo in range(0, len(q), 1024):
+            best = np.argpartition(-(q[lo : lo + 1024] @ self.means.T), self.probes - 1, axis=1)[:, : self.probes]
+            np.put_along_axis(taken[lo : lo + 1024], best, True, 1)
+        return taken
+
+
+def _asking(x: np.ndarray) -> np.ndarray:
+    """Rows as queries: unit vectors without the last component."""
+    x = x.copy()
+    x[:, -1] = 0.0
+    return x / np.maximum(1e-300, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
 
 def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -125,7 +137,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[
     return stored(part.select(F.xxhash64("vec").alias("cid"), "vec", "ids"), "classes"), v
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaves: int = LEAVES, share: float = SHARE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows nearest to each row that `queries` (a condition on vec_id) picks, itself left out.
 
     Nearest first, ties to the smaller id. No usable vectors give no rows; fewer candidates than k give what there is.
@@ -135,46 +147,51 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     n, norm = classes.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + x * x))"))).first()
     fitted = classes.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(sample).select("vec").toArrow()["vec"].to_numpy() if n else []
     norm = norm or 1.0
-    x = np.stack(fitted) if len(fitted) else np.zeros((1, 1))
-    forest = Forest(_lifted(x, norm), max(1 / leaves, LEAST_LEAF / max(n, 1)), trees, seed)
-    probes, blocks = max(trees, math.ceil(share * forest.leaves)), max(1, math.ceil(n / leaves / block))
-    sent = vectors.sparkSession.sparkContext.broadcast(forest)
+    x = _lifted(np.stack(fitted) if len(fitted) else np.zeros((1, 1)), norm)
+    forest = Forest(x, leaf, trees, seed)
+    forest.settle(x, np.arange(min(ASKED, len(x))), k, recall)
+    blocks = max(1, math.ceil(n * trees / forest.leaves / block))
+    sent = vectors.sparkSession.sparkContext.broadcast((forest, norm))
 
     def index(batches):
-        f = sent.value
+        f, norm = sent.value
         for b in batches:
             rows = np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1)
-            at = f.assign(_lifted(rows, norm)) if b.num_rows else np.zeros((trees, 0), np.int64)
+            at = -1 - f.assign(_lifted(rows, norm)) if b.num_rows else np.zeros((trees, 0), np.int64)
+            before = pa.FixedSizeListArray.from_arrays(pa.array(at.T.ravel()), trees).cast(pa.list_(pa.int64()))
             for t in range(len(at)):
-                yield pa.RecordBatch.from_arrays([pa.array(at[t]), b.column("cid"), b.column("first"), b.column("vec")], ["leaf", "cid", "first", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[t]), pa.array(np.full(len(at[t]), t, np.int32)), b.column("cid"), b.column("first"), b.column("vec"), before], ["leaf", "tree", "cid", "first", "vec", "leaves"])
 
     def walk(batches):
-        f = sent.value
+        f, _ = sent.value
         for b in batches:
             rows = np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1)
-            lifted = np.column_stack([rows / np.maximum(1e-300, np.sqrt((rows * rows).sum(axis=1, keepdims=True))), np.zeros(len(rows))])
-            found = [f.probe(q, probes) for q in lifted]
-            n_ = [len(y) for y in found]
-            take = np.repeat(np.arange(len(rows)), n_)
-            yield pa.RecordBatch.from_arrays([pa.array([y for z in found for y in z], pa.int64()), b.column("qid").take(pa.array(take)), b.column("vec").take(pa.array(take))], ["leaf", "qid", "vec"])
-
-    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(index, "leaf bigint, cid bigint, first bigint, vec array<double>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint"))
+            taken = f.probe(_asking(np.column_stack([rows, np.zeros(len(rows))])))
+            bits = pa.array([x.tobytes() for x in np.packbits(taken, axis=1)], pa.binary())
+            for lo in range(0, len(rows), 256):  # a batch of results for some queries at a time
+                q, leaf_ = np.nonzero(taken[lo : lo + 256])
+                take = pa.array(q + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_), b.column("qid").take(take), b.column("vec").take(take), bits.take(take)], ["leaf", "qid", "vec", "taken"])
+
+    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(index, "leaf bigint, tree int, cid bigint, first bigint, vec array<double>, leaves array<bigint>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint"))
     asking = asked.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "vec"), "qid")
-    asking = asking.mapInArrow(walk, "leaf bigint, qid bigint, vec array<double>").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    asking = asking.mapInArrow(walk, "leaf bigint, qid bigint, vec array<double>, taken binary").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            c, ids, first = np.stack(left["vec"].to_numpy()), left["cid"].to_numpy(), left["first"].to_numpy()
-            q, qid = np.stack(right["vec"].to_numpy()), right["qid"].to_numpy()
+            c, ids, first, at, tree = np.stack(left["vec"].to_numpy()), left["cid"].to_numpy(), left["first"].to_numpy(), np.stack(left["leaves"].to_numpy()), int(left["tree"].iloc[0])
+            q, qid, bits = np.stack(right["vec"].to_numpy()), right["qid"].to_numpy(), right["taken"].to_numpy()
             for lo in range(0, len(q), 256):
                 s = q[lo : lo + 256] @ c.T
+                taken = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in bits[lo : lo + 256]]), axis=1).astype(bool)
+                for t in range(tree):  # an earlier tree has shown these
+                    s[taken[:, at[:, t]]] = -np.inf
                 for j in range(len(s)):
-                    if len(ids) > k + 1:
+                    near = np.flatnonzero(s[j] > -np.inf)
+                    if len(near) > k + 1:
                         least = np.partition(s[j], len(ids) - k - 1)[len(ids) - k - 1]
-                        near = np.nonzero(s[j] >= least - 1e-9 * max(1.0, abs(least)))[0]
-                    else:
-                        near = np.arange(len(ids))
+                        near = np.flatnonzero(s[j] >= least - 1e-9 * max(1.0, abs(least)))
                     exact = (c[near] * q[lo + j]).sum(axis=1)
                     best = np.lexsort((first[near], -exact))[: k + 1]
                     out.append((np.full(len(best), qid[lo + j]), ids[near[best]], exact[best]))
@@ -182,9 +199,10 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
         return pd.DataFrame({"qid": np.asarray(a, np.int64), "cid": np.asarray(b, np.int64), "score": np.asarray(s, float)})
 
     found = indexed.groupBy("leaf", "block").cogroup(asking.groupBy("leaf", "block")).applyInPandas(rank, "qid bigint, cid bigint, score double")
-    found = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(classes.select("cid", "ids"), "cid")
-    # each query class: the k + 1 best rows of all its classes
-    best = found.groupBy("qid").agg(F.collect_list(F.struct("score", "ids")).alias("c"))
+    # of each query class the k + 1 best classes, pruned before and after the exchange; a class counts with its smallest id
+    found = found.join(classes.select("cid", F.col("ids")[0].alias("first")), "cid")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k + 1)
+    best = best.join(classes.select("cid", "ids"), "cid").groupBy("qid").agg(F.collect_list(F.struct("score", "ids")).alias("c"))
     best = best.select("qid", F.expr(f"slice(array_sort(flatten(transform(c, x -> transform(x.ids, i -> named_struct('d', -x.score, 'vec_id', i))))), 1, {k + 1})").alias("c"))
     best = stored(best, "nearest")
     rows = asked.join(best, "qid").select("query_id", F.expr("transform(c, x -> x.vec_id)").alias("ids"), "c")
