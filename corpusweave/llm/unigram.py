@@ -6,11 +6,15 @@ at one place the one that starts first stays (the longest). A character that no
 lowest score less 10; neighbouring unknowns count as one. Spaces become U+2581, one is put before the text, and pieces never
 cross the start of a word, so words are counted once and remembered (at most WORDS of them in a task).
 
-Null and empty texts have no tokens. Whole texts of any length are walked word by word.
+Null and empty texts have no tokens; no rows give no rows, and repeated rows each their own. Whole texts of any length are
+walked word by word, and a word of any length (only U+0020 ends one) with states for as many characters as the longest piece
+has. Columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,32 +29,37 @@ class Counter:
     def __init__(self, vocabulary: list[tuple[str, float]]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.longest = ahocorasick.Automaton(), 1
         for piece, score in vocabulary[1:]:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
+                self.longest = max(self.longest, len(piece))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - 10.0
         self.seen: dict[str, int] = {}
 
     def word(self, w: str) -> int:
-        """Pieces of one word, without memory."""
-        n = len(w)
-        best, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        by_end: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(w):
-            by_end[end].append(match)
-        for e, matches in enumerate(by_end, 1):
-            top, single = None, False
-            matches.sort(reverse=True)  # the first start comes first
-            for size, score in matches:
-                single |= size == 1
-                if top is None or best[e - size] + score > top:
-                    top, count[e], unk[e] = best[e - size] + score, count[e - size] + 1, False
-            if not single and (top is None or best[e - 1] + self.unknown > top):
-                top, count[e], unk[e] = best[e - 1] + self.unknown, count[e - 1] + (not unk[e - 1]), True
-            best[e] = top
-        return count[n]
+        """Pieces of one word, without memory of words. States are kept in a ring as long as the longest piece."""
+        m = self.longest + 1
+        best, count, unk = [0.0] * m, [0] * m, [False] * m
+        e, matches = 0, []
+        for end, match in chain(self.automaton.iter(w), ((len(w), None),)):
+            while e < end:  # all matches that end at character e are known
+                e += 1
+                top, single, at = None, False, e % m
+                matches.sort(reverse=True)  # the first start comes first
+                for size, score in matches:
+                    single |= size == 1
+                    k = (e - size) % m
+                    if top is None or best[k] + score > top:
+                        top, pieces, strange = best[k] + score, count[k] + 1, False
+                k = (e - 1) % m
+                if not single and (top is None or best[k] + self.unknown > top):
+                    top, pieces, strange = best[k] + self.unknown, count[k] + (not unk[k]), True
+                best[at], count[at], unk[at] = top, pieces, strange
+                matches = []
+            matches.append(match)
+        return count[e % m]
 
     def text(self, text: str) -> int:
         if not text:
