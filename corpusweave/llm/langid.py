@@ -7,13 +7,19 @@ corrected for the false positives that its own share of set slots lets one expec
 Training sees documents with a text and a language whose crc32(id) mod 5 is not 0, of them about SAMPLE a language, chosen
 by a hash of the id. An n-gram counts as contained in a language if at least MIN_SHARE of the language's sampled documents
 have it, and at least RELATIVE of the share in the language that has it most. Prediction uses the whole text and nothing
-else. The table has 2^BITS slots whatever the input.
+else. The table has 16 slots for each n-gram that any language contains, 2^MOST_BITS at most; how many a language contains
+depends on MIN_SHARE and not on the number of documents, so the table doesn't grow with them.
+
+Texts that are null or have no letter are UNKNOWN; no rows give no rows, equal texts equal results, and languages of equal
+counts the first by name. Without labelled texts there is no language and all is UNKNOWN. A text of any length is one array
+of its n-grams, 8 bytes each for each of SIZES. Other columns may have any names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +29,7 @@ from .common import stored
 SAMPLE = 1500
 #: Lengths of n-grams, in characters; a run of anything but letters is one space.
 SIZES = (2, 3, 4)
-BITS, HASHES = 20, 2
+MOST_BITS, HASHES = 24, 2
 MIN_SHARE, RELATIVE = 0.02, 0.25
 UNKNOWN = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -57,7 +63,7 @@ def grams(text: str | None, is_letter: np.ndarray) -> np.ndarray | None:
     return h ^ (h >> np.uint64(27))
 
 
-def slots(h: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
+def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h * m) >> np.uint64(64 - bits)).astype(np.int64) for m in _MIX[:HASHES]]
 
 
@@ -82,27 +88,33 @@ class Filter:
             hits = np.array([((a[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum() for i in range(len(self.langs))], float)
         return np.maximum(0.0, (hits - len(h) * self.wrong) / np.maximum(1e-9, 1 - self.wrong))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of all languages' counts; ('und', 0) without a letter or a trained language."""
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of all languages' counts and of the text's n-grams; ('und', 0, 0) without a letter or a trained language."""
         if not self.langs or (h := grams(text, self.letters)) is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         n = self.counts(h)
         total = n.sum()
         k = int(n.argmax())
-        return self.langs[k], float(n[k] / total) if total else 0.0
+        return self.langs[k], float(n[k] / total) if total else 0.0, float(n[k] / len(h))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, bits: int = BITS) -> Filter:
-    """Ties and repeated rows count as they are; without labelled texts the filter has no language."""
+def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame | None:
+    """(lang, text) of the documents to learn from; None if there are none."""
     ident = F.col(id_col).cast("string")
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(F.crc32(ident.cast("binary")) % 5 != 0, F.lit(True)))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(ident), F.lit(1 << 30)).alias("h"))
     n_docs = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    langs = sorted(n_docs)
-    if not langs:
+    if not n_docs:
+        return None
+    limit = F.create_map(*(F.lit(y) for x in sorted(n_docs) for y in (x, int((1 << 30) * min(1.0, sample / n_docs[x])))))
+    return known.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_bits: int = MOST_BITS) -> Filter:
+    """Ties and repeated rows count as they are; without labelled texts the filter has no language."""
+    chosen = _chosen(docs, id_col, text_col, lang_col, sample)
+    if chosen is None:
         return Filter([], np.zeros((1, 1), np.uint64))
-    limit = F.create_map(*(F.lit(y) for x in langs for y in (x, int((1 << 30) * min(1.0, sample / n_docs[x])))))
-    chosen = known.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         seen: dict[str, list] = {}
@@ -124,7 +136,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     total = F.create_map(*(F.lit(y) for x in langs for y in (x, float(totals[x]))))
     share = counted.where("not total").select("g", number[F.col("lang")].alias("i"), (F.col("n") / total[F.col("lang")]).alias("share"))
     have = share.groupBy("g").agg(F.collect_list(F.struct("i", "share")).alias("by"), F.max("share").alias("top")).where(F.col("top") >= MIN_SHARE)
-    have = have.select("g", F.expr(f"transform(filter(by, x -> x.share >= {MIN_SHARE} and x.share >= {RELATIVE} * top), x -> x.i)").alias("langs"))
+    have = stored(have.select("g", F.expr(f"transform(filter(by, x -> x.share >= {MIN_SHARE} and x.share >= {RELATIVE} * top), x -> x.i)").alias("langs")), "contained")
+    bits = min(most_bits, max(16, (16 * have.count()).bit_length()))
 
     def place(batches):
         for b in batches:
@@ -157,21 +170,51 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
         f = Filter(*sent.value)
         for b in batches:
             found = [f.predict(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Filter, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """docs without the rows that have no letter or whose n-grams no learned language has (score not above `least`)."""
+#: Of the coverage that all but 1 in 1000 training documents of a language reach, the part that a document must have.
+KEEP = 0.5
+
+
+def least_coverage(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, float]:
+    """By language, the share of a text's n-grams that it must contain for the text to be taken as written in it."""
+    chosen = _chosen(docs, id_col, text_col, lang_col, sample)
+    if chosen is None or not model.langs:
+        return {}
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.masks))
-    kept = docs.columns
 
     def run(batches):
         f = Filter(*sent.value)
+        for b in batches:
+            found = [(lang, y[2]) for lang, x in zip(b.column("lang").to_pylist(), b.column("text")) if (y := f.predict(x.as_py()))[0] == lang]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "covered"])
+
+    got = chosen.mapInArrow(run, "lang string, covered double").groupBy("lang").agg(F.percentile_approx("covered", 0.001, 10000).alias("least"))
+    return {r["lang"]: KEEP * r["least"] for r in got.collect()}  # a row a language
+
+
+def keep_known(docs: DataFrame, model: Filter, least: dict[str, float] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that are in no learned language, and with the language found where lang_col (if docs has it) is null.
+
+    A row goes if it has no letter or n-gram of any language, or if the language found contains a smaller share of its
+    n-grams than `least` asks for (see least_coverage): other languages, and junk.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.masks, least or {}))
+    kept = docs.columns
+
+    def run(batches):
+        langs, masks, least = sent.value
+        f = Filter(langs, masks)
         for b in batches:
             found = [f.predict(x.as_py()) for x in b.column(text_col)]
-            yield b.filter(pa.array([x != UNKNOWN and s > least for x, s in found], pa.bool_()))
+            keep = pa.array([x != UNKNOWN and s > 0 and c >= least.get(x, 0.0) for x, s, c in found], pa.bool_())
+            cols = {c: b.column(c) for c in kept}
+            if lang_col in cols:
+                cols[lang_col] = pc.coalesce(cols[lang_col], pa.array([x[0] for x in found], cols[lang_col].type))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), kept).filter(keep)
 
     return docs.select(*kept).mapInArrow(run, docs.schema)
