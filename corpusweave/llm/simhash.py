@@ -199,7 +199,11 @@ SEGMENTS, MINIMA = 11, 5
 #: Rows that are broadcast at most to pick texts out; beyond that they meet by an exchange.
 BROADCAST = 200_000
 #: Slots of the table of shingle counts.
-SLOTS = 1 << 20
+SLOTS = 1 << 22
+#: Groups of hashes by which shingles are counted.
+GROUPS = 32
+#: The largest size of a class of sizes by its least.
+WIDTH_OF_SIZES = 1.05
 
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, SEGMENTS * MINIMA, 1), np.uint64, endpoint=False) | np.uint64(1)
 
@@ -234,17 +238,17 @@ _ALIKE = "least(n, m) >= {s} * greatest(n, m) - 1e-9"
 
 
 def _meet(batches, similar: float, bucket: int):
-    """Of (sig, id, n) sorted by sig and id: each member with the first and the previous one of its signature, and members of those over 3.
+    """Of (sig, id, n) sorted by sig and id: each member with the first of its signature, all pairs of up to 3, and members of those over 3.
 
     Yields (member, x, y, n): pairs (False, a, b, 0) and members (True, sig, id, n). Holds `bucket` rows and a batch at most.
     """
     held, large = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)], None
 
     def out(sig, ids, n, first, before, again):
-        ok, pairs = [], []
-        for i in (first, before):
+        pairs = []
+        for i, use in ((first, True), (before, ~again)):
             near = np.minimum(n, n[i]) >= similar * np.maximum(n, n[i]) - 1e-9
-            near &= (ids != ids[i]) & ((i != first) | (i is first))
+            near &= (ids != ids[i]) & use
             pairs.append(np.stack([np.minimum(ids, ids[i]), np.maximum(ids, ids[i])])[:, near])
         x, y = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(ids) else np.zeros((2, 0), np.int64)
         member = np.repeat([False, True], [len(x), int(again.sum())])
@@ -262,14 +266,12 @@ def _meet(batches, similar: float, bucket: int):
 
     for b in batches:
         now = [b.column(c).to_numpy() for c in ("sig", "id", "n")]
-        if large is not None:  # its first and its last row so far stand before what follows
+        if large is not None:  # its first row stands before what follows
             k = int(np.argmax(np.append(now[0] != large[0][0], True)))
             part = [np.concatenate((x, y[:k])) for x, y in zip(large, now)]
             if k:
                 at = np.arange(len(part[0]))
-                again = at > 1
-                yield out(*part, np.zeros(len(at), np.int64), np.maximum(0, at - 1), again)
-                large = [np.concatenate((x[:1], x[-1:])) for x in part]
+                yield out(*part, np.zeros(len(at), np.int64), at, at > 0)
             now = [x[k:] for x in now]
             large = large if not len(now[0]) else None
         held = [np.concatenate(x) for x in zip(held, now)]
@@ -281,7 +283,7 @@ def _meet(batches, similar: float, bucket: int):
         held = [x[cut:] for x in held]
         if len(held[0]) > bucket:
             yield whole(*held)
-            large = [np.concatenate((x[:1], x[-1:])) for x in held]
+            large = [x[:1] for x in held]
             held = [x[:0] for x in held]
     if len(held[0]):
         yield whole(*held)
@@ -320,34 +322,60 @@ class _Texts:
         return out
 
 
+def _prefixes(words: np.ndarray, counts: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys under which a set must meet every set that may be alike, their sides, and by groups how many of its shingles others have.
+
+    words: its hashes; counts: the table of counts. A set of n meets one of m by an overlap of at least s / (1 + s) (n + m), all of
+    it among the shingles that others have; so in any one order (by count, rarest first) the first of these, but for so many less
+    one, must have one in common. Sizes fall in classes of WIDTH_OF_SIZES, and there are keys for each class that m may be in.
+    """
+    often = counts[words % SLOTS]
+    shared = words[often > 1]
+    shared = shared[np.lexsort((shared, often[often > 1]))]
+    n, step = len(words), np.log(WIDTH_OF_SIZES)
+    own, keys, sides = int(np.log(n) / step + 1e-9), [np.zeros(0, np.int64)], []
+    for other in range(int(np.log(max(1, similar * n)) / step - 1e-9), int(np.log(n / similar) / step + 1e-9) + 1):
+        least = max(np.ceil(WIDTH_OF_SIZES**other - 1e-6), np.ceil(similar * n - 1e-6))
+        k = len(shared) - int(np.ceil(similar / (1 + similar) * (n + least) - 1e-6)) + 1
+        if k > 0:
+            pair = min(own, other) * 4096 + max(own, other) + 1
+            keys.append(shared[:k] ^ np.int64(pair * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF))
+            sides += [2 if other == own else int(other < own)] * len(keys[-1])
+    return np.concatenate(keys), np.array(sides, np.int32), np.bincount((shared >> 32) % GROUPS, minlength=GROUPS).astype(np.int32)
+
+
 def _by_rare_shingles(members: DataFrame, texts: _Texts) -> DataFrame:
-    """Pairs (a, b) of unlike roots among members (id, n, root) that may be alike: all of them, by the prefix filter.
+    """Pairs (a, b) of unlike roots among members (id, n, root) that may be alike: all of them, by the prefix filter (see _prefixes).
 
-    Two sets with a Jaccard index of s or more share one of the first |x| - ceil(s |x|) + 1 elements of each in any one order;
-    the order is by count, rarest first, so texts that only have what many have in common do not meet.
+    Texts that only have what many have in common do not meet, nor do texts with so many shingles of their own that the rest
+    can't reach the overlap asked for: the rest is counted by GROUPS of hashes, and the overlap is at most the sum of the
+    smaller counts.
     """
     spark, similar = members.sparkSession, texts.similar
     members = stored(members.dropDuplicates(["id"]), "members")
     sets = texts.sets(members.select("id"))
     got = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(SLOTS)).alias("k")).agg(F.count("*").alias("n")).toArrow()  # SLOTS rows at most
-    counts = np.zeros(SLOTS, np.int64)
-    counts[got["k"].to_numpy()] = got["n"].to_numpy()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[got["k"].to_numpy()] = np.minimum(got["n"].to_numpy(), 1 << 30)
     sent = spark.sparkContext.broadcast(counts)
 
     def prefix(batches):
         for b in batches:
             for i, words in zip(b.column("id"), b.column("words")):
-                w = words.values.to_numpy()
-                k = len(w) - int(np.ceil(similar * len(w) - 1e-9)) + 1
-                w = w[np.lexsort((w, sent.value[w % SLOTS]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i.as_py(), np.int64)), pa.array(w)], ["id", "w"])
+                keys, sides, own = _prefixes(words.values.to_numpy(), sent.value, similar)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sides], pa.list_(pa.int32())), pa.array([own], pa.list_(pa.int32()))], ["id", "keys", "sides", "own"])
 
-    rare = stored(sets.mapInArrow(prefix, "id bigint, w bigint").join(members, "id"), "prefixes")
+    rare = sets.mapInArrow(prefix, "id bigint, keys array<bigint>, sides array<int>, own array<int>").join(members, "id")
+    rare = stored(rare.select(F.explode(F.arrays_zip("keys", "sides")).alias("x"), "id", "n", "root", "own").select(F.col("x.keys").alias("w"), F.col("x.sides").alias("side"), "id", "n", "root", "own"), "prefixes")
     mixed = rare.groupBy("w").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("w")
-    rare = stored(rare.join(mixed, "w").select("w", "id", "n", "root"), "mixed")
-    other = rare.select("w", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    out = stored(rare.join(other, "w").where("id < b and root <> other").where(_ALIKE.format(s=similar)).select(F.col("id").alias("a"), "b").distinct(), "rare")
-    released(members, sets)
+    mixed = stored(rare.join(mixed, "w"), "mixed")
+    other = mixed.where("side > 0").select("w", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("own").alias("rest"))
+    both = mixed.where("side <> 1").join(other, "w").where("root <> other and (side = 0 or id < b)").where(_ALIKE.format(s=similar))
+    overlap = " + ".join(f"least(own[{k}], rest[{k}])" for k in range(GROUPS))  # spelled out, so that it is compiled
+    both = both.where(f"{overlap} >= {similar / (1 + similar)!r}D * (n + m) - 1e-6")
+    out = stored(both.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "rare")
+    released(members, sets, rare, mixed)
     return out
 
 
@@ -357,9 +385,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Deletion-variant signatures as above, but of a min-hash fingerprint: SimHash bits of two texts at 0.8 differ in about ten
     places of 64, too many for two segments. A fingerprint is SEGMENTS segments of MINIMA minima; each is indexed under its
     variants with one minimum left out, equal signatures meet, and every candidate is verified by the exact Jaccard index of
-    the two sets (of 64-bit hashes). Equal texts are one node. Members of a signature first meet its first member and their
-    neighbour only; then, once what these link is known, pairs that are still apart: all of them in signatures of up to
-    `bucket` members, and in larger ones a member of each signature's own choice, and at last all by their rare shingles.
+    the two sets (of 64-bit hashes). Equal texts are one node. Members of a signature first meet its first member only; then,
+    once what these link is known, pairs that are still apart: all of them in signatures of up to `bucket` members, and in
+    larger ones a member of the component that most are in, and at last all by their rare shingles.
     So copies make no pairs, and unlike texts of one signature none but those that share something rare.
 
     Texts without words, and null, are like none but their equals. Null ids take no part unless an equal text has an id.
@@ -415,7 +443,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         small, big = m.where(F.col("size") <= bucket), m.where(F.col("size") > bucket)
         other = small.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
         more = small.join(other, "sig").where("id < b and root <> other").where(_ALIKE.format(s=similar)).select(F.col("id").alias("a"), "b")
-        chosen = big.groupBy("sig").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("sig", "id")).alias("f"))
+        # of the root that most of a signature's members have
+        own = big.groupBy("sig", "root").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n", "root"), F.xxhash64("sig", "id")).alias("f"))
+        chosen = own.groupBy("sig").agg(F.max_by("f", F.struct("k", "root")).alias("f"))
         by = big.join(chosen, "sig").where("root <> f.root").select(F.least("id", "f.id").alias("a"), F.greatest("id", "f.id").alias("b"), "n", F.col("f.n").alias("m"))
         more = stored(more.union(by.where(_ALIKE.format(s=similar)).select("a", "b")).distinct(), "pairs")
         edges = edges.unionByName(texts.verified(more))
