@@ -173,20 +173,20 @@ def contexts(texts: DataFrame) -> DataFrame:
 
 
 def _holders(ctx: DataFrame) -> DataFrame:
-    """(doc_key, entity, w, mark): the entities of each text, with the words of all texts that hold them.
+    """(doc_key, entity, w, k, mark): the entities of each text, with the words and the number of all texts that hold them.
 
-    Entities of the same texts are one, named by their number and hashes; all of a kind are "kind:<kind>" beside, where mark
-    tells the text's own entities of the kind from others.
+    Entities of the same texts are one, named by their number and hashes; all of a kind are "kind:<kind>" beside (k is null),
+    where mark tells the text's own entities of the kind from others.
     """
     own = stored(ctx.select("doc_key", F.col("words").alias("w"), F.explode("entities").alias("entity")), "entities")
     names = own.groupBy("entity").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_key))").alias("x1"), F.expr("bit_xor(xxhash64(doc_key, 1))").alias("x2"))
-    named = names.select("entity", F.concat_ws(":", F.lit("set"), "n", F.hex("x1"), F.hex("x2")).alias("name"), "w")
-    sets = own.drop("w").join(named, "entity").select("doc_key", F.col("name").alias("entity"), "w", F.lit(0).cast("bigint").alias("mark")).distinct()
+    named = names.select("entity", F.concat_ws(":", F.lit("set"), "n", F.hex("x1"), F.hex("x2")).alias("name"), "w", F.col("n").alias("k"))
+    sets = own.drop("w").join(named, "entity").select("doc_key", F.col("name").alias("entity"), "w", "k", F.lit(0).cast("bigint").alias("mark")).distinct()
     kinds = own.groupBy("doc_key", "w", F.concat(F.lit("kind:"), F.substring_index("entity", ":", 1)).alias("kind")).agg(F.expr("bit_xor(xxhash64(entity))").alias("mark"))
     totals = {r["kind"]: r["w"] for r in kinds.groupBy("kind").agg(F.sum("w").alias("w")).collect()}  # a row a kind
     if totals:
         kinds = kinds.withColumn("w", F.create_map(*(F.lit(y) for x in totals.items() for y in x))[F.col("kind")])
-    return sets.unionByName(kinds.withColumnRenamed("kind", "entity"))
+    return sets.unionByName(kinds.withColumnRenamed("kind", "entity").withColumn("k", F.lit(None).cast("bigint")))
 
 
 def _term_counts(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
@@ -221,18 +221,28 @@ def _term_counts(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
-    """(entity, term, action) of the terms that disclose an entity of `held` (see _holders); action: generalise or remove."""
-    terms = held.join(ctx.select("doc_key", F.explode("terms").alias("x")), "doc_key").select("entity", "w", "mark", "x.*")
+def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, most_words: float, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
+    """(entity, term, action) of the terms that disclose an entity of `held` (see _holders); action: generalise or remove.
+
+    most_words: no fewer than all words of the texts. With it, and with the term's sightings in texts that hold any entity, a
+    pair that can't reach `generalise` goes before the terms of all texts are counted.
+    """
+    each = ctx.select("doc_key", F.explode("terms").alias("x"))
+    seen = each.groupBy("x.term").agg(F.sum("x.n").alias("least_n"))
+    two = (F.col("p0") < F.col("p1")) & (F.col("q0") < F.col("q1"))
+    # what a single text holds in one place is no evidence, and goes before anything is shuffled by term
+    terms = held.join(each, "doc_key").select("entity", "w", "k", "mark", "x.*").where(F.coalesce(F.col("k") > 1, F.lit(True)) | two)
     ends = (f(c).alias(c) for f, c in ((F.min, "p0"), (F.max, "p1"), (F.min, "q0"), (F.max, "q1")))
     pairs = terms.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("w").alias("w"), *ends, F.min("mark").alias("m0"), F.max("mark").alias("m1"))
     pooled = F.col("entity").startswith("kind:")
-    pairs = stored(pairs.where(F.when(pooled, F.col("m0") < F.col("m1")).otherwise((F.col("p0") < F.col("p1")) & (F.col("q0") < F.col("q1")))).select("entity", "term", "n_te", "w"), "pairs")
+    prior = F.when(pooled, PRIOR).otherwise(0.0)
+    pairs = pairs.where(F.when(pooled, F.col("m0") < F.col("m1")).otherwise(two)).select("entity", "term", "n_te", "w").join(seen, "term")
+    can = F.greatest(F.lit(0.0), F.log(F.lit(most_words) / F.col("w"))) * (1 - generalise) + F.log((F.col("n_te") + prior) / (F.col("least_n") + prior))
+    pairs = stored(pairs.where(can >= -1e-9).drop("least_n"), "pairs")
     counts = stored(_term_counts(texts, pairs, bits), "terms")
     n = float(counts.where("term is null").agg(F.sum("n")).first()[0] or 1)
     both = pairs.join(counts, "term")
     part = F.col("w") / F.lit(n)
-    prior = F.when(pooled, PRIOR).otherwise(0.0)
     ic = -F.log(part)
     pmi = ic + F.log((F.col("n_te") + prior * part) / (F.col("n") + prior))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)
@@ -244,7 +254,8 @@ def _term_spans(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
     texts = distinct_texts(docs, text_col)
     ctx = stored(contexts(texts), "contexts")
     held = stored(_holders(ctx), "holders")
-    bad = stored(revealing(texts, ctx, held, **how), "revealing")
+    chars, n = docs.agg(F.sum(F.length(text_col)), F.count("*")).first()  # a word has three letters and something after it
+    bad = stored(revealing(texts, ctx, held, (chars or 0) / 4 + n + 1.0, **how), "revealing")
     own = ctx.select("doc_key", F.explode("terms.term").alias("term"))
     hit = held.select("doc_key", "entity").join(bad, "entity").join(own, ["doc_key", "term"]).groupBy("doc_key", "term").agg(F.max("action").alias("action"))
     hit = stored(hit.groupBy("doc_key").agg(F.collect_list("term").alias("terms"), F.collect_list("action").alias("actions")), "hits")
