@@ -169,10 +169,13 @@ def file_tags(path: Column) -> Column:
     return unique_sorted(F.concat(own, tag_tokens(path), tag_tokens(base), role_tags(path)))
 
 
-def fnv_fold(token: Column) -> Column:
+def fnv_fold(token: Column, ascii_only: bool = False) -> Column:
     """64-bit FNV-1a of the bytes, folded to 32 bits by xor; two 32-bit limbs, since bigint overflow is an error."""
-    hx = F.hex(F.encode(token, "utf-8"))
-    codes = F.transform(F.sequence(F.lit(0), F.octet_length(token) - 1), lambda i: F.conv(F.substring(hx, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+    if ascii_only:
+        codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))).cast("bigint"))
+    else:
+        hx = F.hex(F.encode(token, "utf-8"))
+        codes = F.transform(F.sequence(F.lit(0), F.octet_length(token) - 1), lambda i: F.conv(F.substring(hx, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
     full = F.lit(0xFFFFFFFF).cast("bigint")
 
     def step(s, b):

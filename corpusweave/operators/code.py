@@ -32,7 +32,7 @@ _FUNCTIONS = {
     "go": (r"^func\s+(?P<recv>\([^)]*\))?\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\(",),
     "javascript": (r"\bfunction\s*\*?\s+(?P<name>[\w$]+)\s*\(", r"\b(?:const|let)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n{]+)?=>", r"^[ \t]+(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?(?P<name>[\w$]+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^{};\n]+)?\{"),
     "csharp": (r"^[ \t]*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract|partial|extern|unsafe|new)\s+)+[\w<>\[\],.?\s]+?\s(?P<name>\w+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?:where[^{;]*)?(?:\{|=>|;)",),
-    "php": (r"\bfunction\s+&?(?P<name>\w+)\s*\(",),
+    "php": (r"(?:\b(?:public|private|protected|static|abstract|final)\s+)*\bfunction\s+&?(?P<name>\w+)\s*\(",),
 }
 _TYPES = {
     "go": r"^\s*(?:type\s+)?(?P<name>\w+)\s+(?:struct|interface)\s*\{|^type\s+(?P<alias>\w+)\s",
@@ -53,23 +53,76 @@ def _blanked(src: str, lang: str) -> str:
     return re.sub(_BLANK[lang], lambda m: re.sub(r"[^\n]", " ", m[0]), src, flags=re.S)
 
 
+_PAIRS = {"{": "}", "(": ")", "[": "]"}
+
+
+def _match(code: str, at: int) -> int:
+    """Behind the bracket that closes the one at `at`."""
+    opens, depth = code[at], 0
+    for m in re.compile(f"[{re.escape(opens + _PAIRS[opens])}]").finditer(code, at):
+        depth += 1 if m[0] == opens else -1
+        if not depth:
+            return m.end()
+    return len(code)
+
+
+def _body(code: str, at: int, lang: str) -> int | None:
+    """The brace that opens a function's body behind its parameters; braces of a result type are passed over. None without a body."""
+    k = at
+    while k < len(code):
+        ch = code[k]
+        if ch == "{":
+            before = code[at:k].rstrip()
+            if lang == "go":
+                literal = re.search(r"\b(?:interface|struct)$", before)
+            else:
+                literal = before and (before[-1] in ":|&<," or before.endswith("=>"))
+            if not literal:
+                return k
+            k = _match(code, k)
+        elif ch in "([":
+            k = _match(code, k)
+        elif ch in ";}" or ch == "\n" and lang == "go":
+            return None
+        else:
+            k += 1
+    return None
+
+
 def _close(code: str, at: int) -> int:
     """The end of the block that starts at or after `at`, or of the statement, if that comes first."""
-    depth, k = 0, at
+    k = at
     while k < len(code):
         ch = code[k]
-        if ch in "{(":
-            depth += 1
-        elif ch in "})":
-            depth -= 1
-            if depth <= 0 and ch == "}":
-                return k + 1
-        elif ch == ";" and depth == 0:
-            return k + 1
+        if ch == "{":
+            return _match(code, k)
+        if ch in "([":
+            k = _match(code, k)
+            continue
+        if ch in ";}":
+            return k + (ch == ";")
         k += 1
     return len(code)
 
 
+def _end(code: str, m: re.Match, lang: str) -> int:
+    """The end of the function that a pattern has found."""
+    found = m[0]
+    if found.endswith(";"):
+        return m.end()
+    if found.endswith("=>"):
+        k = m.end() + len(code[m.end() :]) - len(code[m.end() :].lstrip())
+        return _match(code, k) if code[k : k + 1] == "{" else _close(code, k)
+    if lang == "csharp":
+        return _match(code, m.end() - 1)
+    behind = _match(code, code.index("(", m.end("name")))
+    body = _body(code, behind, lang)
+    if body is None:  # a declaration alone
+        line = code.find("\n", behind)
+        return len(code) if line < 0 else line
+    return _match(code, body)
+
+
 def _unique(refs) -> list[dict]:
     return [{"raw_path": p, "alias": a} for p, a in dict.fromkeys((p, a) for p, a in refs if p)]
 
@@ -138,8 +191,7 @@ def parse(path: str, src: str) -> dict:
         for pattern in _FUNCTIONS[key]:
             for m in re.finditer(pattern, code, re.M):
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
-                body = m.end() - 1 if m[0].endswith(("{", "(", ";")) else m.end()
-                end = body + 1 if m[0].endswith(";") else _close(code, body)
+                end = _end(code, m, key)
                 recv = m.groupdict().get("recv") or ""
                 own = re.sub(r"[()*\[\]{}]", " ", recv).split()
                 inside = [s for s in spans if s[0] <= start < s[1]]

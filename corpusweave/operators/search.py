@@ -50,24 +50,50 @@ def fuse(hits: DataFrame) -> DataFrame:
     )
 
 
+#: What each shared value, each token within a field, and each condition adds to a score.
+SHARED = {"tags": ("tag-match", 0.25), "frameworks": ("framework-match", 0.45), "layers": ("layer-match", 0.45), "symbols": ("symbol-match", 0.9)}
+WITHIN = {"name": ("name", 0.4), "container": ("container", 0.35), "namespace": ("namespace", 0.25), "relative_path": ("path", 0.15)}
+IF_TEST, IF_PREFIX, IF_EXACT, FRESH = 0.75, 0.5, 0.75, 0.15
+
+
+def _conditions(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
+    """By reason, whether a point gets it and what it adds."""
+    fresh = (c["max_modified"] > 0) & (c["modified"] > 0)
+    return {
+        "intent:test": (c["prefer_tests"] & c["is_test"], F.lit(IF_TEST)),
+        "path-prefix": ((c["prefix"] != "") & F.contains(F.lower(c["relative_path"]), F.lower(c["prefix"])), F.lit(IF_PREFIX)),
+        "freshness": (fresh, c["modified"] / c["max_modified"] * FRESH),
+        "intent:exact": (c["prefer_exact"] & (F.size(F.array_intersect(c["symbols"], c["point_symbols"])) > 0), F.lit(IF_EXACT)),
+    }
+
+
+def _found(c: dict[str, Column], field: str) -> Column:
+    return F.filter(c["tokens"], lambda t: F.contains(F.lower(c[field]), t))
+
+
 def boost(c: dict[str, Column]) -> Column:
     """What a point's payload adds to its score, given its query's intent; c: the columns by role."""
+    parts = [w * F.size(F.array_intersect(c[k], c[f"point_{k}"])) for k, (_, w) in SHARED.items()]
+    parts += [w * F.size(_found(c, k)) for k, (_, w) in WITHIN.items()]
+    parts += [F.when(F.coalesce(on, F.lit(False)), w).otherwise(0.0) for on, w in _conditions(c).values()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out + x
+    return out
 
-    def shared(a, b):
-        return F.size(F.array_intersect(c[a], c[b]))
 
-    def within(field):
-        return F.aggregate(c["tokens"], F.lit(0.0), lambda s, t: s + F.when(F.contains(F.lower(c[field]), t), 1.0).otherwise(0.0))
+def _prefixed(prefix: str, words: Column) -> Column:
+    return F.transform(words, lambda t: F.concat(F.lit(prefix), t))
 
-    symbols = shared("symbols", "point_symbols")
-    return (
-        0.25 * shared("tags", "point_tags") + 0.45 * shared("frameworks", "point_frameworks") + 0.45 * shared("layers", "point_layers") + 0.9 * symbols
-        + 0.4 * within("name") + 0.35 * within("container") + 0.25 * within("namespace") + 0.15 * within("relative_path")
-        + F.when(c["prefer_tests"] & c["is_test"], 0.75).otherwise(0.0)
-        + F.when((c["prefix"] != "") & F.contains(F.lower(c["relative_path"]), F.lower(c["prefix"])), 0.5).otherwise(0.0)
-        + F.when(c["max_modified"] > 0, c["modified"] / c["max_modified"] * 0.15).otherwise(0.0)
-        + F.when(c["prefer_exact"] & (symbols > 0), 0.75).otherwise(0.0)
-    )
+
+def reasons(c: dict[str, Column]) -> Column:
+    """Why: a sorted list, such as symbol-match:2, name:order, intent:test."""
+    n = {name: F.size(F.array_intersect(c[k], c[f"point_{k}"])) for k, (name, _) in SHARED.items()}
+    lists = [F.when(x > 0, F.array(F.concat(F.lit(f"{name}:"), x.cast("string")))) for name, x in n.items()]
+    lists += [_prefixed(f"{name}:", _found(c, k)) for k, (name, _) in WITHIN.items()]
+    lists += [F.when(on, F.array(F.lit(name))) for name, (on, _) in _conditions(c).items()]
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in lists))))
 
 
 def best(ranked: DataFrame, k: int = FINAL) -> DataFrame:
@@ -99,12 +125,32 @@ def heading() -> Column:
     return F.concat(start, body, tail)
 
 
-def render(hits: DataFrame, query: str, tags: list[str], n_variants: int) -> str:
+#: Fixed output text: the line for no hits and the title.
+NO_HITS = "No relevant structural code blocks or reference components were found matching your query scope."
+TITLE = '### Core Codebase Reference Snippets for: "{}"'
+
+
+def intent_line(intent_: dict, branch: str, n_variants: int) -> str:
+    """What the query was taken to mean; lists that are empty are left out."""
+    def listed(xs):
+        return "`" + "`, `".join(xs) + "`"
+
+    parts = [f"Search intent: tags={listed(intent_['tags'])}"]
+    parts += [f"{k}={listed(intent_[k])}" for k in ("frameworks", "layers") if intent_[k]]
+    parts += [f"branch=`{branch}`"] if branch else []
+    return " | ".join([*parts, f"variants={n_variants}"])
+
+
+def render(hits: DataFrame, query: str, intent_: dict, n_variants: int, branch: str = "") -> str:
     """Markdown of the few best hits of one query (a bounded result)."""
-    rows = hits.orderBy("position").withColumn("heading", heading()).collect()
+    rows = hits.orderBy("position").withColumn("heading", heading()).withColumn("fence", text.language_label(F.col("relative_path"))).collect()
     if not rows:
-        return "No relevant structural code blocks or reference components were found matching your query scope."
-    out = [f'### Core Codebase Reference Snippets for: "{query}"\n', f"Search intent: tags=`{'`, `'.join(tags)}` | variants={n_variants}\n"]
+        return NO_HITS
+    out = [TITLE.format(query), "", intent_line(intent_, branch, n_variants), ""]
     for r in rows:
-        out += [r["heading"], f"Tags: `{'`, `'.join(r['tags'])}`" if r["tags"] else "", "```\n" + r["content"].rstrip("\n") + "\n```\n"]
-    return "\n".join(x for x in out if x)
+        out.append(r["heading"])
+        out += [f"Namespace: `{r['namespace']}`"] if r["namespace"] else []
+        out += [f"{label}: `{'`, `'.join(r[k])}`" for label, k in (("Tags", "tags"), ("Signals", "reasons")) if r[k]]
+        content = r["content"] or ""
+        out += [f"```{r['fence']}", content.removesuffix("\n"), "```", ""]
+    return "\n".join([*out, ""])

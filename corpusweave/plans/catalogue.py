@@ -119,9 +119,16 @@ def size_guard(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", n.alias("n_bytes")).where("n_bytes between 1 and 8192")
 
 
-@_query(f"SELECT relative_path, CASE WHEN extension IN {tables.CODE} THEN 'code' WHEN extension IN {tables.DOCUMENTS} THEN 'document' ELSE 'raw' END AS kind FROM ({_DUCK_FILES})")
+_ANY_EXT = "element_at({}('go', 'js', 'py', 'md', 'pdf', 'bin', 'CS', 'tsx', 'json', 'docx', 'csv', 'php', 'txt', ''), CAST(doc_id % 14 + 1 AS INT))"
+_ANY_PATH = "source || '/f' || CAST(doc_id AS {}) || CASE WHEN doc_id % 14 = 13 THEN '' ELSE '.' || {} END"
+_DUCK_EXT = "(['go', 'js', 'py', 'md', 'pdf', 'bin', 'CS', 'tsx', 'json', 'docx', 'csv', 'php', 'txt', ''])[CAST(doc_id % 14 + 1 AS INT)]"
+
+
+@_query(f"SELECT relative_path, e AS extension, CASE WHEN e IN {tables.CODE} THEN 'code' WHEN e IN {tables.DOCUMENTS} THEN 'document' ELSE 'raw' END AS kind FROM (SELECT {_ANY_PATH.format('VARCHAR', _DUCK_EXT)} AS relative_path, lower({_DUCK_EXT}) AS e FROM documents)")
 def route_kind(spark, sf):
-    return files(spark, sf).select("relative_path", text.file_kind(text.extension(F.col("relative_path"))).alias("kind"))
+    f = _table(spark, sf, "documents").selectExpr(_ANY_PATH.format("STRING", _ANY_EXT.format("array")) + " AS relative_path")
+    e = text.extension(F.col("relative_path"))
+    return f.select("relative_path", e.alias("extension"), text.file_kind(e).alias("kind"))
 
 
 @_query(f"SELECT relative_path, branch FROM ({_DUCK_CORPUS}) WHERE extension IN ('md', 'csv') AND starts_with(relative_path, 'src3/en/') AND branch = 'main'")
@@ -193,16 +200,27 @@ def noisy_lines(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.sha2(text.drop_noisy_lines(F.col("text")), 256).alias("h"))
 
 
-@_query()
+def _merged(e: str) -> str:
+    """Runs of lines that aren't blank as one line, by a fold over the trimmed lines."""
+    empty = "CAST([] AS VARCHAR[])"
+    lines = f"list_transform({_lines(e)}, lambda l: {{'o': {empty}, 'c': '', 'x': l}})"
+    step = "lambda s, r: CASE WHEN r.x = '' THEN {'o': CASE WHEN s.c <> '' THEN list_concat(s.o, [s.c, '']) ELSE list_append(s.o, '') END, 'c': '', 'x': ''} ELSE {'o': s.o, 'c': CASE WHEN s.c = '' THEN r.x ELSE s.c || ' ' || r.x END, 'x': ''} END"
+    return f"list_reduce(list_prepend({{'o': {empty}, 'c': '', 'x': ''}}, {lines}), {step})"
+
+
+_JOINED = "array_to_string(CASE WHEN r.c <> '' THEN list_append(r.o, r.c) ELSE r.o END, chr(10))"
+# every third text gets blank lines, noise and returns, which the table has none of
+_PARAGRAPHS = "CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.' || chr(13) || chr(10) || chr(13) || chr(10) || ' -- == 1 ' || chr(10)) || chr(10) ELSE text END"
+
+
+@_query(f"SELECT doc_id, sha256({_JOINED}) AS h FROM (SELECT doc_id, {_merged('t')} AS r FROM (SELECT doc_id, {_PARAGRAPHS} AS t FROM documents))")
 def soft_breaks(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.sha2(text.merge_soft_breaks(F.col("text")), 256).alias("h"))
+    return _table(spark, sf, "documents").select("doc_id", F.sha2(text.merge_soft_breaks(F.expr(_PARAGRAPHS)), 256).alias("h"))
 
 
-@_query(f"SELECT doc_id, sha256({_trim(f'''array_to_string(list_filter(string_split({_noisy(_NEW)}, chr(10)), lambda x: true), ' ')''')}) AS h FROM documents WHERE NOT regexp_matches({_noisy(_NEW)}, '\\n\\n|^\\n|\\n$') AND text <> ''")
+@_query(f"SELECT doc_id, sha256({_trim(_JOINED)}) AS h FROM (SELECT doc_id, {_merged('t')} AS r FROM (SELECT doc_id, {_noisy(_NEW)} AS t FROM (SELECT doc_id, {_PARAGRAPHS} AS text FROM documents)))")
 def clean_text(spark, sf):
-    d = _table(spark, sf, "documents").where("text <> ''")
-    kept = text.drop_noisy_lines(text.normalize_newlines(F.col("text")))
-    return d.where(~kept.rlike(r"\n\n|^\n|\n\z")).select("doc_id", F.sha2(text.clean_text(F.col("text")), 256).alias("h"))
+    return _table(spark, sf, "documents").select("doc_id", F.sha2(text.clean_text(F.expr(_PARAGRAPHS)), 256).alias("h"))
 
 
 @_query(
@@ -253,9 +271,9 @@ def path_tokens(spark, sf):
     return _table(spark, sf, "pages").select("page_id", F.array_join(text.tag_tokens(F.col("url")), ",").alias("tags"))
 
 
-@_query(f"SELECT item_id, array_to_string(regexp_split_to_array(regexp_replace(replace(initcap_, ' ', ''), '{text.CAMEL}', '\\1 \\2', 'g'), '\\s+'), '|') AS words FROM (SELECT item_id, array_to_string(list_transform(string_split(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 60), ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS initcap_ FROM benchmark)")
+@_query(f"SELECT item_id, array_to_string(regexp_split_to_array(regexp_replace(replace(initcap_, ' ', ''), '{text.CAMEL}', '\\1 \\2', 'g'), '\\s+'), '|') AS words FROM (SELECT item_id, array_to_string(list_transform(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS initcap_ FROM benchmark)")
 def camel_split(spark, sf):
-    name = F.array_join(F.transform(F.split(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 60), " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))), "")
+    name = F.array_join(F.transform(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
     return _table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.regexp_replace(name, F.lit(text.CAMEL), F.lit("$1 $2")), r"\s+", "|").alias("words"))
 
 
@@ -302,13 +320,13 @@ def file_tags(spark, sf):
 
 
 # intent
-_Q = "SELECT conv_id * 100 + turn AS query_id, substr(text, 1, 80) || CASE conv_id % 4 WHEN 0 THEN ' UserService tests' WHEN 1 THEN ' pkg/order_api.go' WHEN 2 THEN ' with pytest' ELSE '' END AS query FROM conversations WHERE role = 'user'"
+_Q = "SELECT conv_id * 100 + turn AS query_id, text || CASE conv_id % 4 WHEN 0 THEN ' UserService tests' WHEN 1 THEN ' pkg/order_api.go' WHEN 2 THEN ' with pytest' ELSE '' END AS query FROM conversations WHERE role = 'user'"
 _CANDS = f"flatten(list_transform(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_./-]*'), lambda m: {_variants('m')}))"
 
 
 def user_queries(spark: SparkSession, sf: str) -> DataFrame:
     c = _table(spark, sf, "conversations").where("role = 'user'")
-    return c.selectExpr("conv_id * 100 + turn AS query_id", "substr(text, 1, 80) || CASE conv_id % 4 WHEN 0 THEN ' UserService tests' WHEN 1 THEN ' pkg/order_api.go' WHEN 2 THEN ' with pytest' ELSE '' END AS query")
+    return c.selectExpr("conv_id * 100 + turn AS query_id", "text || CASE conv_id % 4 WHEN 0 THEN ' UserService tests' WHEN 1 THEN ' pkg/order_api.go' WHEN 2 THEN ' with pytest' ELSE '' END AS query")
 
 
 _EXACT = "regexp_matches(query, '[/._]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]')"
@@ -375,10 +393,10 @@ def sparse_search(spark, sf):
 
 def _dense_hits(spark, sf, k=vectors.CANDIDATES):
     e = _table(spark, sf, "embeddings")
-    return vectors.dense_search(e.select("vec_id", F.col("embedding").alias("dense")), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "vec_id", "query_id", k)
+    return vectors.dense_search(e.select("vec_id", F.col("embedding").alias("dense")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "vec_id", "query_id", k)
 
 
-_DENSE = "SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 40"
+_DENSE = "SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 40"
 
 
 @_query(_DENSE)
@@ -386,13 +404,13 @@ def dense_search(spark, sf):
     return _dense_hits(spark, sf)
 
 
-_HYBRID = f"SELECT query_id, point_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS INTEGER) AS rank FROM (SELECT query_id, point_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, vec_id AS point_id, rank FROM ({_DENSE}) UNION ALL SELECT item_id, doc_id, rank FROM ({_SPARSE}) WHERE item_id < 5) GROUP BY ALL)) WHERE rank <= 40"
+_HYBRID = f"SELECT query_id, point_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS INTEGER) AS rank FROM (SELECT query_id, point_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, vec_id AS point_id, rank FROM ({_DENSE}) UNION ALL SELECT item_id, doc_id, rank FROM ({_SPARSE})) GROUP BY ALL)) WHERE rank <= 40"
 
 
 @_query(_HYBRID)
 def hybrid_rrf(spark, sf):
     dense = _dense_hits(spark, sf).withColumnRenamed("vec_id", "point_id")
-    sparse = _sparse_hits(spark, sf).where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("point_id"), "rank")
+    sparse = _sparse_hits(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("point_id"), "rank")
     return vectors.rrf([dense, sparse], "query_id", "point_id")
 
 
@@ -410,21 +428,54 @@ def variant_fusion(spark, sf):
     return search.fuse(_variant_hits(spark, sf)).select("query_id", "point_id", F.round("fused", 6).alias("fused"), "point_score", F.array_join("reasons", ",").alias("reasons"))
 
 
-_BOOST = f"""SELECT f.query_id, f.point_id, f.point_score, round(fused + 0.25 * len(list_intersect(list_distinct({_tokens('query')}), list_distinct({_tokens('relative_path')}))) + 0.45 * len(list_intersect(list_distinct({_roles('query')}), list_distinct({_roles('relative_path')})))
- + 0.15 * len(list_filter(list_distinct({_tokens('query')}), lambda t: contains(lower(relative_path), t))) + CASE WHEN contains(relative_path, 'src1') THEN 0.5 ELSE 0 END + modified / max_modified * 0.15, 6) AS score
- FROM (SELECT *, max(modified) OVER (PARTITION BY query_id) AS max_modified FROM (SELECT f.*, d.relative_path, d.modified, 'en md doc_1 src1 src3 service ' || f.query_id AS query FROM ({_FUSED}) f JOIN ({_DUCK_FILES}) d ON d.doc_id = f.point_id)) f"""
+_ASK = "'where is doc_1 of src1 service' || CASE WHEN query_id % 2 = 0 THEN ' tested with pytest' ELSE '' END || CASE WHEN query_id % 3 = 0 THEN ' in en' ELSE ' and OrderStore' END"
+# a point's payload by columns of its document; the expressions are the same in Spark and DuckDB
+_PAYLOAD = {
+    "name": "CASE WHEN doc_id % 3 = 0 THEN 'ServiceDoc' ELSE 'load' END", "container": "CASE WHEN doc_id % 4 = 0 THEN 'OrderStore' ELSE '' END", "namespace": "'app.' || lang",
+    "framework": "CASE WHEN doc_id % 5 < 2 THEN 'pytest' ELSE 'django' END", "is_test": "doc_id % 7 < 3",
+}
+_HITS = f"SELECT f.*, d.* EXCLUDE (content), {_ASK} AS query FROM ({_FUSED}) f JOIN (SELECT f.*, {', '.join(f'{v} AS {k}' for k, v in _PAYLOAD.items())} FROM ({_DUCK_FILES.replace('FROM documents', ', source, lang FROM documents')}) f) d ON d.doc_id = f.point_id"
+_OF_QUERY = f"SELECT query_id, list_distinct({_TAGS}) AS tags, list_distinct({_CANDS}) AS symbols, list_distinct({_frameworks('lower(query)')}) AS frameworks, list_distinct({_roles('query')}) AS layers, {_EXACT} AS exact FROM (SELECT DISTINCT query_id, query FROM ({_HITS}))"
+_OF_POINT = f"SELECT *, max(modified) OVER (PARTITION BY query_id) AS max_modified, list_distinct({_tokens('relative_path')}) AS p_tags, list_distinct({_roles('relative_path')}) AS p_layers, list_distinct({_variants('container')}) AS p_symbols FROM ({_HITS})"
+_PATTERN_TOKENS = _tokens("array_to_string(list_concat(tags, symbols), ' ')")
+
+
+def _in(field: str, weight: float) -> str:
+    return f"{weight} * len(list_filter(tokens, lambda t: contains(lower({field}), t)))"
+
+
+_BOOST = f"""SELECT query_id, point_id, point_score, relative_path, round(fused + 0.25 * len(list_intersect(tags, p_tags)) + 0.45 * len(list_intersect(frameworks, [framework])) + 0.45 * len(list_intersect(layers, p_layers))
+ + 0.9 * len(list_intersect(symbols, p_symbols)) + {_in('name', 0.4)} + {_in('container', 0.35)} + {_in('namespace', 0.25)} + {_in('relative_path', 0.15)}
+ + CASE WHEN list_contains(tags, 'test') AND is_test THEN 0.75 ELSE 0 END + CASE WHEN contains(relative_path, 'src1') THEN 0.5 ELSE 0 END + modified / max_modified * 0.15
+ + CASE WHEN exact AND len(list_intersect(symbols, p_symbols)) > 0 THEN 0.75 ELSE 0 END, 6) AS score
+ FROM (SELECT p.*, q.* EXCLUDE (query_id), list_distinct({_PATTERN_TOKENS}) AS tokens FROM ({_OF_POINT}) p JOIN ({_OF_QUERY}) q ON p.query_id = q.query_id)"""
 
 
 def _boosted(spark, sf):
-    d = files(spark, sf).select(F.col("doc_id").alias("point_id"), "relative_path", "modified")
-    f = search.fuse(_variant_hits(spark, sf)).join(d, "point_id").withColumn("query", F.concat(F.lit("en md doc_1 src1 src3 service "), F.col("query_id").cast("string")))
-    none, blank = F.array().cast("array<string>"), F.lit("")
-    c = {
-        "tags": text.tag_tokens(F.col("query")), "point_tags": text.tag_tokens(F.col("relative_path")), "frameworks": none, "point_frameworks": none, "layers": text.role_tags(F.col("query")), "point_layers": text.role_tags(F.col("relative_path")),
-        "symbols": none, "point_symbols": none, "tokens": text.tag_tokens(F.col("query")), "name": blank, "container": blank, "namespace": blank, "relative_path": F.col("relative_path"), "prefer_tests": F.lit(False), "is_test": F.lit(False),
-        "prefix": F.lit("src1"), "modified": F.col("modified").cast("double"), "max_modified": F.expr("max(modified) over (partition by query_id)"), "prefer_exact": F.lit(False),
-    }
-    return f.select("query_id", "point_id", "point_score", "relative_path", F.round(F.col("fused") + search.boost(c), 6).alias("score"))
+    d = _table(spark, sf, "documents").selectExpr("doc_id AS point_id", f"{_REL} AS relative_path", f"{_MOD} AS modified", *(f"{v} AS {k}" for k, v in _PAYLOAD.items()))
+    f = search.fuse(_variant_hits(spark, sf)).withColumn("query", F.expr(_ASK))
+    own = search.intent(f.select("query_id", "query").distinct())
+    own = own.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("tags", "symbols", "frameworks", "layers", "prefer_tests", "prefer_exact")))
+    own = own.withColumn("tokens", text.tag_tokens(F.array_join(F.concat("q_tags", "q_symbols"), " ")))
+    f = f.join(d, "point_id").join(own, "query_id").withColumn("max_modified", F.expr("max(modified) over (partition by query_id)"))
+    c = {k: F.col(f"q_{k}") for k in ("tags", "symbols", "frameworks", "layers", "prefer_tests", "prefer_exact")} | {k: F.col(k) for k in ("name", "container", "namespace", "relative_path", "is_test", "tokens", "max_modified")}
+    c |= {"point_tags": text.tag_tokens(F.col("relative_path")), "point_layers": text.role_tags(F.col("relative_path")), "point_symbols": text.symbol_variants(F.col("container")), "point_frameworks": F.array("framework")}
+    c |= {"prefix": F.lit("src1"), "modified": F.col("modified").cast("double")}
+    return f.select("query_id", "point_id", "point_score", "relative_path", F.round(F.col("fused") + search.boost(c), 6).alias("score"), search.reasons(c).alias("why"))
+
+
+_WHY = f"""SELECT query_id, point_id, array_to_string(list_sort(flatten([
+ CASE WHEN len(list_intersect(tags, p_tags)) > 0 THEN ['tag-match:' || len(list_intersect(tags, p_tags))] ELSE [] END, CASE WHEN list_contains(frameworks, framework) THEN ['framework-match:1'] ELSE [] END,
+ CASE WHEN len(list_intersect(layers, p_layers)) > 0 THEN ['layer-match:' || len(list_intersect(layers, p_layers))] ELSE [] END, CASE WHEN len(list_intersect(symbols, p_symbols)) > 0 THEN ['symbol-match:' || len(list_intersect(symbols, p_symbols))] ELSE [] END,
+ {', '.join(f"list_transform(list_filter(tokens, lambda t: contains(lower({k}), t)), lambda t: '{n}:' || t)" for k, n in (('name', 'name'), ('container', 'container'), ('namespace', 'namespace'), ('relative_path', 'path')))},
+ CASE WHEN list_contains(tags, 'test') AND is_test THEN ['intent:test'] ELSE [] END, CASE WHEN contains(relative_path, 'src1') THEN ['path-prefix'] ELSE [] END, ['freshness'],
+ CASE WHEN exact AND len(list_intersect(symbols, p_symbols)) > 0 THEN ['intent:exact'] ELSE [] END])), ',') AS why
+ FROM (SELECT p.*, q.* EXCLUDE (query_id), list_distinct({_PATTERN_TOKENS}) AS tokens FROM ({_OF_POINT}) p JOIN ({_OF_QUERY}) q ON p.query_id = q.query_id)"""
+
+
+@_query(_WHY)
+def boost_reasons(spark, sf):
+    return _boosted(spark, sf).select("query_id", "point_id", F.array_join("why", ",").alias("why"))
 
 
 @_query(f"SELECT query_id, point_id, score FROM ({_BOOST})")
@@ -440,7 +491,7 @@ def top5(spark, sf):
     return search.best(_boosted(spark, sf)).select("query_id", "point_id", "score", "position")
 
 
-_BR = f"SELECT query_id, point_id, relative_path, b.score FROM ({_BOOST}) b JOIN ({_DUCK_FILES}) d ON d.doc_id = b.point_id"
+_BR = f"SELECT query_id, point_id, b.relative_path, b.score FROM ({_BOOST}) b JOIN ({_DUCK_FILES}) d ON d.doc_id = b.point_id"
 
 
 @_query(f"WITH b AS ({_BR}) SELECT query_id, relative_path, 'feature/x' AS branch FROM b WHERE point_id % 5 = 0 UNION ALL SELECT query_id, relative_path, 'main' FROM b WHERE point_id % 5 <> 0")
@@ -489,25 +540,54 @@ def aimd_limit(spark, sf):
     return embedding.limit_trace(e, "user_id", F.col("event_type") != "error", F.col("value"), ["ts", "event_id"], most=5, fast=50.0)
 
 
-# code
-_SOURCES = [
-    ("main.go", 'package main\n\nimport "fmt"\n\ntype Greeter struct{}\n\nfunc Hello() {\n\tfmt.Println("}")\n}\n\nfunc (g *Greeter) Greet(n string) string {\n\treturn "hi " + n\n}\n'),
-    ("script.py", "import os\n\ndef calculate_sum(a, b):\n    return a + b\n\nclass Math:\n    def mul(self, a, b):\n        return a * b\n"),
-    ("Svc.cs", "using Xunit;\nnamespace App.Tests;\n\npublic class SvcTests\n{\n    public async Task Runs(int x)\n    {\n        var s = \"{\";\n    }\n}\n"),
-    ("list.ts", "import React from 'react';\nexport class List {\n  render(): string {\n    return `x`;\n  }\n}\nconst load = async (id: number) => {\n  return id;\n};\n"),
-    ("User.php", "<?php\nnamespace App\\Models;\nuse Illuminate\\Model;\nclass User extends Model {\n    public function name() { return 'x'; }\n}\n"),
-]
+# code: a source file for each document; chr(10) ends lines, chr(123) and chr(125) are braces, chr(92) a backslash
+def _source(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_BODY = "repeat({} || chr(10), CAST(doc_id % 4 AS INT))"  # that many lines, with the last line's end
+_DOC = "CAST(doc_id AS {T})"
+_GO = _source("'package p' || source", "''", "'import \"fmt\"'", "''", f"'func Plain' || {_DOC} || '() interface{{}} {{'", _BODY.format("'fmt.Println(\"}\")'") + " || '}'", "''", f"'func (s *Store' || {_DOC} || ') Get(k string) map[string]struct{{}} {{'", "'return nil'", "'}'")
+_TS = _source("'import a from ' || chr(39) || './' || lang || chr(39) || ';'", f"'export class Box' || {_DOC} || ' {{'", "'  load(x: number): { a: number } {'", _BODY.format("'    step();'") + " || '    return { a: x };'", "'  }'", "'}'", f"'function free' || {_DOC} || '(s: string) {{'", "'  return s;'", "'}'")
+_PY = _source("'import os'", f"'class K' || {_DOC} || ':'", "'    def run(self):'", _BODY.format("'        os.getcwd()'") + " || '        return 1'", f"'def top' || {_DOC} || '(a):'", "'    return a'")
+_CS = _source("'using System.Text;'", "'namespace App.' || source || ';'", f"'public class S' || {_DOC} || ' {{'", "'    public int Sum(int a) {'", _BODY.format("'        Step(\"{\");'") + " || '        return a;'", "'    }'", "'}'")
+_PHP = _source("'<?php'", "'namespace App' || chr(92) || 'Models;'", "'use Illuminate' || chr(92) || 'Model;'", f"'class U' || {_DOC} || ' {{'", "'    public function name() { return 1; }'", "'}'")
+_LANGS = ("go", "ts", "py", "cs", "php")
+_CODE = "SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate((_GO, _TS, _PY, _CS, _PHP))) + " END AS content, source || '/f' || " + _DOC + " || '.' || CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LANGS)) + " END AS relative_path, source FROM documents"
+_DUCK_CODE = _CODE.replace("{T}", "VARCHAR")
+# which functions each file has: language, name, container, first line, last line; n is the number of lines of the body
+_N = "doc_id % 4"
+_EXPECTED = (
+    (0, "go", "'Plain' || id", "''", "5", f"6 + {_N}"), (0, "go", "'Get'", "'Store' || id", f"8 + {_N}", f"10 + {_N}"), (1, "typescript", "'load'", "'Box' || id", "3", f"5 + {_N}"), (1, "typescript", "'free' || id", "''", f"7 + {_N}", f"9 + {_N}"),
+    (2, "python", "'run'", "'K' || id", "3", f"4 + {_N}"), (2, "python", "'top' || id", "''", f"5 + {_N}", f"6 + {_N}"), (3, "csharp", "'Sum'", "'S' || id", "4", f"6 + {_N}"), (4, "php", "'name'", "'U' || id", "5", "5"),
+)
+_SPACES = "CASE doc_id % 5 WHEN 0 THEN 'p' || source WHEN 3 THEN 'App.' || source WHEN 4 THEN 'App' || chr(92) || 'Models' ELSE '' END"
+_FUNCTIONS_SQL = " UNION ALL ".join(
+    f"SELECT relative_path, '{lang}' AS language, {_SPACES} AS namespace, {name} AS name, {box} AS container, CAST({lo} AS BIGINT) AS start_line, CAST({hi} AS BIGINT) AS end_line, "
+    f"sha256(ltrim(array_to_string(list_slice(string_split(content, chr(10)), CAST({lo} AS BIGINT), CAST({hi} AS BIGINT)), chr(10)))) AS h FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM code) WHERE doc_id % 5 = {k}"
+    for k, lang, name, box, lo, hi in _EXPECTED
+)
 
 
-@_query()
+def _parsed(spark, sf):
+    d = _table(spark, sf, "documents")
+    d.createOrReplaceTempView("corpusweave_documents")
+    f = spark.sql(_CODE.replace("{T}", "STRING").replace("FROM documents", "FROM corpusweave_documents"))
+    return code.extract(f)
+
+
+@_query(f"WITH code AS ({_DUCK_CODE}) {_FUNCTIONS_SQL}")
 def extract_functions(spark, sf):
-    f = code.extract(spark.createDataFrame(_SOURCES, "relative_path string, content string"))
-    return code.functions_of(f, "relative_path").select("relative_path", "language", "namespace", "name", "container", "start_line", "end_line")
+    f = code.functions_of(_parsed(spark, sf), "relative_path")
+    return f.select("relative_path", "language", "namespace", "name", "container", "start_line", "end_line", F.sha2("content", 256).alias("h"))
 
 
-@_query()
+_IMPORTED = ("'fmt'", "'./' || lang", "'os'", "'System.Text'", "'Illuminate' || chr(92) || 'Model'")
+
+
+@_query(f"SELECT source || '/f' || CAST(doc_id AS VARCHAR) || '.' || CASE doc_id % 5 {' '.join(f'WHEN {i} THEN {x!r}' for i, x in enumerate(_LANGS))} END AS relative_path, CASE doc_id % 5 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_IMPORTED))} END AS raw_path, '' AS alias, CASE WHEN doc_id % 5 = 4 THEN 'laravel' ELSE '' END AS tags FROM documents")
 def extract_imports(spark, sf):
-    f = code.extract(spark.createDataFrame(_SOURCES, "relative_path string, content string"))
+    f = _parsed(spark, sf)
     tags = text.import_tags(F.col("code.language"), F.transform("code.imports", lambda x: x["raw_path"]))
     return f.select("relative_path", F.explode("code.imports").alias("i"), F.array_join(tags, ",").alias("tags")).select("relative_path", "i.raw_path", "i.alias", "tags")
 

@@ -34,7 +34,8 @@ def one_pass(points: DataFrame, intents: DataFrame, asked: DataFrame, mode: str,
     c |= {k: F.coalesce(F.col(k), F.lit("")) for k in ("name", "container", "namespace", "relative_path")}
     c |= {"point_tags": F.col("tags"), "point_symbols": F.col("symbol_names"), "point_frameworks": F.col("framework_tags"), "point_layers": F.col("layer_tags"), "is_test": F.col("is_test")}
     c |= {"tokens": F.col("tokens"), "prefix": F.lit(prefix.strip("/")), "modified": F.col("modified"), "max_modified": F.col("max_modified")}
-    return full.withColumn("score", F.round(F.col("fused") + search.boost(c), 6))
+    full = full.withColumn("score", F.round(F.col("fused") + search.boost(c), 6))
+    return full.withColumn("reasons", F.array_distinct(F.concat("reasons", search.reasons(c))))
 
 
 def understand(queries: DataFrame, exts: list[str] | None = None, prefix: str = "") -> tuple[DataFrame, DataFrame]:
@@ -73,10 +74,9 @@ def answer(points: DataFrame, query: str, mode: str = "dense", call=None, exts:
     spark = points.sparkSession
     q = spark.createDataFrame([(0, query)], "query_id int, query string")
     intents, asked = understand(q, exts, prefix)
-    tags, n = intents.first()["tags"], asked.count()
-    return search.render(find(points, q, mode, call, exts, prefix, branch, default, stop=stop), query, tags, n)
+    return search.render(find(points, q, mode, call, exts, prefix, branch, default, stop=stop), query, intents.first().asDict(), asked.count(), branch)
 
 
-def evaluate(points: DataFrame, cases: list[dict], mode: str = "dense", call=None) -> list[tuple[str, bool]]:
+def evaluate(points: DataFrame, cases: list[dict], mode: str = "dense", call=None, stop=tables.STOP_WORDS) -> list[tuple[str, bool]]:
     """(query, whether the answer holds the expected text) of each case: query, expect, and perhaps exts and prefix."""
-    return [(c["query"], c["expect"].lower() in answer(points, c["query"], mode, call, c.get("exts"), c.get("prefix", "")).lower()) for c in cases]
+    return [(c["query"], c["expect"].lower() in answer(points, c["query"], mode, call, c.get("exts"), c.get("prefix", ""), stop=stop).lower()) for c in cases]
