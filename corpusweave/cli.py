@@ -9,6 +9,7 @@ import argparse
 import json
 import os
 import sys
+import threading
 import time
 
 from pyspark.sql import SparkSession
@@ -32,26 +33,50 @@ class Engine:
     """One session and its settings behind all commands."""
 
     def __init__(self, spark: SparkSession, s: settings.Settings):
-        self.spark, self.s, self.status = spark, s, {"state": "idle", "syncs": 0}
+        self.spark, self.s = spark, s
+        self.status = {"state": "idle", "syncs": 0, "pending": 0, "active": 0, "total": 0}
+        self.lock = threading.Lock()
+
+    def _count(self, **change: int) -> None:
+        with self.lock:
+            for k, v in change.items():
+                self.status[k] += v
+            self.status["state"] = "syncing" if self.status["pending"] or self.status["active"] else "idle"
 
     def ingest(self, only=None) -> dict:
-        self.status["state"] = "syncing"
+        """Syncs all, or the paths given; counts what waits, what is worked on and what was done, and tells how far it is."""
+        waiting = only.select("path").distinct().count() if only is not None else 1
+        self._count(pending=waiting)
+        self._count(pending=-waiting, active=waiting)
+        stop = threading.Event()
+        if self.s.progress:
+            threading.Thread(target=self._tell, args=(stop,), daemon=True).start()
         try:
             done = indexing.sync(self.spark, self.s, only)
+            self._count(syncs=1, total=done["changed"] + done["deleted"])
         finally:
-            self.status["state"] = "idle"
-        self.status = {"state": "idle", "syncs": self.status["syncs"] + 1, **done}
+            stop.set()
+            self._count(active=-waiting)
+        self.status |= done
         return done
 
+    def _tell(self, stop: threading.Event, every: float = 0.5) -> None:
+        """A line on stderr every half second: tasks done of those that Spark knows of."""
+        tracker = self.spark.sparkContext.statusTracker()
+        while not stop.wait(every):
+            stages = [x for i in tracker.getActiveStageIds() if (x := tracker.getStageInfo(i))]
+            print(f"\rsyncing: {sum(x.numCompletedTasks for x in stages)}/{sum(x.numTasks for x in stages)} tasks", end="", file=sys.stderr, flush=True)
+        print("\rsyncing: done", file=sys.stderr, flush=True)
+
     def _points(self):
         p = indexing.stored(self.spark, self.s.points)
         return self.spark.createDataFrame([], indexing.SCHEMA) if p is None else p
 
     def search(self, query: str, exts=None, prefix: str = "", branch: str = "") -> str:
-        return retrieval.answer(self._points(), query, self.s.search_mode, indexing.embedder(self.s), exts, prefix, branch)
+        return retrieval.answer(self._points(), query, self.s.search_mode, indexing.embedder(self.s), exts, prefix, branch, stop=indexing.stop_words(self.spark, self.s))
 
     def evaluate(self, cases) -> list[tuple[str, bool]]:
-        return retrieval.evaluate(self._points(), cases, self.s.search_mode, indexing.embedder(self.s))
+        return retrieval.evaluate(self._points(), cases, self.s.search_mode, indexing.embedder(self.s), stop=indexing.stop_words(self.spark, self.s))
 
     def watch(self, checkpoint: str):
         """A running query that syncs settled paths."""
@@ -117,8 +142,8 @@ def _session() -> SparkSession:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="corpusweave", description=__doc__.splitlines()[0])
     common = argparse.ArgumentParser(add_help=False)
-    for flag in ("root", "index", "embedder", "model", "context", "workers", "batch-size", "batch-ms", "debounce-ms", "max-bytes", "parser-mode", "search-mode", "exclude-dirs", "exclude-exts", "allow-hidden", "stop-words", "reconcile"):
-        common.add_argument(f"--{flag}", default=None)
+    for name, short in settings.SHORT.items():
+        common.add_argument(f"-{short}", f"--{name.replace('_', '-')}", default=None)
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("ingest", "watch", "serve"):
         sub.add_parser(name, parents=[common])

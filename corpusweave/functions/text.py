@@ -129,6 +129,16 @@ def parent_dirs(path: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def first_full(*values: Column) -> Column:
+    """The first value that isn't blank, untrimmed; empty if all are."""
+    return F.coalesce(*(F.when(trim(v) != "", v) for v in values), F.lit(""))
+
+
+def payload_list(values: Column) -> Column:
+    """A list of a payload as it is read: trimmed, lower-cased, without empties; a missing one is empty."""
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(trim(x))), lambda x: x != "")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 

@@ -27,7 +27,7 @@ _BLANK = {
     "php": r"//[^\n]*|#[^\n\[]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
     "javascript": r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
 }
-_NOT_NAMES = frozenset("if for while switch catch return new else do foreach using lock function throw await typeof sizeof nameof when get set".split())
+_NOT_NAMES = frozenset("if for while switch catch return new else do foreach using lock function throw await typeof sizeof nameof when".split())
 _FUNCTIONS = {
     "go": (r"^func\s+(?P<recv>\([^)]*\))?\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\(",),
     "javascript": (r"\bfunction\s*\*?\s+(?P<name>[\w$]+)\s*\(", r"\b(?:const|let)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n{]+)?=>", r"^[ \t]+(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?(?P<name>[\w$]+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^{};\n]+)?\{"),

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 import urllib.request
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +23,20 @@ class Limit:
     """Calls at once: one more after STREAK fast ones, half after a slow or failed one, never under one."""
 
     def __init__(self, most: int = WORKERS, fast_ms: float = FAST_MS):
-        self.most, self.fast_ms, self.now, self.streak = most, fast_ms, most, 0
+        self.most, self.fast_ms, self.now, self.streak, self.lock = most, fast_ms, most, 0, threading.Lock()
 
     def success(self, ms: float) -> None:
         if ms >= self.fast_ms:
             self.failure()
             return
-        self.streak += 1
-        if self.streak >= STREAK:
-            self.now, self.streak = min(self.most, self.now + 1), 0
+        with self.lock:
+            self.streak += 1
+            if self.streak >= STREAK:
+                self.now, self.streak = min(self.most, self.now + 1), 0
 
     def failure(self) -> None:
-        self.now, self.streak = max(1, self.now // 2), 0
+        with self.lock:
+            self.now, self.streak = max(1, self.now // 2), 0
 
 
 def limit_trace(events: DataFrame, key: str, ok: Column, ms: Column, order: list[str], most: int = WORKERS, fast: float = FAST_MS) -> DataFrame:
@@ -97,15 +102,43 @@ def with_retries(call: Callable[[str], list[float]], limit: Limit | None = None,
     return run
 
 
-def embed(points: DataFrame, text_col: str, call: Callable[[str], list[float]]) -> DataFrame:
-    """points with dense array<float>; a call that fails for good fails the task, so no file is stored in part."""
+class Gate:
+    """Lets no more calls run at once than its Limit allows just now; those that wait go on in the order they came."""
+
+    def __init__(self, limit: Limit):
+        self.limit, self.active, self.queue, self.lock = limit, 0, deque(), threading.Condition()
+
+    def __call__(self, call: Callable[[str], list[float]], prompt: str) -> list[float]:
+        ticket = object()
+        with self.lock:
+            self.queue.append(ticket)
+            while self.queue[0] is not ticket or self.active >= self.limit.now:
+                self.lock.wait()
+            self.queue.popleft()
+            self.active += 1
+            self.lock.notify_all()
+        try:
+            return call(prompt)
+        finally:
+            with self.lock:
+                self.active -= 1
+                self.lock.notify_all()
+
+
+def embed(points: DataFrame, text_col: str, call: Callable[[str], list[float]], workers: int = WORKERS) -> DataFrame:
+    """points with dense array<float>; a call that fails for good fails the task, so no file is stored in part.
+
+    A task has up to `workers` calls at once, fewer while the server is slow or fails.
+    """
     kept = points.columns
     schema = points.withColumn("dense", F.lit(None).cast("array<float>")).schema
 
     def run(batches):
-        ask = with_retries(call, Limit())
-        for b in batches:
-            dense = pa.array([ask(t or "") for t in b.column(text_col).to_pylist()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), dense], [*kept, "dense"])
+        limit = Limit(workers)
+        gate, ask = Gate(limit), with_retries(call, limit)
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                dense = list(pool.map(lambda t: gate(ask, t or ""), b.column(text_col).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(dense, pa.list_(pa.float32()))], [*kept, "dense"])
 
     return points.mapInArrow(run, schema)

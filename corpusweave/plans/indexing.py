@@ -19,6 +19,8 @@ SCHEMA = """branch string, point_id string, kind string, chunk_idx int, sub_idx
  extension string, language string, content string, chunk_hash string, page_number bigint, name string, receiver string, container string, namespace string,
  start_line bigint, end_line bigint, symbol_names array<string>, framework_tags array<string>, layer_tags array<string>, tags array<string>, is_test boolean,
  test_framework string, file_hash string, modified bigint, updated bigint, default_branch string, dense array<float>, sparse array<struct<idx:bigint,w:double>>"""
+#: Rows of a file of points for each row of batch_size.
+ROWS_A_BATCH = 10_000
 #: What a point takes over from its file.
 _OF_FILE = ("relative_path", "extension", "branch", "default_branch", "file_hash", "modified")
 
@@ -67,10 +69,10 @@ def function_points(found: DataFrame, size: int = chunking.FUNCTION_BYTES) -> Da
     return f.drop("pieces", "piece", "i", "imports", "types", "own", *(x for x in f.columns if x.startswith("t_")))
 
 
-def document_points(found: DataFrame) -> DataFrame:
+def document_points(found: DataFrame, least: int = chunking.LEAST, most: int = chunking.MOST, overlap: int = chunking.OVERLAP) -> DataFrame:
     """One point for each clean chunk of documents, numbered within its file."""
     read = documents.document_text(found).where("error is null")
-    chunks = chunking.paragraph_chunks(read, "relative_path", "text").withColumnRenamed("hash", "chunk_hash")
+    chunks = chunking.paragraph_chunks(read, "relative_path", "text", least, most, overlap).withColumnRenamed("hash", "chunk_hash")
     numbered = chunks.withColumn("chunk_idx", F.expr("row_number() over (partition by relative_path order by at, k) - 1").cast("int")).drop("at", "k")
     rel = F.col("relative_path")
     layers = text.role_tags(rel)
@@ -92,14 +94,14 @@ def raw_points(found: DataFrame, size: int = chunking.RAW_BYTES) -> DataFrame:
     })
 
 
-def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[[DataFrame], DataFrame], mode: str = "full", stop=tables.STOP_WORDS) -> DataFrame:
+def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[[DataFrame], DataFrame], mode: str = "full", stop=tables.STOP_WORDS, sizes: tuple[int, int, int] = (chunking.LEAST, chunking.MOST, chunking.OVERLAP), workers: int = embedding.WORKERS) -> DataFrame:
     """The points of files in the columns of SCHEMA. Documents that give no chunk are cut as raw text, but legacy office files are not.
 
     keep writes a step as a table and reads it, so that files are cut once and texts are embedded once.
     """
     kind = text.file_kind(F.col("extension"), mode)
     doc = found.where(kind == "document")
-    chunks = keep(document_points(doc))
+    chunks = keep(document_points(doc, *sizes))
     rest = doc.where(~F.col("extension").isin("doc", "xls")).join(chunks.select("relative_path").distinct(), "relative_path", "left_anti")
     raw = found.where(kind == "raw").unionByName(rest.select(*found.columns))
     p = function_points(found.where(kind == "code")).unionByName(chunks, True).unionByName(raw_points(raw), True)
@@ -110,7 +112,7 @@ def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[
         "is_test": F.array_contains("tags", "test"), "test_framework": text.test_framework(F.col("framework_tags")), "updated": F.unix_timestamp(),
     })
     p = p.withColumn("search_text", text.search_text(*map(F.col, ("tags", "symbol_names", "namespace", "container", "relative_path", "content"))))
-    p = keep(embedding.embed(p, "search_text", call))
+    p = keep(embedding.embed(p, "search_text", call, workers))
     return p.join(vectors.sparse_vectors(p.select("point_id", "search_text"), "point_id", "search_text", stop), "point_id", "left")
 
 
@@ -133,6 +135,28 @@ def embedder(s: Settings) -> Callable[[str], list[float]]:
     return embedding.http_call(s.embedder, s.model, s.context) if s.embedder else embedding.hashed()
 
 
+def stop_words(spark: SparkSession, s: Settings) -> frozenset[str]:
+    """The stop words of a workspace, for its index and its searches alike."""
+    path = s.stop_file()
+    return tables.STOP_WORDS | frozenset(documents.stop_words(spark, path)) if path else tables.STOP_WORDS
+
+
+def ensure_dimension(spark: SparkSession, s: Settings, call: Callable[[str], list[float]]) -> int:
+    """The length of the vectors: as recorded beside the points, or asked of the model once and recorded. Another one is an error."""
+    path, now = f"{s.points.removesuffix('/points')}/dimension", len(call("hello"))
+    try:
+        was = spark.read.schema("dimension int, model string").json(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        was = None
+    if was is None:
+        spark.createDataFrame([(now, s.model)], "dimension int, model string").coalesce(1).write.mode("overwrite").json(path)
+    elif was["dimension"] != now:
+        raise ValueError(f"the index holds vectors of {was['dimension']} numbers ({was['model'] or 'no model'}), the model gives {now}")
+    return now
+
+
 def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call: Callable[[str], list[float]] | None = None) -> dict:
     """Brings the stored points of the current branch up to date; only: paths (column path) to look at, all if None.
 
@@ -140,7 +164,7 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
     replaced, as no table can be read and overwritten at once. Returns numbers of files found, changed and deleted.
     """
     branch, default = documents.branches(s.root)
-    stop = tables.STOP_WORDS | frozenset(documents.stop_words(spark, s.stop_words)) if s.stop_words else tables.STOP_WORDS
+    call, stop = call or embedder(s), stop_words(spark, s)
     found, old = workspace(spark, s, branch, default), stored(spark, s.points)
     if only is not None:
         found = found.join(only.select(F.col("path").alias("relative_path")).distinct(), "relative_path", "left_semi")
@@ -159,6 +183,7 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
         kept, n_deleted = index.purge(index.purge(old, changed), gone), gone.count()
     total, n_changed = names.count(), fresh.count()
     if n_changed or n_deleted or kept is None:
+        ensure_dimension(spark, s, embedding.with_retries(call))
         staging = f"{s.points.removesuffix('/points')}/staging/{uuid.uuid4().hex}"
 
         def keep(df: DataFrame) -> DataFrame:
@@ -166,11 +191,11 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
             df.write.parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
-        new = _shaped(points(fresh.select(*found.columns), call or embedder(s), keep, s.parser_mode, stop))
+        new = _shaped(points(fresh.select(*found.columns), call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
         ready = keep(new if kept is None else index.upsert(_shaped(kept), new))
         if ready.isEmpty():  # an empty frame overwrites no partition
             _clear(spark, f"{s.points}/branch={_escaped(branch)}")
-        index.write_points(ready, s.points)
+        index.write_points(ready, s.points, s.batch_size * ROWS_A_BATCH)
         _clear(spark, staging)
     return {"files": total, "changed": n_changed, "deleted": n_deleted, "branch": branch, "default_branch": default}
 

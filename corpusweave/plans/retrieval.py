@@ -32,7 +32,7 @@ def one_pass(points: DataFrame, intents: DataFrame, asked: DataFrame, mode: str,
     full = fused.join(named.drop("dense", "sparse"), "pid").join(own, "query_id").withColumn("max_modified", F.expr("max(modified) over (partition by query_id)"))
     c = {k: F.col(f"q_{k}") for k in ("tags", "symbols", "frameworks", "layers", "prefer_tests", "prefer_exact")}
     c |= {k: F.coalesce(F.col(k), F.lit("")) for k in ("name", "container", "namespace", "relative_path")}
-    c |= {"point_tags": F.col("tags"), "point_symbols": F.col("symbol_names"), "point_frameworks": F.col("framework_tags"), "point_layers": F.col("layer_tags"), "is_test": F.col("is_test")}
+    c |= {k: text.payload_list(F.col(v)) for k, v in (("point_tags", "tags"), ("point_symbols", "symbol_names"), ("point_frameworks", "framework_tags"), ("point_layers", "layer_tags"))} | {"is_test": F.col("is_test")}
     c |= {"tokens": F.col("tokens"), "prefix": F.lit(prefix.strip("/")), "modified": F.col("modified"), "max_modified": F.col("max_modified")}
     full = full.withColumn("score", F.round(F.col("fused") + search.boost(c), 6))
     return full.withColumn("reasons", F.array_distinct(F.concat("reasons", search.reasons(c))))

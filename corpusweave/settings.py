@@ -7,7 +7,14 @@ import os
 import tomllib
 from dataclasses import dataclass, fields, replace
 
-FOLDER, PREFIX = ".corpusweave", "CORPUSWEAVE_"
+FOLDER, PREFIX, STOP_FILE = ".corpusweave", "CORPUSWEAVE_", "stopwords"
+#: Settings that may be zero: no limit, or none of it.
+MAY_BE_ZERO = ("max_bytes", "least_chunk", "most_chunk", "overlap")
+#: One letter for each setting that the command line takes.
+SHORT = {
+    "root": "r", "index": "i", "embedder": "e", "model": "m", "context": "c", "workers": "w", "batch_size": "b", "batch_ms": "t", "debounce_ms": "d", "max_bytes": "z", "parser_mode": "p",
+    "search_mode": "s", "exclude_dirs": "x", "exclude_exts": "X", "allow_hidden": "a", "stop_words": "S", "reconcile": "R", "least_chunk": "l", "most_chunk": "L", "overlap": "o", "progress": "P",
+}
 MODES, PARSERS = ("dense", "sparse", "hybrid"), ("code", "doc", "full")
 
 
@@ -32,11 +39,20 @@ class Settings:
     allow_hidden: tuple[str, ...] = ()
     stop_words: str = ""
     reconcile: bool = True
+    least_chunk: int = 800
+    most_chunk: int = 4000
+    overlap: int = 200
+    progress: bool = False
 
     @property
     def points(self) -> str:
         return f"{(self.index or os.path.join(self.root, FOLDER, 'index')).rstrip('/')}/points"
 
+    def stop_file(self) -> str:
+        """The stop-word file: the one that is set, else the workspace's own, in its folder first; empty if there is none."""
+        places = [os.path.join(self.root, FOLDER, STOP_FILE), os.path.join(self.root, STOP_FILE)]
+        return self.stop_words or next((x for x in places if os.path.isfile(x)), "")
+
 
 def _value(name: str, default, raw):
     """raw as a value of the setting; the default where it isn't valid."""
@@ -48,7 +64,7 @@ def _value(name: str, default, raw):
             n = int(str(raw))
         except ValueError:
             return default
-        return n if n > 0 or name == "max_bytes" and n == 0 else default
+        return n if n > 0 or name in MAY_BE_ZERO and n == 0 else default
     if isinstance(default, tuple):
         items = raw if isinstance(raw, (list, tuple)) else str(raw).split(",")
         return tuple(str(x).strip() for x in items if str(x).strip())

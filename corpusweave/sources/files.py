@@ -60,6 +60,26 @@ def xlsx_text(data: bytes) -> str:
     return "".join(out)
 
 
+def page_text(page) -> str:
+    """A page's text: its lines as they are laid out, or as they come where that fails; a page that can't be read is empty."""
+    for how in ({"extraction_mode": "layout"}, {}):
+        try:
+            found = page.extract_text(**how)
+        except Exception:  # a bad page must not take the others with it
+            continue
+        if found and found.strip():
+            return "\n".join(" ".join(x.split()) for x in found.splitlines())
+    return ""
+
+
+def sanitised(data: bytes) -> str:
+    """Text of bytes: as UTF-8, or else the printable ASCII among them."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return bytes(b for b in data if 32 <= b <= 126 or b in b"\n\r\t").decode()
+
+
 def read_document(ext: str, data: bytes) -> tuple[str | None, str | None]:
     """(text, error) of a document file."""
     try:
@@ -74,7 +94,7 @@ def read_document(ext: str, data: bytes) -> tuple[str | None, str | None]:
                 from pypdf import PdfReader
             except ImportError:
                 return None, "no PDF library is installed"
-            return "\f".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages), None
+            return "\f".join(map(page_text, PdfReader(io.BytesIO(data)).pages)), None
         return data.decode("utf-8"), None
     except (UnicodeDecodeError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return None, f"{type(e).__name__}: {e}"

@@ -134,3 +134,123 @@ def test_debounce_stream(spark, tmp_path):
 def test_prefix_filter_strips_slashes(spark):
     d = spark.sql("SELECT 'md' AS extension, 'a/b/c.md' AS relative_path, array('a/b', 'a') AS relative_dirs, 'main' AS branch")
     assert d.where(search.search_filter([".MD"], "/a/b/", "main")).count() == 1 and d.where(search.search_filter(None, "a/x")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name,src,want",
+    [
+        ("a.go", "package p\n\nfunc F() interface{} {\n\treturn nil\n}\n", [("F", 3, 5)]),
+        ("a.go", "package p\nfunc G(m map[string]struct{}) (x struct{ A int }, err error) {\n\treturn\n}\n", [("G", 2, 4)]),
+        ("a.ts", "function load(a: { b: number }): { a: number } {\n  return a;\n}\n", [("load", 1, 3)]),
+        ("a.ts", "class C {\n  get(x: string): Promise<{ a: number }> {\n    return x;\n  }\n}\nconst f = (a: number) => {\n  return a;\n};\n", [("get", 2, 4), ("f", 6, 8)]),
+        ("a.ts", "const g = async (x) => x + 1;\nfunction h(): void;\n", [("g", 1, 1), ("h", 2, 2)]),
+        ("a.cs", "public class C\n{\n    public int Twice(int x) => x * 2;\n    private void Go()\n    {\n        var a = new { B = 1 };\n    }\n}\n", [("Twice", 3, 3), ("Go", 4, 7)]),
+        ("a.php", "<?php\nclass U {\n    private static function a(): ?array {\n        return [];\n    }\n}\n", [("a", 3, 5)]),
+    ],
+)
+def test_bodies_behind_result_types(name, src, want):
+    assert [(f["name"], f["start_line"], f["end_line"]) for f in code.parse(name, src)["functions"]] == want
+
+
+def test_gate_follows_its_limit():
+    import threading
+    import time
+
+    limit, now, most, lock = embedding.Limit(4), [0], [0], threading.Lock()
+    gate = embedding.Gate(limit)
+
+    def call(prompt):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        return [1.0]
+
+    def burst():
+        most[0] = 0
+        threads = [threading.Thread(target=gate, args=(call, "x")) for _ in range(12)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        return most[0]
+
+    assert 1 < burst() <= 4
+    limit.failure()
+    limit.failure()
+    assert burst() == 1
+
+
+def test_payloads(spark):
+    assert one(spark, text.first_full(F.col("a"), F.col("b")), a="  ", b=" x ") == " x "
+    assert spark.sql("select array(' A', '', 'b ') as l, cast(null as array<string>) as n").select(text.payload_list(F.col("l")), text.payload_list(F.col("n"))).first()[:] == (["a", "b"], [])
+    assert files.sanitised(b"a\xffb\tc\x01") == "ab\tc" and files.sanitised("é".encode()) == "é"
+
+
+def test_pages_that_fail():
+    class Page:
+        def __init__(self, *found):
+            self.found = found
+
+        def extract_text(self, extraction_mode="plain"):
+            x = self.found[extraction_mode == "plain"]
+            if x is None:
+                raise ValueError("bad page")
+            return x
+
+    assert [files.page_text(p) for p in (Page(" a   b \nc", ""), Page(None, "plain"), Page(None, None))] == ["a b\nc", "plain", ""]
+
+
+def test_branches(tmp_path):
+    import subprocess
+
+    def git(*a):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+
+    assert files.branches(str(tmp_path)) == ("main", "main")
+    git("init", "-b", "master")
+    (tmp_path / "a").write_text("x")
+    git("add", "a")
+    git("commit", "-m", "one")
+    assert files.branches(str(tmp_path)) == ("master", "master")
+    git("checkout", "-b", "feature/x")
+    assert files.branches(str(tmp_path)) == ("feature/x", "master")
+    git("branch", "main")
+    assert files.branches(str(tmp_path)) == ("feature/x", "main")
+    git("checkout", "--detach")
+    assert files.branches(str(tmp_path))[0] == "main"
+
+
+def brute_paragraph_chunks(page, least, most, overlap):
+    """Another reading of the same rules, on whole strings of one-byte characters."""
+    out, open_ = [], ""
+    for p in [x.strip() for x in page.replace("\r\n", "\n").split("\n\n") if x.strip()]:
+        p = " ".join(p.split("\n"))
+        if len(p) <= most:
+            open_ = f"{open_}\n\n{p}" if open_ else p
+            if len(open_) >= least:
+                out, open_ = [*out, open_], ""
+            continue
+        out, open_ = out + ([open_] if open_ else []), ""
+        while len(p) > most:
+            half = most // 2
+            cut = p.rfind(". ", half + 1, most)
+            cut = cut + 1 if cut > half else p.rfind(" ", half + 1, most) if p.rfind(" ", half + 1, most) > half else most
+            out.append(p[:cut].strip())
+            p = p[cut - overlap if cut > overlap else cut :].strip()
+        out += [p] if p else []
+    return out + ([open_] if open_ else [])
+
+
+def test_paragraph_chunks_by_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    docs = ["\n\n".join("\n".join(" ".join(r.choice(["word", "end.", "more"]) for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 5))) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    got: dict = {}
+    for x in chunking.paragraph_chunks(d, "id", "text", 40, 100, 15).orderBy("id", "at", "k").collect():
+        got.setdefault(x["id"], []).append(x["content"])
+    assert [got[i] for i in range(len(docs))] == [brute_paragraph_chunks(t, 40, 100, 15) for t in docs]

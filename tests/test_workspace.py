@@ -117,3 +117,30 @@ def test_change_stream(spark, root, tmp_path):
     q.stop()
     seen = [(r["path"], r["op"]) for r in spark.table("changes").collect()]
     assert ("app/retry_policy.py", "create") in seen and ("notes.yaml", "remove") in seen and ("new.txt", "create") in seen and not any("drop.log" in p for p, _ in seen)
+
+
+def test_stop_words_and_dimension(spark, root, tmp_path):
+    (root / "stopwords").write_text("# ours\nWatcher\n\n settled \n")
+    s = settings.Settings(root=str(root), index=str(tmp_path / "idx"))
+    assert s.stop_file() == str(root / "stopwords") and {"watcher", "settled", "the"} <= indexing.stop_words(spark, s)
+    (root / settings.FOLDER).mkdir()
+    (root / settings.FOLDER / "stopwords").write_text("other\n")
+    assert s.stop_file() == str(root / settings.FOLDER / "stopwords") and settings.Settings(stop_words="x").stop_file() == "x"
+    assert indexing.ensure_dimension(spark, s, lambda _: [0.0] * 3) == 3 == indexing.ensure_dimension(spark, s, lambda _: [1.0] * 3)
+    with pytest.raises(ValueError, match="vectors of 3"):
+        indexing.ensure_dimension(spark, s, lambda _: [0.0] * 4)
+
+
+def test_flags_and_chunk_sizes():
+    a = vars(cli.parser().parse_args(["search", "-s", "sparse", "-w3", "--most-chunk=900", "-o", "0", "what", "is it"]))
+    s = settings.load(a, env={"CORPUSWEAVE_LEAST_CHUNK": "-5", "CORPUSWEAVE_BATCH_SIZE": "0"})
+    assert (s.search_mode, s.workers, s.most_chunk, s.overlap, s.least_chunk, s.batch_size) == ("sparse", 3, 900, 0, 800, 100) and a["query"] == ["what", "is it"]
+
+
+def test_answer_says_why(spark, root, tmp_path):
+    e = cli.Engine(spark, settings.Settings(root=str(root), index=str(tmp_path / "idx"), search_mode="sparse", progress=True))
+    e.ingest()
+    assert e.status["state"] == "idle" and e.status["pending"] == e.status["active"] == 0 and e.status["total"] == 5
+    out = e.search("should_retry RetryPolicy error")
+    assert "Search intent: tags=`" in out and " | variants=" in out and "Signals: `" in out and "symbol-match:" in out and "```python\n" in out
+    assert e.search("zzzz qqqq") .startswith("No relevant")
