@@ -8,7 +8,11 @@ blocks, and so on, until each source has one block. Only its last one or two are
 of documents is given up as a constraint, then the last document is rounded to the nearer side.
 
 A block holds BLOCK documents at most on average, so a source with a third of all rows is many blocks. All choices follow
-from hashes of the row (its id, size and content key) and SEED: reruns agree, and so do runs on other partitions.
+from hashes of the row (its id, size and content key) and SEED: reruns agree, and so do runs on other partitions. The landing
+rounds the last document of a source to the nearer side, which keeps the words near their target and not its probability.
+
+Null and empty texts have size 0 and count as documents; a null source is one of its own; no rows give no rows; equal rows are
+separate documents that share their copies out. Texts of any length only count by their words. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -148,7 +152,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     got = got.select(F.col("id").alias("__cw_gid"), F.col("key").alias("__cw_gkey"), "__cw_copies", "__cw_rows")
     both = key.join(got, key["__cw_id"].eqNullSafe(got["__cw_gid"]) & (key["__cw_key"] == got["__cw_gkey"]))
     one = both.where("__cw_rows = 1").withColumn("__cw_n", F.col("__cw_copies"))
-    w = Window.partitionBy("__cw_gid", "__cw_gkey").orderBy("__cw_gkey")
+    w = Window.partitionBy("__cw_gid", "__cw_gkey").orderBy(F.to_json(F.struct(*docs.columns)))  # rows that differ elsewhere, in an order of their own
     more = both.where("__cw_rows > 1").withColumn("__cw_n", F.floor(F.col("__cw_copies") / F.col("__cw_rows")) + (F.row_number().over(w) <= F.col("__cw_copies") % F.col("__cw_rows")).cast("bigint"))
     out = one.unionByName(more).where("__cw_n > 0")
     return out.withColumn("__cw_i", F.explode(F.expr("sequence(1L, __cw_n)"))).select(*docs.columns)
