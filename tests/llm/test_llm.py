@@ -101,7 +101,81 @@ def test_mix_query(spark, docs, edge):
     assert mix.mix_report(empty(spark)).count() == 0 == mix.mix_documents(empty(spark)).count()
 
 
+def test_mix_query_by_brute_force(spark, docs):
+    rows = docs.collect()
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", x["text"] or "")) for x in rows]
+    by = collections.Counter()
+    for x, n in zip(rows, words):
+        by[x["source"]] += n
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    weight, goal, fixed = {x: (3, 1, 2)[i % 3] for i, x in enumerate(names)}, 1.5 * sum(words), {}
+    while True:
+        free = [x for x in names if x not in fixed]
+        share = {x: (goal - sum(fixed.values())) * weight[x] / sum(weight[y] for y in free) for x in free}
+        above = [x for x in free if share[x] > 2 * by[x]]
+        if not above:
+            break
+        fixed |= {x: 2.0 * by[x] for x in above}
+    target = fixed | share
+    got = {x["doc_id"]: x for x in queries.op2_mix_sources(spark, SF).collect()}
+    for x, n in zip(rows, words):
+        y = got[x["doc_id"]]
+        assert (y["size"], y["source_size"]) == (n, by[x["source"]]) and y["target"] == pytest.approx(target[x["source"]])
+        assert y["taken"] in (0, n, 2 * n)
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Rows equal in id, text and source but not in another column give the same mix on every run."""
+    rows = [(i // 4, f"text of {i // 4} " * (1 + i % 3 // 3), "a", f"lang{i % 4}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert rows_of(mix.mix_documents(d)) == rows_of(mix.mix_documents(d.repartition(7, "lang"))) == rows_of(mix.mix_documents(d.orderBy(F.desc("lang"))))
+
+
 # 3
+def test_unigram_query(spark, docs, edge):
+    c = unigram.Counter(unigram.vocabulary(queries.byte_bpe("piece_bpe_32k.model")[0]))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op3_token_counts(spark, SF).collect():
+        assert (r["n_chars"], r["n_tokens"]) == (len(text[r["doc_id"]]), sum(c.word("▁" + w) for w in text[r["doc_id"]].replace(" ", "▁").removeprefix("▁").split("▁")))
+    path = queries.byte_bpe("piece_bpe_32k.model")[0]
+    e = unigram.count_tokens(edge, path).collect()
+    assert len(e) == 6 and unigram.count_tokens(empty(spark), path).count() == 0
+    assert len({(r["n_chars"], r["n_tokens"]) for r in e if r["doc_id"] == 3}) == 1
+
+
+def test_one_long_word():
+    """A word of a million characters takes states for its longest piece only."""
+    import tracemalloc
+
+    c = unigram.Counter(unigram.vocabulary(queries.byte_bpe("piece_bpe_32k.model")[0]))
+    w = "กขคงabcde漢字\n" * 90_000
+    tracemalloc.start()
+    n = c.word(w)
+    assert n > 90_000 and tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    part = w[:3000]
+    assert c.word(part) == _path_length(c, part)
+
+
+def _path_length(c, w):
+    """Pieces of the best path with all states kept."""
+    best, by_end = [(0.0, 0, False)], collections.defaultdict(list)
+    for end, match in c.automaton.iter(w):
+        by_end[end + 1].append(match)
+    for e in range(1, len(w) + 1):
+        top = None
+        for size, score in sorted(by_end[e], reverse=True):
+            x = best[e - size][0] + score
+            if top is None or x > top[0]:
+                top = (x, best[e - size][1] + 1, False)
+        if not any(size == 1 for size, _ in by_end[e]):
+            x = best[e - 1][0] + c.unknown
+            if top is None or x > top[0]:
+                top = (x, best[e - 1][1] + (not best[e - 1][2]), True)
+        best.append(top)
+    return best[-1][1]
+
+
 def test_unigram_counts_like_the_library(spark, edge):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -331,6 +405,50 @@ def test_language(spark, docs, edge):
     assert langid.predict(edge, langid.train(empty(spark))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_exact_sets(spark, docs):
+    """Predictions, scores and coverage against sets of n-grams without a filter."""
+    model, is_letter = langid.train(docs), langid.letters()
+    held = docs.where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").collect()
+    by, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for x in held:
+        if (h := langid.grams(x["text"], is_letter)) is not None:
+            by[x["lang"]].update(np.unique(h).tolist())
+        n_docs[x["lang"]] += 1
+    share = {k: {g: n / n_docs[k] for g, n in c.items()} for k, c in by.items()}
+    top = collections.Counter()
+    for c in share.values():
+        for g, x in c.items():
+            top[g] = max(top[g], x)
+    sets = {k: {g for g, x in c.items() if x >= langid.MIN_SHARE and x >= langid.RELATIVE * top[g]} for k, c in share.items()}
+    assert model.langs == sorted(sets) and (model.wrong < 0.02).all()
+    same = total = 0
+    for x in docs.collect():
+        h = langid.grams(x["text"], is_letter)
+        if h is None:
+            continue
+        n = np.array([sum(g in sets[k] for g in h.tolist()) for k in model.langs], float)
+        lang, score, covered = model.predict(x["text"])
+        k = int(n.argmax())
+        assert abs(score - n[k] / max(1, n.sum())) < 0.05 and abs(covered - n[k] / len(h)) < 0.05
+        same, total = same + (lang == model.langs[k]), total + 1
+    assert same >= total - 1
+
+
+def test_language_stage_rejects(spark, docs):
+    """Other languages and junk go, clean documents stay, and a null language is filled in."""
+    r = random.Random(16)
+    strange = ["Ελληνικά κείμενα που δεν έχει μάθει κανείς εδώ", "мы никогда не учили этот язык и его буквы", " ".join("".join(r.choice("qxzjkvwçñ$%#") for _ in range(9)) for _ in range(60)), "12345 67890"]
+    d = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 3, F.lit(None).cast("string")).otherwise(F.col("lang"))).select("doc_id", "text", "lang")
+    d = d.unionByName(spark.createDataFrame([(900_000 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string"))
+    model = langid.train(d)
+    kept = langid.keep_known(d, model, langid.least_coverage(d, model)).collect()
+    ids = {x["doc_id"] for x in kept}
+    assert not ids & {900_000, 900_001, 900_002, 900_003} and len(ids) >= 0.99 * docs.count()
+    was = {x["doc_id"]: x["lang"] for x in docs.collect()}
+    filled = [x for x in kept if x["doc_id"] % 10 == 3]
+    assert len(filled) > 10 and np.mean([x["lang"] == was[x["doc_id"]] for x in filled]) > 0.9
+
+
 # 7
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -521,6 +639,24 @@ def test_fingerprints_of_one_id(spark):
         assert rows_of(lcp.compare_edited(d, groups=groups)) == sorted(map(repr, want))
 
 
+def test_likeness_by_exact_sets(docs):
+    """The bottom-k estimate against the Jaccard index of all features."""
+    r, off = random.Random(17), []
+    texts = [x["text"] for x in docs.collect() if x["text"] and len(x["text"]) > 800][:40]
+    whole = lcp.SKETCH
+    for t in texts:
+        q = r.randint(0, len(t) // 2)
+        e = t[q:] + r.choice(texts)[: r.randint(0, len(t))]
+        got = lcp.likeness(*lcp.sketches([t, e]))
+        lcp.SKETCH = 1 << 30
+        try:
+            a, b = (set(x.tolist()) for x in lcp.sketches([t, e]))
+        finally:
+            lcp.SKETCH = whole
+        off.append(got - len(a & b) / len(a | b))
+    assert abs(np.mean(off)) < 0.05 and np.abs(off).max() < 0.3
+
+
 def test_equal_substrings_share_names():
     r = random.Random(9)
     shared = "".join(r.choice("abcdefgh ") for _ in range(3000))
@@ -563,6 +699,28 @@ def test_substring_dedup_sql(spark):
     assert rows_of(queries.op10_substring_dedup(spark, SF).select(*cols)) == sorted(map(repr, want))
 
 
+def test_very_long_texts(spark):
+    """Three million characters in one row, in words and without a space, beside short rows."""
+    r = random.Random(18)
+    words = " ".join(f"w{r.randint(0, 400_000)}" for _ in range(400_000))
+    rows = [(1, words, "en", "a", 0), (2, words[:1_000_000] + " tail", "en", "a", 0), (3, "x1" * 1_500_000, "en", "b", 0), (4, "short text", "en", "b", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).cache()
+    b = bpe.ByteBPE(*queries.byte_bpe())
+    sha = {i: hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in rows}
+    assert {x["doc_id"]: x["decoded_sha256"] for x in bpe.round_trip(d, *queries.byte_bpe()).collect()} == sha and b.codec
+    n_words = {i: len(t.split()) for i, t, *_ in rows}
+    assert {x["doc_id"]: x["size"] for x in mix.mix_report(d).collect()} == n_words
+    assert {x["doc_id"]: x["n_chars"] for x in unigram.count_tokens(d, queries.byte_bpe("piece_bpe_32k.model")[0]).collect()} == {i: len(t) for i, t, *_ in rows}
+    assert simhash.components(d).count() == 4 and simhash.near_copies(d).count() == 4
+    assert langid.predict(d, langid.train(d)).count() == 4
+    assert {x["doc_id"]: x["base_sha256"] for x in pii.find(d).collect()} == {i: hashlib.sha256(pii.joined(base(t)).encode()).hexdigest() if i != 3 else hashlib.sha256(b"").hexdigest() for i, t, *_ in rows}
+    assert {x["doc_id"]: x["n_chars"] for x in lcp.compare_edited(d).collect()} == {i: len(t) for i, t, *_ in rows}
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in recompress.remove(d).collect()}
+    common_ = len(words[:1_000_000].split())
+    assert {i: x[0] for i, x in got.items()} == n_words and got[2][1] in (common_, common_ - 1) and got[1][1] == got[2][1] and got[3][1] == got[4][1] == 0
+    d.unpersist()
+
+
 def test_clashing_names(spark):
     """Columns of docs may have the names that the stages use inside."""
     names = ["extra", "x_id", "x_key", "term", "entity", "component_id", "fp", "target", "copies", "size", "lang_pred", "score"]
