@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 #: Vectors on which trees are fitted, at most; trees; sampled vectors of a leaf, about; of them that ask for the number of leaves.
 SAMPLE, TREES, LEAF, ASKED = 16384, 2, 20, 256
 #: The recall that the number of leaves is set for.
 RECALL = 0.95
-#: Vectors of one leaf that meet the leaf's queries in one task, about; larger leaves are cut into blocks.
+#: Vectors that meet the queries of their leaves in one call, about.
 BLOCK = 8192
 SEED = 7
 
@@ -133,7 +133,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[
                 [pa.array([np.frombuffer(k) for k in ids], pa.list_(pa.float64())), pa.array([sorted(x)[:keep] for x in ids.values()], pa.list_(pa.int64()))], ["vec", "ids"]
             )
 
-    part = v.mapInArrow(gather, "vec array<double>, ids array<bigint>").groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+    part = v.mapInArrow(lean(gather), "vec array<double>, ids array<bigint>").groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
     return stored(part.select(F.xxhash64("vec").alias("cid"), "vec", "ids"), "classes"), v
 
 
@@ -150,7 +150,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     x = _lifted(np.stack(fitted) if len(fitted) else np.zeros((1, 1)), norm)
     forest = Forest(x, leaf, trees, seed)
     forest.settle(x, np.arange(min(ASKED, len(x))), k, recall)
-    blocks = max(1, math.ceil(n * trees / forest.leaves / block))
+    # neighbouring leaves share a task, up to `block` vectors; a leaf of more is cut into blocks
+    size = n * trees / forest.leaves
+    together, blocks = max(1, int(block / max(size, 1))), max(1, math.ceil(size / block))
     sent = vectors.sparkSession.sparkContext.broadcast((forest, norm))
 
     def index(batches):
@@ -160,7 +162,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             at = -1 - f.assign(_lifted(rows, norm)) if b.num_rows else np.zeros((trees, 0), np.int64)
             before = pa.FixedSizeListArray.from_arrays(pa.array(at.T.ravel()), trees).cast(pa.list_(pa.int64()))
             for t in range(len(at)):
-                yield pa.RecordBatch.from_arrays([pa.array(at[t]), pa.array(np.full(len(at[t]), t, np.int32)), b.column("cid"), b.column("first"), b.column("vec"), before], ["leaf", "tree", "cid", "first", "vec", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[t] // together), pa.array(np.full(len(at[t]), t, np.int32)), b.column("cid"), b.column("first"), b.column("vec"), before], ["leaf", "tree", "cid", "first", "vec", "leaves"])
 
     def walk(batches):
         f, _ = sent.value
@@ -169,24 +171,31 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             taken = f.probe(_asking(np.column_stack([rows, np.zeros(len(rows))])))
             bits = pa.array([x.tobytes() for x in np.packbits(taken, axis=1)], pa.binary())
             for lo in range(0, len(rows), 256):  # a batch of results for some queries at a time
-                q, leaf_ = np.nonzero(taken[lo : lo + 256])
+                q, leaf_ = np.nonzero(np.logical_or.reduceat(taken[lo : lo + 256], np.arange(0, f.leaves, together), axis=1))
                 take = pa.array(q + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf_), b.column("qid").take(take), b.column("vec").take(take), bits.take(take)], ["leaf", "qid", "vec", "taken"])
 
-    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(index, "leaf bigint, tree int, cid bigint, first bigint, vec array<double>, leaves array<bigint>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint"))
+    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(lean(index), "leaf bigint, tree int, cid bigint, first bigint, vec array<double>, leaves array<bigint>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint"))
     asking = asked.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "vec"), "qid")
-    asking = asking.mapInArrow(walk, "leaf bigint, qid bigint, vec array<double>, taken binary").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    asking = asking.mapInArrow(lean(walk), "leaf bigint, qid bigint, vec array<double>, taken binary").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            c, ids, first, at, tree = np.stack(left["vec"].to_numpy()), left["cid"].to_numpy(), left["first"].to_numpy(), np.stack(left["leaves"].to_numpy()), int(left["tree"].iloc[0])
+            c, ids, first, at, tree = np.stack(left["vec"].to_numpy()), left["cid"].to_numpy(), left["first"].to_numpy(), np.stack(left["leaves"].to_numpy()), left["tree"].to_numpy()
+            own = at[np.arange(len(at)), tree]
+            order = np.argsort(own, kind="stable")
+            c, ids, first, at, tree, own = (x[order] for x in (c, ids, first, at, tree, own))
+            ends = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True]))) + 1
             q, qid, bits = np.stack(right["vec"].to_numpy()), right["qid"].to_numpy(), right["taken"].to_numpy()
             for lo in range(0, len(q), 256):
-                s = q[lo : lo + 256] @ c.T
                 taken = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in bits[lo : lo + 256]]), axis=1).astype(bool)
-                for t in range(tree):  # an earlier tree has shown these
-                    s[taken[:, at[:, t]]] = -np.inf
+                s = np.full((len(taken), len(ids)), -np.inf)
+                for a, b in zip(np.concatenate(([0], ends[:-1])), ends):  # leaf by leaf, for the queries that take it
+                    some = np.flatnonzero(taken[:, own[a]])
+                    s[some, a:b] = q[lo + some] @ c[a:b].T
+                for t in range(int(tree.max())):  # an earlier tree has shown these
+                    s[taken[:, at[:, t]] & (tree > t)] = -np.inf
                 for j in range(len(s)):
                     near = np.flatnonzero(s[j] > -np.inf)
                     if len(near) > k + 1:
