@@ -168,34 +168,36 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
     found, old = workspace(spark, s, branch, default), stored(spark, s.points)
     if only is not None:
         found = found.join(only.select(F.col("path").alias("relative_path")).distinct(), "relative_path", "left_semi")
-    names = found.select("relative_path", "branch", "file_hash")
-    if old is None:
-        fresh, kept, n_deleted = found, None, 0
-    else:
-        old = index.migrate_branch(old, branch, default).where(F.col("branch") == branch)
-        state = old.select("relative_path", "branch", "file_hash").distinct()
-        fresh = index.changed_files(found, state)
-        gone = index.deleted_files(state, names)
-        if only is not None:
-            gone = gone.join(only.select(F.col("path").alias("relative_path")).distinct(), "relative_path", "left_semi")
-        gone = gone if s.reconcile or only is not None else gone.limit(0)
-        changed = index.changed_files(names, state)
-        kept, n_deleted = index.purge(index.purge(old, changed), gone), gone.count()
-    total, n_changed = names.count(), fresh.count()
-    if n_changed or n_deleted or kept is None:
-        ensure_dimension(spark, s, embedding.with_retries(call))
-        staging = f"{s.points.removesuffix('/points')}/staging/{uuid.uuid4().hex}"
-
-        def keep(df: DataFrame) -> DataFrame:
-            path = f"{staging}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-
-        new = _shaped(points(fresh.select(*found.columns), call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
-        ready = keep(new if kept is None else index.upsert(_shaped(kept), new))
-        if ready.isEmpty():  # an empty frame overwrites no partition
-            _clear(spark, f"{s.points}/branch={_escaped(branch)}")
-        index.write_points(ready, s.points, s.batch_size * ROWS_A_BATCH)
+    staging = f"{s.points.removesuffix('/points')}/staging/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{staging}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        # all files are read and hashed once; of what changed the bytes are read once more and kept for all that cut them
+        names = keep(found.select("relative_path", "branch", "file_hash"))
+        if old is None:
+            changed, kept, n_deleted = names, None, 0
+        else:
+            old = index.migrate_branch(old, branch, default).where(F.col("branch") == branch)
+            state = keep(old.select("relative_path", "branch", "file_hash").distinct())
+            changed, gone = keep(index.changed_files(names, state)), index.deleted_files(state, names)
+            if only is not None:
+                gone = gone.join(only.select(F.col("path").alias("relative_path")).distinct(), "relative_path", "left_semi")
+            gone = keep(gone if s.reconcile or only is not None else gone.limit(0))
+            kept, n_deleted = index.purge(index.purge(old, changed), gone), gone.count()
+        total, n_changed = names.count(), changed.count()
+        if n_changed or n_deleted or kept is None:
+            ensure_dimension(spark, s, embedding.with_retries(call))
+            fresh = keep(found.join(changed.select("relative_path"), "relative_path", "left_semi").select(*found.columns))
+            new = _shaped(points(fresh, call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
+            ready = keep(new if kept is None else index.upsert(_shaped(kept), new))
+            if ready.isEmpty():  # an empty frame overwrites no partition
+                _clear(spark, f"{s.points}/branch={_escaped(branch)}")
+            index.write_points(ready, s.points, s.batch_size * ROWS_A_BATCH)
+    finally:
         _clear(spark, staging)
     return {"files": total, "changed": n_changed, "deleted": n_deleted, "branch": branch, "default_branch": default}
 
