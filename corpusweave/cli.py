@@ -81,7 +81,7 @@ class Engine:
     def watch(self, checkpoint: str):
         """A running query that syncs settled paths."""
         self.spark.dataSource.register(indexing.Workspace)
-        options = {"log": f"{checkpoint}/walks"} | {k: ",".join(getattr(self.s, k)) for k in ("exclude_dirs", "exclude_exts", "allow_hidden")}
+        options = {"log": f"{checkpoint}/walks", "settle": str(5 + self.s.debounce_ms / 1000)} | {k: ",".join(getattr(self.s, k)) for k in ("exclude_dirs", "exclude_exts", "allow_hidden")}
         events = self.spark.readStream.format("workspace").options(**options).load(self.s.root)
         return watch.start(events, lambda df, _: self.ingest(df) if not df.isEmpty() else None, f"{checkpoint}/state", quiet=f"{self.s.debounce_ms} milliseconds")
 

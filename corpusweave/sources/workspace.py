@@ -80,10 +80,14 @@ class Reader(DataSourceReader):
 
 
 class Changes(SimpleDataSourceStreamReader):
-    """Differences of one walk to the last. What each offset saw is kept as a small file under `log`, so a restarted query goes on."""
+    """Differences of one walk to the last. What each offset saw is kept as a small file under `log`, so a restarted query goes on.
 
-    def __init__(self, root: str, log: str, rules: dict):
-        self.root, self.log, self.rules = root, log, rules
+    For `settle` seconds after a change each walk also gives a row of no path, a tick: time goes on in the stream, so what waits
+    for quiet learns that it is quiet.
+    """
+
+    def __init__(self, root: str, log: str, rules: dict, settle: float = 0.0):
+        self.root, self.log, self.rules, self.settle = root, log, rules, settle
 
     def _seen(self, n: int) -> dict:
         if not n:
@@ -98,13 +102,15 @@ class Changes(SimpleDataSourceStreamReader):
         n = start["walk"]
         before = self._seen(n)
         now = {p: [m, s] for p, m, s in walk(self.root, **self.rules)}
-        if now == before.get("files", {}):
+        same, at = now == before.get("files", {}), time.time()
+        changed = before.get("changed", 0.0) if same else at
+        if same and at - changed > self.settle:
             return iter([]), start
         n += 1
         os.makedirs(self.log, exist_ok=True)
         part = os.path.join(self.log, f".{n}.part")
         with open(part, "w", encoding="utf-8") as f:
-            json.dump({"files": now, "at": time.time()}, f)
+            json.dump({"files": now, "at": at, "changed": changed}, f)
         os.replace(part, os.path.join(self.log, f"{n}.json"))
         end = {"walk": n}
         return self.readBetweenOffsets(start, end), end
@@ -119,6 +125,7 @@ class Changes(SimpleDataSourceStreamReader):
             for p in sorted(old.keys() | now["files"].keys()):
                 if old.get(p) != now["files"].get(p):
                     rows.append((p, "create" if p not in old else "write" if p in now["files"] else "remove", ts))
+            rows += [("", "tick", ts)] if self.settle else []
         return iter(rows)
 
     def commit(self, end: dict) -> None:
@@ -128,7 +135,7 @@ class Changes(SimpleDataSourceStreamReader):
 
 
 class Workspace(DataSource):
-    """Options: path; max_bytes (0: any size), exclude_dirs, exclude_exts, allow_hidden (comma-separated); log, for streams."""
+    """Options: path; max_bytes (0: any size), exclude_dirs, exclude_exts, allow_hidden (comma-separated); for streams log, and settle (seconds of ticks)."""
 
     @classmethod
     def name(cls):
@@ -147,4 +154,4 @@ class Workspace(DataSource):
         return Reader(self.options["path"], int(self.options.get("max_bytes", MAX_BYTES)), self._rules())
 
     def simpleStreamReader(self, schema):
-        return Changes(self.options["path"], self.options["log"], self._rules())
+        return Changes(self.options["path"], self.options["log"], self._rules(), float(self.options.get("settle", 0)))

@@ -34,8 +34,15 @@ def sessions(events: DataFrame, path: str, ts: str, gap_seconds: int) -> DataFra
 
 
 def start(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", quiet: str = DEBOUNCE):
-    """A running query that hands each batch of settled paths to sync(paths, batch_id)."""
-    return debounce(events, quiet=quiet).writeStream.outputMode("append").foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    """A running query that hands each batch of settled paths to sync(paths, batch_id).
+
+    Events come in the order of their times, so none is late. Ticks have no path; they go only here, as a filter in the plan
+    would be pushed below the watermark that they move.
+    """
+    def settled(df: DataFrame, batch: int) -> None:
+        sync(df.where("path <> ''"), batch)
+
+    return debounce(events, quiet=quiet, late="0 seconds").writeStream.outputMode("append").foreachBatch(settled).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def sync_status(events: DataFrame) -> DataFrame:

@@ -144,3 +144,31 @@ def test_answer_says_why(spark, root, tmp_path):
     out = e.search("should_retry RetryPolicy error")
     assert "Search intent: tags=`" in out and " | variants=" in out and "Signals: `" in out and "symbol-match:" in out and "```python\n" in out
     assert e.search("zzzz qqqq") .startswith("No relevant")
+
+
+def test_watch_syncs_what_has_settled(spark, root, tmp_path):
+    """End to end: changes are synced once they are quiet, without any later change."""
+    import time
+
+    e = cli.Engine(spark, settings.Settings(root=str(root), index=str(tmp_path / "idx"), search_mode="sparse"))
+    q = e.watch(str(tmp_path / "watch"))
+
+    def until(test):
+        for _ in range(240):
+            if q.exception():
+                raise q.exception()
+            if test():
+                return True
+            time.sleep(0.5)
+
+    def names():
+        p = indexing.stored(spark, e.s.points)
+        return {r["relative_path"] for r in p.select("relative_path").distinct().collect()} if p is not None and not e.status["active"] else set()
+
+    try:
+        assert until(lambda: "notes.yaml" in names())
+        (root / "notes.yaml").unlink()
+        (root / "late.md").write_text("A late note about the harbour and the boats that lie in it.\n")
+        assert until(lambda: "late.md" in names() and "notes.yaml" not in names())
+    finally:
+        q.stop()
