@@ -41,5 +41,5 @@ def write_batches(points: DataFrame, size: int, *order: str) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """points as Parquet by branch; only the branches at hand are overwritten."""
-    points.write.partitionBy("branch").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """points (with bucket) as Parquet by branch and bucket; only those at hand are overwritten."""
+    points.repartition("branch", "bucket").write.partitionBy("branch", "bucket").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

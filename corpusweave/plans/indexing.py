@@ -19,6 +19,8 @@ SCHEMA = """branch string, point_id string, kind string, chunk_idx int, sub_idx
  extension string, language string, content string, chunk_hash string, page_number bigint, name string, receiver string, container string, namespace string,
  start_line bigint, end_line bigint, symbol_names array<string>, framework_tags array<string>, layer_tags array<string>, tags array<string>, is_test boolean,
  test_framework string, file_hash string, modified bigint, updated bigint, default_branch string, dense array<float>, sparse array<struct<idx:bigint,w:double>>"""
+#: Buckets of paths that a branch's points are kept in; a sync writes those anew that it touches.
+BUCKETS = 64
 #: Rows of a file of points for each row of batch_size.
 ROWS_A_BATCH = 10_000
 #: What a point takes over from its file.
@@ -116,10 +118,14 @@ def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[
     return p.join(vectors.sparse_vectors(p.select("point_id", "search_text"), "point_id", "search_text", stop), "point_id", "left")
 
 
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("relative_path"), F.lit(BUCKETS)).cast("int")
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored points, or None before the first sync."""
     try:
-        return spark.read.schema(SCHEMA).parquet(path)
+        return _shaped(spark.read.schema(f"{SCHEMA}, bucket int").parquet(path))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -160,8 +166,8 @@ def ensure_dimension(spark: SparkSession, s: Settings, call: Callable[[str], lis
 def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call: Callable[[str], list[float]] | None = None) -> dict:
     """Brings the stored points of the current branch up to date; only: paths (column path) to look at, all if None.
 
-    Files of a known hash are skipped before they are cut. The branch is written beside its old points first and then
-    replaced, as no table can be read and overwritten at once. Returns numbers of files found, changed and deleted.
+    Files of a known hash are skipped before they are cut. The buckets that change are written beside their old points first
+    and then replaced, as no table can be read and overwritten at once; other buckets of the branch stay as they are. Returns numbers of files found, changed and deleted.
     """
     branch, default = documents.branches(s.root)
     call, stop = call or embedder(s), stop_words(spark, s)
@@ -191,12 +197,15 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
         total, n_changed = names.count(), changed.count()
         if n_changed or n_deleted or kept is None:
             ensure_dimension(spark, s, embedding.with_retries(call))
+            touched = sorted(r["bucket"] for r in changed.select("relative_path").union(gone.select("relative_path") if old is not None else changed.select("relative_path")).select(bucket().alias("bucket")).distinct().collect())
             fresh = keep(found.join(changed.select("relative_path"), "relative_path", "left_semi").select(*found.columns))
             new = _shaped(points(fresh, call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
-            ready = keep(new if kept is None else index.upsert(_shaped(kept), new))
-            if ready.isEmpty():  # an empty frame overwrites no partition
-                _clear(spark, f"{s.points}/branch={_escaped(branch)}")
+            ready = keep((new if kept is None else index.upsert(_shaped(kept.where(bucket().isin(touched))), new)).withColumn("bucket", bucket()))
             index.write_points(ready, s.points, s.batch_size * ROWS_A_BATCH)
+            left = {r["bucket"] for r in ready.select("bucket").distinct().collect()}
+            for k in touched:
+                if k not in left:  # no rows overwrite no partition
+                    _clear(spark, f"{s.points}/branch={_escaped(branch)}/bucket={k}")
     finally:
         _clear(spark, staging)
     return {"files": total, "changed": n_changed, "deleted": n_deleted, "branch": branch, "default_branch": default}

@@ -172,3 +172,21 @@ def test_watch_syncs_what_has_settled(spark, root, tmp_path):
         assert until(lambda: "late.md" in names() and "notes.yaml" not in names())
     finally:
         q.stop()
+
+
+def test_sync_rewrites_touched_buckets_only(spark, root, tmp_path):
+    e = cli.Engine(spark, settings.Settings(root=str(root), index=str(tmp_path / "idx"), search_mode="sparse"))
+    e.ingest()
+
+    def parts():
+        return {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "idx").rglob("part-*.parquet")}
+
+    before = parts()
+    (root / "notes.yaml").write_text("owner: another team\npurpose: nightly sync of the index of another kind\n")
+    (root / "kept.log").unlink()
+    assert {k: v for k, v in e.ingest().items() if k in ("changed", "deleted")} == {"changed": 1, "deleted": 1}
+    after, points = parts(), indexing.stored(spark, e.s.points)
+    same = [p for p in before if after.get(p) == before[p]]
+    assert len(same) >= 2 and len(after) <= len(before)
+    assert {r["relative_path"] for r in points.collect()} == {"app/retry_policy.py", "app/__init__.py", "docs/guide.md", "notes.yaml"}
+    assert "another" in points.where("relative_path = 'notes.yaml'").first()["content"]
