@@ -6,9 +6,9 @@ multinomial logistic regression over them tells the families, notices of other l
 windows as wrapped lines have them, on notices of invented licenses and on ORDINARY sentences, and, as what is no notice, on
 up to NEGATIVES lines of the corpus itself (of the texts of the least hashes) that are unlike every notice.
 
-Scoring is a cascade that is exact: by feature, the most that any notice class gains over NONE bounds what a passage can
-score, so only paragraphs with a passage of a bound over 0 are passed on; of those the passage with the greatest bound
-(the first, if several have it) is what the model classifies, so a notice inside a long line is found as well as alone.
+Scoring is a cascade of two regressions trained on the same rows. The first has the word pairs of all lines and tells any
+notice from none: the run of words whose pairs add most to the log-odds (the first, if several do) is the line's passage, so
+a notice inside a long line is found as well as alone. Passages of log-odds over GATE go to the second one.
 
 Two more fits on half of the families each are shown the other half, whole families that they never saw: the probability
 that all but 1 - CALIBRATE of these stay under is the least that names a family. Template comparison confirms: some notice
@@ -21,6 +21,7 @@ held whole. Columns of docs besides id and text are not looked at, whatever thei
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -116,14 +117,16 @@ ORDINARY = (
 #: Parts of the names of invented licenses.
 _INVENTED = (("Acme", "Nova", "Orion", "Harbor", "Zephyr", "Quartz", "Lumen", "Delta"), ("Public License", "Community License", "Source License", "Open License", "Shared Terms"), ("", " 1.0", " version 4", " v7"))
 NONE, UNKNOWN = "none", "unknown"
-BUCKETS, NEGATIVES, NEGATIVE_TEXTS = 8192, 1500, 300
+BUCKETS, NEGATIVES, NEGATIVE_TEXTS = 16384, 1500, 300
 CALIBRATE, LEAST, CONFIRM = 0.9, 0.4, 0.85
 ITERATIONS, RIDGE, WEIGHT_NONE = 60, 5e-5, 30.0
+#: Ridge of the first stage, and the log-odds from which a passage goes to the second.
+GATE_RIDGE, GATE = 1e-3, -1.0
 SEED = 11
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def _next(w: Column) -> Column:
@@ -184,26 +187,54 @@ def _sampled(docs: DataFrame, text_col: str, negatives: int) -> list[str]:
     return [x for x in lines if not (g := _grams(x) & seen) or max(len(g & y) / len(y) for y in own) < 0.5]
 
 
-class Model:
-    """A fitted regression; classes: NONE, UNKNOWN, then families."""
+def _fit(train: DataFrame, **how):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
+    def vectors(tokens: DataFrame) -> DataFrame:
+        return CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="tokens", outputCol="features").setBinary(True).transform(tokens)
+
+    # a bounded sample of a few thousand rows: one partition
+    ready = vectors(train).select("label", "weight", "features").coalesce(1).cache()
+    fitted = LogisticRegression(maxIter=ITERATIONS, standardization=False, weightCol="weight", **how).fit(ready)
+    ready.unpersist()
+    return fitted, vectors
+
+
+def _weighted(spark: SparkSession, rows: list[tuple[str, str]], number: dict[str, float], tokens) -> DataFrame:
+    """Every class counts alike, and what is no notice more."""
+    n = Counter(f for f, _ in rows)
+    weight = {f: 100 * (WEIGHT_NONE if f == NONE else 1.0) / n[f] for f in n}
+    return spark.createDataFrame([(number[f], weight[f], x) for f, x in rows], "label double, weight double, text string").select("label", "weight", tokens(words(F.col("text"))).alias("tokens"))
+
+
+def _pairs(w: Column) -> Column:
+    """Buckets of word pairs, the last word's with nothing."""
+    return F.array_distinct(F.zip_with(w, _next(w), lambda x, y: F.pmod(F.hash(x, y), F.lit(BUCKETS)))).cast("array<string>")
+
+
+class Gate:
+    """The first stage: whether a passage is any notice, by its word pairs alone."""
 
     def __init__(self, spark: SparkSession, rows: list[tuple[str, str]]):
-        from pyspark.ml.classification import LogisticRegression
+        number = {f: float(f != NONE) for f, _ in rows}
+        fitted, _ = _fit(_weighted(spark, rows, number, _pairs), family="binomial", regParam=GATE_RIDGE)
+        self.gains, self.start = [round(float(x), 3) for x in fitted.coefficients.toArray()], float(fitted.intercept)
 
+    def passages(self, lines: DataFrame) -> DataFrame:
+        """lines (w: words) whose run of greatest log-odds can be a notice; w becomes that run with a word on either side."""
+        gains = _gains(F.col("w"), self.gains)
+        found = lines.where(_best(gains) + F.lit(self.start) >= GATE).withColumn("run", _run(gains)).where("run.hi > run.lo")
+        return found.withColumn("w", F.expr("slice(w, greatest(run.lo, 1), run.hi - run.lo + 3)")).drop("run")
+
+
+class Model:
+    """The second stage: a multinomial regression; classes: NONE, UNKNOWN, then families."""
+
+    def __init__(self, spark: SparkSession, rows: list[tuple[str, str]]):
         self.classes = [NONE, UNKNOWN, *sorted({f for f, _ in rows} - {NONE, UNKNOWN})]
         number = {f: float(i) for i, f in enumerate(self.classes)}
-        n = Counter(f for f, _ in rows)
-        weight = {f: (WEIGHT_NONE if f == NONE else 1.0) / n[f] for f in n}  # every class counts alike, what is no notice more
-        train = spark.createDataFrame([(number[f], 100 * weight[f], x) for f, x in rows], "label double, weight double, text string").select("label", "weight", features(words(F.col("text"))).alias("tokens"))
-        train = self.vectors(train).select("label", "weight", "features").coalesce(1).cache()
-        self.fitted = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=RIDGE, standardization=False, weightCol="weight").fit(train)
-        train.unpersist()
-
-    @staticmethod
-    def vectors(tokens: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import CountVectorizerModel
-
-        return CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="tokens", outputCol="features").setBinary(True).transform(tokens)
+        self.fitted, self.vectors = _fit(_weighted(spark, rows, number, features), family="multinomial", regParam=RIDGE)
 
     def scored(self, tokens: DataFrame) -> DataFrame:
         """tokens with p_none, family (the most probable of the classes that are notices) and probability."""
@@ -214,22 +245,27 @@ class Model:
         at = F.array_position(F.slice("p", 2, len(self.classes)), F.col("probability")).cast("int")
         return out.withColumn("family", F.element_at(F.array(*map(F.lit, self.classes[1:])), at)).drop("p")
 
-    def bounds(self) -> tuple[list[float], float]:
-        """By feature, the most that a notice class gains over NONE; and the same of the intercepts."""
-        c, b = self.fitted.coefficientMatrix.toArray(), np.array(self.fitted.interceptVector.toArray())
-        return (c[1:] - c[0]).max(axis=0).tolist(), float((b[1:] - b[0]).max())
-
 
-def _passage(w: Column, bounds: list[float]) -> tuple[Column, Column]:
-    """Of words w: the sum of what raises the bound, and the words of the run of greatest bound with what stands around it."""
+def _gains(w: Column, gains: list[float]) -> Column:
+    """By word, what its pair with the next adds to the log-odds."""
     # one literal: the optimizer folds it
-    table = F.split(F.lit(",".join(f"{x:.3f}" for x in bounds)), ",").cast("array<float>")
+    table = F.split(F.lit(",".join(map(str, gains))), ",").cast("array<double>")
+    return F.zip_with(w, _next(w), lambda x, y: F.element_at(table, F.pmod(F.hash(x, y), F.lit(BUCKETS)) + 1))
+
 
-    def gain(*x: Column) -> Column:
-        return F.element_at(table, F.pmod(F.hash(*x), F.lit(BUCKETS)) + 1).cast("double")
+def _best(gains: Column) -> Column:
+    """The greatest sum of a run of gains; 0 if none is over 0."""
+    start = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
 
-    gains = F.zip_with(w, _next(w), lambda x, y: gain(x) + gain(x, y))
-    raised = F.aggregate(gains, F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0)))
+    def step(s: Column, x: Column) -> Column:
+        now = F.greatest(s["now"] + x, F.lit(0.0))
+        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
+
+    return F.aggregate(gains, start, step, lambda s: s["best"])
+
+
+def _run(gains: Column) -> Column:
+    """That run, the first of several, as words [lo, hi)."""
     zero = F.lit(0)
     start = F.struct(zero.alias("i"), F.lit(0.0).alias("now"), zero.alias("since"), F.lit(0.0).alias("best"), zero.alias("lo"), zero.alias("hi"))
 
@@ -239,18 +275,16 @@ def _passage(w: Column, bounds: list[float]) -> tuple[Column, Column]:
         better = now > s["best"]
         return F.struct(i.alias("i"), now.alias("now"), since.alias("since"), F.when(better, now).otherwise(s["best"]).alias("best"), F.when(better, since).otherwise(s["lo"]).alias("lo"), F.when(better, i).otherwise(s["hi"]).alias("hi"))
 
-    run = F.aggregate(gains, start, step, lambda s: F.struct(F.greatest(s["lo"], zero).alias("lo"), s["hi"].alias("hi")))
-    return raised, run
+    return F.aggregate(gains, start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
 def training(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> list[tuple[str, str]]:
     return _varied(notices()) + [(NONE, x) for x in _sampled(docs, text_col, negatives)]
 
 
-def asked_of(model: Model, texts: DataFrame, least: float) -> DataFrame:
-    """texts (text) as passages, judged; those that are no notice go."""
-    w = texts.withColumn("w", words(F.col("text")))
-    return named(model.scored(w.withColumn("tokens", features(F.col("w")))).where("p_none < 0.5"), least)
+def judged(passages: DataFrame, model: Model, least: float) -> DataFrame:
+    """passages (w) that are a notice, with family, probability, share and confirmed."""
+    return named(model.scored(passages.withColumn("tokens", features(F.col("w")))).where("p_none < 0.5"), least)
 
 
 def calibrated(spark: SparkSession, rows: list[tuple[str, str]]) -> float:
@@ -260,7 +294,7 @@ def calibrated(spark: SparkSession, rows: list[tuple[str, str]]) -> float:
         held = set(names[k::2])
         model = Model(spark, [x for x in rows if x[0] not in held])
         asked = [(x,) for f, x in notices() if f in held]
-        got = asked_of(model, spark.createDataFrame(asked, "text string"), 0.0).where(F.col("family") != UNKNOWN)
+        got = judged(spark.createDataFrame(asked, "text string").select(words(F.col("text")).alias("w")), model, 0.0).where(F.col("family") != UNKNOWN)
         got = [r["probability"] for r in got.select("probability").collect()]
         wrong += got + [0.0] * (len(asked) - len(got))
     return max(LEAST, float(np.quantile(wrong, CALIBRATE))) if wrong else LEAST
@@ -287,18 +321,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     """(doc_id, paragraph from 0, family, probability, share, confirmed) of each paragraph that is a notice of a known or unknown license."""
     spark = docs.sparkSession
     rows = training(docs, text_col, negatives)
-    model = Model(spark, rows)
-    least = calibrated(spark, rows)
-    bounds, start = model.bounds()
+    gate, model, least = Gate(spark, rows), Model(spark, rows), calibrated(spark, rows)
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
     lines = lines.where("line <> ''").select("doc_id", "paragraph", words(F.col("line")).alias("w"))
-    raised, run = _passage(F.col("w"), bounds)
-    # a paragraph is passed on only if some passage of it can be a notice
-    found = lines.where(raised + F.lit(max(0.0, start)) > 0).withColumn("run", run).where("run.hi > run.lo")
-    found = found.select("doc_id", "paragraph", F.expr("slice(w, greatest(run.lo, 1), run.hi - run.lo + 3)").alias("w"))
-    found = stored(found, "passages")
-    scored = model.scored(found.withColumn("tokens", features(F.col("w")))).where("p_none < 0.5")
-    out = named(scored, least)
+    out = judged(stored(gate.passages(lines), "passages"), model, least)
     return out.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("share", 6).alias("share"), "confirmed")
 
 
@@ -308,13 +334,16 @@ def evaluate(spark: SparkSession, every: int = 5) -> dict[str, float]:
     held = [x for i, x in enumerate(base) if i % every == 2 and x[0] not in (NONE, UNKNOWN)]
     kept = [x for x in base if x not in held]
     rows = _varied(kept)
-    model, least = Model(spark, rows), calibrated(spark, rows)
+    gate, model, least = Gate(spark, rows), Model(spark, rows), calibrated(spark, rows)
+
+    def ask(texts, gate, model):
+        t = spark.createDataFrame(texts, "want string, text string").select("want", words(F.col("text")).alias("w"))
+        return judged(gate.passages(t), model, least).select("want", "family").collect()
 
-    got = asked_of(model, spark.createDataFrame(held, "want string, text string"), least).select("want", "family").collect()
+    got = ask(held, gate, model)
     sure = [r for r in got if r["family"] != UNKNOWN]
     right = sum(r["want"] == r["family"] for r in sure)
     other = {f for i, f in enumerate(sorted(FAMILIES)) if i % 2}
-    strange = [x for x in base if x[0] in other]
-    model = Model(spark, [x for x in rows if x[0] not in other])
-    wrong = asked_of(model, spark.createDataFrame(strange, "want string, text string"), least).where(F.col("family") != UNKNOWN).count()
-    return {"precision": right / max(1, len(sure)), "recall": right / len(held), "least": least, "unknown": 1 - wrong / len(strange)}
+    strange, rows = [x for x in base if x[0] in other], [x for x in rows if x[0] not in other]
+    wrong = [r for r in ask(strange, Gate(spark, rows), Model(spark, rows)) if r["family"] != UNKNOWN]
+    return {"precision": right / max(1, len(sure)), "recall": right / len(held), "found": len(got) / len(held), "least": least, "unknown": 1 - len(wrong) / len(strange)}
