@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored, tidy
+from .common import lean, released, stored, tidy
 
 WINDOW, ROUNDS = 35, 3
 MOST_BITS = 30
@@ -46,7 +46,7 @@ HOT_LEAST = 256
 #: Texts with repeats, by their keys, that are broadcast at most; beyond that all texts meet them by an exchange.
 BROADCAST = 200_000
 #: Words that are parsed in one go, about.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -238,7 +238,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most_bi
                 u, c = np.unique(Windows(h, n, window, rounds).name, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(u), pa.array(c.astype(np.int64))], ["name", "n"])
 
-    shared = stored(docs.select("text").mapInArrow(names, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "names")
+    shared = stored(docs.select("text").mapInArrow(lean(names), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "names")
     n_names, n_runs = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(most_bits, max(20, int(32 * n_names + 1).bit_length()))
     # no more than 4 x parts names can be hot
@@ -305,9 +305,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most_bi
             yield found(held)
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    seen = stored(keyed.mapInArrow(runs, _RUNS), "runs")
+    seen = stored(keyed.mapInArrow(lean(runs), _RUNS), "runs")
     spans = seen.where(F.col("kind") == _SPAN).select("name", "c1", "c2", "n", "words")
-    masks = spans.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(compare, "c1 bigint, c2 bigint, mask bigint")
+    masks = spans.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(lean(compare), "c1 bigint, c2 bigint, mask bigint")
     if hot:
         often = seen.where(F.col("kind") == _WINDOW).groupBy(F.col("c1").alias("name"), F.col("c2").alias("doc_id")).agg(F.sum("n").alias("times")).where("times > 1")
         own = seen.where(F.col("kind") == _OF_SPAN).select("name", "doc_id", "c1", "c2", "n").distinct()
@@ -375,4 +375,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         side = F.broadcast(found.select("r_id", "r_th"))
         free = keyed.join(side, same, "left_anti").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("ranges"))
         both = free.unionByName(keyed.join(side, same, "left_semi").join(found, same).select("doc_id", "text", "ranges"))
-    return both.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return both.mapInArrow(lean(cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
