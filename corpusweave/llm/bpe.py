@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: Characters that one call of the leaf encoder gets at most.
 LEAF_CHARS = 8192
 #: Tokens that one call of the leaf decoder gets at most.
@@ -149,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
                     yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, i - at) for c in kept), lists, pa.array(np.diff(ends).astype(np.int64))], [*kept, "token_ids", "n_tokens"])
                     ids, at, n = [], i, 0
 
-    return docs.select(*kept, F.col(text_col).alias("__cw_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("__cw_text")).mapInArrow(lean(run), schema)
 
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -163,7 +165,7 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [bpe.decode(x or []).decode("utf-8", "replace") for x in b.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    return tokens.select(*kept, "token_ids").mapInArrow(run, schema)
+    return tokens.select(*kept, "token_ids").mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,5 +183,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        lean(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

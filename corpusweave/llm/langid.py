@@ -7,7 +7,7 @@ corrected for the false positives that its own share of set slots lets one expec
 Training sees documents with a text and a language whose crc32(id) mod 5 is not 0, of them about SAMPLE a language, chosen
 by a hash of the id. An n-gram counts as contained in a language if at least MIN_SHARE of the language's sampled documents
 have it, and at least RELATIVE of the share in the language that has it most. Prediction uses the whole text and nothing
-else. The table has 16 slots for each n-gram that any language contains, 2^MOST_BITS at most; how many a language contains
+else. The table has 8 slots or more for each n-gram that any language contains, 2^MOST_BITS at most; how many a language contains
 depends on MIN_SHARE and not on the number of documents, so the table doesn't grow with them.
 
 Texts that are null or have no letter are UNKNOWN; no rows give no rows, equal texts equal results, and languages of equal
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 #: Labelled documents of a language that are used for training, about.
 SAMPLE = 1500
@@ -129,7 +129,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             g, c = np.unique(np.concatenate(seen[lang]), return_counts=True) if lang in seen else (np.zeros(0, np.uint64), np.zeros(0, int))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(g) + 1)), pa.array(np.concatenate((g.view(np.int64), [0]))), pa.array(np.concatenate((c, [n])).astype(np.int64)), pa.array([False] * len(g) + [True])], ["lang", "g", "n", "total"])
 
-    counted = stored(chosen.mapInArrow(count, "lang string, g bigint, n bigint, total boolean").groupBy("lang", "g", "total").agg(F.sum("n").alias("n")), "ngrams")
+    counted = stored(chosen.mapInArrow(lean(count), "lang string, g bigint, n bigint, total boolean").groupBy("lang", "g", "total").agg(F.sum("n").alias("n")), "ngrams")
     totals = {r["lang"]: r["n"] for r in counted.where("total").collect()}
     langs = sorted(totals)
     number = F.create_map(*(F.lit(y) for i, x in enumerate(langs) for y in (x, i)))
@@ -137,7 +137,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = counted.where("not total").select("g", number[F.col("lang")].alias("i"), (F.col("n") / total[F.col("lang")]).alias("share"))
     have = share.groupBy("g").agg(F.collect_list(F.struct("i", "share")).alias("by"), F.max("share").alias("top")).where(F.col("top") >= MIN_SHARE)
     have = stored(have.select("g", F.expr(f"transform(filter(by, x -> x.share >= {MIN_SHARE} and x.share >= {RELATIVE} * top), x -> x.i)").alias("langs")), "contained")
-    bits = min(most_bits, max(16, (16 * have.count()).bit_length()))
+    bits = min(most_bits, max(16, (8 * have.count()).bit_length()))
 
     def place(batches):
         for b in batches:
@@ -155,7 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     m += [mask] * HASHES
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(w, pa.int32()), pa.array(np.array(m, np.uint64).view(np.int64))], ["k", "w", "m"])
 
-    filled = have.mapInArrow(place, "k bigint, w int, m bigint").groupBy("k", "w").agg(F.bit_or("m").alias("m"))
+    filled = have.mapInArrow(lean(place), "k bigint, w int, m bigint").groupBy("k", "w").agg(F.bit_or("m").alias("m"))
     got = filled.toArrow()  # a row for each slot at most: a bound that doesn't grow with the input
     masks = np.zeros((1 << bits, (len(langs) + 63) // 64), np.uint64)
     masks[got["k"].to_numpy(), got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 #: Of the coverage that all but 1 in 1000 training documents of a language reach, the part that a document must have.
@@ -193,7 +193,7 @@ def least_coverage(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_
             found = [(lang, y[2]) for lang, x in zip(b.column("lang").to_pylist(), b.column("text")) if (y := f.predict(x.as_py()))[0] == lang]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "covered"])
 
-    got = chosen.mapInArrow(run, "lang string, covered double").groupBy("lang").agg(F.percentile_approx("covered", 0.001, 10000).alias("least"))
+    got = chosen.mapInArrow(lean(run), "lang string, covered double").groupBy("lang").agg(F.percentile_approx("covered", 0.001, 10000).alias("least"))
     return {r["lang"]: KEEP * r["least"] for r in got.collect()}  # a row a language
 
 
@@ -217,4 +217,4 @@ def keep_known(docs: DataFrame, model: Filter, least: dict[str, float] | None =
                 cols[lang_col] = pc.coalesce(cols[lang_col], pa.array([x[0] for x in found], cols[lang_col].type))
             yield pa.RecordBatch.from_arrays(list(cols.values()), kept).filter(keep)
 
-    return docs.select(*kept).mapInArrow(run, docs.schema)
+    return docs.select(*kept).mapInArrow(lean(run), docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import lean, released, stored
 
 #: Names of a fingerprint; first and last level whose phrases are features (a level is about three times as coarse as the one before).
 SKETCH, FIRST, LEVELS = 48, 3, 5
@@ -142,7 +142,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             texts = [x or "" for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(map(written, sketches(texts)), pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 _LEAST = -(1 << 63)
@@ -186,7 +186,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([x[0] for x in first.values()], pa.int64()), pa.array([x[1] for x in first.values()], pa.int64())], ["g", "k", "tie"])
 
     # a row for each range: RANGES at most
-    heads = keys.select("k", "tie").mapInArrow(least, "g bigint, k bigint, tie bigint").groupBy("g").agg(F.min(F.struct("k", "tie")).alias("f")).orderBy("g").collect()
+    heads = keys.select("k", "tie").mapInArrow(lean(least), "g bigint, k bigint, tie bigint").groupBy("g").agg(F.min(F.struct("k", "tie")).alias("f")).orderBy("g").collect()
     heads = [(r["g"], (r["f"]["k"], r["f"]["tie"])) for r in heads]
     released(keys)
     before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}  # the first key of a range: the range before it
@@ -258,6 +258,6 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from flush()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(heads))
-    sent = rows.mapInArrow(parse, "g bigint, ahead boolean, k bigint, tie bigint, doc_id bigint, times bigint, sketch binary, packed binary")
+    sent = rows.mapInArrow(lean(parse), "g bigint, ahead boolean, k bigint, tie bigint, doc_id bigint, times bigint, sketch binary, packed binary")
     ranged = sent.repartition(parts, "g").sortWithinPartitions("g", "ahead", "k", "tie")
-    return ranged.mapInArrow(edit, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ranged.mapInArrow(lean(edit), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -180,7 +180,8 @@ def _grams(text: str) -> set[tuple[str, ...]]:
 def _sampled(docs: DataFrame, text_col: str, negatives: int) -> list[str]:
     """Up to `negatives` lines of the NEGATIVE_TEXTS texts of the least hashes; lines that are like a notice are left out."""
     t = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
-    lines = t.orderBy("h").limit(NEGATIVE_TEXTS).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 20 and 2000")
+    last = t.select("h").orderBy("h").limit(NEGATIVE_TEXTS).agg(F.max("h")).first()[0]  # of hashes alone, so no texts meet in a task
+    lines = t.where(F.col("h") <= F.lit(last)).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 20 and 2000")
     lines = [r["line"] for r in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
     own = [g for f, x in notices() if f != NONE and len(g := _grams(x)) > 1]
     seen = {g for x in own for g in x}
@@ -224,7 +225,7 @@ class Gate:
     def passages(self, lines: DataFrame) -> DataFrame:
         """lines (w: words) whose run of greatest log-odds can be a notice; w becomes that run with a word on either side."""
         gains = _gains(F.col("w"), self.gains)
-        found = lines.where(_best(gains) + F.lit(self.start) >= GATE).withColumn("run", _run(gains)).where("run.hi > run.lo")
+        found = lines.where(_reaches(gains, max(1e-9, GATE - self.start))).withColumn("run", _run(gains)).where("run.hi > run.lo")
         return found.withColumn("w", F.expr("slice(w, greatest(run.lo, 1), run.hi - run.lo + 3)")).drop("run")
 
 
@@ -253,19 +254,14 @@ def _gains(w: Column, gains: list[float]) -> Column:
     return F.zip_with(w, _next(w), lambda x, y: F.element_at(table, F.pmod(F.hash(x, y), F.lit(BUCKETS)) + 1))
 
 
-def _best(gains: Column) -> Column:
-    """The greatest sum of a run of gains; 0 if none is over 0."""
-    start = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = F.greatest(s["now"] + x, F.lit(0.0))
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
-
-    return F.aggregate(gains, start, step, lambda s: s["best"])
+def _reaches(gains: Column, least: float) -> Column:
+    """Whether some run of gains has a sum of `least` (over 0) or more; a sum that has stays."""
+    top = F.lit(least)
+    return F.aggregate(gains, F.lit(0.0), lambda s, x: F.when(s >= top, s).otherwise(F.greatest(s + x, F.lit(0.0)))) >= top
 
 
 def _run(gains: Column) -> Column:
-    """That run, the first of several, as words [lo, hi)."""
+    """The run of gains of the greatest sum, the first of several, as words [lo, hi)."""
     zero = F.lit(0)
     start = F.struct(zero.alias("i"), F.lit(0.0).alias("now"), zero.alias("since"), F.lit(0.0).alias("best"), zero.alias("lo"), zero.alias("hi"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import lean, released, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PRIOR = 1.0
@@ -169,7 +169,7 @@ def contexts(texts: DataFrame) -> DataFrame:
                     })
             yield pa.RecordBatch.from_pylist(rows, _CONTEXT)
 
-    return texts.where(F.col("text").rlike("[@0-9]")).mapInArrow(run, f"doc_key string, words bigint, entities array<string>, terms {_TERMS}")
+    return texts.where(F.col("text").rlike("[@0-9]")).mapInArrow(lean(run), f"doc_key string, words bigint, entities array<string>, terms {_TERMS}")
 
 
 def _holders(ctx: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _term_counts(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
             picked = [words[i] for i in np.nonzero(hit)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([*picked, None], pa.string()), pa.array([*(seen[w] for w in picked), sum(seen.values())], pa.int64())], ["term", "n"])
 
-    return texts.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, most_words: float, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
@@ -269,7 +269,7 @@ def _term_spans(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
             extra = [joined(_marks(t.as_py(), dict(zip(w.as_py(), a.as_py())))) for t, w, a in zip(b.column("text"), b.column("terms"), b.column("actions"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(extra, pa.string())], ["x_key", "extra"])
 
-    return text.join(hit, "doc_key").select("doc_key", "text", "terms", "actions").mapInArrow(run, "x_key string, extra string").where("extra <> ''").dropDuplicates(["x_key"])
+    return text.join(hit, "doc_key").select("doc_key", "text", "terms", "actions").mapInArrow(lean(run), "x_key string, extra string").where("extra <> ''").dropDuplicates(["x_key"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -290,7 +290,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
                 keys.append(hashlib.sha256(text.encode()).hexdigest() if s else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in n), pa.array(sha, pa.string()), pa.array(base, pa.string()), pa.array(keys, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "key"])
 
-    rows = _columns(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, key string")
+    rows = _columns(docs, id_col, text_col).mapInArrow(lean(run), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, key string")
     rows = stored(rows, "base")
     free = rows.where("key is null").withColumn("extra", F.lit(None).cast("string"))
     held = rows.where("key is not null").join(extra, rows.key == extra.x_key, "left").drop("x_key")
@@ -326,4 +326,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             new = pa.array([redact(t.as_py(), x.as_py()) for t, x in zip(b.column(text_col), b.column("__cw_extra"))], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text_col else b.column(c) for c in kept], kept)
 
-    return rest.unionByName(held.mapInArrow(run, docs.schema))
+    return rest.unionByName(held.mapInArrow(lean(run), docs.schema))

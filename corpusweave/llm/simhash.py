@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, released, stored, tidy
+from .common import connected_components, lean, released, stored, tidy
 
 #: Fingerprints of a signature that are compared pair by pair.
 BUCKET = 48
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((simhash(x.as_py() or b"", width) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 _SEGMENT = "(CASE WHEN w >= 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END)"
@@ -148,7 +148,7 @@ def links(fps: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
 
     sig = F.expr(_SIGNATURE)
     dealt = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), sig).sortWithinPartitions(sig)
-    found = stored(dealt.mapInArrow(walk, "large boolean, a bigint, b bigint"), "signatures")
+    found = stored(dealt.mapInArrow(lean(walk), "large boolean, a bigint, b bigint"), "signatures")
     del dealt
     tidy(spark)
     two = found.where("not large").select("a", "b")
@@ -306,7 +306,7 @@ class _Texts:
         own = stored(self.nodes.select("id", "t1", "t2").join(ids, "id").withColumnRenamed("id", "doc_id"), "asked")
         side = F.broadcast(own) if own.count() <= BROADCAST else own
         texts = self.keyed.join(side, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select(F.col("doc_id").alias("id"), "text")
-        out = stored(texts.mapInArrow(read, "id bigint, words array<bigint>"), "sets")
+        out = stored(texts.mapInArrow(lean(read), "id bigint, words array<bigint>"), "sets")
         released(own)
         return out
 
@@ -366,7 +366,7 @@ def _by_rare_shingles(members: DataFrame, texts: _Texts) -> DataFrame:
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sides], pa.list_(pa.int32())), pa.array([own], pa.list_(pa.int32()))], ["id", "keys", "sides", "own"])
 
-    rare = sets.mapInArrow(prefix, "id bigint, keys array<bigint>, sides array<int>, own array<int>").join(members, "id")
+    rare = sets.mapInArrow(lean(prefix), "id bigint, keys array<bigint>, sides array<int>, own array<int>").join(members, "id")
     rare = stored(rare.select(F.explode(F.arrays_zip("keys", "sides")).alias("x"), "id", "n", "root", "own").select(F.col("x.keys").alias("w"), F.col("x.sides").alias("side"), "id", "n", "root", "own"), "prefixes")
     mixed = rare.groupBy("w").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("w")
     mixed = stored(rare.join(mixed, "w"), "mixed")
@@ -402,7 +402,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
-    rows = stored(keyed.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, n int, sigs array<bigint>"), "near")
+    rows = stored(keyed.mapInArrow(lean(run), "doc_id bigint, t1 bigint, t2 bigint, n int, sigs array<bigint>"), "near")
     nodes = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "nodes")
     tidy(spark)
     texts = _Texts(keyed, nodes, similar)
@@ -417,7 +417,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hot_sigs = F.broadcast(spark.createDataFrame(hot, "sig bigint"))
         rest = sig.join(hot_sigs, "sig", "left_anti")
     dealt = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig", "id")
-    found = stored(dealt.mapInArrow(lambda batches: _meet(batches, similar, bucket), "member boolean, x bigint, y bigint, n int"), "candidates")
+    found = stored(dealt.mapInArrow(lean(lambda batches: _meet(batches, similar, bucket)), "member boolean, x bigint, y bigint, n int"), "candidates")
     del dealt
     tidy(spark)
     pairs = found.where("not member").select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SPACE = "▁"
 WORDS = 500_000
 
@@ -97,4 +99,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             rows = [(len(t), c.text(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["doc_id", "n_chars", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_chars bigint, n_tokens bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, n_chars bigint, n_tokens bigint")

@@ -204,6 +204,7 @@ PROBES = {
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED': "unknown",
     "Licensed under the Frobnicate License 3.1": "unknown",
     "This work has been dedicated to the public domain.": "unknown",
+    "plain text before\nAll rights reserved.": ("unknown", "proprietary"),
     "no notice here": None,
     "It was a long walk and the way home was cold.\nThe end of it came late.": None,
     "": None,
@@ -227,7 +228,7 @@ def test_licenses(licensed):
         got = licensed[i]
         assert len(got) % 2 == 0 and sorted(got)[::2] == sorted(got)[1::2]  # equal rows, equal results
         families = {x[1] for x in got}
-        assert families == ({want} if want else set()) or (not want and families <= {"unknown"} and text == ""), (text, got)
+        assert (families and families <= {*want} if isinstance(want, tuple) else families == ({want} if want else set())), (text, got)
     assert licensed[0][0][0] == 1  # the paragraph's number
     n = len(PROBES)
     assert {x[1] for x in licensed[n]} <= {"agpl-3.0", "unknown"} and licensed[n]
@@ -242,21 +243,21 @@ def test_license_edges(spark, edge):
 def test_license_held_out(spark):
     """Notices and families that the model never saw; the same figures as in README."""
     got = licenses.evaluate(spark)
-    assert got["precision"] >= 0.95 and got["recall"] >= 0.65 and got["unknown"] >= 0.9
+    assert got["precision"] >= 0.95 and got["recall"] >= 0.7 and got["found"] >= 0.98 and got["unknown"] >= 0.9
 
 
 def test_license_passages_by_brute_force(spark):
-    """The bound of a passage, and the passage, against a walk over all runs of words."""
+    """The log-odds of a passage, and the passage, against a walk over all runs of words."""
     r = random.Random(14)
-    bounds = [round(r.uniform(-1, 0.6), 3) for _ in range(licenses.BUCKETS)]
+    table = [round(r.uniform(-1, 0.6), 3) for _ in range(licenses.BUCKETS)]
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 25))) for _ in range(60)]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("w", licenses.words(F.col("text")))
-    raised, run = licenses._passage(F.col("w"), bounds)
-    pair = F.zip_with("w", licenses._next(F.col("w")), lambda x, y: F.array(F.pmod(F.hash(x), F.lit(licenses.BUCKETS)), F.pmod(F.hash(x, y), F.lit(licenses.BUCKETS))))
-    for row in d.select(raised.alias("raised"), run.alias("run"), pair.alias("pair")).collect():
-        g = [bounds[x] + bounds[y] for x, y in row["pair"]]
-        assert row["raised"] == pytest.approx(sum(max(0, x) for x in g), abs=1e-4)
+    gains = licenses._gains(F.col("w"), table)
+    pair = F.zip_with("w", licenses._next(F.col("w")), lambda x, y: F.pmod(F.hash(x, y), F.lit(licenses.BUCKETS)))
+    for row in d.select(F.array(*(licenses._reaches(gains, x / 4) for x in range(1, 12))).alias("reaches"), licenses._run(gains).alias("run"), pair.alias("pair")).collect():
+        g = [table[x] for x in row["pair"]]
         best = max([0.0, *(sum(g[i:j]) for i in range(len(g)) for j in range(i + 1, len(g) + 1))])
+        assert all(y == (best >= x / 4) or abs(best - x / 4) < 1e-6 for x, y in zip(range(1, 12), row["reaches"]))
         lo, hi = row["run"]["lo"], row["run"]["hi"]
         assert sum(g[lo:hi]) == pytest.approx(best, abs=1e-4)
 
