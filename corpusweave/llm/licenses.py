@@ -21,7 +21,6 @@ held whole. Columns of docs besides id and text are not looked at, whatever thei
 
 from __future__ import annotations
 
-import math
 import random
 from collections import Counter
 

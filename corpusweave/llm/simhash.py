@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, lean, released, stored, tidy
@@ -469,7 +469,8 @@ def _roots(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays; of rows with that id, the texts that are it.
 
-    Rows with a null id can't be told apart by it: one row of each of their texts stays, whatever other rows hold.
+    Rows with a null id can't be told apart by it: one row of each of their texts stays, whatever other rows hold. No rows give
+    no rows. A text of any length is one row with its set of shingles. Columns of docs may have any names.
     """
     found = near_copies(docs, id_col, text_col, **how)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__cw_id")).distinct(), "gone")
