@@ -2,8 +2,9 @@
 
 Trees are fitted on SAMPLE vectors (chosen by a hash): a node splits its vectors at the median along the difference of two
 of them, down to leaves of about LEAF of n vectors. Every vector is then sent to its leaf in each tree. A query's leaves of
-all trees stand in one priority queue, by its inner product with the mean of the leaf, and it takes as many of them as gave
-RECALL of the true neighbours on the sample itself: few where vectors have structure, over half of all where they have none.
+all trees stand in one priority queue, by its inner product with the mean of the leaf, and it takes as many of them as give
+RECALL of the true neighbours in the whole table, which ASKED queries are scanned against all rows for: few where vectors have
+structure, over half of all where they have none. Leaves meet queries in calls of up to BLOCK of either.
 Leaves and queries meet by an equality join on the leaf, where candidates are ranked by the exact inner product in double
 precision; a candidate that an earlier tree has shown the query isn't shown again. Vectors get one more component, so that the
 largest inner product is the smallest angle.
@@ -29,7 +30,7 @@ from .common import lean, stored
 SAMPLE, TREES, LEAF, ASKED = 16384, 2, 20, 256
 #: The recall that the number of leaves is set for.
 RECALL = 0.95
-#: Vectors that meet the queries of their leaves in one call, about.
+#: Vectors, and queries, that meet in one call, about.
 BLOCK = 8192
 SEED = 7
 
@@ -68,18 +69,18 @@ class Forest:
         self.means.append(x[idx].mean(axis=0) if len(idx) else np.zeros(x.shape[1]))
         return -len(self.means)
 
-    def settle(self, sample: np.ndarray, queries: np.ndarray, k: int, recall: float = RECALL) -> None:
-        """Sets the number of leaves that show `queries` (rows of the sample, as queries) that share of their k nearest in the sample."""
-        if len(sample) <= k + 1:
-            return
-        at, q = -1 - self.assign(sample), _asking(sample[queries])
-        near = q @ sample.T
-        near[np.arange(len(queries)), queries] = -np.inf
-        near = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    def places(self, q: np.ndarray) -> np.ndarray:
+        """(queries, leaves): the place of each leaf in each query's queue."""
         place = np.empty((len(q), self.leaves), np.int64)
         np.put_along_axis(place, np.argsort(-(q @ self.means.T), axis=1), np.arange(self.leaves)[None, :], 1)
-        first = np.min([np.take_along_axis(place, leaf[near], 1) for leaf in at], axis=0)
-        self.probes = min(self.leaves, int(np.quantile(first, recall)) + 1)
+        return place
+
+    @classmethod
+    def of(cls, arrays: dict) -> Forest:
+        """A forest from its arrays: tasks get these, as a broadcast object would need its class on executors."""
+        f = cls.__new__(cls)
+        f.__dict__.update(arrays)
+        return f
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """(trees, rows): the leaf of each row in each tree."""
@@ -104,6 +105,34 @@ class Forest:
         return taken
 
 
+def _settled(forest: Forest, norm: float, classes: DataFrame, queries: np.ndarray, k: int, recall: float) -> int:
+    """How many leaves show `queries` (lifted rows) that share of their k nearest of the whole table, found by a scan for these queries."""
+    q = _asking(queries)
+    if not len(q):
+        return forest.probes
+    sent = classes.sparkSession.sparkContext.broadcast((forest.__dict__, norm, q, forest.places(q)))
+
+    def scan(batches):
+        arrays, norm, q, place = sent.value
+        f, best = Forest.of(arrays), (np.full((len(q), k), -np.inf), np.full((len(q), k), -1))
+        for b in batches:
+            rows = _lifted(np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1), norm)
+            leaf = -1 - f.assign(rows)
+            near = q @ rows.T
+            near[near >= 1 - 1e-12] = -np.inf  # itself
+            first = np.min([place[:, t] for t in leaf], axis=0)
+            score, at = np.concatenate((best[0], near), axis=1), np.concatenate((best[1], first), axis=1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(score, top, 1), np.take_along_axis(at, top, 1)
+        i, j = np.nonzero(best[1] >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[0][i, j]), pa.array(best[1][i, j])], ["q", "score", "place"])
+
+    found = classes.select("vec").mapInArrow(lean(scan), "q bigint, score double, place bigint")  # k rows a query and task
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "place"))).where(F.col("r") <= k)
+    at = found.select("place").toArrow()["place"].to_numpy()  # ASKED x k rows at most
+    return min(forest.leaves, int(np.quantile(at, recall)) + 1) if len(at) else forest.probes
+
+
 def _asking(x: np.ndarray) -> np.ndarray:
     """Rows as queries: unit vectors without the last component."""
     x = x.copy()
@@ -149,14 +178,17 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     norm = norm or 1.0
     x = _lifted(np.stack(fitted) if len(fitted) else np.zeros((1, 1)), norm)
     forest = Forest(x, leaf, trees, seed)
-    forest.settle(x, np.arange(min(ASKED, len(x))), k, recall)
+    if n > k + 1:
+        forest.probes = _settled(forest, norm, classes, x[:ASKED], k, recall)
+    asking = stored(asked.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "vec"), "qid"), "asking")
+    parts = max(1, math.ceil(asking.count() / block))  # queries of a call
     # neighbouring leaves share a task, up to `block` vectors; a leaf of more is cut into blocks
     size = n * trees / forest.leaves
     together, blocks = max(1, int(block / max(size, 1))), max(1, math.ceil(size / block))
-    sent = vectors.sparkSession.sparkContext.broadcast((forest, norm))
+    sent = vectors.sparkSession.sparkContext.broadcast((forest.__dict__, norm))
 
     def index(batches):
-        f, norm = sent.value
+        f, norm = Forest.of(sent.value[0]), sent.value[1]
         for b in batches:
             rows = np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1)
             at = -1 - f.assign(_lifted(rows, norm)) if b.num_rows else np.zeros((trees, 0), np.int64)
@@ -165,7 +197,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([pa.array(at[t] // together), pa.array(np.full(len(at[t]), t, np.int32)), b.column("cid"), b.column("first"), b.column("vec"), before], ["leaf", "tree", "cid", "first", "vec", "leaves"])
 
     def walk(batches):
-        f, _ = sent.value
+        f = Forest.of(sent.value[0])
         for b in batches:
             rows = np.asarray(b.column("vec").flatten()).reshape(b.num_rows, -1)
             taken = f.probe(_asking(np.column_stack([rows, np.zeros(len(rows))])))
@@ -175,9 +207,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
                 take = pa.array(q + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf_), b.column("qid").take(take), b.column("vec").take(take), bits.take(take)], ["leaf", "qid", "vec", "taken"])
 
-    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(lean(index), "leaf bigint, tree int, cid bigint, first bigint, vec array<double>, leaves array<bigint>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint"))
-    asking = asked.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "vec"), "qid")
-    asking = asking.mapInArrow(lean(walk), "leaf bigint, qid bigint, vec array<double>, taken binary").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    indexed = classes.select("cid", F.col("ids")[0].alias("first"), "vec").mapInArrow(lean(index), "leaf bigint, tree int, cid bigint, first bigint, vec array<double>, leaves array<bigint>").withColumn("block", F.pmod("cid", F.lit(blocks)).cast("bigint")).withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
+    asking = asking.mapInArrow(lean(walk), "leaf bigint, qid bigint, vec array<double>, taken binary").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))).withColumn("part", F.pmod("qid", F.lit(parts)).cast("bigint"))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -207,7 +238,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         return pd.DataFrame({"qid": np.asarray(a, np.int64), "cid": np.asarray(b, np.int64), "score": np.asarray(s, float)})
 
-    found = indexed.groupBy("leaf", "block").cogroup(asking.groupBy("leaf", "block")).applyInPandas(rank, "qid bigint, cid bigint, score double")
+    found = indexed.groupBy("leaf", "block", "part").cogroup(asking.groupBy("leaf", "block", "part")).applyInPandas(rank, "qid bigint, cid bigint, score double")
     # of each query class the k + 1 best classes, pruned before and after the exchange; a class counts with its smallest id
     found = found.join(classes.select("cid", F.col("ids")[0].alias("first")), "cid")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k + 1)
