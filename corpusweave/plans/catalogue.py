@@ -11,6 +11,7 @@ from ..functions import tables, text
 from ..operators import chunking, code, index, search, vectors
 from ..sources import ignore
 from ..streaming import watch
+from . import shapes
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -540,52 +541,44 @@ def aimd_limit(spark, sf):
     return embedding.limit_trace(e, "user_id", F.col("event_type") != "error", F.col("value"), ["ts", "event_id"], most=5, fast=50.0)
 
 
-# code: a source file for each document; chr(10) ends lines, chr(123) and chr(125) are braces, chr(92) a backslash
-def _source(*lines: str) -> str:
-    return " || chr(10) || ".join(lines)
-
-
-_BODY = "repeat({} || chr(10), CAST(doc_id % 4 AS INT))"  # that many lines, with the last line's end
-_DOC = "CAST(doc_id AS {T})"
-_GO = _source("'package p' || source", "''", "'import \"fmt\"'", "''", f"'func Plain' || {_DOC} || '() interface{{}} {{'", _BODY.format("'fmt.Println(\"}\")'") + " || '}'", "''", f"'func (s *Store' || {_DOC} || ') Get(k string) map[string]struct{{}} {{'", "'return nil'", "'}'")
-_TS = _source("'import a from ' || chr(39) || './' || lang || chr(39) || ';'", f"'export class Box' || {_DOC} || ' {{'", "'  load(x: number): { a: number } {'", _BODY.format("'    step();'") + " || '    return { a: x };'", "'  }'", "'}'", f"'function free' || {_DOC} || '(s: string) {{'", "'  return s;'", "'}'")
-_PY = _source("'import os'", f"'class K' || {_DOC} || ':'", "'    def run(self):'", _BODY.format("'        os.getcwd()'") + " || '        return 1'", f"'def top' || {_DOC} || '(a):'", "'    return a'")
-_CS = _source("'using System.Text;'", "'namespace App.' || source || ';'", f"'public class S' || {_DOC} || ' {{'", "'    public int Sum(int a) {'", _BODY.format("'        Step(\"{\");'") + " || '        return a;'", "'    }'", "'}'")
-_PHP = _source("'<?php'", "'namespace App' || chr(92) || 'Models;'", "'use Illuminate' || chr(92) || 'Model;'", f"'class U' || {_DOC} || ' {{'", "'    public function name() { return 1; }'", "'}'")
-_LANGS = ("go", "ts", "py", "cs", "php")
-_CODE = "SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate((_GO, _TS, _PY, _CS, _PHP))) + " END AS content, source || '/f' || " + _DOC + " || '.' || CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LANGS)) + " END AS relative_path, source FROM documents"
-_DUCK_CODE = _CODE.replace("{T}", "VARCHAR")
-# which functions each file has: language, name, container, first line, last line; n is the number of lines of the body
-_N = "doc_id % 4"
-_EXPECTED = (
-    (0, "go", "'Plain' || id", "''", "5", f"6 + {_N}"), (0, "go", "'Get'", "'Store' || id", f"8 + {_N}", f"10 + {_N}"), (1, "typescript", "'load'", "'Box' || id", "3", f"5 + {_N}"), (1, "typescript", "'free' || id", "''", f"7 + {_N}", f"9 + {_N}"),
-    (2, "python", "'run'", "'K' || id", "3", f"4 + {_N}"), (2, "python", "'top' || id", "''", f"5 + {_N}", f"6 + {_N}"), (3, "csharp", "'Sum'", "'S' || id", "4", f"6 + {_N}"), (4, "php", "'name'", "'U' || id", "5", "5"),
-)
-_SPACES = "CASE doc_id % 5 WHEN 0 THEN 'p' || source WHEN 3 THEN 'App.' || source WHEN 4 THEN 'App' || chr(92) || 'Models' ELSE '' END"
-_FUNCTIONS_SQL = " UNION ALL ".join(
-    f"SELECT relative_path, '{lang}' AS language, {_SPACES} AS namespace, {name} AS name, {box} AS container, CAST({lo} AS BIGINT) AS start_line, CAST({hi} AS BIGINT) AS end_line, "
-    f"sha256(ltrim(array_to_string(list_slice(string_split(content, chr(10)), CAST({lo} AS BIGINT), CAST({hi} AS BIGINT)), chr(10)))) AS h FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM code) WHERE doc_id % 5 = {k}"
-    for k, lang, name, box, lo, hi in _EXPECTED
-)
+# code: for each document a source file of known declarations that holds its whole text as a comment
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _quoted(x) for x in r) + ")" for r in rows)
+
+
+_EXTS = tuple(shapes.SHAPES)
+_ROUTES = [(k, x, *shapes.template(x)) for k, x in enumerate(_EXTS)]
+_DECLARED = [(x, shapes.SHAPES[x][0], shapes.SHAPES[x][1], *f) for x in _EXTS for f in shapes.expected(x)]
+# which frameworks a language's imports give
+_IMPORTED = [(x, path, alias, {"js": "jest,react,test", "ts": "test,vitest", "go": "gin", "php": "laravel", "py": "numpy,pytest,test"}.get(x, "")) for x in _EXTS for path, alias in shapes.SHAPES[x][2]]
+# a text as a comment: what would end it is set apart
+_COMMENT = "replace(replace(replace(replace(coalesce(text, ''), '*/', '* /'), '\"\"\"', ''), chr(92), '/'), chr(13), ' ')"
+_CODE_SQL = f"""code AS (SELECT doc_id, ext, source || '/f' || doc_id || '.' || ext AS relative_path, len({_COMMENT}) - len(replace({_COMMENT}, chr(10), '')) AS n,
+  replace(head, '§', CAST(doc_id AS VARCHAR)) || {_COMMENT} || replace(tail, '§', CAST(doc_id AS VARCHAR)) AS content FROM documents JOIN (VALUES {_values(_ROUTES)}) AS r(k, ext, head, tail) ON doc_id % {len(_EXTS)} = k)"""
 
 
 def _parsed(spark, sf):
-    d = _table(spark, sf, "documents")
-    d.createOrReplaceTempView("corpusweave_documents")
-    f = spark.sql(_CODE.replace("{T}", "STRING").replace("FROM documents", "FROM corpusweave_documents"))
-    return code.extract(f)
+    d, routes = _table(spark, sf, "documents"), spark.createDataFrame(_ROUTES, "k int, ext string, head string, tail string")  # a row for each language
+    own = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit('\"\"\"'), F.lit("'''"))
+    own = F.translate(own, "\\\r", "/ ")
+    here = [F.replace(F.col(c), F.lit("§"), F.col("doc_id").cast("string")) for c in ("head", "tail")]
+    f = d.join(F.broadcast(routes), F.col("doc_id") % len(_EXTS) == F.col("k"))
+    return code.extract(f.select("doc_id", F.concat("source", F.lit("/f"), "doc_id", F.lit("."), "ext").alias("relative_path"), F.concat(here[0], own, here[1]).alias("content")))
 
 
-@_query(f"WITH code AS ({_DUCK_CODE}) {_FUNCTIONS_SQL}")
+@_query(f"""WITH {_CODE_SQL}, want AS (SELECT * FROM (VALUES {_values(_DECLARED)}) AS w(ext, language, namespace, name, container, lo, hi, own))
+SELECT relative_path, language, namespace, replace(name, '§', CAST(doc_id AS VARCHAR)) AS name, replace(container, '§', CAST(doc_id AS VARCHAR)) AS container, CAST(lo + n AS BIGINT) AS start_line, CAST(hi + n AS BIGINT) AS end_line,
+  sha256(coalesce(replace(own, '§', CAST(doc_id AS VARCHAR)), regexp_replace(ltrim(array_to_string(list_slice(string_split(content, chr(10)), lo + n, hi + n), chr(10))), '^export (default )?', ''))) AS h FROM code JOIN want USING (ext)""")
 def extract_functions(spark, sf):
     f = code.functions_of(_parsed(spark, sf), "relative_path")
     return f.select("relative_path", "language", "namespace", "name", "container", "start_line", "end_line", F.sha2("content", 256).alias("h"))
 
 
-_IMPORTED = ("'fmt'", "'./' || lang", "'os'", "'System.Text'", "'Illuminate' || chr(92) || 'Model'")
-
-
-@_query(f"SELECT source || '/f' || CAST(doc_id AS VARCHAR) || '.' || CASE doc_id % 5 {' '.join(f'WHEN {i} THEN {x!r}' for i, x in enumerate(_LANGS))} END AS relative_path, CASE doc_id % 5 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_IMPORTED))} END AS raw_path, '' AS alias, CASE WHEN doc_id % 5 = 4 THEN 'laravel' ELSE '' END AS tags FROM documents")
+@_query(f"SELECT source || '/f' || doc_id || '.' || ext AS relative_path, raw_path, alias, tags FROM documents JOIN (VALUES {_values([(k, x) for k, x, _, _ in _ROUTES])}) AS r(k, ext) ON doc_id % {len(_EXTS)} = k JOIN (VALUES {_values(_IMPORTED)}) AS i(ext, raw_path, alias, tags) USING (ext)")
 def extract_imports(spark, sf):
     f = _parsed(spark, sf)
     tags = text.import_tags(F.col("code.language"), F.transform("code.imports", lambda x: x["raw_path"]))
