@@ -3,8 +3,8 @@
 Python is read by its own parser, and by lines and indents where a file doesn't parse. The brace languages are read as
 tokens with a bracket tree (see tokens): declarations are found by the tokens around their keywords, and bodies of types by
 their members. What counts as a function follows the syntax: declarations with a name, methods with one (of classes and
-objects), and arrow functions that a const or let names; not generators that are no methods, function expressions,
-constructors of C#, nor overloads without a body. A function's container is the class, interface or struct around it.
+objects), and arrow functions that a const or let names; not generators that are no methods, function expressions, nor
+constructors of C#. A function's container is the class, interface or struct around it.
 """
 
 from __future__ import annotations
@@ -163,8 +163,8 @@ def _javascript(f: _File, typed: bool) -> None:
         elif text == "function" and t.is_name(i + 1):
             first = i - (t.at(i - 1) == "async" and not t.new_line(i))
             body = _js_parameters(t, i + 2)
-            if t.at(body) == "{" and body > i + 2 and _js_statement(t, first):
-                f.function(t.at(i + 1), first, t.match[body])
+            if body > i + 2 and _js_statement(t, first) and (typed or t.at(body) == "{"):
+                f.function(t.at(i + 1), first, t.match[body] if t.at(body) == "{" else body if t.at(body) == ";" else body - 1)
         elif text in ("const", "let") and t.at(i - 1) != "(":
             _js_arrows(f, i)
         elif t.up[i] >= 0 and t.text[t.up[i]] == "{" and t.up[i] not in f.boxes and t.at(i - 1) in ("{", ","):

@@ -31,12 +31,12 @@ SHAPES: dict[str, tuple[str, str, list[tuple[str, str]], tuple[str, str], list[t
         ("export default async function load§<T extends { a: number }>(x: T, f: (y: string) => void): Promise<{ a: number }> {\n  return x;\n}", [("load§", "", 0, 2, None)]),
         ("const useX§ = async <T,>(a: T) => {\n  return a;\n};", [("useX§", "", 0, 2, None)]),
         ("const typed§: (a: number) => string = (a) => String(a);", [("typed§", "", 0, 0, None)]),
-        ("function over§(a: string): void;\nfunction over§(a: any): asserts a is string { }", [("over§", "", 1, 1, None)]),
+        ("function over§(a: string): void;\nfunction over§(a: any): asserts a is string { }", [("over§", "", 0, 0, None), ("over§", "", 1, 1, None)]),
         ("export abstract class Repo§<T extends Base<T>> extends Other<Map<string, T>> implements A, B {\n  private readonly x: { a: number } = { a: 1 };\n  constructor(private readonly a: string) { super(); }\n  abstract find(id: string): T;", [("constructor", "Repo§", 2, 2, None)]),
         ("  public async get<K extends keyof T>(k: K): Promise<T[K]> {\n    return this.x as any;\n  }\n  optional?(): void { }\n}", [("get", "Repo§", 0, 2, None), ("optional", "Repo§", 3, 3, None)]),
         ("interface Shape§ { area(): number; nested: { deep(): void } }", []),
         ("type Alias§<T> = T extends string ? { a: T } : never;\nexport enum Color§ { Red = 'r' }", []),
-        ("declare function outside§(a: string): void;", []),
+        ("declare function outside§(a: string): void;", [("outside§", "", 0, 0, "function outside§(a: string): void;")]),
         ("namespace Inner§ {\n  export function within§() { return 1 < 2 && 3 > 2; }\n}", [("within§", "", 1, 1, None)]),
         ("export const conf§ = {\n  method§(a: number): string { return `${a}`; },\n};", [("method§", "", 1, 1, "method§(a: number): string { return `${a}`; }")]),
         ("class Deco§ {\n  @memo({ a: 1 })\n  load(): number[] { return []; }\n}", [("load", "Deco§", 2, 2, None)]),

@@ -92,7 +92,7 @@ export const config = { method(a: number): string { return `${a}`; }, arrow: (a:
 def test_typescript_shapes():
     r = code.parse("src/a.tsx", TS)
     assert [(f["name"], f["container"]) for f in r["functions"]] == [
-        ("load", ""), ("useX", ""), ("typed", ""), ("over", ""), ("constructor", "Repo"), ("get", "Repo"), ("of", "Repo"), ("optional", "Repo"), ("within", ""), ("method", ""),
+        ("load", ""), ("useX", ""), ("typed", ""), ("over", ""), ("over", ""), ("over", ""), ("constructor", "Repo"), ("get", "Repo"), ("of", "Repo"), ("optional", "Repo"), ("outside", ""), ("within", ""), ("method", ""),
     ]
     assert sorted(r["types"]) == ["Alias", "Color", "Repo", "Shape"]
     assert [i["raw_path"] for i in r["imports"]] == ["./t", "react"]
