@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 MAX_BYTES = 1 << 20
 
 
@@ -93,10 +95,10 @@ def read_document(ext: str, data: bytes) -> tuple[str | None, str | None]:
             try:
                 from pypdf import PdfReader
             except ImportError:
-                return None, "no PDF library is installed"
+                return pdf.text(data), None
             return "\f".join(map(page_text, PdfReader(io.BytesIO(data)).pages)), None
         return data.decode("utf-8"), None
-    except (UnicodeDecodeError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return None, f"{type(e).__name__}: {e}"
 
 
