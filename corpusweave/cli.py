@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 import threading
 import time
@@ -16,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from . import settings
 from .plans import indexing, retrieval
-from .streaming import watch
+from .streaming import timed, watch
 
 # The protocol's version, error codes and the names of tools and their arguments.
 PROTOCOL = "2024-11-05"
@@ -36,6 +35,7 @@ class Engine:
         self.spark, self.s = spark, s
         self.status = {"state": "idle", "syncs": 0, "pending": 0, "active": 0, "total": 0}
         self.lock = threading.Lock()
+        self.progress, self.state = None, ""  # of a watch
 
     def _count(self, **change: int) -> None:
         with self.lock:
@@ -79,18 +79,30 @@ class Engine:
         return retrieval.evaluate(self._points(), cases, self.s.search_mode, indexing.embedder(self.s), stop=indexing.stop_words(self.spark, self.s))
 
     def watch(self, checkpoint: str):
-        """A running query that syncs settled paths."""
+        """A running query that syncs settled paths. What waits is in its state, so status() can tell it."""
         self.spark.dataSource.register(indexing.Workspace)
-        options = {"log": f"{checkpoint}/walks", "settle": str(5 + self.s.debounce_ms / 1000)} | {k: ",".join(getattr(self.s, k)) for k in ("exclude_dirs", "exclude_exts", "allow_hidden")}
+        options = {"log": f"{checkpoint}/walks"} | {k: ",".join(getattr(self.s, k)) for k in ("exclude_dirs", "exclude_exts", "allow_hidden")}
         events = self.spark.readStream.format("workspace").options(**options).load(self.s.root)
-        return watch.start(events, lambda df, _: self.ingest(df) if not df.isEmpty() else None, f"{checkpoint}/state", quiet=f"{self.s.debounce_ms} milliseconds")
+        self.state = f"{checkpoint}/state"
+        query, self.progress = watch.start(events, lambda df, _: self.ingest(df), self.state, quiet=self.s.debounce_ms, size=self.s.batch_size, wait=self.s.batch_ms)
+        return query
+
+    def status_now(self) -> dict:
+        """Counts of what waits, is worked on and has been synced; with a watch also the paths that wait, and the stream's last batch and error."""
+        with self.lock:
+            now = dict(self.status)
+        if self.progress is not None:
+            paths = sorted(r["path"] for r in timed.waiting(self.spark, self.state).select("path").collect())
+            now |= {"pending": now["pending"] + len(paths), "pending_files": paths, "watching": self.progress.running, "batch": self.progress.batch, "error": self.progress.error}
+            now["state"] = "syncing" if now["pending"] or now["active"] else "idle"
+        return now
 
 
 def _tool(engine: Engine, name: str, args: dict) -> str:
     if name == "search":
         return engine.search(args["query"], args.get("file_extensions"), args.get("path_prefix") or "", args.get("branch") or "")
     if name == "get_sync_status":
-        return json.dumps(engine.status)
+        return json.dumps(engine.status_now())
     return json.dumps(engine.ingest())
 
 
@@ -133,6 +145,12 @@ def reply(engine: Engine, line: str) -> dict | None:
         return error(FAILED, f"{type(e).__name__}: {e}")
 
 
+def _checkpoint(engine: Engine) -> str:
+    """Where a watch keeps its state: in the shared folder that the session names, else beside the index."""
+    shared = engine.spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/watch" if shared else f"{engine.s.points.removesuffix('/points')}/watch"
+
+
 def _session() -> SparkSession:
     spark = SparkSession.builder.appName("corpusweave").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -176,11 +194,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"{sum(ok for _, ok in found)}/{len(found)}")
         return 0 if all(ok for _, ok in found) else 1
     elif a.command == "watch":
-        checkpoint = engine.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(engine.s.points.removesuffix("/points"), "watch")
-        query = engine.watch(checkpoint.removeprefix("file://"))
+        query = engine.watch(_checkpoint(engine))
         while query.isActive:
             time.sleep(1)
     else:
+        engine.watch(_checkpoint(engine))
         for line in sys.stdin:
             if line.strip() and (got := reply(engine, line)) is not None:
                 print(json.dumps(got), flush=True)

@@ -45,11 +45,11 @@ class Settling(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "first_ts timestamp, n_events bigint, due bigint")
+        self.pending = handle.getValueState("pending", "first_us bigint, n_events bigint, due bigint")
         self.done = handle.getValueState("done", "bursts bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = [r["ts"] for r in rows]
+        times = [r["us"] for r in rows]
         first, n = min(times), len(times)
         if self.pending.exists():
             was_first, was_n, was_due = self.pending.get()
@@ -68,7 +68,7 @@ class Settling(StatefulProcessor):
             return
         self.pending.clear()
         self.done.update(((self.done.get()[0] if self.done.exists() else 0) + 1,))
-        yield Row(path=key[0], first_ts=first, n_events=n)
+        yield Row(path=key[0], first_us=first, n_events=n)
 
     def close(self) -> None:
         pass
@@ -77,14 +77,16 @@ class Settling(StatefulProcessor):
 def settle(events: DataFrame, quiet: int = 800) -> DataFrame:
     """(path, first_ts, n_events) of each burst of a stream of (path, ts), `quiet` milliseconds after its last event."""
     timed_session(events.sparkSession)
-    return events.select("path", "ts").groupBy("path").transformWithState(Settling(quiet), _SETTLED, "Append", "ProcessingTime")
+    own = events.select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).groupBy("path")
+    found = own.transformWithState(Settling(quiet), "path string, first_us bigint, n_events bigint", "Append", "ProcessingTime")
+    return found.select("path", F.timestamp_micros("first_us").alias("first_ts"), "n_events")
 
 
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(path, first_ts, n_events) of what waits to settle, from the state of the query with that checkpoint; none before its first batch."""
     none = spark.createDataFrame([], _SETTLED)
     found = _state(spark, checkpoint, "pending")
-    return none if found is None else found.select(F.col("key.path").alias("path"), "value.first_ts", "value.n_events")
+    return none if found is None else found.select(F.col("key.path").alias("path"), F.timestamp_micros("value.first_us").alias("first_ts"), "value.n_events")
 
 
 def counts(spark: SparkSession, checkpoint: str) -> dict[str, int]:

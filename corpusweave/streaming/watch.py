@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from . import timed
 
 DEBOUNCE = "800 milliseconds"
 
@@ -33,16 +36,50 @@ def sessions(events: DataFrame, path: str, ts: str, gap_seconds: int) -> DataFra
     return numbered.groupBy(path, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_events"))
 
 
-def start(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", quiet: str = DEBOUNCE):
-    """A running query that hands each batch of settled paths to sync(paths, batch_id).
+class Progress(StreamingQueryListener):
+    """What a query's batches have told: whether it runs, its last batch and error, and rows read so far."""
 
-    Events come in the order of their times, so none is late. Ticks have no path; they go only here, as a filter in the plan
-    would be pushed below the watermark that they move.
-    """
-    def settled(df: DataFrame, batch: int) -> None:
-        sync(df.where("path <> ''"), batch)
+    def __init__(self, query_id: str):
+        self.query_id, self.running, self.batch, self.rows, self.error = query_id, True, -1, 0, None
+
+    def _own(self, event) -> bool:
+        return str(event.id) == self.query_id
+
+    def onQueryStarted(self, event) -> None:
+        self.running = self.running or self._own(event)
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.id) == self.query_id:
+            self.batch = event.progress.batchId
+            self.rows += event.progress.numInputRows
 
-    return debounce(events, quiet=quiet, late="0 seconds").writeStream.outputMode("append").foreachBatch(settled).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self._own(event):
+            self.running, self.error = False, event.exception
+
+
+def start(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str, every: str = "250 milliseconds", quiet: int = 800, size: int = 100, wait: int = 200, tasks: int = 4):
+    """A running query that hands settled paths (path, first_ts, n_events) to sync(paths, batch_id), and the Progress of its batches.
+
+    A path settles `quiet` milliseconds after its last event. Settled paths are handed on in batches, once there are `size` of
+    them or the first has waited for `wait` milliseconds; a sync gets all batches that are released at once. State is
+    dealt to `tasks` tasks: changes of one workspace are few.
+    """
+    spark = events.sparkSession
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        settled = timed.batches(timed.settle(events.where("path <> ''"), quiet), size, wait, by="path")
+        out = settled.writeStream.outputMode("append").foreachBatch(lambda df, n: None if df.isEmpty() else sync(df.drop("shard", "batch"), n))
+        query = out.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    progress = Progress(str(query.id))
+    spark.streams.addListener(progress)
+    return query, progress
 
 
 def sync_status(events: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def test_answer_says_why(spark, root, tmp_path):
     assert e.search("zzzz qqqq") .startswith("No relevant")
 
 
-def test_watch_syncs_what_has_settled(spark, root, tmp_path):
+def test_watch_syncs_what_has_settled(spark, root, tmp_path, monkeypatch):
     """End to end: changes are synced once they are quiet, without any later change."""
     import time
 
@@ -165,13 +165,21 @@ def test_watch_syncs_what_has_settled(spark, root, tmp_path):
         p = indexing.stored(spark, e.s.points)
         return {r["relative_path"] for r in p.select("relative_path").distinct().collect()} if p is not None and not e.status["active"] else set()
 
+    def status():
+        return json.loads(cli.reply(e, json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "get_sync_status"}}))["result"]["content"][0]["text"])
+
+    seen, sync = [], indexing.sync
+    monkeypatch.setattr(indexing, "sync", lambda *a: (seen.append(status()), sync(*a))[1])
     try:
         assert until(lambda: "notes.yaml" in names())
+        assert seen and all(x["state"] == "syncing" and x["active"] and x["watching"] for x in seen)  # as told while a batch was synced
+        assert until(lambda: (now := status())["state"] == "idle" and now["total"] == 5 and now["pending_files"] == [] and now["batch"] >= 0 and now["error"] is None)
         (root / "notes.yaml").unlink()
         (root / "late.md").write_text("A late note about the harbour and the boats that lie in it.\n")
         assert until(lambda: "late.md" in names() and "notes.yaml" not in names())
     finally:
         q.stop()
+    assert until(lambda: not e.progress.running)
 
 
 def test_sync_rewrites_touched_buckets_only(spark, root, tmp_path):
