@@ -177,7 +177,8 @@ def paths(nodes_: DataFrame, start: DataFrame, height: int, fanout: int = FANOUT
                 return above.unionByName(here)
             below = nodes_.where(F.col("level") == level).where(f"power({fanout}D, level) < n")
             runs = below.groupBy("key", F.floor(F.col("idx") / fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("run"))
-            here = here.unionByName(_below(runs, above))
+            last, here = above, stored(here.unionByName(_below(runs, above)), "paths")  # short plans, whatever the height
+            released(last)
         above = here
     return above
 
