@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.llm import ann, bpe, common, langid, lcp, licenses, mix, pii, queries, recompress, simhash, unigram
+from corpusweave.llm import ann, bpe, common, forest, langid, lcp, licenses, merkle, mix, pii, quantise, queries, recompress, simhash, unigram
 
 SF = "/root/testdata/sf0.001"
 EDGE = "doc_id long, text string, lang string, source string, n_chars long, target string"
@@ -755,3 +755,254 @@ def test_pipeline_edge(spark, edge):
         for _, stage in corpus_pipeline.STAGES:
             d = common.stored(stage(spark, d, SF), "test")
         assert d.columns
+
+
+# 11
+def brute_manifest(rows, fanout=8):
+    """Trees as whole lists; each proof by walking them."""
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def f(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + fanout]) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def around(tree, i):
+        for level in tree[:-1]:
+            first = i - i % fanout
+            yield level[first:i], level[i + 1 : first + fanout]
+            i //= fanout
+
+    def crc(i):
+        import zlib
+
+        return zlib.crc32(str(i).encode())
+
+    by = collections.defaultdict(list)
+    for r in rows:
+        leaf = h(*map(f, (r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"])))
+        low = r["text"] and re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])
+        changed = h(*map(f, (r["doc_id"], r["source"], r["lang"], r["n_chars"], low))) if r["doc_id"] is not None and crc(r["doc_id"]) % 3 == 0 else leaf
+        by[r["lang"]].append((r["doc_id"] is not None, r["doc_id"] or 0, leaf, changed, r["doc_id"]))
+    keys = sorted(by, key=lambda k: (k is not None, (k or "").encode()))
+    trees = {k: levels([x[2] for x in sorted(by[k])]) for k in keys}
+    over, out = levels([trees[k][-1][0] for k in keys]), []
+    for at, k in enumerate(keys):
+        for i, (_, _, leaf, changed, doc_id) in enumerate(sorted(by[k])):
+            now, proof = changed, ""
+            for left, right in [*around(trees[k], i), *around(over, at)]:
+                now, proof = h(*left, now, *right), proof + "".join(left + right)
+            out.append((doc_id, leaf, trees[k][-1][0], over[-1][0], h(proof), now, now == over[-1][0]))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "23"])
+def test_manifest_by_brute_force(spark, docs, parts):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        r = random.Random(int(parts))
+        rows = [(i, r.choice(["s", None, "ü"]), r.choice(["en"] * 12 + [None, "de", "", "zz"]), r.choice([1, None]), r.choice([None, "", "Ab ÄÖ", "x" * 99, f"T{i}"])) for i in range(700)]
+        rows += [(None, "s", "en", 1, "t"), (5, "s", "en", 1, "again"), (5, "s", "en", 1, "again"), (1000, None, "one", None, None)] + [(i, None, f"l{i}", None, "A") for i in range(2000, 2070)]
+        d = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+        got = rows_of(merkle.manifest(d.withColumns({"key": F.lit(1), "idx": F.lit(2), "digest": F.lit("x"), "tie": F.lit(0)})))
+        assert got == brute_manifest([x.asDict() for x in d.collect()])
+        if parts == "1":
+            assert rows_of(queries.op11_merkle_manifest(spark, SF)) == brute_manifest([x.asDict() for x in docs.collect()])
+            one = d.where("doc_id = 1000")
+            assert rows_of(merkle.manifest(one)) == brute_manifest([x.asDict() for x in one.collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_manifest_edges(spark, edge):
+    assert merkle.manifest(empty(spark)).count() == 0
+    assert rows_of(merkle.manifest(edge)) == brute_manifest([x.asDict() for x in edge.collect()])
+    long = spark.createDataFrame([(1, None, None, None, "Long Text " * 300_000)], "doc_id long, source string, lang string, n_chars long, text string")
+    assert rows_of(merkle.manifest(long)) == brute_manifest([x.asDict() for x in long.collect()])
+
+
+def test_range_emits_completed_peaks():
+    for n in (1, 7, 8, 9, 64, 65, 530):
+        for cut in {0, 1, n // 3, n // 2, n}:
+            out = []
+            for lo, hi in ((0, cut), (cut, n)):
+                x = merkle.Range("k", n, 8, out.append)
+                for i in range(lo, hi):
+                    x.add(0, i, str(i))
+                x.close()
+            done = {(r[2], r[3]) for r in out if not r[5]}
+            work = [r for r in out if r[5]]
+            assert len(done) == sum(not r[5] for r in out) and len(work) <= 14 * 4
+            if cut in (0, n):
+                want, level = n, 1
+                while want > 1:
+                    want = -(-want // 8)
+                    assert sum(lv == level for lv, _ in done) == want
+                    level += 1
+                assert not work
+
+
+# 12
+def brute_codes(rows, parts=8, entries=16, rounds=6):
+    kept = [(i, [int(np.floor(4096 * float(x))) for x in v], lab) for i, v, lab in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    w = len(kept[0][1]) // parts
+    cut = [[tuple(v[p * w : (p + 1) * w]) for p in range(parts)] for _, v, _ in kept]
+    first = sorted(range(len(kept)), key=lambda k: kept[k][0])[:entries]
+    books = [[cut[k][p] for k in first] for p in range(parts)]
+
+    def far(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assign():
+        return [[min(range(len(books[p])), key=lambda e: (far(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        codes = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [c[p] for c, k in zip(cut, codes) if k[p] == e]
+                if own:
+                    books[p][e] = tuple(sum(x) // len(own) for x in zip(*own))
+    codes = assign()
+    error = [sum(far(c[p], books[p][k[p]]) for p in range(parts)) for c, k in zip(cut, codes)]
+    by = collections.Counter()
+    for (_, _, lab), e in zip(kept, error):
+        by[lab] += e
+    sha = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    return sorted(repr((i, bytes(k).hex(), e, by[lab], sha)) for (i, _, lab), k, e in zip(kept, codes, error))
+
+
+def test_vector_codes_by_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(i), (r.normal(size=16) * r.choice([0.01, 1, 30])).astype(np.float32).tolist(), int(r.integers(3)) if i % 7 else None) for i in r.permutation(150)]
+    rows += [(200, None, 1), (201, [None] + [0.0] * 15, 1), (202, [float("nan")] * 16, 1), (203, [float("inf")] * 16, None), (204, [0.0] * 16, 2), (205, [0.0] * 16, 2), (205, [0.0] * 16, 2), (206, [-1e-9] * 16, 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    clash = d.withColumns({"x": F.lit("a"), "code": F.lit("b"), "error": F.lit(1), "was": F.lit(0), "part": F.lit(0)})
+    assert rows_of(quantise.code_report(clash)) == brute_codes(rows) == rows_of(quantise.code_report(d.repartition(2)))
+    few = d.where("vec_id < 9")
+    assert rows_of(quantise.code_report(few)) == brute_codes([x for x in rows if x[0] < 9])
+    assert quantise.code_report(d.where("embedding is null")).count() == 0 == quantise.code_report(d.limit(0)).count()
+    with pytest.raises(ValueError, match="too large"):
+        quantise.code_report(spark.createDataFrame([(1, [1e30] * 8, 0)], "vec_id long, embedding array<float>, label int")).count()
+
+
+def test_codebooks_by_changes_equal_means_from_anew():
+    r = np.random.default_rng(5)
+    x = r.integers(-50, 50, (300, 8))
+    a = quantise.Codebooks(x[:4].astype(np.int64), 2)
+    was = None
+    for _ in range(5):
+        codes, _ = quantise.nearest_entries(x, *a.arrays())
+        rows = []
+        for p, (lo, hi) in enumerate(a.cuts):
+            for i in range(len(x)):
+                if was is None or was[i, p] != codes[i, p]:
+                    for code, sign in ((codes[i, p], 1), *([(was[i, p], -1)] if was is not None else [])):
+                        rows += [(p, code, -1, sign), *((p, code, k, sign * int(v)) for k, v in enumerate(x[i, lo:hi]))]
+        a.moved(rows)
+        for p, (lo, hi) in enumerate(a.cuts):
+            for e in set(codes[:, p]):
+                assert (a.entries[p][e] == x[codes[:, p] == e, lo:hi].sum(axis=0) // (codes[:, p] == e).sum()).all()
+        was = codes
+
+
+# 13
+def brute_near(rows, width=2):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted(repr((i, len(s), least.get(find(k)), i == least.get(find(k)) if i is not None and find(k) in least else None)) for k, (i, s) in enumerate(sets))
+
+
+def altered(r, words, share):
+    out = list(words)
+    for _ in range(max(1, int(len(out) * share))):
+        out[r.randrange(len(out))] = f"n{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("bucket", [3, 48])
+def test_minhash_by_brute_force(spark, bucket):
+    r = random.Random(bucket)
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([4, 9, 40, 300]))]
+        texts.append(base)
+        texts += [altered(r, base, r.choice([0.01, 0.03, 0.05, 0.08])) for _ in range(r.randrange(4))]
+    one = [f"w{r.randrange(400)}" for _ in range(120)]
+    texts += [altered(r, one, 0.02) for _ in range(80)]  # a large group of near copies
+    shared = [f"s{k}" for k in range(100)]
+    texts += [shared + [f"u{k}-{j}" for j in range(r.choice([15, 30, 60]))] for k in range(60)]  # one passage in unlike texts
+    texts += [["a"], ["A"], ["a", "b"], ["a", "a"], ["b", "a", "b"]]
+    rows = [(k * 3 + 1, " ".join(t).upper() if k % 5 == 0 else "\t".join(t)) for k, t in enumerate(texts)]
+    rows += [(9001, None), (9002, ""), (9003, " \n"), (9004, rows[0][1]), (9004, rows[0][1]), (9005, rows[7][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = rows_of(forest.components(d.withColumns({"sig": F.lit(1), "id": F.lit(2), "n": F.lit("n"), "k1": F.lit(0)}), bucket=bucket))
+    assert got == brute_near(rows)
+
+
+def test_minhash_query_and_edges(spark, docs, edge):
+    want = brute_near([(x["doc_id"], x["text"]) for x in docs.collect()])
+    assert rows_of(queries.op13_minhash(spark, SF)) == want
+    assert forest.components(empty(spark)).count() == 0
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in forest.components(edge).collect()}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (None, 1, None), (5, 0, 5)}
+    long = spark.createDataFrame([(1, "many words " * 300_000), (2, "many words " * 200_000)], "doc_id long, text string")
+    assert [tuple(x) for x in forest.components(long).orderBy("doc_id").collect()] == [(1, 2, 1, True), (2, 2, 1, False)]
+
+
+def test_prefixes_are_shared_by_depth():
+    r = np.random.default_rng(6)
+    sig = r.integers(0, 1 << 32, (2, forest.TREES * forest.DEPTH), dtype=np.uint32)
+    sig[1, :40] = sig[0, :40]
+    for depth in (4, 8, 20):
+        a, b = forest.prefixes(sig, depth)
+        same = {int(t) for t in np.flatnonzero(a == b)}
+        assert same == {t for t in range(forest.TREES) if all(0 <= (t * forest.DEPTH + k) % sig.shape[1] < 40 for k in range(depth))}
+        assert (a >> np.uint64(58)).tolist() == list(range(forest.TREES))
+
+
+def test_queries_run_where_no_copy_of_the_package_is(tmp_path):
+    """Workers start in another folder, without the driver's path; only what the driver sends reaches them."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config(map={{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}).getOrCreate()
+import __spark_entry__
+for name in ("op8_nearest", "op11_merkle_manifest", "op12_vector_codes", "op13_minhash", "op5_simhash"):
+    assert __spark_entry__.queries()[name](s, {SF!r}).count(), name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "all ran" in out.stdout, out.stderr[-3000:]
