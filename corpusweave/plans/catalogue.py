@@ -377,11 +377,8 @@ _QTERMS = _TERMS.replace("documents", "benchmark").replace("doc_id", "item_id")
 
 
 def _sparse_hits(spark, sf, k=vectors.CANDIDATES):
-    d = vectors.terms(_table(spark, sf, "documents"), "doc_id", "text")
-    q = vectors.terms(_table(spark, sf, "benchmark"), "item_id", "text")
-    def entries(t, i):
-        return t.select(i, F.col("token").alias("idx"), vectors.weight(F.col("tf"), F.col("token")).alias("w"))
-    return vectors.sparse_search(entries(d, "doc_id"), entries(q, "item_id"), "doc_id", "item_id", k)
+    d, q = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
+    return vectors.sparse_search(vectors.sparse_entries(d, "doc_id", "text", hashed=False), vectors.sparse_entries(q, "item_id", "text", hashed=False), "doc_id", "item_id", k)
 
 
 _SPARSE = f"SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT item_id, doc_id, round(sum(d.tf * q.tf * ln(1 + strlen(d.token)) * ln(1 + strlen(d.token))), 6) AS score FROM ({_TERMS}) d JOIN ({_QTERMS}) q ON d.token = q.token GROUP BY ALL)) WHERE rank <= 40"
@@ -389,7 +386,8 @@ _SPARSE = f"SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number(
 
 @_query(_SPARSE)
 def sparse_search(spark, sf):
-    return _sparse_hits(spark, sf).select("item_id", "doc_id", "score", "rank")
+    index = vectors.SparseIndex.of(vectors.sparse_arrays(_table(spark, sf, "documents"), "doc_id", "text", hashed=False), "doc_id")
+    return index.search(vectors.sparse_entries(_table(spark, sf, "benchmark"), "item_id", "text", hashed=False), "item_id").select("item_id", "doc_id", "score", "rank")
 
 
 def _dense_hits(spark, sf, k=vectors.CANDIDATES):

@@ -18,8 +18,12 @@ def _ranked(points: DataFrame, asked: DataFrame, mode: str, call: Callable[[str]
         vecs = embedding.embed(asked.select("vid", "variant"), "variant", call or embedding.hashed()).select("vid", F.col("dense").alias("qvec"))
         lists.append(vectors.dense_search(points.where("dense is not null").select("pid", "dense"), vecs, "pid", "vid"))
     if mode in ("sparse", "hybrid"):
-        entries = points.select("pid", F.explode("sparse").alias("e")).select("pid", "e.idx", "e.w")
-        lists.append(vectors.sparse_search(entries, vectors.sparse_entries(asked, "vid", "variant", stop), "pid", "vid"))
+        own = vectors.sparse_entries(asked, "vid", "variant", stop)
+        if postings is None:
+            entries = points.select("pid", F.explode("sparse").alias("e")).select("pid", "e.idx", "e.w")
+            lists.append(vectors.sparse_search(entries, own, "pid", "vid"))
+        else:
+            lists.append(vectors.SparseIndex(postings, "pid").search(own, "vid", among=points.select("pid")))
     return lists[0] if len(lists) == 1 else vectors.rrf(lists, "vid", "pid")
 
 
