@@ -73,10 +73,10 @@ class Engine:
         return self.spark.createDataFrame([], indexing.SCHEMA) if p is None else p
 
     def search(self, query: str, exts=None, prefix: str = "", branch: str = "") -> str:
-        return retrieval.answer(self._points(), query, self.s.search_mode, indexing.embedder(self.s), exts, prefix, branch, stop=indexing.stop_words(self.spark, self.s))
+        return retrieval.answer(self._points(), query, self.s.search_mode, indexing.embedder(self.s), exts, prefix, branch, stop=indexing.stop_words(self.spark, self.s), postings=indexing.stored_postings(self.spark, self.s.points))
 
     def evaluate(self, cases) -> list[tuple[str, bool]]:
-        return retrieval.evaluate(self._points(), cases, self.s.search_mode, indexing.embedder(self.s), stop=indexing.stop_words(self.spark, self.s))
+        return retrieval.evaluate(self._points(), cases, self.s.search_mode, indexing.embedder(self.s), stop=indexing.stop_words(self.spark, self.s), postings=indexing.stored_postings(self.spark, self.s.points))
 
     def watch(self, checkpoint: str):
         """A running query that syncs settled paths. What waits is in its state, so status() can tell it."""

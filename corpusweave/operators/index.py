@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +38,78 @@ def migrate_branch(points: DataFrame, branch: str, default: str) -> DataFrame:
 
 
 def write_batches(points: DataFrame, size: int, *order: str) -> DataFrame:
-    """Rows numbered into batches within each branch, as a bounded writer would send them."""
+    """Rows numbered into batches within each branch, in one order of its rows."""
     w = Window.partitionBy("branch").orderBy(*order)
     return points.withColumn("batch", F.ceil(F.row_number().over(w) / F.lit(size)).cast("bigint"))
 
 
-def write_points(points: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """points (with bucket) as Parquet by branch and bucket; only those at hand are overwritten."""
-    points.repartition("branch", "bucket").write.partitionBy("branch", "bucket").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+class PointTable:
+    """Points and their posting blocks by branch and bucket, of which each has a version; a manifest names the versions that count.
+
+    A commit writes new versions of some buckets beside the old ones and then puts the next manifest in place by one rename, so
+    readers see all of a commit or none of it, and one that is broken off leaves nothing that counts. What a commit replaces is
+    deleted behind it; a reader that has begun before may have to begin again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _latest(self) -> int:
+        pattern, fs = self._fs(f"{self.path}/manifest-*.json")
+        found = fs.globStatus(pattern) or []
+        return max((int(x.getPath().getName()[len("manifest-") : -len(".json")]) for x in found), default=0)
+
+    def versions(self) -> dict[tuple[str, int], str]:
+        """The version of each (branch, bucket)."""
+        n = self._latest()
+        if not n:
+            return {}
+        text = self.spark.read.text(f"{self.path}/manifest-{n}.json", wholetext=True).first()[0]
+        return {(b, k): v for b, k, v in json.loads(text)}
+
+    def read(self, schema: str, what: str = "points", branch: str | None = None) -> DataFrame | None:
+        """The current rows (schema without bucket and version); None before the first commit."""
+        if not self._latest():
+            return None
+        own = [(b, k, v) for (b, k), v in self.versions().items() if branch is None or b == branch]
+        names = [f.name for f in self.spark.createDataFrame([], schema).schema]
+        if not own:
+            return self.spark.createDataFrame([], schema)
+        at = [f"{self.path}/{what}/branch={escaped(b)}/bucket={k}/version={v}" for b, k, v in own]
+        return self.spark.read.schema(f"{schema}, bucket int, version string").option("basePath", f"{self.path}/{what}").parquet(*at).select(*names)
+
+    def commit(self, touched: list[tuple[str, int]], rows_per_file: int = 1_000_000, **tables: DataFrame) -> None:
+        """Puts rows (with branch and bucket) in place of all that the touched (branch, bucket) hold; those without rows go."""
+        version, old, kept = uuid.uuid4().hex, self.versions(), set()
+        for what, rows in tables.items():
+            dealt = rows.withColumn("version", F.lit(version)).repartition("branch", "bucket")
+            dealt.write.partitionBy("branch", "bucket", "version").option("maxRecordsPerFile", rows_per_file).mode("append").parquet(f"{self.path}/{what}")
+        kept = {(r["branch"], r["bucket"]) for r in tables["points"].select("branch", "bucket").distinct().collect()}  # buckets are few
+        now = {key: v for key, v in old.items() if key not in touched} | {key: version for key in kept}
+        self._publish(now)
+        for key in touched:
+            if old.get(key) and now.get(key) != old[key]:
+                for what in tables:
+                    p, fs = self._fs(f"{self.path}/{what}/branch={escaped(key[0])}/bucket={key[1]}/version={old[key]}")
+                    fs.delete(p, True)
+
+    def _publish(self, now: dict[tuple[str, int], str]) -> None:
+        n = self._latest()
+        part, fs = self._fs(f"{self.path}/.manifest-{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(json.dumps([[b, k, v] for (b, k), v in sorted(now.items())]).encode()))
+        out.close()
+        to, _ = self._fs(f"{self.path}/manifest-{n + 1}.json")
+        if fs.exists(to) or not fs.rename(part, to):
+            raise RuntimeError("another commit came first")
+        if n > 1:
+            fs.delete(self._fs(f"{self.path}/manifest-{n - 1}.json")[0], False)
+
+
+def escaped(branch: str) -> str:
+    """A branch as Spark writes it in the name of a partition."""
+    return "".join(f"%{ord(c):02X}" if c in "/\\:*?\"<>|%#='{}[]^" else c for c in branch)

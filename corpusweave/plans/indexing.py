@@ -122,14 +122,18 @@ def bucket() -> Column:
     return F.pmod(F.xxhash64("relative_path"), F.lit(BUCKETS)).cast("int")
 
 
+#: Posting blocks of the points, by the branch and bucket of these.
+POSTINGS = "branch string, block string, idx bigint, top double, ids array<string>, ws array<double>"
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored points, or None before the first sync."""
-    try:
-        return _shaped(spark.read.schema(f"{SCHEMA}, bucket int").parquet(path))
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return index.PointTable(spark, path).read(SCHEMA)
+
+
+def stored_postings(spark: SparkSession, path: str) -> DataFrame | None:
+    """The posting blocks of the stored points, with branch; ids are those of points."""
+    return index.PointTable(spark, path).read(POSTINGS, "postings")
 
 
 def _shaped(df: DataFrame) -> DataFrame:
@@ -166,8 +170,8 @@ def ensure_dimension(spark: SparkSession, s: Settings, call: Callable[[str], lis
 def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call: Callable[[str], list[float]] | None = None) -> dict:
     """Brings the stored points of the current branch up to date; only: paths (column path) to look at, all if None.
 
-    Files of a known hash are skipped before they are cut. The buckets that change are written beside their old points first
-    and then replaced, as no table can be read and overwritten at once; other buckets of the branch stay as they are. Returns numbers of files found, changed and deleted.
+    Files of a known hash are skipped before they are cut. The buckets that change get a new version, which one commit makes
+    current; other buckets stay as they are. Returns numbers of files found, changed and deleted.
     """
     branch, default = documents.branches(s.root)
     call, stop = call or embedder(s), stop_words(spark, s)
@@ -201,21 +205,14 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
             fresh = keep(found.join(changed.select("relative_path"), "relative_path", "left_semi").select(*found.columns))
             new = _shaped(points(fresh, call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
             ready = keep((new if kept is None else index.upsert(_shaped(kept.where(bucket().isin(touched))), new)).withColumn("bucket", bucket()))
-            index.write_points(ready, s.points, s.batch_size * ROWS_A_BATCH)
-            left = {r["bucket"] for r in ready.select("bucket").distinct().collect()}
-            for k in touched:
-                if k not in left:  # no rows overwrite no partition
-                    _clear(spark, f"{s.points}/branch={_escaped(branch)}/bucket={k}")
+            arrays = ready.where(F.size("sparse") > 0).select("branch", "bucket", "point_id", F.col("sparse.idx").alias("idx"), F.col("sparse.w").alias("w"))
+            blocks = vectors.posting_blocks(arrays, "point_id", "branch", "bucket")
+            index.PointTable(spark, s.points).commit([(branch, k) for k in touched], s.batch_size * ROWS_A_BATCH, points=ready, postings=blocks)
     finally:
         _clear(spark, staging)
     return {"files": total, "changed": n_changed, "deleted": n_deleted, "branch": branch, "default_branch": default}
 
 
-def _escaped(branch: str) -> str:
-    """A branch as Spark writes it in the name of a partition."""
-    return "".join(f"%{ord(c):02X}" if c in "/\\:*?\"<>|%#='{}[]^" else c for c in branch)
-
-
 def _clear(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -11,7 +11,7 @@ from ..functions import tables, text
 from ..operators import embedding, search, vectors
 
 
-def _ranked(points: DataFrame, asked: DataFrame, mode: str, call: Callable[[str], list[float]] | None, stop) -> DataFrame:
+def _ranked(points: DataFrame, asked: DataFrame, mode: str, call: Callable[[str], list[float]] | None, stop, postings: DataFrame | None = None) -> DataFrame:
     """(vid, pid, rank, score): the candidates of each variant. Only dense and hybrid search embed anything."""
     lists = []
     if mode in ("dense", "hybrid"):
@@ -27,10 +27,18 @@ def _ranked(points: DataFrame, asked: DataFrame, mode: str, call: Callable[[str]
     return lists[0] if len(lists) == 1 else vectors.rrf(lists, "vid", "pid")
 
 
-def one_pass(points: DataFrame, intents: DataFrame, asked: DataFrame, mode: str, call=None, prefix: str = "", stop=tables.STOP_WORDS) -> DataFrame:
+def _of_branch(postings: DataFrame | None, branch: str) -> DataFrame | None:
+    """Posting blocks of a branch, or of all, by the ids that one_pass gives points."""
+    if postings is None:
+        return None
+    own = postings.where(F.col("branch") == branch) if branch else postings
+    return own.withColumn("ids", F.transform("ids", lambda i: F.concat_ws("\0", F.col("branch"), i)))
+
+
+def one_pass(points: DataFrame, intents: DataFrame, asked: DataFrame, mode: str, call=None, prefix: str = "", stop=tables.STOP_WORDS, postings: DataFrame | None = None) -> DataFrame:
     """points (filtered) with query_id, fused, point_score, reasons and score for each query that they answer."""
     named = points.withColumn("pid", F.concat_ws("\0", "branch", "point_id"))
-    hits = _ranked(named, asked, mode, call, stop).join(asked.select("vid", "query_id", "variant"), "vid")
+    hits = _ranked(named, asked, mode, call, stop, postings).join(asked.select("vid", "query_id", "variant"), "vid")
     fused = search.fuse(hits.select("query_id", "variant", "rank", F.col("pid").alias("point_id"), F.col("score").alias("point_score"))).withColumnRenamed("point_id", "pid")
     own = intents.select("query_id", "tokens", *(F.col(c).alias(f"q_{c}") for c in ("tags", "symbols", "frameworks", "layers", "prefer_tests", "prefer_exact")))
     full = fused.join(named.drop("dense", "sparse"), "pid").join(own, "query_id").withColumn("max_modified", F.expr("max(modified) over (partition by query_id)"))
@@ -53,16 +61,17 @@ def understand(queries: DataFrame, exts: list[str] | None = None, prefix: str =
     return intents, spark.createDataFrame(asked.collect(), asked.schema)
 
 
-def find(points: DataFrame, queries: DataFrame, mode: str = "dense", call=None, exts: list[str] | None = None, prefix: str = "", branch: str = "", default: str = "main", k: int = search.FINAL, stop=tables.STOP_WORDS) -> DataFrame:
+def find(points: DataFrame, queries: DataFrame, mode: str = "dense", call=None, exts: list[str] | None = None, prefix: str = "", branch: str = "", default: str = "main", k: int = search.FINAL, stop=tables.STOP_WORDS, postings: DataFrame | None = None) -> DataFrame:
     """The k best points of each of `queries` (query_id, query), a stated and small set, with `position` from 1.
 
     With a branch, its points come first; points of the default branch stand in for files that the first pass didn't find.
-    The default branch is the one that the last hit of the first pass names, if it names one.
+    The default branch is the one that the last hit of the first pass names, if it names one. postings: the stored posting
+    blocks of the points, of which a sparse search reads a part; without them it reads all sparse vectors.
     """
     intents, asked = understand(queries, exts, prefix)
 
     def ranked(of: str) -> DataFrame:
-        return one_pass(points.where(search.search_filter(exts, prefix, of or None)), intents, asked, mode, call, prefix, stop)
+        return one_pass(points.where(search.search_filter(exts, prefix, of or None)), intents, asked, mode, call, prefix, stop, _of_branch(postings, of))
 
     hits = ranked(branch)
     if branch:
@@ -73,14 +82,14 @@ def find(points: DataFrame, queries: DataFrame, mode: str = "dense", call=None,
     return search.best(hits, k)
 
 
-def answer(points: DataFrame, query: str, mode: str = "dense", call=None, exts: list[str] | None = None, prefix: str = "", branch: str = "", default: str = "main", stop=tables.STOP_WORDS) -> str:
+def answer(points: DataFrame, query: str, mode: str = "dense", call=None, exts: list[str] | None = None, prefix: str = "", branch: str = "", default: str = "main", stop=tables.STOP_WORDS, postings: DataFrame | None = None) -> str:
     """Markdown of the best hits of one query."""
     spark = points.sparkSession
     q = spark.createDataFrame([(0, query)], "query_id int, query string")
     intents, asked = understand(q, exts, prefix)
-    return search.render(find(points, q, mode, call, exts, prefix, branch, default, stop=stop), query, intents.first().asDict(), asked.count(), branch)
+    return search.render(find(points, q, mode, call, exts, prefix, branch, default, stop=stop, postings=postings), query, intents.first().asDict(), asked.count(), branch)
 
 
-def evaluate(points: DataFrame, cases: list[dict], mode: str = "dense", call=None, stop=tables.STOP_WORDS) -> list[tuple[str, bool]]:
+def evaluate(points: DataFrame, cases: list[dict], mode: str = "dense", call=None, stop=tables.STOP_WORDS, postings: DataFrame | None = None) -> list[tuple[str, bool]]:
     """(query, whether the answer holds the expected text) of each case: query, expect, and perhaps exts and prefix."""
-    return [(c["query"], c["expect"].lower() in answer(points, c["query"], mode, call, c.get("exts"), c.get("prefix", ""), stop=stop).lower()) for c in cases]
+    return [(c["query"], c["expect"].lower() in answer(points, c["query"], mode, call, c.get("exts"), c.get("prefix", ""), stop=stop, postings=postings).lower()) for c in cases]

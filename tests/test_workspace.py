@@ -198,3 +198,42 @@ def test_sync_rewrites_touched_buckets_only(spark, root, tmp_path):
     assert len(same) >= 2 and len(after) <= len(before)
     assert {r["relative_path"] for r in points.collect()} == {"app/retry_policy.py", "app/__init__.py", "docs/guide.md", "notes.yaml"}
     assert "another" in points.where("relative_path = 'notes.yaml'").first()["content"]
+
+
+def test_broken_sync_leaves_the_last_version(spark, root, tmp_path, monkeypatch):
+    from corpusweave.operators import index
+
+    e = cli.Engine(spark, settings.Settings(root=str(root), index=str(tmp_path / "idx"), search_mode="sparse"))
+    e.ingest()
+
+    def now():
+        return {(r["relative_path"], r["content"]) for r in indexing.stored(spark, e.s.points).collect()}
+
+    before = now()
+    blocks = indexing.stored_postings(spark, e.s.points)
+    assert {i for r in blocks.collect() for i in r["ids"]} == {r["point_id"] for r in indexing.stored(spark, e.s.points).collect()}
+    (root / "notes.yaml").write_text("owner: someone else\npurpose: another text altogether\n")
+    (root / "kept.log").unlink()
+    publish = index.PointTable._publish
+
+    def broken(self, now):
+        raise OSError("killed")
+
+    monkeypatch.setattr(index.PointTable, "_publish", broken)
+    with pytest.raises(OSError, match="killed"):  # all is written, nothing is current
+        e.ingest()
+    assert now() == before and "platform" in e.search("platform team nightly") and e.status["active"] == 0
+    monkeypatch.setattr(index.PointTable, "_publish", publish)
+    assert {k: v for k, v in e.ingest().items() if k in ("changed", "deleted")} == {"changed": 1, "deleted": 1}
+    assert {p for p, _ in now()} == {p for p, _ in before} - {"kept.log"} and any("altogether" in c for _, c in now())
+    assert "No relevant" in e.search("platform") and "altogether" in e.search("altogether")
+
+
+def test_stored_postings_give_what_all_vectors_give(spark, root, tmp_path):
+    e = cli.Engine(spark, settings.Settings(root=str(root), index=str(tmp_path / "idx"), search_mode="sparse"))
+    e.ingest()
+    p, blocks = indexing.stored(spark, e.s.points), indexing.stored_postings(spark, e.s.points)
+    q = spark.createDataFrame([(1, "retry policy should_retry"), (2, "watcher notices new folders"), (3, "zzz")], "query_id int, query string")
+    for how in ({}, {"exts": ["py"], "branch": e.status["branch"]}):
+        a, b = (retrieval.find(p, q, "sparse", postings=x, **how).select("query_id", "position", "point_id", "score").collect() for x in (None, blocks))
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
