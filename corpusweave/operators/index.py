@@ -37,10 +37,23 @@ def migrate_branch(points: DataFrame, branch: str, default: str) -> DataFrame:
     return points.withColumns({"default_branch": F.when(none, F.lit(default)).otherwise(F.col("default_branch")), "branch": F.when(none, F.lit(branch)).otherwise(F.col("branch"))})
 
 
-def write_batches(points: DataFrame, size: int, *order: str) -> DataFrame:
-    """Rows numbered into batches within each branch, in one order of its rows."""
-    w = Window.partitionBy("branch").orderBy(*order)
-    return points.withColumn("batch", F.ceil(F.row_number().over(w) / F.lit(size)).cast("bigint"))
+#: Ranges of the order column in which rows are numbered.
+RANGES = 64
+
+
+def write_batches(points: DataFrame, size: int, order: str, ranges: int = RANGES) -> DataFrame:
+    """Rows numbered into batches of `size` within each branch, in the order of a number column; ties as they come.
+
+    Rows are numbered within ranges of that column, whose bounds are quantiles, and each range begins where the counts of those
+    before it end. So a branch is many tasks.
+    """
+    cuts = points.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
+    own = points.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda b: b < F.col(order))) if cuts else F.lit(0))
+    w = Window.partitionBy("branch").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy("branch", "__range").agg(F.count("*").alias("__n")).select("branch", "__range", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    numbered = own.withColumn("__i", F.row_number().over(Window.partitionBy("branch", "__range").orderBy(order)))
+    out = numbered.join(before, ["branch", "__range"])
+    return out.withColumn("batch", F.ceil((F.col("__before") + F.col("__i")) / F.lit(size)).cast("bigint")).drop("__range", "__before", "__i")
 
 
 class PointTable:

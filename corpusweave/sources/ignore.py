@@ -44,15 +44,22 @@ def rules_frame(spark, rules: list[Rule]) -> DataFrame:
 
 
 def ignored_by_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """paths (path, is_dir) with `ignored`: the last matching rule of the path or of any ancestor decides; .git always is."""
+    """paths (path, is_dir) with `ignored`: the last matching rule of the path or of any ancestor decides; .git always is.
+
+    Rules are kept by the folder that they hold below and meet a path by equality with one of its ancestors, so expressions
+    run on what lies below their folder only. A row holds the rules of one folder.
+    """
+    by = rules.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("rule_order", "negate", "regex", "dir_only"))).alias("rules"))
     parts = F.split("path", "/")
-    own = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("at"), ((i < F.size(parts)) | F.col("is_dir")).alias("dir")))
-    each = paths.select("path", "is_dir", F.explode(own).alias("a")).select("path", "is_dir", "a.at", "a.dir")
-    below = F.expr("CASE WHEN base = '' THEN at WHEN startswith(at, base || '/') THEN substring(at, length(base) + 2) END")
-    hit = each.join(rules, (F.col("dir") | ~F.col("dir_only")) & F.coalesce(F.rlike(below, F.col("regex")), F.lit(False)), "left")
-    decided = hit.groupBy("path", "is_dir", "at").agg(F.max_by(~F.col("negate"), "rule_order").alias("hit"))
-    git = F.array_contains(F.split("at", "/"), ".git")
-    return decided.groupBy("path", "is_dir").agg(F.bool_or(F.coalesce("hit", F.lit(False)) | git).alias("ignored"))
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("base")))
+    each = paths.select("path", "is_dir", F.explode(folders).alias("f")).select("path", "is_dir", "f.depth", "f.base").join(by, "base", "left")
+    # of the path and its ancestors below the folder: the last rule that matches
+    last = F.expr("""transform(sequence(depth + 1, size(split(path, '/'))), i -> struct(i AS at, array_max(transform(
+        filter(rules, r -> (is_dir OR i < size(split(path, '/')) OR NOT r.dir_only) AND rlike(array_join(slice(split(path, '/'), depth + 1, i - depth), '/'), r.regex)),
+        r -> struct(r.rule_order AS rule_order, r.negate AS negate))) AS hit))""")
+    met = each.select("path", "is_dir", F.explode(last).alias("x")).groupBy("path", "is_dir", "x.at").agg(F.max("x.hit").alias("hit"))
+    git = F.array_contains(F.split("path", "/"), ".git")
+    return met.groupBy("path", "is_dir").agg(F.bool_or(F.coalesce(~F.col("hit.negate"), F.lit(False)) | git).alias("ignored"))
 
 
 # Files that are never indexed. The folder of our own settings is one as well.

@@ -294,3 +294,29 @@ def test_tags_of_tests_in_other_languages():
     assert names("h.go", "package api\n\nimport (\n\t\"github.com/gin-gonic/gin\"\n\t\"github.com/stretchr/testify/require\"\n)\n\nfunc TestHandler() {}\n") == [("TestHandler", "")]
     assert paths("t.py", "from fastapi import FastAPI\nimport pytest\n\ndef test_orders_api():\n    assert True\n") == [("fastapi", ""), ("pytest", "")]
     assert paths("U.php", "<?php\nuse PHPUnit\\Framework\\TestCase;\nuse Doctrine\\ORM\\EntityManager;\nclass UserRepositoryTest extends TestCase {}\n") == [("PHPUnit\\Framework\\TestCase", ""), ("Doctrine\\ORM\\EntityManager", "")]
+
+
+def test_rules_meet_paths_by_folder(spark):
+    """Rules of nested ignore files, against the walk's own reading of them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusweave.sources import ignore
+
+    lines = [("", "*.log"), ("", "node_modules/"), ("", "/dist"), ("", "!important.log"), ("src/nested", "nested_ignored.txt"), ("src", "build/**"), ("src", "!keep/"), ("src/nested", "*.md"), ("src/nested", "!a.md"), ("a", "/b?"), ("a/b", "c/*.x")]
+    rules = [r for k, (base, line) in enumerate(lines) if (r := ignore.compile_rule(line, k, base))]
+    want = {("app.log", False): True, ("src/app.log", False): True, ("important.log", False): False, ("node_modules", True): True, ("node_modules/module", False): True, ("dist", True): True, ("src/dist", True): False}
+    want |= {("src/nested/nested_ignored.txt", False): True, ("nested_ignored.txt", False): False, (".git", True): True, (".git/config", False): True}
+    r = random.Random(3)
+    names = ["a", "b", "b1", "c", "src", "nested", "build", "keep", "dist", "x.log", "important.log", "a.md", "q.x", ".git", "node_modules", "nested_ignored.txt"]
+    more = {("/".join(r.choice(names) for _ in range(r.randint(1, 5))), r.random() < 0.3) for _ in range(300)}
+    for p, d in more:
+        parts = p.split("/")
+        own = [("/".join(parts[:i]), i < len(parts) or d) for i in range(1, len(parts) + 1)]
+        want.setdefault((p, d), ".git" in parts or any(ignore.rule_hits(rules, x, y) for x, y in own))
+    found = ignore.ignored_by_rules(spark.createDataFrame(list(want), "path string, is_dir boolean"), ignore.rules_frame(spark, rules))
+    assert {(x["path"], x["is_dir"]): x["ignored"] for x in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.where(F.col("ignored")).count() > 50
