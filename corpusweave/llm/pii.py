@@ -17,8 +17,9 @@ Executors pick the words of such pairs out with a bit map of 2^MAP_BITS hashes (
 the map's false hits change nothing.
 
 Null text counts as empty and an empty text has no spans; equal rows give equal rows, whatever their ids; no rows give no
-rows. A text of any length is one row; its work grows with its length and not with the square of its matches. Where marks
-overlap, the one that starts first (of these the longest) is replaced. Extra columns of docs may have any names.
+rows. A text of any length is one row; its work grows with its length and not with the square of its matches: of the classes
+that a text with many of them holds, one that has the fewest words settles what the others could only repeat (see `_sightings`).
+Where marks overlap, the one that starts first (of these the longest) is replaced. Extra columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ GENERALISE, REMOVE = 0.95, 1.0
 MAP_BITS = 23
 #: Texts that occur more than once, by their keys, that are broadcast at most; beyond that they meet by an exchange.
 BROADCAST = 200_000
+#: Classes of entities that a text may hold before its terms meet one of them for all that share their crowded texts.
+CROWDED = 64
 
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -102,7 +105,7 @@ def _entity(text: str, kind: str, start: int, end: int) -> str:
 
 
 def _marks(text: str, actions: dict[str, str]) -> list[tuple[str, int, int]]:
-    """(action, start, end) of every occurrence of the terms that no base match covers."""
+    """(action, start, end) of every occurrence of the terms that no base match covers, by action, then by start."""
     taken = sorted((s, e) for _, s, e in base_spans(text))
     out, k, reach = [], 0, 0  # reach: the furthest end of the base matches that begin before a word's end
     for m in _TERM.finditer(text):
@@ -110,7 +113,7 @@ def _marks(text: str, actions: dict[str, str]) -> list[tuple[str, int, int]]:
             reach, k = max(reach, taken[k][1]), k + 1
         if m.start() >= reach and (action := actions.get(m[0].lower())):
             out.append((action, *m.span()))
-    return out
+    return sorted(out)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -221,17 +224,49 @@ def _term_counts(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(lean(run), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, most_words: float, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS) -> DataFrame:
+def _sightings(ctx: DataFrame, held: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(entity, w, k, mark, term, n, p0, p1, q0, q1): a row for each text that holds both, of all pairs that can decide a text.
+
+    A text is crowded if it holds more than `crowded` classes; it doesn't meet them all. Let classes share the same crowded
+    texts. A term that no other text of a class has stands for that class in crowded texts alone, so in the same ones for
+    all those classes: the one with the fewest words (the first of the group) has no fewer sightings, contexts and
+    information, and gives each of these texts the same action or a stronger one. So a first class meets all terms of its
+    texts; another one only the terms of its texts that aren't crowded, which are then looked up in those that are. A class
+    for which that takes more rows than meeting all terms does so instead.
+    """
+    each = ctx.select("doc_key", F.explode("terms").alias("x")).select("doc_key", "x.*")
+    sets = held.where("k is not null").drop("mark")
+    full = sets.groupBy("doc_key").agg(F.count("*").alias("classes")).where(F.col("classes") > crowded)
+    full = stored(full.join(ctx.select("doc_key", F.size("terms").cast("bigint").alias("size")), "doc_key"), "crowded")
+    if full.isEmpty():
+        return held.join(each, "doc_key").drop("doc_key")
+    beside = sets.join(ctx.select("doc_key", F.size("terms").cast("bigint").alias("size")), "doc_key").join(full.select("doc_key", F.lit(True).alias("full")), "doc_key", "left")
+    links = stored(beside.withColumn("full", F.coalesce("full", F.lit(False))), "links")
+    mine = F.when(F.col("full"), F.xxhash64("doc_key")), F.when(F.col("full"), F.xxhash64("doc_key", F.lit(1)))
+    by = links.groupBy("entity", "w").agg(
+        F.count_if("full").alias("many"), F.bit_xor(mine[0]).alias("g1"), F.bit_xor(mine[1]).alias("g2"),
+        F.sum(F.when(F.col("full"), F.col("size")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("size"))).alias("outside"),
+    ).where("many > 0")
+    by = stored(by, "classes")
+    first = by.groupBy("many", "g1", "g2").agg(F.min(F.struct("w", "entity")).alias("f")).select(F.col("f.entity").alias("entity"))
+    light = stored(by.join(first, "entity", "left_anti").where("outside * many < inside").select("entity"), "light")
+    whole = held.join(light, "entity", "left_anti").join(each, "doc_key").drop("doc_key")
+    some = links.join(light, "entity", "left_semi").withColumn("mark", F.lit(0).cast("bigint"))
+    met = some.where("not full").select("doc_key", "entity", "w", "k", "mark").join(each, "doc_key").drop("doc_key")
+    asked = met.select("entity", "w", "k", "mark", "term").distinct().join(some.where("full").select("entity", "doc_key"), "entity")
+    return whole.unionByName(met).unionByName(asked.join(each, ["doc_key", "term"]).drop("doc_key"))
+
+
+def revealing(texts: DataFrame, ctx: DataFrame, held: DataFrame, most_words: float, generalise: float = GENERALISE, remove: float = REMOVE, bits: int = MAP_BITS, crowded: int = CROWDED) -> DataFrame:
     """(entity, term, action) of the terms that disclose an entity of `held` (see _holders); action: generalise or remove.
 
     most_words: no fewer than all words of the texts. With it, and with the term's sightings in texts that hold any entity, a
     pair that can't reach `generalise` goes before the terms of all texts are counted.
     """
-    each = ctx.select("doc_key", F.explode("terms").alias("x"))
-    seen = each.groupBy("x.term").agg(F.sum("x.n").alias("least_n"))
+    seen = ctx.select(F.explode("terms").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("least_n"))
     two = (F.col("p0") < F.col("p1")) & (F.col("q0") < F.col("q1"))
     # what a single text holds in one place is no evidence, and goes before anything is shuffled by term
-    terms = held.join(each, "doc_key").select("entity", "w", "k", "mark", "x.*").where(F.coalesce(F.col("k") > 1, F.lit(True)) | two)
+    terms = _sightings(ctx, held, crowded).where(F.coalesce(F.col("k") > 1, F.lit(True)) | two)
     ends = (f(c).alias(c) for f, c in ((F.min, "p0"), (F.max, "p1"), (F.min, "q0"), (F.max, "q1")))
     pairs = terms.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("w").alias("w"), *ends, F.min("mark").alias("m0"), F.max("mark").alias("m1"))
     pooled = F.col("entity").startswith("kind:")
@@ -257,7 +292,8 @@ def _term_spans(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
     chars, n = docs.agg(F.sum(F.length(text_col)), F.count("*")).first()  # a word has three letters and something after it
     bad = stored(revealing(texts, ctx, held, (chars or 0) / 4 + n + 1.0, **how), "revealing")
     own = ctx.select("doc_key", F.explode("terms.term").alias("term"))
-    hit = held.select("doc_key", "entity").join(bad, "entity").join(own, ["doc_key", "term"]).groupBy("doc_key", "term").agg(F.max("action").alias("action"))
+    # by the term first: its sightings are at most some times those in the texts of the entity, or it wouldn't disclose it
+    hit = bad.join(own, "term").join(held.select("doc_key", "entity"), ["doc_key", "entity"]).groupBy("doc_key", "term").agg(F.max("action").alias("action"))
     hit = stored(hit.groupBy("doc_key").agg(F.collect_list("term").alias("terms"), F.collect_list("action").alias("actions")), "hits")
     released(ctx, held, bad)
     text = _columns(docs, id_col, text_col).where(F.col("text").rlike("[@0-9]")).withColumn("doc_key", F.sha2("text", 256))

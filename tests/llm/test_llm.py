@@ -537,7 +537,7 @@ def brute_marks(texts):
         judge(own, 0.0, apart)
     for k, own in pools.items():
         judge(own, 1.0, lambda term: len({frozenset(n for n, ts in held.items() if n[0] == k and t in ts) for t in own if term in words[t]}) > 1)
-    return {t: [(act[t][m[0].lower()], *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in act[t] and not any(s < m.end() and m.start() < e for _, s, e in base(t))] for t in words}
+    return {t: sorted((act[t][m[0].lower()], *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in act[t] and not any(s < m.end() and m.start() < e for _, s, e in base(t))) for t in words}
 
 
 def test_disclosing_terms_by_brute_force(spark):
@@ -564,6 +564,35 @@ def test_disclosing_terms_by_brute_force(spark):
             assert r_["spans"] == ",".join(x for x in (pii.joined(base(t)), pii.joined(want[t])) if x)
 
 
+def test_crowded_texts_by_brute_force(spark):
+    """Texts that list many addresses, which stand in other texts as well, in one list or several, with all kinds of overlap."""
+    r = random.Random(5)
+    vocabulary = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for _ in range(4):
+        picked = r.sample(range(30), 20)
+        texts.append(" ".join(x for i in picked for x in (f"user{i}@mail.com", *some(2))))
+    texts += [" ".join([*some(3), f"user{i}@mail.com", *some(r.randint(2, 12))]) for i in range(30) for _ in range(r.randint(0, 2))]
+    texts += [" ".join(some(8)) for _ in range(10)]
+    want = brute_marks(texts)
+    assert sum(map(bool, want.values())) > 10
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowded in (1, 4, 64):
+        got = {x["doc_id"]: x["spans"] for x in pii.find(d, crowded=crowded).collect()}
+        assert got == {i: ",".join(x for x in (pii.joined(base(t)), pii.joined(want[t])) if x) for i, t in enumerate(texts)}
+
+
+def test_terms_meet_few_classes(spark):
+    """Rows that terms and classes of n listed addresses, each in a text of its own too, meet in: a multiple of n, not n times n."""
+    met = []
+    for n in (200, 800):
+        rows = [" ".join(f"user{i}@mail.com item{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)), *(f"ask user{i}@mail.com for notes" for i in range(n))]
+        ctx = common.stored(pii.contexts(spark.createDataFrame([(x,) for x in rows], "text string")), "contexts")
+        met.append(pii._sightings(ctx, common.stored(pii._holders(ctx), "holders")).count())
+    assert met[1] < 5 * met[0] and met[1] < 40 * 800
+
+
 def test_one_sighting_is_no_evidence(spark):
     once = "ask bob@x.com about Marmalade bob@x.com now"
     prose = " ".join(f"unseen{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))
