@@ -5,11 +5,12 @@ part surely, the rest with an inclusion probability. The flight moves these prob
 the one direction that changes neither the expected words nor the expected number of documents, until one of the three is
 0 or 1. A block of a source ends with at most two open documents; the open ones of all blocks of a source meet in fewer
 blocks, and so on, until each source has one block. Only its last one or two are left for the landing: first the number
-of documents is given up as a constraint, then the last document is rounded to the nearer side.
+of documents is given up as a constraint, then the last document is rounded to the nearer side. What words that leaves over
+or short is made good in the last block: by leaving one document out for another, or alone, or taking one in.
 
 A block holds BLOCK documents at most on average, so a source with a third of all rows is many blocks. All choices follow
 from hashes of the row (its id, size and content key) and SEED: reruns agree, and so do runs on other partitions. The landing
-rounds the last document of a source to the nearer side, which keeps the words near their target and not its probability.
+keeps the words near their target and not the probabilities of the few documents that it changes.
 
 Null and empty texts have size 0 and count as documents; a null source is one of its own; no rows give no rows; equal rows are
 separate documents that share their copies out. Texts of any length only count by their words. Columns may have any names.
@@ -63,7 +64,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
 
 def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray, last: bool) -> np.ndarray:
     """Inclusion probabilities after the flight (and the landing, if last); u: a uniform number for each document."""
-    out, p, size = p.copy(), p.tolist(), size.tolist()
+    out, p, size = p, p.tolist(), size.tolist()
     open_: list[int] = []
 
     def move(idx: list[int], v: list[float], x: float) -> None:
@@ -92,8 +93,30 @@ def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray, last: bool) -> np.nda
     if last:
         for i in open_:
             p[i] = float(p[i] >= 0.5)
-    out[:] = p
-    return out
+        return _made_good(np.array(p), out, np.array(size), u)
+    return np.array(p)
+
+
+def _made_good(p: np.ndarray, before: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """p after exchanges of one document for another (or for none) that bring the expected words of `before` back, the best first."""
+    free = np.flatnonzero((before > _NEAR) & (before < 1 - _NEAR))
+    free = free[np.lexsort((u[free], size[free]))]
+    while True:  # sizes are whole, so each exchange brings the words nearer by one at least
+        over = float((size * (p - before)).sum())
+        way = 1.0 if over > 0 else 0.0  # what is in and may go where there are too many words, else the other way round
+        gone, come = free[p[free] == way], free[p[free] != way]
+        sizes = np.concatenate([[0.0], size[come]])
+        want = size[gone] - abs(over)
+        at = np.clip(np.searchsorted(sizes, want), 1, len(sizes)) - 1
+        at = np.where(np.abs(sizes[np.minimum(at + 1, len(sizes) - 1)] - want) < np.abs(sizes[at] - want), at + 1, at)
+        left = np.abs(sizes[at] - want)
+        if not len(gone) or left.min() >= abs(over) - _NEAR:
+            break
+        best = int(left.argmin())
+        p[gone[best]] = 1.0 - way
+        if at[best]:
+            p[come[at[best] - 1]] = way
+    return p
 
 
 def _block_flight(turn: int, last: bool):
@@ -140,7 +163,7 @@ def allocate(sized: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: floa
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: words that the mix takes from each document, repeats counted."""
-    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.col(source_col).cast("string")).alias("key"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     return allocate(sized, **how).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 

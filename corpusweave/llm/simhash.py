@@ -469,9 +469,22 @@ def _roots(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays; of rows with that id, the texts that are it.
 
-    Rows with a null id can't be told apart by it: one row of each of their texts stays, whatever other rows hold. No rows give
-    no rows. A text of any length is one row with its set of shingles. Columns of docs may have any names.
+    Rows with a null id can't be told apart by it: one row of each of their texts stays, whatever other rows hold. Of rows
+    with the same id and text the one whose other columns come first as JSON stays, so reruns agree; only such rows are
+    shuffled by it. No rows give no rows. A text of any length is one row with its set of shingles. Columns of docs may have
+    any names.
     """
     found = near_copies(docs, id_col, text_col, **how)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__cw_id")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__cw_id"), "left_anti").dropDuplicates([id_col, text_col])
+    left = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__cw_id"), "left_anti")
+    keys = [F.col(id_col).alias("__cw_i"), F.xxhash64(text_col).alias("__cw_t1"), F.xxhash64(text_col, F.lit(1)).alias("__cw_t2")]
+    often = stored(left.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumnsRenamed({"__cw_i": "__cw_oi", "__cw_t1": "__cw_o1", "__cw_t2": "__cw_o2"}), "repeated")
+    rows = often.count()
+    if not rows:
+        return left
+    side = F.broadcast(often) if rows <= BROADCAST else often
+    keyed = left.withColumns(dict(zip(("__cw_i", "__cw_t1", "__cw_t2"), keys)))
+    same = F.col("__cw_i").eqNullSafe(F.col("__cw_oi")) & (F.col("__cw_t1") == F.col("__cw_o1")) & (F.col("__cw_t2") == F.col("__cw_o2"))
+    first = F.min_by(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns))), F.to_json(F.struct(*(c for c in docs.columns if c != text_col))))
+    one = keyed.join(side, same, "left_semi").groupBy("__cw_i", "__cw_t1", "__cw_t2").agg(first.alias("__cw_row"))
+    return keyed.join(side, same, "left_anti").select(*docs.columns).unionByName(one.select(*(F.col(f"__cw_row.c{k}").alias(c) for k, c in enumerate(docs.columns))))

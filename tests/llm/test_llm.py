@@ -88,6 +88,21 @@ def test_flight_keeps_totals():
     assert set(np.unique(out)) <= {0.0, 1.0} and abs((out * size).sum() - 0.37 * size.sum()) <= 1000 and abs(out.sum() - 740) <= 3
 
 
+def test_landing_makes_good_what_large_documents_miss():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        size = np.concatenate([r.integers(1, 200, 200), r.integers(5_000, 20_000, 6)]).astype(float)
+        p = r.uniform(0.1, 0.9, len(size))
+        out = mix.flight(p, size, r.random(len(size)), True)
+        assert set(np.unique(out)) <= {0.0, 1.0} and abs((out * size).sum() - (p * size).sum()) <= 20
+
+
+def test_sources_meet_their_targets(spark):
+    p = queries.op2_mix_sources(spark, "/root/testdata/sf0.01").toPandas()
+    g = p.groupby("source", dropna=False).agg(t=("taken", "sum"), target=("target", "first"))
+    assert ((g.t - g.target).abs() <= 0.01 * g.target).all()
+
+
 def test_mix_query(spark, docs, edge):
     a = mix.mix_report(docs, block=8)
     assert rows_of(a) == rows_of(mix.mix_report(docs.repartition(5), block=8))
@@ -124,6 +139,17 @@ def test_mix_query_by_brute_force(spark, docs):
         assert y["taken"] in (0, n, 2 * n)
 
 
+def test_one_row_of_an_id_and_text_stays(spark):
+    """Rows equal in id and text but not elsewhere leave the same one on every run; null ids and texts too."""
+    text = "some words that are repeated in full by several rows of the table"
+    rows = [(1, text, x) for x in "cab"] + [(None, text, "z"), (None, "other words altogether here", "b"), (None, "other words altogether here", "a"), (2, None, "y"), (2, None, "x"), (3, None, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {(1, text, "a"), (None, text, "z"), (None, "other words altogether here", "a"), (2, None, "x"), (3, None, "w")}
+    for x in (d, d.repartition(5, "lang"), d.orderBy(F.desc("lang"))):
+        got = simhash.keep_one(x)
+        assert got.columns == d.columns and got.count() == len(want) and {tuple(y) for y in got.collect()} == want
+
+
 def test_rows_that_differ_elsewhere(spark):
     """Rows equal in id, text and source but not in another column give the same mix on every run."""
     rows = [(i // 4, f"text of {i // 4} " * (1 + i % 3 // 3), "a", f"lang{i % 4}") for i in range(80)]
