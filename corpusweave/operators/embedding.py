@@ -13,10 +13,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ATTEMPTS, FIRST_WAIT, FAST_MS, STREAK, WORKERS = 3, 0.1, 1500.0, 5, 5
+#: Calls at once of a task, about, where all tasks share one server.
+TASK_CALLS = 5
 
 
 class Limit:
@@ -125,18 +128,30 @@ class Gate:
                 self.lock.notify_all()
 
 
-def embed(points: DataFrame, text_col: str, call: Callable[[str], list[float]], workers: int = WORKERS) -> DataFrame:
+def shares(workers: int) -> list[int]:
+    """Calls at once of each of the tasks that share `workers` of them: as even as can be, about TASK_CALLS each, one at least."""
+    tasks = max(1, -(-workers // TASK_CALLS))
+    return [max(1, workers // tasks + (k < workers % tasks)) for k in range(tasks)]
+
+
+def embed(points: DataFrame, text_col: str, call: Callable[[str], list[float]], workers: int = WORKERS, shared: bool = False) -> DataFrame:
     """points with dense array<float>; a call that fails for good fails the task, so no file is stored in part.
 
-    A task has up to `workers` calls at once, fewer while the server is slow or fails.
+    A task has up to `workers` calls at once, fewer while the server is slow or fails. If shared, that bounds all tasks
+    together: points are dealt to a fixed number of tasks, each of which has a share of the calls and lowers that share by what
+    it sees itself. Only a second attempt that runs beside the first (speculation) comes on top.
     """
     kept = points.columns
     schema = points.withColumn("dense", F.lit(None).cast("array<float>")).schema
+    most = shares(workers) if shared else [workers]
+    if shared:
+        points = points.repartition(len(most))
 
     def run(batches):
-        limit = Limit(workers)
+        own = most[TaskContext.get().partitionId() % len(most)]
+        limit = Limit(own)
         gate, ask = Gate(limit), with_retries(call, limit)
-        with ThreadPoolExecutor(workers) as pool:
+        with ThreadPoolExecutor(own) as pool:
             for b in batches:
                 dense = list(pool.map(lambda t: gate(ask, t or ""), b.column(text_col).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(dense, pa.list_(pa.float32()))], [*kept, "dense"])

@@ -96,7 +96,7 @@ def raw_points(found: DataFrame, size: int = chunking.RAW_BYTES) -> DataFrame:
     })
 
 
-def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[[DataFrame], DataFrame], mode: str = "full", stop=tables.STOP_WORDS, sizes: tuple[int, int, int] = (chunking.LEAST, chunking.MOST, chunking.OVERLAP), workers: int = embedding.WORKERS) -> DataFrame:
+def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[[DataFrame], DataFrame], mode: str = "full", stop=tables.STOP_WORDS, sizes: tuple[int, int, int] = (chunking.LEAST, chunking.MOST, chunking.OVERLAP), workers: int = embedding.WORKERS, shared: bool = False) -> DataFrame:
     """The points of files in the columns of SCHEMA. Documents that give no chunk are cut as raw text, but legacy office files are not.
 
     keep writes a step as a table and reads it, so that files are cut once and texts are embedded once.
@@ -114,7 +114,7 @@ def points(found: DataFrame, call: Callable[[str], list[float]], keep: Callable[
         "is_test": F.array_contains("tags", "test"), "test_framework": text.test_framework(F.col("framework_tags")), "updated": F.unix_timestamp(),
     })
     p = p.withColumn("search_text", text.search_text(*map(F.col, ("tags", "symbol_names", "namespace", "container", "relative_path", "content"))))
-    p = keep(embedding.embed(p, "search_text", call, workers))
+    p = keep(embedding.embed(p, "search_text", call, workers, shared))
     return p.join(vectors.sparse_vectors(p.select("point_id", "search_text"), "point_id", "search_text", stop), "point_id", "left")
 
 
@@ -203,7 +203,7 @@ def sync(spark: SparkSession, s: Settings, only: DataFrame | None = None, call:
             ensure_dimension(spark, s, embedding.with_retries(call))
             touched = sorted(r["bucket"] for r in changed.select("relative_path").union(gone.select("relative_path") if old is not None else changed.select("relative_path")).select(bucket().alias("bucket")).distinct().collect())
             fresh = keep(found.join(changed.select("relative_path"), "relative_path", "left_semi").select(*found.columns))
-            new = _shaped(points(fresh, call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers))
+            new = _shaped(points(fresh, call, keep, s.parser_mode, stop, (s.least_chunk, s.most_chunk, s.overlap), s.workers, bool(s.embedder)))
             ready = keep((new if kept is None else index.upsert(_shaped(kept.where(bucket().isin(touched))), new)).withColumn("bucket", bucket()))
             arrays = ready.where(F.size("sparse") > 0).select("branch", "bucket", "point_id", F.col("sparse.idx").alias("idx"), F.col("sparse.w").alias("w"))
             blocks = vectors.posting_blocks(arrays, "point_id", "branch", "bucket")

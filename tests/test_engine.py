@@ -115,6 +115,49 @@ def test_embed(spark):
     assert len(r["dense"]) == 8
 
 
+def test_all_tasks_share_the_calls_of_a_server(spark):
+    import http.server
+    import json
+    import threading
+    import time
+
+    assert embedding.shares(1) == [1] and embedding.shares(5) == [5] and embedding.shares(12) == [4, 4, 4] and embedding.shares(7) == [4, 3]
+    now, most, asked, lock = [0], [0], [], threading.Lock()
+
+    class Stub(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["prompt"]
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                asked.append(prompt)
+            time.sleep(0.02)
+            with lock:
+                now[0] -= 1
+            body = json.dumps({"embedding": [float(prompt), 1.0]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    class Server(http.server.ThreadingHTTPServer):
+        request_queue_size = 64
+
+    server = Server(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        d = spark.range(0, 300, 1, 8).selectExpr("id", "cast(id AS string) AS t")
+        got = embedding.embed(d, "t", embedding.http_call(f"http://127.0.0.1:{server.server_port}", "m"), 7, shared=True)
+        assert got.rdd.getNumPartitions() == 2
+        assert {r["id"]: r["dense"] for r in got.collect()} == {i: [float(i), 1.0] for i in range(300)}
+    finally:
+        server.shutdown()
+    assert len(asked) == 300 and 2 <= most[0] <= 7
+
+
 def test_changes(spark):
     a = spark.createDataFrame([("x", 1, 1), ("y", 1, 1)], "relative_path string, modified long, length long")
     b = spark.createDataFrame([("x", 2, 1), ("z", 1, 1)], "relative_path string, modified long, length long")
