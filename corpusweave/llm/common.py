@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,6 @@ def lean(run):
     def then_trim(batches):
         import ctypes
 
-        import pyarrow as pa
-
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:
@@ -70,33 +70,63 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Edges of a graph that one task reduces at once, about.
+PIECE = 1 << 18
+
+
+def _stars(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, root, changed) for edges v > u: each node with the smallest that these edges reach, and whether that edge was not among them."""
+    nodes, at = np.unique(np.concatenate((v, u)), return_inverse=True)
+    a, b = at[: len(v)], at[len(v) :]
+    root = np.arange(len(nodes))
+    while (live := root[a] != root[b]).any():
+        a, b = root[a[live]], root[b[live]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    known = np.full(len(nodes), -1)
+    np.maximum.at(known, at[: len(v)], at[len(v) :])
+    lower = np.full(len(nodes), len(nodes))
+    np.minimum.at(lower, at[: len(v)], at[len(v) :])
+    return nodes[own], nodes[root[own]], (known[own] != root[own]) | (lower[own] != root[own])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node that each node of an undirected graph reaches.
 
     edges: columns a, b (bigint, never null). Returns (node, root) for each node that has an edge; a node without edges is
-    its own component and isn't returned. Hash-to-min by alternating steps: a node keeps its smallest neighbour and links
-    its other smaller neighbours to that one (so paths shrink from both ends); then each edge's lower end is replaced by
-    that node's own smallest neighbour. Each step shuffles edges by their ends and keeps one row per distinct edge; no
-    adjacency list is ever collected. Ends when every edge points at a root.
+    its own component and isn't returned. Edges are first cut into pieces of about PIECE, each of which one task reduces to stars;
+    if there is more than one piece, rounds follow. A round sends each edge to both its ends, in one exchange; a task puts in place of
+    the edges of the nodes dealt to it one from each node to the smallest that they reach. So paths shrink from both ends, and
+    by all that a task happens to hold. Ends when no task changes an edge: then no node has two edges down, or an end of one
+    that has one itself. A task holds 16 bytes for each edge of its nodes, at last those of a component's root; no texts.
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
-    for _ in range(rounds):
-        parent = stored(e.groupBy("v").agg(F.min("u").alias("p")), "parents")
-        hooked = (
-            e.join(parent, "v").where("u <> p").select(F.col("u").alias("v"), F.col("p").alias("u"))
-            .union(parent.select("v", F.col("p").alias("u"))).distinct()
-        )
-        hooked = stored(hooked, "hooked")
-        up = stored(hooked.groupBy(F.col("v").alias("at")).agg(F.min("u").alias("p")), "up")
-        jumped = hooked.join(up, hooked.u == up.at, "left").select("v", F.coalesce("p", "u").alias("u"), F.col("p").isNotNull().alias("moved"))
-        jumped = stored(jumped.groupBy("v", "u").agg(F.max("moved").alias("moved")), "edges")
-        n, nodes, moved = jumped.agg(F.count("*"), F.count_distinct("v"), F.sum(F.col("moved").cast("int"))).first()
-        released(e, parent, hooked, up)  # a round needs the edges of the last one only
-        e = jumped
-        if n == nodes and not moved:
+    spark = edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def shrink(batches):
+        held = [(b.column("v").to_numpy(), b.column("u").to_numpy()) for b in batches]
+        if held:
+            node, root, changed = _stars(*(np.concatenate(x) for x in zip(*held)))
+            for k in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (node, root, changed)], ["v", "u", "changed"])
+
+    given = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u"), "given")
+    pieces = max(1, -(-given.count() // PIECE))
+    schema = "v bigint, u bigint, changed boolean"
+    e = stored(given.coalesce(pieces).mapInArrow(lean(shrink), schema), "edges")
+    released(given)
+    for _ in range(rounds if pieces > 1 else 0):
+        both = e.select(F.explode(F.array("v", "u")).alias("at"), "v", "u").repartition(tasks, "at").select("v", "u")
+        now = stored(both.mapInArrow(lean(shrink), schema), "edges")
+        settled = now.where("changed").isEmpty()
+        released(e)
+        e = now
+        if settled:
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
-        e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
-    )
+        if pieces > 1:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    out = e.select("v", "u").distinct()
+    return out.select(F.col("v").alias("node"), F.col("u").alias("root")).union(out.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

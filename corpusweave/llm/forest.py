@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, lean, released, stored, tidy
-from .simhash import HOT, SAMPLE, _ALIKE, _by_rare_shingles, _meet, _Texts
+from .simhash import HOT, SAMPLE, _ALIKE, _by_blocks, _meet, _roots, _Texts
 
 #: Words of a shingle and the least Jaccard index of two near copies.
 WIDTH, SIMILAR = 2, 0.8
@@ -208,13 +208,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = share.groupBy("sig").agg(F.max_by("f", F.struct("k", "root")).alias("f"))
         by = big.join(chosen, "sig").where("root <> f.root").select(F.least("id", "f.id").alias("a"), F.greatest("id", "f.id").alias("b"), "n", F.col("f.n").alias("m"))
         more = stored(more.unionByName(by.where(_ALIKE.format(s=similar)).select("a", "b")).distinct(), "pairs")
-        edges = edges.unionByName(sets.verified(more))
-        roots = stored(_roots(edges), "roots")
+        roots = stored(_roots(sets.verified(more), roots), "roots")
         if not big.isEmpty():
             left = apart().where(F.col("size") > bucket)
             if not left.isEmpty():
-                edges = edges.unionByName(sets.verified(_by_rare_shingles(left.select("id", "n", "root"), sets)))
-                roots = stored(_roots(edges), "roots")
+                roots = stored(_roots(sets.verified(_by_blocks(left, sets)), roots), "roots")
     named = stored(nodes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id")), "named")
     out = stored(rows.select("doc_id", "n", "k1", "k2"), "ids")
     released(rows, nodes, found)
@@ -231,7 +229,3 @@ def _deeper(big: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
     fit = found.join(sizes, "name")
     least = fit.groupBy("id", "tree").agg(F.min_by(F.struct("name", "n", "root", "r0", "r1"), "depth").alias("x"))
     return least.where("x.r0 < x.r1").select(F.col("x.name").alias("sig"), "id", "x.n", "x.root")
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    return connected_components(edges).select(F.col("node").alias("id"), "root")

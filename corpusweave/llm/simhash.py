@@ -198,12 +198,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SEGMENTS, MINIMA = 11, 5
 #: Rows that are broadcast at most to pick texts out; beyond that they meet by an exchange.
 BROADCAST = 200_000
-#: Slots of the table of shingle counts.
-SLOTS = 1 << 22
-#: Groups of hashes by which shingles are counted.
-GROUPS = 32
-#: The largest size of a class of sizes by its least.
-WIDTH_OF_SIZES = 1.05
+#: Groups of hashes by which shingles are counted, first and at last; members of a block and of a tile of it that meet at once.
+COARSE, GROUPS, BLOCK, TILE = 32, 256, 2048, 512
 
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, SEGMENTS * MINIMA, 1), np.uint64, endpoint=False) | np.uint64(1)
 
@@ -322,60 +318,73 @@ class _Texts:
         return out
 
 
-def _prefixes(words: np.ndarray, counts: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys under which a set must meet every set that may be alike, their sides, and by groups how many of its shingles others have.
+def _within(x: tuple, y: tuple | None, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of unlike roots of two blocks (one with itself if y is None) that may be alike.
 
-    words: its hashes; counts: the table of counts. A set of n meets one of m by an overlap of at least s / (1 + s) (n + m), all of
-    it among the shingles that others have; so in any one order (by count, rarest first) the first of these, but for so many less
-    one, must have one in common. Sizes fall in classes of WIDTH_OF_SIZES, and there are keys for each class that m may be in.
+    A block: ids, sizes, roots and (rows, GROUPS) counts of a set's shingles by groups of hashes. Sets of n and m meet only by an
+    overlap of s / (1 + s) (n + m), and the overlap is at most the sum of the smaller counts: first over COARSE groups, all
+    pairs at once, then over all groups for what is left.
     """
-    often = counts[words % SLOTS]
-    shared = words[often > 1]
-    shared = shared[np.lexsort((shared, often[often > 1]))]
-    n, step = len(words), np.log(WIDTH_OF_SIZES)
-    own, keys, sides = int(np.log(n) / step + 1e-9), [np.zeros(0, np.int64)], []
-    for other in range(int(np.log(max(1, similar * n)) / step - 1e-9), int(np.log(n / similar) / step + 1e-9) + 1):
-        least = max(np.ceil(WIDTH_OF_SIZES**other - 1e-6), np.ceil(similar * n - 1e-6))
-        k = len(shared) - int(np.ceil(similar / (1 + similar) * (n + least) - 1e-6)) + 1
-        if k > 0:
-            pair = min(own, other) * 4096 + max(own, other) + 1
-            keys.append(shared[:k] ^ np.int64(pair * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF))
-            sides += [2 if other == own else int(other < own)] * len(keys[-1])
-    return np.concatenate(keys), np.array(sides, np.int32), np.bincount((shared >> 32) % GROUPS, minlength=GROUPS).astype(np.int32)
-
-
-def _by_rare_shingles(members: DataFrame, texts: _Texts) -> DataFrame:
-    """Pairs (a, b) of unlike roots among members (id, n, root) that may be alike: all of them, by the prefix filter (see _prefixes).
-
-    Texts that only have what many have in common do not meet, nor do texts with so many shingles of their own that the rest
-    can't reach the overlap asked for: the rest is counted by GROUPS of hashes, and the overlap is at most the sum of the
-    smaller counts.
+    least, found = similar / (1 + similar), []
+    blocks = []
+    for b in (x,) if y is None else (x, y):
+        order = np.argsort(b[1], kind="stable")
+        ids, n, roots, own = (c[order] for c in b)
+        kind = np.uint16 if not len(n) or n[-1] < 1 << 16 else np.int64
+        blocks.append((ids, n.astype(np.int64), roots, own, own.reshape(len(own), COARSE, -1).sum(axis=2).T.astype(kind)))
+    (ids, n, roots, own, few), (ids2, n2, roots2, own2, few2) = blocks[0], blocks[-1]
+    for i in range(0, len(ids), TILE):
+        at = slice(i, i + TILE)
+        for j in range(i if y is None else 0, len(ids2), TILE):
+            to = slice(j, j + TILE)
+            if max(n[at][0], n2[to][0]) * similar > min(n[at][-1], n2[to][-1]) + 1e-6:  # no sizes that fit
+                continue
+            most = np.zeros((len(ids[at]), len(ids2[to])), np.result_type(few, few2))
+            for g in range(COARSE):
+                most += np.minimum(few[g, at][:, None], few2[g, to])
+            need = least * (n[at][:, None] + n2[to]) - 1e-6
+            a, b = np.nonzero((most >= need) & (roots[at][:, None] != roots2[to]))
+            if y is None and i == j:
+                a, b = a[a < b], b[a < b]
+            for k in range(0, len(a), 1 << 14):
+                p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                ok = np.minimum(own[at][p], own2[to][q]).sum(axis=1, dtype=np.int64) >= need[p, q]
+                found.append(np.stack((ids[at][p[ok]], ids2[to][q[ok]])))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs.min(axis=0), pairs.max(axis=0)
+
+
+def _by_blocks(members: DataFrame, texts: _Texts) -> DataFrame:
+    """Pairs (a, b) of unlike roots that may be alike among members (sig, id, n, root, size) of one signature: all of them.
+
+    A signature's members are dealt out in blocks of about BLOCK by a hash, and each two blocks meet in a group of their own, which holds
+    counts by groups of hashes (see _within) and no texts. So no signature lands in one task, whatever its size.
     """
-    spark, similar = members.sparkSession, texts.similar
-    members = stored(members.dropDuplicates(["id"]), "members")
-    sets = texts.sets(members.select("id"))
-    got = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(SLOTS)).alias("k")).agg(F.count("*").alias("n")).toArrow()  # SLOTS rows at most
-    counts = np.zeros(SLOTS, np.int32)
-    counts[got["k"].to_numpy()] = np.minimum(got["n"].to_numpy(), 1 << 30)
-    sent = spark.sparkContext.broadcast(counts)
-
-    def prefix(batches):
+    similar = texts.similar
+    sets = texts.sets(members.select("id").distinct())
+
+    def count(batches):
         for b in batches:
-            for i, words in zip(b.column("id"), b.column("words")):
-                keys, sides, own = _prefixes(words.values.to_numpy(), sent.value, similar)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sides], pa.list_(pa.int32())), pa.array([own], pa.list_(pa.int32()))], ["id", "keys", "sides", "own"])
-
-    rare = sets.mapInArrow(lean(prefix), "id bigint, keys array<bigint>, sides array<int>, own array<int>").join(members, "id")
-    rare = stored(rare.select(F.explode(F.arrays_zip("keys", "sides")).alias("x"), "id", "n", "root", "own").select(F.col("x.keys").alias("w"), F.col("x.sides").alias("side"), "id", "n", "root", "own"), "prefixes")
-    mixed = rare.groupBy("w").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("w")
-    mixed = stored(rare.join(mixed, "w"), "mixed")
-    other = mixed.where("side > 0").select("w", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("own").alias("rest"))
-    both = mixed.where("side <> 1").join(other, "w").where("root <> other and (side = 0 or id < b)").where(_ALIKE.format(s=similar))
-    overlap = " + ".join(f"least(own[{k}], rest[{k}])" for k in range(GROUPS))  # spelled out, so that it is compiled
-    both = both.where(f"{overlap} >= {similar / (1 + similar)!r}D * (n + m) - 1e-6")
-    out = stored(both.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "rare")
-    released(members, sets, rare, mixed)
+            ends, words = b.column("words").offsets.to_numpy(), b.column("words").values.to_numpy()
+            own = [np.bincount(words[i:j] & (GROUPS - 1), minlength=GROUPS) for i, j in zip(ends, ends[1:])]
+            own = [x.astype(np.uint8 if x.max() < 256 else np.int32).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary())], ["id", "own"])
+
+    def meet(key, table):
+        own = [np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.int32) for x in table.column("own").to_pylist()]
+        cols = (*(table.column(c).to_numpy() for c in ("id", "n", "root")), np.stack(own))
+        block, (lo, hi) = table.column("block").to_numpy(), (k.as_py() for k in key[1:])
+        sides = [tuple(c[block == k] for c in cols) for k in dict.fromkeys((lo, hi))]
+        a, b = _within(sides[0], sides[1] if lo < hi else None, similar) if all(len(x[0]) for x in sides) else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    counts = stored(sets.mapInArrow(lean(count), "id bigint, own binary"), "counts")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.join(counts, "id").select("sig", "id", "n", "root", "own", blocks.alias("of"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    pairs = dealt.select("sig", "lo", "hi", "id", "n", "root", "own", "block").groupBy("sig", "lo", "hi").applyInArrow(meet, "a bigint, b bigint")
+    out = stored(pairs.distinct(), "rare")
+    released(sets, counts)
     return out
 
 
@@ -448,21 +457,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = own.groupBy("sig").agg(F.max_by("f", F.struct("k", "root")).alias("f"))
         by = big.join(chosen, "sig").where("root <> f.root").select(F.least("id", "f.id").alias("a"), F.greatest("id", "f.id").alias("b"), "n", F.col("f.n").alias("m"))
         more = stored(more.union(by.where(_ALIKE.format(s=similar)).select("a", "b")).distinct(), "pairs")
-        edges = edges.unionByName(texts.verified(more))
-        roots = stored(_roots(edges), "roots")
+        roots = stored(_roots(texts.verified(more), roots), "roots")
         if not big.isEmpty():
             big = apart().where(F.col("size") > bucket)
             if not big.isEmpty():
-                more = _by_rare_shingles(big.select("id", "n", "root"), texts)
-                edges = edges.unionByName(texts.verified(more))
-                roots = stored(_roots(edges), "roots")
+                roots = stored(_roots(texts.verified(_by_blocks(big, texts)), roots), "roots")
     named = stored(nodes.select("t1", "t2", "id").join(roots, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("component_id")), "named")
     ids = stored(rows.select("doc_id", "t1", "t2"), "ids")
     released(rows, nodes, found)
     return ids.join(named, ["t1", "t2"]).select("doc_id", "component_id")
 
 
-def _roots(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, root) by edges and by the roots known before."""
+    if known is not None:
+        edges = edges.unionByName(known.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     return connected_components(edges).select(F.col("node").alias("id"), "root")
 
 

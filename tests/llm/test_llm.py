@@ -1061,3 +1061,53 @@ print("all ran")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert "all ran" in out.stdout, out.stderr[-3000:]
+
+
+def test_blocks_of_a_signature_meet_whole_and_by_themselves(spark, monkeypatch):
+    """All that may be alike in a large signature, dealt out in blocks, against brute force; and no pair of unlike texts."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(300):
+        own = list(base) if i % 3 else [f"v{i % 5}x{k}" for k in range(400)]
+        for k in r.sample(range(400), r.choice((5, 18, 25, 40))):
+            own[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(own[: r.choice((400, 390, 200))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(forest.shingles(t.encode(), forest._Words()).tolist()) for t in texts]
+    alike = {(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    nodes = forest._signed(docs, 2).withColumnRenamed("doc_id", "id")
+    members = nodes.select(F.lit(7).cast("bigint").alias("sig"), "id", F.col("n").cast("int").alias("n"), F.col("id").alias("root"), F.lit(300).cast("bigint").alias("size"))
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    reader = forest._Sets(docs, nodes, 0.8, 2)
+    met = simhash._by_blocks(members, reader)
+    got = {(x["b"], x["a"]) for x in met.collect()}
+    assert alike <= got and len(alike) > 1000
+    assert all(len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) for a, b in got)
+    assert {(x["b"], x["a"]) for x in reader.verified(met).collect()} == alike
+    assert met.where("a >= b").isEmpty()
+
+
+def test_components_by_pieces(spark, monkeypatch):
+    """Paths, stars, rings and chance edges over many pieces settle to the smallest node; one piece needs no exchange round."""
+    r = random.Random(8)
+    edges = [(k, k + 1) for k in range(0, 300)] + [(5000 + (37 * k) % 499, 5000 + (37 * (k + 1)) % 499) for k in range(499)] + [(9000, k) for k in range(8000, 8400)]
+    edges += [(r.randrange(10_000, 10_900), r.randrange(10_000, 10_900)) for _ in range(400)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    want = {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    d = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for piece in (1 << 18, 100):
+        monkeypatch.setattr(common, "PIECE", piece)
+        got = [(x["node"], x["root"]) for x in common.connected_components(d).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert common.connected_components(d.limit(0)).isEmpty()
