@@ -378,7 +378,7 @@ _QTERMS = _TERMS.replace("documents", "benchmark").replace("doc_id", "item_id")
 
 def _sparse_hits(spark, sf, k=vectors.CANDIDATES):
     d, q = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
-    return vectors.sparse_search(vectors.sparse_entries(d, "doc_id", "text", hashed=False), vectors.sparse_entries(q, "item_id", "text", hashed=False), "doc_id", "item_id", k)
+    return vectors.sparse_search(vectors.sparse_arrays(d, "doc_id", "text", hashed=False), vectors.sparse_entries(q, "item_id", "text", hashed=False), "doc_id", "item_id", k)
 
 
 _SPARSE = f"SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT item_id, doc_id, round(sum(d.tf * q.tf * ln(1 + strlen(d.token)) * ln(1 + strlen(d.token))), 6) AS score FROM ({_TERMS}) d JOIN ({_QTERMS}) q ON d.token = q.token GROUP BY ALL)) WHERE rank <= 40"

@@ -20,7 +20,7 @@ def _ranked(points: DataFrame, asked: DataFrame, mode: str, call: Callable[[str]
     if mode in ("sparse", "hybrid"):
         own = vectors.sparse_entries(asked, "vid", "variant", stop)
         if postings is None:
-            entries = points.select("pid", F.explode("sparse").alias("e")).select("pid", "e.idx", "e.w")
+            entries = points.select("pid", F.col("sparse.idx").alias("idx"), F.col("sparse.w").alias("w"))
             lists.append(vectors.sparse_search(entries, own, "pid", "vid"))
         else:
             lists.append(vectors.SparseIndex(postings, "pid").search(own, "vid", among=points.select("pid")))
