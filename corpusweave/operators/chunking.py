@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import memory, text
 
 RAW_BYTES, FUNCTION_BYTES = 1000, 4000
 LEAST, MOST, OVERLAP = 800, 4000, 200
+#: Pages whose chunks a task holds at once.
+ROWS = 128
 
 
 def line_chunks(c: Column, size: int = RAW_BYTES) -> Column:
@@ -58,6 +61,18 @@ def merge_paragraphs(data: bytes, least: int = LEAST, most: int = MOST, overlap:
     return out + ([open_] if open_ else [])
 
 
+def _pieces(b: pa.RecordBatch, least: int, most: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of a batch's pages, of ROWS pages at a time, so that no more is held whatever the batch's size."""
+    kinds = (b.column("id").type, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    for lo in range(0, b.num_rows, ROWS):
+        rows = []
+        for i, p, at, t in zip(*(b.slice(lo, ROWS).column(c).to_pylist() for c in ("id", "page_number", "at", "page"))):
+            for k, c in enumerate(merge_paragraphs((t or "").encode(), least, most, overlap)):
+                rows.append((i, p, at, k, c.decode("utf-8", "ignore"), hashlib.sha256(c).hexdigest()))
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "page_number", "at", "k", "content", "hash"])
+
+
 def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_idx, page_number, content, hash) of cleaned document text; pages end at form feeds and count from 1 if there are several."""
     pages = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\f")).alias("at", "page"), F.size(F.split(F.col(text_col), "\f")).alias("n"))
@@ -65,12 +80,8 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, least: int = L
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, p, at, t in zip(*(b.column(c).to_pylist() for c in ("id", "page_number", "at", "page"))):
-                for k, c in enumerate(merge_paragraphs((t or "").encode(), least, most, overlap)):
-                    rows.append((i, p, at, k, c.decode("utf-8", "ignore"), hashlib.sha256(c).hexdigest()))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.column("id").type, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "page_number", "at", "k", "content", "hash"])
+            yield from _pieces(b, least, most, overlap)
+            memory.give_back()
 
     out = pages.select("id", "page_number", "at", "page").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, page_number bigint, at int, k int, content string, hash string")
     return out.where(text.is_clean(F.col("content"))).withColumnRenamed("id", id_col)

@@ -320,3 +320,30 @@ def test_rules_meet_paths_by_folder(spark):
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.where(F.col("ignored")).count() > 50
+
+
+def test_declarations_are_held_for_few_files_at_a_time():
+    import pandas as pd
+
+    from corpusweave.operators import code
+
+    n = 3 * code.ROWS + 5
+    paths, texts = pd.Series([f"a{i}.py" for i in range(n)]), pd.Series([f"def f{i}():\n    pass\n" if i % 9 else None for i in range(n)])
+    out = list(code._pieces(iter([(paths, texts), (paths[:0], texts[:0]), (paths[:1], texts[:1])])))
+    assert max(map(len, out)) <= code.ROWS and sum(map(len, out)) == n + 1
+    got = pd.concat(out[:-1])["functions"].tolist()
+    assert got == [code.parse(p, t or "")["functions"] for p, t in zip(paths, texts)]
+
+
+def test_chunks_are_held_for_few_pages_at_a_time():
+    import pyarrow as pa
+
+    from corpusweave.operators import chunking
+
+    n = 3 * chunking.ROWS + 5
+    pages = [f"{i} " + "word " * (i % 400) if i % 7 else None for i in range(n)]
+    b = pa.RecordBatch.from_pydict({"id": list(range(n)), "page_number": [0] * n, "at": [0] * n, "page": pages})
+    out = list(chunking._pieces(b, 80, 400, 20))
+    assert len(out) == 4 and all(len(set(x.column("id").to_pylist())) <= chunking.ROWS for x in out)
+    want = [(i, c.decode()) for i, t in enumerate(pages) for c in chunking.merge_paragraphs((t or "").encode(), 80, 400, 20)]
+    assert [(i, c) for x in out for i, c in zip(x.column("id").to_pylist(), x.column("content").to_pylist())] == want
