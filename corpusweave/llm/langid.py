@@ -4,9 +4,8 @@ One table of slots serves all languages: each slot is a bit mask of languages, a
 of all languages that (seem to) contain it. A text's n-grams are looked up in one pass; each language's popcount is then
 corrected for the false positives that its own share of set slots lets one expect, and the largest corrected count decides.
 
-Training sees documents with a text and a language whose crc32(id) mod 5 is not 0, of them about SAMPLE a language, chosen
-by a hash of the id. An n-gram counts as contained in a language if at least MIN_SHARE of the language's sampled documents
-have it, and at least RELATIVE of the share in the language that has it most. Prediction uses the whole text and nothing
+Training sees all documents with a text and a language whose crc32(id) mod 5 is not 0. An n-gram counts as contained in a
+language if at least MIN_SHARE of the language's documents have it, and at least RELATIVE of the share in the language that has it most. Prediction uses the whole text and nothing
 else. The table has 8 slots or more for each n-gram that any language contains, 2^MOST_BITS at most; how many a language contains
 depends on MIN_SHARE and not on the number of documents, so the table doesn't grow with them.
 
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import lean, stored
 
-#: Labelled documents of a language that are used for training, about.
-SAMPLE = 1500
 #: Lengths of n-grams, in characters; a run of anything but letters is one space.
 SIZES = (2, 3, 4)
 MOST_BITS, HASHES = 24, 2
@@ -98,39 +95,43 @@ class Filter:
         return self.langs[k], float(n[k] / total) if total else 0.0, float(n[k] / len(h))
 
 
-def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame | None:
-    """(lang, text) of the documents to learn from; None if there are none."""
+def _known(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of the documents to learn from: all with a text and a language, but for those that are held out."""
     ident = F.col(id_col).cast("string")
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(F.crc32(ident.cast("binary")) % 5 != 0, F.lit(True)))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(ident), F.lit(1 << 30)).alias("h"))
-    n_docs = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not n_docs:
-        return None
-    limit = F.create_map(*(F.lit(y) for x in sorted(n_docs) for y in (x, int((1 << 30) * min(1.0, sample / n_docs[x])))))
-    return known.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
+    return known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_bits: int = MOST_BITS) -> Filter:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bits: int = MOST_BITS) -> Filter:
     """Ties and repeated rows count as they are; without labelled texts the filter has no language."""
-    chosen = _chosen(docs, id_col, text_col, lang_col, sample)
-    if chosen is None:
-        return Filter([], np.zeros((1, 1), np.uint64))
+    chosen = _known(docs, id_col, text_col, lang_col)
+
+    def merged(parts):
+        g, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return g, np.bincount(at, np.concatenate([c for _, c in parts]), len(g)).astype(np.int64)
 
     def count(batches):
         seen: dict[str, list] = {}
+        fresh: dict[str, int] = {}
         docs_: dict[str, int] = {}
         is_letter = letters()
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 docs_[lang] = docs_.get(lang, 0) + 1
                 if (h := grams(text, is_letter)) is not None:
-                    seen.setdefault(lang, []).append(np.unique(h))
+                    g = np.unique(h)
+                    seen.setdefault(lang, []).append((g, np.ones(len(g), np.int64)))
+                    fresh[lang] = fresh.get(lang, 0) + len(g)
+                    if fresh[lang] > max(1 << 20, len(seen[lang][0][0])):  # counts of distinct n-grams are held, not those of each text
+                        seen[lang], fresh[lang] = [merged(seen[lang])], 0
         for lang, n in docs_.items():
-            g, c = np.unique(np.concatenate(seen[lang]), return_counts=True) if lang in seen else (np.zeros(0, np.uint64), np.zeros(0, int))
+            g, c = merged(seen[lang]) if lang in seen else (np.zeros(0, np.uint64), np.zeros(0, int))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(g) + 1)), pa.array(np.concatenate((g.view(np.int64), [0]))), pa.array(np.concatenate((c, [n])).astype(np.int64)), pa.array([False] * len(g) + [True])], ["lang", "g", "n", "total"])
 
     counted = stored(chosen.mapInArrow(lean(count), "lang string, g bigint, n bigint, total boolean").groupBy("lang", "g", "total").agg(F.sum("n").alias("n")), "ngrams")
-    totals = {r["lang"]: r["n"] for r in counted.where("total").collect()}
+    totals = {r["lang"]: r["n"] for r in counted.where("total").collect()}  # a row a language
+    if not totals:
+        return Filter([], np.zeros((1, 1), np.uint64))
     langs = sorted(totals)
     number = F.create_map(*(F.lit(y) for i, x in enumerate(langs) for y in (x, i)))
     total = F.create_map(*(F.lit(y) for x in langs for y in (x, float(totals[x]))))
@@ -180,11 +181,11 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
 KEEP = 0.5
 
 
-def least_coverage(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, float]:
+def least_coverage(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
     """By language, the share of a text's n-grams that it must contain for the text to be taken as written in it."""
-    chosen = _chosen(docs, id_col, text_col, lang_col, sample)
-    if chosen is None or not model.langs:
+    if not model.langs:
         return {}
+    chosen = _known(docs, id_col, text_col, lang_col)
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.masks))
 
     def run(batches):

@@ -1111,3 +1111,20 @@ def test_components_by_pieces(spark, monkeypatch):
         got = [(x["node"], x["root"]) for x in common.connected_components(d).collect()]
         assert len(got) == len(want) and dict(got) == want
     assert common.connected_components(d.limit(0)).isEmpty()
+
+
+def test_coverage_is_of_all_labelled_documents(spark):
+    """4,000 documents of a language; 40 of them with other words, which a model and thresholds of 1,500 would meet by chance only."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rare = ["".join(r.choice("uvwxyz") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(20)) + (" " + " ".join(r.choice(rare) for _ in range(10)) if i % 100 == 3 else ""), "aa") for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [x["text"] for x in d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()]
+    model = langid.train(d)
+    covered = sorted(model.predict(t)[2] for t in kept)
+    assert langid.least_coverage(d, model) == {"aa": langid.KEEP * covered[-(-len(covered) // 1000) - 1]}
+    is_letter = langid.letters()
+    count = collections.Counter(g for t in kept for g in set(langid.grams(t, is_letter).tolist()))
+    want = sum(c >= langid.MIN_SHARE * len(kept) for c in count.values())
+    assert model.counts(np.array([g for g, c in count.items() if c >= langid.MIN_SHARE * len(kept)], np.uint64))[0] == pytest.approx(want, rel=1e-6)
